@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padlens.llm import packing
+from padlens.llm import packing, simhash, substring
 from padlens.llm.sql import ORACLES
 
 
@@ -18,6 +18,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_simhash": op5_simhash,
+    "op8_substring": op8_substring,
 }
