@@ -56,17 +56,17 @@ def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
         of_short[at[short]] = True
         out[~of_short] = whole
         for i in short.tolist():
-            x = np.uint64(count[i])
+            x = np.array([count[i]], np.uint64)
             for w in words[first[i] : first[i + 1]]:
-                x = mix(np.array([x * np.uint64(0xD1342543DE82EF95) + w]))[0]
-            out[at[i]] = x
+                x = mix(x * np.uint64(0xD1342543DE82EF95) + w)
+            out[at[i]] = x[0]
         whole = out
     return whole, at
 
 
 def signature(values: np.ndarray) -> np.ndarray:
     """The least value of a set under each hash function."""
-    return np.array([mix(values ^ s).min() for s in _SEEDS])
+    return mix(values[None, :] ^ _SEEDS[:, None]).min(1)
 
 
 @dataclass
@@ -89,7 +89,7 @@ def index(ids: list[int], texts: list[str], width: int = WIDTH) -> Items:
     tables: list[dict] = [{} for _ in bounds]
     leads = [np.zeros(0, np.uint64)]
     for i in keep:
-        hashed = np.stack([mix(sets[i] ^ s) for s in _SEEDS])
+        hashed = mix(sets[i][None, :] ^ _SEEDS[:, None])
         least = hashed.argmin(1)
         leads.append(sets[i][np.unique(least)])
         table = tables[bounds.index(bound[i])]
