@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padlens.llm import decontaminate, packing, quality, simhash, substring, tokencount, toxicity
+from padlens.llm import decontaminate, licenses, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from padlens.llm.sql import ORACLES
 
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,12 +46,18 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_substring": op8_substring,
+    "op10_url_filter": op10_url_filter,
 }
