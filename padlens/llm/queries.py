@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from padlens.llm import decontaminate, licenses, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from padlens.llm import decontaminate, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from padlens.llm.sql import ORACLES
 
 
@@ -46,6 +47,20 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.decode(media.store(table(spark, sf_dir, "documents")), tensor=False)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -59,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_substring": op8_substring,
+    "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
 }
