@@ -75,10 +75,10 @@ SCORES = """ranked AS (SELECT event_id, user_id, event_type AS action, CAST(even
   count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events),
 scores AS (SELECT event_id, user_id, action, label, detector, score,
   CASE WHEN rn <= floor(CAST(0.6 AS DOUBLE) * n) THEN 'train' WHEN rn <= floor(CAST(0.6 AS DOUBLE) * n) + floor(CAST(0.2 AS DOUBLE) * n) THEN 'val' ELSE 'test' END AS pool FROM ranked)"""
-TOUCH = """touch AS (SELECT user_id, user_id AS act_id, epoch_ms(ts) AS evt_t, [0, 2, 2, 1, 2, 3, 5][event_id % 7 + 1] AS code, value AS x, value * 0.5::DOUBLE AS y,
+TOUCH = """touch AS (SELECT user_id, user_id AS act_id, epoch_us(ts) // 1000 AS evt_t, [0, 2, 2, 1, 2, 3, 5][event_id % 7 + 1] AS code, value AS x, value * 0.5::DOUBLE AS y,
   event_id AS source_row FROM events)"""
-RHYTHM = """rhythm AS (SELECT user_id, CAST(floor(epoch_ms(ts) / 86400000) AS BIGINT) AS session_id, event_type AS action, epoch_ms(ts) AS start_ms,
-  epoch_ms(ts) + CAST(floor(value) AS BIGINT) AS end_ms, event_id FROM events)"""
+RHYTHM = """rhythm AS (SELECT user_id, CAST(floor((epoch_us(ts) // 1000) / 86400000) AS BIGINT) AS session_id, event_type AS action, epoch_us(ts) // 1000 AS start_ms,
+  epoch_us(ts) // 1000 + CAST(floor(value) AS BIGINT) AS end_ms, event_id FROM events)"""
 WINDOWS = """windows AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS i, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 BINS = """bins AS (SELECT l_quantity AS duration, l_extendedprice AS score, CAST(l_returnflag = 'R' AS INTEGER) AS label, l_linestatus AS arm,
   CASE WHEN l_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS pool FROM lineitem)"""
