@@ -132,14 +132,15 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts and n_chars counted anew; all rows and columns stay."""
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias("_cuts"))
-    joined = docs.join(cuts, "doc_id", "left")
     schema = docs.schema
+    name = "_cuts" + "_" * max(map(len, schema.names))  # longer than any name, so it can't clash
+    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias(name))
+    joined = docs.join(cuts, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
                 if spans and text:
                     raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
                     for s in spans:
@@ -150,7 +151,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    out = joined.select(*schema.names, "_cuts").mapInArrow(run, schema)
+    out = joined.select(*schema.names, name).mapInArrow(run, schema)
     if "n_chars" in schema.names:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*schema.names)
     return out

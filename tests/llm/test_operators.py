@@ -1,0 +1,335 @@
+"""Operators against brute force, libraries and exact round trips."""
+
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import sentencepiece
+import xxhash
+from tokenizers import Tokenizer
+
+from padlens.llm import common, decontaminate, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from padlens.llm.queries import op9_media
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+def test_packing_keeps_every_id_once(docs, texts):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs.repartition(3)).collect()
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    assert pieces.keys() == texts.keys()
+    for doc, text in texts.items():
+        ids, at = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4"), 0
+        for r in sorted(pieces[doc], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    padding = 0
+    for w in windows.values():
+        at = 0
+        for r in sorted(w, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padding == 0
+
+
+def test_level_choice_is_least_sum_of_squares():
+    rng = random.Random(5)
+    p = packing.LevelPacker(16)
+    for _ in range(300):
+        s = rng.randrange(1, 16)
+        costs = {}
+        for h in range(16 - s + 1):
+            if h and not p.count[h]:
+                continue
+            c = p.count.copy()
+            if h:
+                c[h] -= 1
+            if h + s < 16:
+                c[h + s] += 1
+            costs[h] = int((c**2).sum())
+        h = p.level(s)
+        assert costs[h] == min(costs.values()) and h == max(k for k, v in costs.items() if v == costs[h])
+        p.add((0, s), np.zeros(s, np.uint32))
+
+
+@pytest.mark.parametrize("text", ["a  b", " x", "x ", "\n\n y", "<|endoftext|>", "don't  STOP\r\n\tnow", "é\u00a0 ü", "1 2  3", "\x1c\x1d a", "'s 's", "日本 語　x"])
+def test_text_ids_equal_the_tokenizer(text):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = np.frombuffer(packing.text_ids("byte_bpe_50k.json", "byte_bpe_50k.tiktoken").encode(text), "<u4").tolist()
+    assert got == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_equal_the_library(texts):
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    odd = ["".join(rng.choice("abc the é中😀\n  <s></s>0x\x00▁ing") for _ in range(rng.randrange(60))) for _ in range(500)]
+    xs = [*texts.values(), *odd, "a" * 3000, "the" * 999, " " * 77 + "x", "<s> </s> <unk> <0x0A>"]
+    assert tokencount.merger("piece_bpe_32k.model").count(xs) == [len(x) for x in lib.encode(xs, num_threads=1)]
+
+
+def _slow_fingerprint(text, width=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0
+    hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(max(1, len(words) - width + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def _union(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_groups(docs, texts):
+    fp = {i: _slow_fingerprint(t) for i, t in texts.items()}
+    want = _union(fp, [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    got = simhash.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: f"{x:016x}" for i, x in fp.items()}
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_links_in_blocks_and_chains(spark, m, monkeypatch):
+    """Large keys split into blocks, chains of links, and keys of several blocks lose nothing."""
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    monkeypatch.setattr(simhash, "blocking", lambda n, radius=4: ([(a, b - a) for a, b in zip(*(lambda e: (e, e[1:]))(np.linspace(0, 64, radius + m + 1).astype(int).tolist()))], m))
+    rng = np.random.default_rng(m)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = [int(b) for b in base]
+    for b in base[:6]:
+        x = int(b)
+        for _ in range(60):  # a chain that wanders off
+            for bit in rng.choice(64, 3, replace=False):
+                x ^= 1 << int(bit)
+            fps.append(x)
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    pairs = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(nodes).collect()]
+    assert all((a ^ b).bit_count() <= 64 for a, b in pairs)
+    assert _union(fps, pairs) == _union(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    edges = spark.createDataFrame(pairs and [(a % (1 << 63), b % (1 << 63)) for a, b in pairs] or [(0, 0)], "u long, v long")
+    ids = {x % (1 << 63) for p in pairs for x in p}
+    want = _union(ids, [(a % (1 << 63), b % (1 << 63)) for a, b in pairs])
+    assert {r["id"]: r["component"] for r in simhash.components(edges).collect()} == {k: v for k, v in want.items() if any(k in (a % (1 << 63), b % (1 << 63)) and a != b for a, b in pairs)}
+
+
+def test_contained_items(spark, docs, texts):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    word = re.compile(r"[a-z0-9_\x80-\U0010ffff]+")
+
+    def shingles(t):
+        w = word.findall(t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    own = {i: shingles(t) for i, t in texts.items()}
+    want = {}
+    for r in bench.collect():
+        s = shingles(r["text"])
+        want |= {(d, r["item_id"]): len(s & x) for d, x in own.items() if s and len(s & x) >= 0.8 * len(s)}
+    got = decontaminate.contained(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["shared"] for r in got} == want and want
+    passes = decontaminate.ITEMS_A_PASS
+    try:
+        decontaminate.ITEMS_A_PASS = 7  # many passes give the same
+        assert {(r["doc_id"], r["item_id"]): r["shared"] for r in decontaminate.contained(docs, bench).collect()} == want
+    finally:
+        decontaminate.ITEMS_A_PASS = passes
+
+
+def _prose(rng, n):
+    syllables = "an the er in tion re ou ha st ble th nd ing es".split()
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_planted_passages_are_cut(spark):
+    rng = random.Random(1)
+    passages = [_prose(rng, 55) for _ in range(60)]
+    rows, holders = [], defaultdict(list)
+    for i in range(240):
+        text = _prose(rng, rng.randrange(80, 300))
+        if i % 2:
+            k = rng.randrange(60)
+            at = rng.randrange(10, 70)
+            words = text.split(" ")
+            text = " ".join([*words[:at], passages[k], *words[at:]])
+            holders[k].append(i)
+        rows.append((i, text, len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5)
+    spans = substring.repeated_spans(docs)
+    found = {r["doc_id"] for r in spans.collect()}
+    want = {i for ids in holders.values() for i in ids[1:]}
+    assert len(found & want) >= 0.97 * len(want) and not found - want
+    left = {r["doc_id"]: r for r in substring.without_spans(docs, spans).collect()}
+    assert len(left) == 240
+    for i, text, _ in rows:
+        assert left[i]["n_chars"] == len(left[i]["text"])
+        if i not in found:
+            assert left[i]["text"] == text
+        else:
+            assert len(text) - 500 < len(left[i]["text"]) < len(text) - 60
+
+
+def test_chunks_move_with_their_text():
+    rng = random.Random(2)
+    text = _prose(rng, 3000)
+    cut = lambda t: (lambda d, o: substring.chunk_ends(d, o)[0].tolist())(*common.buffer_of([t]))
+    a, b = cut(text), cut("some new words come first " + text)
+    pieces = lambda t, e: {t[i:j] for i, j in zip([0, *e], e)}
+    shared = pieces(text, a) & pieces("some new words come first " + text, b)
+    assert len(shared) >= len(a) - 3
+    joined, offsets = common.buffer_of([text, "", text])
+    ends, _ = substring.chunk_ends(joined, offsets)
+    n = len(text) + 1
+    assert [e for e in ends.tolist() if e <= n] == [e - n - 1 for e in ends.tolist() if e > n + 1]
+
+
+def test_quality_and_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r for r in labels.collect()}
+    for module, column, of, held, least in ((quality, "quality", 3, 1, 0.97), (toxicity, "toxic", 4, 2, 0.9)):
+        rows = [r for r in module.scores(docs, labels).collect()]
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % of == held) for r in rows)
+        test = [(r["score"], known[r["doc_id"]][column]) for r in rows if r["held_out"] and r["doc_id"] in known]
+        pos, neg = [s for s, y in test if y == 1], [s for s, y in test if y == 0]
+        area = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
+        assert area > least, (column, area)
+
+
+def test_isotonic_ladder_is_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-2 * x))).astype(int)
+    ladder = toxicity.Ladder(x, y)
+    assert (np.diff(ladder.value) > 0).all() and abs(ladder(x).mean() - y.mean()) < 0.05
+
+
+def test_licence_rules(spark):
+    mit = "MIT License\n\n" + licenses.SENTENCES["mit-grant"][0] + ":\n\n" + licenses.SENTENCES["mit-notice"][0] + ".\n\n" + licenses.SENTENCES["as-is"][0] + "."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http://x"
+    rows = [(0, mit, "MIT", 1), (1, apache, "Apache-2.0", 1), (2, "Released   under the MIT LICENSE.\nfoo", "MIT", 1), (3, "a licence of life and permission", "", 0)]
+    rows += [(4, "Text. Licensed under CC BY-NC 4.0. More.\nReleased under the MIT License.", "CC-BY-NC-4.0,MIT", 2)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string, n int")).collect()}
+    for i, _, want, n in rows:
+        assert (got[i]["licenses"], got[i]["n_matches"]) == (want, n), i
+
+
+def test_media_round_trip(spark, texts):
+    rows = {r["doc_id"]: r for r in op9_media(spark, SF).collect()}
+    import hashlib
+
+    for i, t in texts.items():
+        raw = t.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert rows[i]["tail_crc32"] == zlib.crc32(payload[-32:]) and rows[i]["payload_bytes"] == len(payload)
+        stored = media.encode([payload])[0]
+        assert rows[i]["media_sha256"] == hashlib.sha256(stored).hexdigest() and rows[i]["media_bytes"] == len(stored)
+
+
+def test_progressive_files_of_another_writer(spark):
+    """Java's image library writes a progressive file with new coefficients in later scans, and reads ours."""
+    jvm = spark._jvm
+    height, width = 40, 56
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[:height, :width]
+    base = np.stack([120 + 80 * np.sin(x / 5), 100 + 90 * np.cos(y / 4), 80 + x + y], -1) + rng.normal(0, 25, (height, width, 3))
+    base = np.clip(base, 0, 255).astype(int)
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for r in range(height):
+        for c in range(width):
+            image.setRGB(c, r, int(base[r, c, 0] << 16 | base[r, c, 1] << 8 | base[r, c, 2]))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(1)
+    param.setCompressionMode(2)
+    param.setCompressionQuality(0.9)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    stream.flush()
+
+    def java(data):
+        read = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+        a = np.array(read.getRGB(0, 0, read.getWidth(), read.getHeight(), None, 0, read.getWidth())).reshape(read.getHeight(), read.getWidth())
+        return np.stack([a >> 16 & 255, a >> 8 & 255, a & 255], -1)
+
+    luma = lambda a: a.astype(float) @ [0.299, 0.587, 0.114]
+    data = bytes(out.toByteArray())
+    pixels = list(media.tensors(*media.coefficients_of([data, data])[:3]))
+    assert (pixels[0] == pixels[1]).all()
+    assert np.abs(luma(pixels[0]) - luma(java(data))).max() < 8  # java smooths the chroma
+    own = media.encode([media.padded(bytes(rng.integers(0, 256, 5000, dtype=np.uint8)))])
+    ours = list(media.tensors(*media.coefficients_of(own)[:3]))[0]
+    assert np.corrcoef(luma(ours).ravel(), luma(java(own[0])).ravel())[0, 1] > 0.95
+
+
+def _slow_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.LIST if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, None, None))
+    return host, path, best[1], best[2]
+
+
+def test_url_verdicts(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    odd = ["http://NET/", "http://net", "http://xnet/a", "http://a.example.net/en/x", "http://example.com/de/", "ftp://org/fr/?q", "x", None, "http://ex.org#/fr/", "http://É.NET/?a://b", "a\nb://c.net/\nd"]
+    rows = pages.unionByName(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
+    urls = {r["page_id"]: r["url"] for r in rows.collect()}
+    got = urlfilter.judge(rows).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, verdict = _slow_rule(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule), urls[r["page_id"]]
+        assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
+
+
+def test_mined_rules_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({rng.choice("abcdefgh") for _ in range(4)})
+        bad = "a" in tokens and "b" in tokens
+        rows.append((tokens, "block" if bad else "allow"))
+    mined = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert any(t == {"a", "b"} and label == "block" for t, label, *_ in mined)
+    for tokens, label, confidence, support in mined:
+        held = [r for r in rows if tokens <= set(r[0])]
+        right = [r for r in held if r[1] == label]
+        assert confidence == pytest.approx(len(right) / len(held)) and support == pytest.approx(len(right) / len(rows))
