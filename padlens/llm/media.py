@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,20 +85,44 @@ class Frame:
         self.grid = [(self.mcus[0] * v, self.mcus[1] * h) for h, v in self.sampling]
         self.first = np.concatenate([[0], np.cumsum([a * b for a, b in self.grid])]).tolist()
 
-    def order(self, components: tuple[int, ...]) -> tuple[np.ndarray, int]:
-        """Blocks in a scan's order, and blocks in one unit of its restart interval."""
-        if len(components) == 1:
-            c, (h, v) = components[0], self.sampling[components[0]]
-            rows = -(-(-(-self.height * v // self.v)) // 8)
-            columns = -(-(-(-self.width * h // self.h)) // 8)
-            return (self.first[c] + np.arange(rows)[:, None] * self.grid[c][1] + np.arange(columns)).ravel(), 1
+    def plan(self, components: tuple[int, ...], restart: int) -> Plan:
+        return _plan(self.height, self.width, tuple(self.sampling), components, restart)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A scan over a frame: its blocks in order, the blocks in one unit of its restart interval, the first block and the
+    number of blocks of each segment, and the component (within the scan) of each block."""
+
+    order: np.ndarray
+    unit: int
+    first: np.ndarray
+    n: np.ndarray
+    lane: np.ndarray
+    component: np.ndarray
+
+
+@lru_cache(1024)
+def _plan(height: int, width: int, sampling: tuple[tuple[int, int], ...], components: tuple[int, ...], restart: int) -> Plan:
+    frame = Frame(height, width, list(sampling))
+    if len(components) == 1:
+        c, (h, v) = components[0], sampling[components[0]]
+        rows = -(-(-(-height * v // frame.v)) // 8)
+        columns = -(-(-(-width * h // frame.h)) // 8)
+        order, unit = (frame.first[c] + np.arange(rows)[:, None] * frame.grid[c][1] + np.arange(columns)).ravel(), 1
+        per = np.zeros(1, np.int64)
+    else:
         parts = []
         for c in components:
-            h, v = self.sampling[c]
-            index = self.first[c] + np.arange(self.grid[c][0] * self.grid[c][1]).reshape(self.mcus[0], v, self.mcus[1], h)
-            parts.append(index.transpose(0, 2, 1, 3).reshape(self.mcus[0] * self.mcus[1], h * v))
+            h, v = sampling[c]
+            index = frame.first[c] + np.arange(frame.grid[c][0] * frame.grid[c][1]).reshape(frame.mcus[0], v, frame.mcus[1], h)
+            parts.append(index.transpose(0, 2, 1, 3).reshape(frame.mcus[0] * frame.mcus[1], h * v))
         joined = np.concatenate(parts, axis=1)
-        return joined.ravel(), joined.shape[1]
+        order, unit = joined.ravel(), joined.shape[1]
+        per = np.repeat(np.arange(len(components)), [p.shape[1] for p in parts])
+    step = restart * unit or len(order)
+    first = np.arange(-(-len(order) // step)) * step
+    return Plan(order, unit, first, np.minimum(step, len(order) - first), np.arange(len(order)) // step, np.tile(per, len(order) // len(per)))
 
 
 def frame_of(units: int) -> Frame:
@@ -109,27 +134,37 @@ def frame_of(units: int) -> Frame:
 def _write_bits(codes: np.ndarray, sizes: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all lanes one after the other, each filled up with ones, and the n + 1 offsets. lane: of each code, rising."""
     n = int(lane[-1]) + 1
-    bits = np.bincount(lane, sizes, n).astype(np.int64)
+    end = np.cumsum(sizes)
+    last = np.append(np.flatnonzero(lane[1:] != lane[:-1]), len(lane) - 1)  # every lane has a code
+    bits = np.diff(end[last], prepend=0)
     fill = -bits % 8
     starts = np.concatenate([[0], np.cumsum(bits + fill)])
-    end = np.cumsum(sizes)
-    before = np.concatenate([[0], np.cumsum(bits)])[:-1]
-    at = end - sizes + (starts[:-1] - before)[lane]
-    at, codes, sizes = (np.concatenate(p) for p in ((at, starts[1:] - fill), (codes, (np.uint64(1) << fill.astype(np.uint64)) - np.uint64(1)), (sizes, fill)))
-    word = at >> 5
-    wide = codes << (np.uint64(64) - (at & 31).astype(np.uint64) - sizes.astype(np.uint64)) if len(codes) else codes
-    wide[sizes == 0] = 0
+    at = end - sizes + np.repeat(starts[:-1] - (end[last] - bits), np.diff(last, prepend=-1))
     total = int(starts[-1]) // 32 + 2
-    high = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), total)  # whole numbers below 2^32: exact
-    low = np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), total)
-    out = (high + low[: len(high)]).astype(np.uint64).astype(">u4").view(np.uint8)
-    return out[: int(starts[-1]) // 8], starts // 8
+    out = np.zeros(total, np.uint64)
+    ones = (np.uint64(1) << fill.astype(np.uint64)) - np.uint64(1)
+    for place, code, size in ((at, codes, sizes), (starts[1:] - fill, ones, fill)):
+        word = place >> 5
+        wide = code << ((64 - size - (place & 31)) & 63).astype(np.uint64)  # a code of no bits is 0
+        begin = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        out[word[begin]] += np.add.reduceat(wide >> np.uint64(32), begin)
+        out[word[begin] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), begin)
+    return out.astype(">u4").view(np.uint8)[: int(starts[-1]) // 8], starts // 8
+
 
+#: Values that the tables below hold a code for.
+RANGE = 1024
 
-def _magnitude(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Size category and extra bits of each value."""
+
+def _value_codes(table: Huffman) -> tuple[np.ndarray, np.ndarray]:
+    """Code with extra bits, and length, of each value from -RANGE to RANGE, with no zeros before it."""
+    value = np.arange(-RANGE, RANGE + 1)
     size = np.frexp(np.abs(value).astype(np.float64))[1].astype(np.int64)
-    return size, np.where(value < 0, value + (np.int64(1) << size) - 1, value).astype(np.uint64)
+    extra = np.where(value < 0, value + (np.int64(1) << size) - 1, value).astype(np.uint64)
+    return table.code[size] << size.astype(np.uint64) | extra, table.size[size] + size
+
+
+_DC_CODES, _AC_CODES = _value_codes(_DC), _value_codes(_AC)
 
 
 def _header(frame: Frame, payload: int) -> bytes:
@@ -160,54 +195,48 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         frames.append(frame_of(len(p) // UNIT))
         frames[-1].base = base
         base += frames[-1].first[-1]
-    coefficients = np.zeros((base, 64), np.int64)
+    coefficients = np.zeros((base, 64), np.int32)
     for p, f in zip(payloads, frames):
-        where, _ = f.order((0, 1, 2))
+        where = f.plan((0, 1, 2), RESTART).order
         data = np.frombuffer(p, np.uint8).reshape(-1, USED)
-        coefficients[f.base + where[: len(data)], :USED] = data.astype(np.int64) + BIAS
+        coefficients[f.base + where[: len(data)], :USED] = data
+        coefficients[f.base + where[: len(data)], :USED] += BIAS
     written: list[list[bytes]] = [[_header(f, len(p))] for p, f in zip(payloads, frames)]
-    orders = {f.base: {c: f.order(c) for c in {s[0] for s in SCRIPT}} for f in frames}
     for scan in SCRIPT:
         components, ss, se, ah, al = scan
-        block, lane, lanes, mcu = [], [], [0], []
-        for f in frames:
-            order, unit = orders[f.base][components]
-            block.append(order + f.base)
-            lane.append(np.arange(len(order)) // (unit * RESTART) + lanes[-1])
-            mcu.append(np.tile(np.repeat(np.arange(3), (4, 1, 1)), len(order) // 6) if unit > 1 else np.zeros(0, np.int64))
-            lanes.append(lanes[-1] + -(-len(order) // (unit * RESTART)))
-        block, lane = np.concatenate(block), np.concatenate(lane)
+        plans = [f.plan(components, RESTART) for f in frames]
+        lanes = np.concatenate([[0], np.cumsum([len(x.n) for x in plans])]).tolist()
+        block = np.concatenate([x.order + f.base for x, f in zip(plans, frames)])
+        lane = np.concatenate([x.lane + k for x, k in zip(plans, lanes)])
         if ss == 0 and not ah:  # differences of the shifted DC coefficients, by component within a lane
-            component, value = np.concatenate(mcu), coefficients[block, 0] >> al
+            component, value = np.concatenate([x.component for x in plans]), coefficients[block, 0] >> al
             by = np.argsort(component, kind="stable")
             key, sorted_ = lane[by] * 4 + component[by], value[by]
             previous = np.concatenate([[0], sorted_[:-1]])
             previous[np.concatenate([[True], key[1:] != key[:-1]])] = 0
             difference = np.empty(len(value), np.int64)
             difference[by] = sorted_ - previous
-            size, extra = _magnitude(difference)
-            codes, sizes, of = _DC.code[size] << size.astype(np.uint64) | extra, _DC.size[size] + size, lane
+            codes, sizes, of = _DC_CODES[0][difference + RANGE], _DC_CODES[1][difference + RANGE], lane
         elif ss == 0:
             codes, sizes, of = (coefficients[block, 0] >> al & 1).astype(np.uint64), np.ones(len(block), np.int64), lane
         elif not ah:  # a block is whole or empty, and an empty one has a band end of its own
             part = coefficients[block, ss : se + 1] >> al
-            whole = part[:, 0] != 0
-            size, extra = _magnitude(part)
-            codes = _AC.code[size] << size.astype(np.uint64) | extra
-            sizes = _AC.size[size] + size
-            codes[~whole] = 0
-            sizes[~whole] = 0
-            codes[~whole, 0], sizes[~whole, 0] = _AC.code[0], _AC.size[0]
+            empty = part[:, 0] == 0
+            part += RANGE
+            codes, sizes = _AC_CODES[0][part], _AC_CODES[1][part]
+            codes[empty] = 0
+            sizes[empty] = 0
+            codes[empty, 0], sizes[empty, 0] = _AC.code[0], _AC.size[0]
             codes, sizes, of = codes.ravel(), sizes.ravel(), np.repeat(lane, se - ss + 1)
         else:  # no new coefficient: one band end for all blocks of a lane, then a bit for each coefficient
             part = coefficients[block, ss : se + 1]
-            count = np.bincount(lane, minlength=lanes[-1])
+            count = np.concatenate([x.n for x in plans])
             run = np.frexp(count.astype(np.float64))[1] - 1
             head = _AC.code[run << 4] << run.astype(np.uint64) | (count - (1 << run)).astype(np.uint64)
             first = np.concatenate([[True], lane[1:] != lane[:-1]])
             codes = np.zeros((len(block), se - ss + 2), np.uint64)
             sizes = np.zeros((len(block), se - ss + 2), np.int64)
-            codes[:, 1:], sizes[:, 1:] = (part >> al & 1).astype(np.uint64), part != 0
+            codes[:, 1:], sizes[:, 1:] = part >> al & 1, part != 0
             codes[first, 0], sizes[first, 0] = head, _AC.size[run << 4] + run
             codes, sizes, of = codes.ravel(), sizes.ravel(), np.repeat(lane, se - ss + 2)
         data, starts = _write_bits(codes, sizes, of)
@@ -224,21 +253,39 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Lanes:
-    """Segments of one kind of scan: where their bits begin, their blocks, band and tables."""
+    """Segments of one kind of scan: where their bits begin, their blocks, band and tables; lists by scan, joined once."""
 
     bit: list = field(default_factory=list)
-    at: list = field(default_factory=list)  # first block within `order`
+    at: list = field(default_factory=list)
+    first: list = field(default_factory=list)  # first block of each segment within the scan
     n: list = field(default_factory=list)
     band: list = field(default_factory=list)  # ss, se, al
     table: list = field(default_factory=list)
     order: list = field(default_factory=list)
+    base: list = field(default_factory=list)
     component: list = field(default_factory=list)
     blocks: int = 0
 
+    def join(self, clean: np.ndarray, index: np.ndarray) -> None:
+        """From lists by scan to arrays by segment (order, component and a DC table: by block)."""
+        segments, sizes = [len(x) for x in self.n], [len(x) for x in self.order]
+        self.bit = clean[np.concatenate(self.bit)] * 8
+        self.at = np.concatenate(self.first) + np.repeat(self.at, segments)
+        self.n = np.concatenate(self.n)
+        self.band = np.repeat(np.array(self.band), segments, axis=0)
+        self.order = np.concatenate(self.order) + np.repeat(self.base, sizes)
+        if self.component:
+            wide = np.zeros((len(sizes), 4), np.int64)
+            for row, t in zip(wide, self.table):
+                row[: len(t)] = index[t]
+            self.component = np.concatenate(self.component)
+            self.table = wide[np.repeat(np.arange(len(sizes)), sizes), self.component]
+        else:
+            self.table = np.repeat(index[[t[0] for t in self.table]], segments)
+
 
-def _parse(data: bytes, base: int, clean: np.ndarray, marks: np.ndarray, out: dict, tables: list[np.ndarray], start: int) -> tuple[Frame, np.ndarray, int]:
-    """Headers of one file; its segments go to `out` by (turn, kind). marks: markers within the batch; clean: offsets
-    without stuffed bytes. Gives the frame, the quantisation table by component, and the payload's length."""
+def _parse(data: bytes, base: int, marks: np.ndarray, out: dict, tables: list[np.ndarray], start: int) -> tuple[Frame, np.ndarray, int]:
+    """Headers of one file; its segments go to `out` by (turn, kind). marks: markers within the batch. Gives the frame, the quantisation table by component, and the payload's length."""
     at, restart, length, frame = 2, 0, -1, None
     quant: dict[int, np.ndarray] = {}
     huffman: dict[int, int] = {}
@@ -278,30 +325,30 @@ def _parse(data: bytes, base: int, clean: np.ndarray, marks: np.ndarray, out: di
             components = tuple(ids.index(body[1 + 2 * i]) for i in range(n))
             which = [body[2 + 2 * i] for i in range(n)]
             ss, se, ah, al = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
-            order, unit = frame.order(components)
-            step = restart * unit or len(order)
-            lanes = -(-len(order) // step)
-            k = np.searchsorted(marks, start + at)
+            plan = frame.plan(components, restart)
+            lanes = len(plan.n)
+            k = int(np.searchsorted(marks, start + at))
             cuts = marks[k : k + lanes]
-            begin = np.concatenate([[start + at], cuts[: lanes - 1] + 2])
+            begin = np.empty(lanes, np.int64)
+            begin[0] = start + at
+            begin[1:] = cuts[:-1] + 2
             kind = ("dc" if ss == 0 else "ac") + ("+" if ah else "")
             turn = 1 + max((t for t, c, a, b in done if c & set(components) and a <= se and b >= ss), default=-1)
             done.append((turn, set(components), ss, se))
             to = out.setdefault((turn, kind), Lanes())
-            to.bit.append(clean[begin] * 8)
-            first = np.arange(lanes) * step
-            to.at.append(first + to.blocks)
-            to.n.append(np.minimum(step, len(order) - first))
-            to.band.append(np.tile([ss, se, al], (lanes, 1)))
+            to.bit.append(begin)
+            to.at.append(to.blocks)
+            to.n.append(plan.n)
+            to.first.append(plan.first)
+            to.band.append((ss, se, al))
+            to.order.append(plan.order)
+            to.base.append(base)
+            to.blocks += len(plan.order)
             if ss == 0:
-                per = np.concatenate([np.full((1 if n == 1 else frame.sampling[c][0] * frame.sampling[c][1]), i) for i, c in enumerate(components)])
-                to.component.append(np.tile(per, len(order) // len(per)))
-                table = np.array([huffman.get(w >> 4, 0) for w in which])
-                to.table.append(table[to.component[-1]])
+                to.component.append(plan.component)
+                to.table.append([huffman.get(w >> 4, 0) for w in which])
             else:
-                to.table.append(np.full(lanes, huffman.get(0x10 | which[0] & 15, 0)))
-            to.order.append(order + base)
-            to.blocks += len(order)
+                to.table.append([huffman.get(0x10 | which[0] & 15, 0)])
             at = int(cuts[lanes - 1]) - start
     return frame, np.stack([quant[q] for q in of]), length
 
@@ -334,9 +381,8 @@ def _top(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _dc(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray) -> None:
-    bit, at, n = np.concatenate(lanes.bit), np.concatenate(lanes.at), np.concatenate(lanes.n)
-    order, component, table = (np.concatenate(x) for x in (lanes.order, lanes.component, lanes.table))
-    al = np.concatenate(lanes.band)[:, 2]
+    bit, at, n = lanes.bit, lanes.at, lanes.n
+    order, component, table, al = lanes.order, lanes.component, lanes.table, lanes.band[:, 2]
     difference = np.zeros(len(order), np.int64)
     live = np.arange(len(bit))
     for k in range(int(n.max())):
@@ -357,8 +403,8 @@ def _dc(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray)
 
 
 def _dc_more(lanes: Lanes, read: Reader, coefficients: np.ndarray) -> None:
-    bit, n, order = np.concatenate(lanes.bit), np.concatenate(lanes.n), np.concatenate(lanes.order)
-    al = np.repeat(np.concatenate(lanes.band)[:, 2], n)
+    bit, n, order = lanes.bit, lanes.n, lanes.order
+    al = np.repeat(lanes.band[:, 2], n)
     within = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
     x = read.at(np.repeat(bit, n) + within) >> np.uint64(63)
     coefficients[order, 0] |= (x.astype(np.int64) << al).astype(coefficients.dtype)
@@ -366,9 +412,8 @@ def _dc_more(lanes: Lanes, read: Reader, coefficients: np.ndarray) -> None:
 
 def _ac(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray) -> None:
     """First scan of a band: one symbol of every lane at a time."""
-    order = np.concatenate(lanes.order)
-    bit, at, n, table = (np.concatenate(x) for x in (lanes.bit, lanes.at, lanes.n, lanes.table))
-    ss, se, al = np.concatenate(lanes.band).T
+    order, bit, at, n, table = lanes.order, lanes.bit, lanes.at, lanes.n, lanes.table
+    ss, se, al = lanes.band.T
     end, k = at + n, ss.copy()
     flat = coefficients.reshape(-1)
     one = table[0] if (table == table[0]).all() else None
@@ -408,9 +453,8 @@ def _ac_more(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndar
     A lane reads a symbol, then goes on by one coefficient at a time to the place of the new one; where the band
     ends for a run of blocks, all their bits are read at once.
     """
-    order = np.concatenate(lanes.order)
-    bit, at, n, table = (np.concatenate(x) for x in (lanes.bit, lanes.at, lanes.n, lanes.table))
-    ss, se, al = np.concatenate(lanes.band).T
+    order, bit, at, n, table = lanes.order, lanes.bit, lanes.at, lanes.n, lanes.table
+    ss, se, al = lanes.band.T
     end, k = at + n, ss.copy()
     flat = coefficients.reshape(-1)
 
@@ -485,7 +529,7 @@ def coefficients_of(files: list[bytes]) -> tuple[np.ndarray, list[Frame], list[n
     tables: list[np.ndarray] = []
     frames, quants, lengths, base, start = [], [], [], 0, 0
     for f in files:
-        frame, quant, length = _parse(f, base, clean, marks, turns, tables, start)
+        frame, quant, length = _parse(f, base, marks, turns, tables, start)
         frames.append(frame)
         quants.append(quant)
         lengths.append(length)
@@ -496,7 +540,7 @@ def coefficients_of(files: list[bytes]) -> tuple[np.ndarray, list[Frame], list[n
     coefficients = np.zeros((base, 64), np.int32)
     for turn, kind in sorted(turns):
         lanes = turns[turn, kind]
-        lanes.table = [index[t] for t in lanes.table]
+        lanes.join(clean, index)
         if kind == "dc":
             _dc(lanes, read, look, coefficients)
         elif kind == "dc+":
@@ -518,31 +562,46 @@ def _inverse() -> np.ndarray:
 _INVERSE = _inverse()
 
 
-def tensors(coefficients: np.ndarray, frames: list[Frame], quants: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Full-resolution RGB of each image, height x width x 3: inverse transform, chroma repeated to full size, conversion."""
-    for frame, quant in zip(frames, quants):
+def tensors(coefficients: np.ndarray, frames: list[Frame], quants: list[np.ndarray]) -> list[np.ndarray]:
+    """Full-resolution RGB of each image, height x width x 3: inverse transform, chroma repeated to full size, conversion.
+
+    Images of one shape and table go through together.
+    """
+    alike: dict[tuple, list[int]] = {}
+    for i, (f, q) in enumerate(zip(frames, quants)):
+        alike.setdefault((f.height, f.width, tuple(f.sampling), q.tobytes()), []).append(i)
+    out: list[np.ndarray] = [np.zeros(0)] * len(frames)
+    for members in alike.values():
+        frame, quant, m = frames[members[0]], quants[members[0]], len(members)
+        base = np.array([frames[i].base for i in members])
         planes = []
         for c, ((rows, columns), (h, v)) in enumerate(zip(frame.grid, frame.sampling)):
-            a = frame.base + frame.first[c]
-            pixels = (coefficients[a : a + rows * columns].astype(np.float32) * quant[c]) @ _INVERSE
-            plane = pixels.reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * columns) + np.float32(128)
-            plane = np.clip(plane, 0, 255)
-            planes.append(plane.repeat(frame.v // v, 0).repeat(frame.h // h, 1)[: frame.height, : frame.width])
+            block = (base + frame.first[c])[:, None] + np.arange(rows * columns)
+            pixels = (coefficients[block.ravel()].astype(np.float32) * quant[c]) @ _INVERSE
+            pixels += np.float32(128)
+            np.clip(pixels, 0, 255, out=pixels)
+            plane = pixels.reshape(m, rows, columns, 8, 8).transpose(0, 1, 3, 2, 4)
+            down, across = frame.v // v, frame.h // h
+            if down > 1 or across > 1:
+                plane = np.broadcast_to(plane[:, :, :, None, :, :, None], (m, rows, 8, down, columns, 8, across))
+            planes.append(plane.reshape(m, 8 * rows * down, 8 * columns * across)[:, : frame.height, : frame.width])
+        rgb = np.empty((m, frame.height, frame.width, 3), np.uint8)
         if len(planes) == 1:
-            planes *= 3
-            yield np.clip(np.rint(np.stack(planes, -1)), 0, 255).astype(np.uint8)
-            continue
-        y, b, r = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
-        out = np.empty((*y.shape, 3), np.uint8)
-        # The conversion of the file interchange format.
-        for k, x in enumerate((y + np.float32(1.402) * r, y - np.float32(0.344136) * b - np.float32(0.714136) * r, y + np.float32(1.772) * b)):
-            out[..., k] = np.rint(np.clip(x, 0, 255))
-        yield out
+            rgb[...] = np.rint(planes[0])[..., None]
+        else:
+            y, b, r = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
+            # The conversion of the file interchange format.
+            for k, x in enumerate((y + np.float32(1.402) * r, y - np.float32(0.344136) * b - np.float32(0.714136) * r, y + np.float32(1.772) * b)):
+                np.clip(x, 0, 255, out=x)
+                rgb[..., k] = np.rint(x, out=x)
+        for i, image in zip(members, rgb):
+            out[i] = image
+    return out
 
 
 def payload_of(coefficients: np.ndarray, frame: Frame, length: int) -> bytes:
     """The payload that encode() stored."""
-    where, _ = frame.order((0, 1, 2))
+    where = frame.plan((0, 1, 2), RESTART).order
     part = coefficients[frame.base + where[: length // USED], :USED] - BIAS
     return part.astype(np.uint8).tobytes()
 
