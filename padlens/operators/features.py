@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation, null where one side is flat."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def coalesced(points: DataFrame, key: list[str]) -> DataFrame:
     """of a run of equal times the last row stays."""
     after = F.lead("t_ms").over(Window.partitionBy(*key).orderBy("t_ms", "source_row"))
@@ -21,7 +26,7 @@ def primitives(points: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("accel", (F.col("speed") - F.lag("speed").over(order)) / F.col("dt"))
 
 
-def _p(value: str, level: float) -> F.Column:
+def _p(value: str, level: float) -> Column:
     return F.coalesce(F.percentile(value, F.lit(level)), F.lit(0.0))
 
 
@@ -120,7 +125,7 @@ def kinematics(points: DataFrame, key: list[str]) -> DataFrame:
         zero(F.avg("acc")).alias("mean_accel"),
         zero(F.max("acc")).alias("max_accel"),
         _p("dt", 0.5).alias("median_dt"),
-        zero(F.stddev_pop("dt") / F.avg("dt")).alias("dt_cv"),
+        zero(F.try_divide(F.stddev_pop("dt"), F.avg("dt"))).alias("dt_cv"),
         F.hypot(F.max_by("x", "t_ms") - F.min_by("x", "t_ms"), F.max_by("y", "t_ms") - F.min_by("y", "t_ms")).alias("displacement"),
     )
     return out.withColumn("efficiency", F.when(F.col("path") > 1e-12, F.col("displacement") / F.col("path")).otherwise(1.0))
@@ -145,7 +150,7 @@ def lag_one_correlation(windows: DataFrame) -> DataFrame:
     """correlation of each window with itself one step back, null where it is flat; the median over windows by label."""
     order = Window.partitionBy("vec_id").orderBy("i")
     rows = windows.withColumn("back", F.lag("v").over(order)).filter("back is not null")
-    each = rows.groupBy("label", "vec_id").agg(F.corr("v", "back").alias("r"), F.stddev_pop("v").alias("s")).filter("s > 1e-9")
+    each = rows.groupBy("label", "vec_id").agg(correlation("v", "back").alias("r"), F.stddev_pop("v").alias("s")).filter("s > 1e-9")
     return each.groupBy("label").agg(F.percentile("r", F.lit(0.5)).alias("r50"), F.count("*").alias("n"))
 
 

@@ -90,8 +90,8 @@ def curve_at_scores(scores: DataFrame, cell: list[str]) -> DataFrame:
     return cum.select(
         *cell,
         "score",
-        ((F.col("cum_fake") - F.col("fake")) / F.col("n_fake")).alias("fa"),
-        ((F.col("n_real") - F.col("cum_real") + F.col("real")) / F.col("n_real")).alias("frr"),
+        F.try_divide(F.col("cum_fake") - F.col("fake"), F.col("n_fake")).alias("fa"),
+        F.try_divide(F.col("n_real") - F.col("cum_real") + F.col("real"), F.col("n_real")).alias("frr"),
     )
 
 
@@ -161,7 +161,7 @@ def ks(scores: DataFrame, cell: list[str]) -> DataFrame:
     counts = score_counts(scores, cell)
     whole = counts.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
     cum = running_totals(counts, cell, "score", ["real", "fake"]).join(whole, cell)
-    return cum.groupBy(*cell).agg(F.max(F.abs(F.col("cum_real") / F.col("n_real") - F.col("cum_fake") / F.col("n_fake"))).alias("ks"))
+    return cum.groupBy(*cell).agg(F.max(F.abs(F.try_divide("cum_real", "n_real") - F.try_divide("cum_fake", "n_fake"))).alias("ks"))
 
 
 LADDER = [i / 10 for i in range(11)]
@@ -186,7 +186,7 @@ def real_fake_comparison(rows: DataFrame, by: list[str], value: str) -> DataFram
         *by,
         "outside",
         (F.abs(F.col("f")[0] - F.col("r")[2]) / F.greatest(F.col("r")[3] - F.col("r")[1], F.lit(1e-12))).alias("distance"),
-        (F.col("f")[1] / F.col("r")[4]).alias("ratio99"),
+        F.try_divide(F.col("f")[1], F.col("r")[4]).alias("ratio99"),
     )
 
 

@@ -74,7 +74,7 @@ def weighted_auc(scores: DataFrame, drawn: DataFrame, cell: list[str]) -> DataFr
     by_score = counts.groupBy(*cell, "rep", "score").agg(F.sum(F.when(F.col("label") == 0, w).otherwise(0)).alias("real"), F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("fake"))
     cum = running_totals(by_score, [*cell, "rep"], "score", ["real"])
     wins = F.sum(F.col("fake") * (F.col("cum_real") - F.col("real") / 2))
-    return cum.groupBy(*cell, "rep").agg((wins / (F.sum("real") * F.sum("fake"))).alias("auc"))
+    return cum.groupBy(*cell, "rep").agg(F.try_divide(wins, F.sum("real") * F.sum("fake")).alias("auc"))
 
 
 def weighted_eer(scores: DataFrame, drawn: DataFrame, cell: list[str]) -> DataFrame:
@@ -85,8 +85,8 @@ def weighted_eer(scores: DataFrame, drawn: DataFrame, cell: list[str]) -> DataFr
     by_score = counts.groupBy(*key, "score").agg(F.sum(F.when(F.col("label") == 0, w).otherwise(0)).alias("real"), F.sum(F.when(F.col("label") == 1, w).otherwise(0)).alias("fake"))
     whole = by_score.groupBy(*key).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
     cum = running_totals(by_score, key, "score", ["real", "fake"]).join(whole, key)
-    fa = (F.col("cum_fake") - F.col("fake")) / F.col("n_fake")
-    frr = (F.col("n_real") - F.col("cum_real") + F.col("real")) / F.col("n_real")
+    fa = F.try_divide(F.col("cum_fake") - F.col("fake"), F.col("n_fake"))
+    frr = F.try_divide(F.col("n_real") - F.col("cum_real") + F.col("real"), F.col("n_real"))
     best = cum.groupBy(*key).agg(F.min(F.struct(F.abs(fa - frr).alias("gap"), F.col("score"), ((fa + frr) / 2).alias("eer"))).alias("b"))
     return best.select(*key, F.col("b.eer").alias("eer"))
 

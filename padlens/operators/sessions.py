@@ -117,8 +117,8 @@ def roc(stats: DataFrame, value: str) -> DataFrame:
     cum = running_totals(counts, [], value, ["real", "fake"]).crossJoin(F.broadcast(whole))
     at = cum.select(
         F.col(value).alias("v"),
-        ((F.col("n_fake") - F.col("cum_fake") + F.col("fake")) / F.col("n_fake")).alias("caught"),
-        ((F.col("n_real") - F.col("cum_real") + F.col("real")) / F.col("n_real")).alias("false_alarm"),
+        F.try_divide(F.col("n_fake") - F.col("cum_fake") + F.col("fake"), F.col("n_fake")).alias("caught"),
+        F.try_divide(F.col("n_real") - F.col("cum_real") + F.col("real"), F.col("n_real")).alias("false_alarm"),
     )
     return at.unionByName(whole.select(F.lit(float("inf")).alias("v"), F.lit(0.0).alias("caught"), F.lit(0.0).alias("false_alarm")))
 
@@ -133,7 +133,7 @@ def count_rule(stats: DataFrame, most: int = 10) -> DataFrame:
     ks = stats.sparkSession.range(1, most + 1).select(F.col("id").cast("int").alias("k"))
     by_count = stats.groupBy("label", "s1_count").agg(F.count("*").alias("c"))
     flagged = by_count.crossJoin(F.broadcast(ks)).withColumn("f", F.when(F.col("s1_count") >= F.col("k"), F.col("c")).otherwise(0))
-    share = lambda label: F.sum(F.when(F.col("label") == label, F.col("f"))) / F.sum(F.when(F.col("label") == label, F.col("c")))
+    share = lambda label: F.try_divide(F.sum(F.when(F.col("label") == label, F.col("f"))), F.sum(F.when(F.col("label") == label, F.col("c"))))
     return flagged.groupBy("k").agg(share(0).alias("false_alarm"), share(1).alias("caught"))
 
 
@@ -161,7 +161,7 @@ def user_spread(flags: DataFrame, per_day: float = 6.0) -> DataFrame:
     users = flags.groupBy("user_id").agg(F.avg("flag").alias("r"), F.sum("flag").alias("s"), F.count("*").alias("n"))
     return users.agg(
         F.min("r").alias("low"), F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.9)).alias("p90"), F.max("r").alias("high"),
-        (F.sum("s") / F.sum("n")).alias("pooled"), (F.sum("n") / F.sum("s") / per_day).alias("days_between"),
+        (F.sum("s") / F.sum("n")).alias("pooled"), F.try_divide(F.sum("n"), F.sum("s") * per_day).alias("days_between"),
     )
 
 
@@ -170,7 +170,7 @@ def beta_binomial(flags: DataFrame) -> DataFrame:
     users = flags.groupBy("user_id").agg(F.sum("flag").alias("s"), F.count("*").alias("n")).withColumn("r", F.col("s") / F.col("n"))
     m = users.agg((F.sum("s") / F.sum("n")).alias("mean"), F.var_pop("r").alias("var"), F.avg(1 / F.col("n")).alias("inv"))
     base = F.col("mean") * (1 - F.col("mean"))
-    rho = F.least(F.greatest((F.col("var") - base * F.col("inv")) / (base * (1 - F.col("inv"))), F.lit(1e-6)), F.lit(0.999))
+    rho = F.least(F.greatest(F.try_divide(F.col("var") - base * F.col("inv"), base * (1 - F.col("inv"))), F.lit(1e-6)), F.lit(0.999))
     return m.withColumn("rho", rho).select("mean", "rho", (F.col("mean") * (1 / F.col("rho") - 1)).alias("alpha"), ((1 - F.col("mean")) * (1 / F.col("rho") - 1)).alias("beta"))
 
 
