@@ -16,7 +16,8 @@ WIDTH, THRESHOLD = 5, 0.8
 #: Hash functions of a signature. An item at the threshold shares each with the window around it with a chance of
 #: 0.19 or more, so all miss with a chance of 0.81^128, about 2e-12.
 PERMUTATIONS = 128
-#: Items searched in one pass over the documents; more items take more passes. Bounds what is sent to a task.
+#: Items searched in one pass over the documents; more items take more passes. Bounds what is sent to a task: 2 KB for an
+#: item's least values and 16 bytes for each of its shingles, so about 60 MB for items of 60 words.
 ITEMS_A_PASS = 20_000
 
 _WORD = np.zeros(256, bool)
@@ -64,9 +65,16 @@ def shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return whole, at
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """The least value of a set under each hash function."""
-    return mix(values[None, :] ^ _SEEDS[:, None]).min(1)
+def least_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Under each hash function the place of the shingle with the least value, and that value; in parts of a few MB."""
+    step = max(1, (1 << 20) // max(len(values), 1))
+    place = np.empty(PERMUTATIONS, np.int64)
+    least = np.empty(PERMUTATIONS, np.uint64)
+    for a in range(0, PERMUTATIONS, step):
+        hashed = mix(values[None, :] ^ _SEEDS[a : a + step, None])
+        place[a : a + step] = hashed.argmin(1)
+        least[a : a + step] = hashed[np.arange(len(hashed)), place[a : a + step]]
+    return place, least
 
 
 @dataclass
@@ -76,7 +84,7 @@ class Items:
     ids: np.ndarray
     sets: list[np.ndarray]
     bounds: list[int]  # of the classes
-    tables: list[dict[tuple[int, int], list[int]]]  # of each class: (function, least value) to items
+    tables: list[tuple[np.ndarray, np.ndarray]]  # of each class: least values in order, and the item of each
     leads: np.ndarray  # all shingles that are least in an item under some function
 
 
@@ -86,15 +94,17 @@ def index(ids: list[int], texts: list[str], width: int = WIDTH) -> Items:
     keep = [i for i, s in enumerate(sets) if len(s)]
     bound = [1 << (len(s) - 1).bit_length() for s in sets]
     bounds = sorted({bound[i] for i in keep})
-    tables: list[dict] = [{} for _ in bounds]
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in bounds]
     leads = [np.zeros(0, np.uint64)]
     for i in keep:
-        hashed = mix(sets[i][None, :] ^ _SEEDS[:, None])
-        least = hashed.argmin(1)
-        leads.append(sets[i][np.unique(least)])
-        table = tables[bounds.index(bound[i])]
-        for k, j in enumerate(least.tolist()):
-            table.setdefault((k, int(hashed[k, j])), []).append(i)
+        place, least = least_places(sets[i])
+        leads.append(sets[i][np.unique(place)])
+        found[bounds.index(bound[i])].append((least, np.full(PERMUTATIONS, i)))
+    tables = []
+    for rows in found:
+        least, item = (np.concatenate(x) for x in zip(*rows))
+        by = np.argsort(least, kind="stable")
+        tables.append((least[by], item[by]))
     return Items(np.array(ids, np.int64), sets, bounds, tables, np.unique(np.concatenate(leads)))
 
 
@@ -122,12 +132,12 @@ def search(items: Items, values: np.ndarray, at: np.ndarray, bits: np.ndarray, t
         own = values[at[doc] : at[doc + 1]]
         where = hits[docs == doc] - at[doc]
         found: set[int] = set()
-        for bound, table in zip(items.bounds, items.tables):
+        for bound, (keys, item) in zip(items.bounds, items.tables):
             step = np.unique(where // bound)
             for w in np.unique(np.concatenate([step, np.maximum(step - 1, 0)])).tolist():
-                least = signature(own[w * bound : (w + 2) * bound])
-                for pair in enumerate(least.tolist()):
-                    found.update(table.get(pair, ()))
+                _, least = least_places(own[w * bound : (w + 2) * bound])
+                for a, b in zip(np.searchsorted(keys, least), np.searchsorted(keys, least, side="right")):
+                    found.update(item[a:b].tolist())
         if found:
             whole = np.unique(own)
             for i in sorted(found):
