@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -85,15 +86,21 @@ def learn_lexicon(known: DataFrame, most: int = ENTRIES) -> dict[str, float]:
     """Log-odds of the words and word starts that mark toxic rows of known(text, y); the heaviest `most` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [(e, y) for t, y in zip(texts_of(batch), batch.column("y").to_pylist()) for e in entries_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["entry", "y"])
+        for batch in slices(batches, 1 << 20):
+            counts = Counter(), Counter()  # documents of label 0 and 1 that hold an entry
+            for t, y in zip(texts_of(batch), batch.column("y").to_pylist()):
+                counts[y > 0].update(entries_of(t))
+            for y, found in enumerate(counts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.string()), pa.array(np.full(len(found), y, np.int32)), pa.array(list(found.values()), pa.int64())], ["entry", "y", "c"]
+                )
 
     total = known.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).first()
     bad, good = total["bad"] or 0, total["good"] or 0
     if not bad or not good:
         return {}
-    counts = known.select("text", "y").mapInArrow(run, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    each = [F.sum(F.when(F.col("y") == y, F.col("c")).otherwise(0)).alias(name) for y, name in ((1, "a"), (0, "b"))]
+    counts = known.select("text", "y").mapInArrow(run, "entry string, y int, c long").groupBy("entry").agg(*each)
     odds = F.log(((F.col("a") + 0.5) / (bad + 1)) / ((F.col("b") + 0.5) / (good + 1)))
     chance = (F.col("a") + F.col("b")) * (bad / (bad + good))
     rows = counts.filter((F.col("a") >= SUPPORT) & (F.col("a") - chance >= SIGMAS * F.sqrt(chance))).withColumn("w", odds)
