@@ -1,3 +1,10 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_SHINGLES = """list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"""
+_WORDS = r"regexp_extract_all(lower(text), '[a-z0-9_\x{80}-\x{10FFFF}]+')"
+
+ORACLES: dict[str, str] = {
+    "op7_decontamination": f"""WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark), i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM iw), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM dw)
+SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS item_shingles, count(*)::DOUBLE / any_value(n) AS containment FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n)""",
+}
