@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from padlens.llm.common import buffer_of, mix, slices, staged, texts_of
 
 #: Words on either side that a cut's hash must exceed, the longest chunk in words, and the least repeated run in words.
-REACH, MOST_WORDS, LEAST_WORDS = 4, 64, 12
+REACH, MOST_WORDS, LEAST_WORDS = 4, 32, 12
 #: Bytes that a cut must follow at least within one long word.
 MOST_BYTES = 4096
 
@@ -33,8 +33,8 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     """End offsets of all chunks, and the number of words in each. data: texts that each end in a line feed.
 
     A chunk ends after the white space that ends a word, if the gear hash there is the greatest among those of
-    REACH words on either side: a rule that sees only nearby bytes, so cuts move with their text. Where no hash
-    stands out for long (a repeated word), a chunk ends after MOST_WORDS words, counted from the last cut.
+    REACH words on either side, or if a word begins to repeat there: rules that see only nearby bytes, so cuts move
+    with their text. Where nothing stands out for long, a chunk ends after MOST_WORDS words, counted from the last cut.
     """
     gap = _SPACE[data]
     last = gap.copy()
@@ -61,6 +61,15 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     for k in range(1, REACH + 1):
         cut[k:] &= h[k:] > h[:-k]
         cut[:-k] &= h[:-k] > h[k:]
+    # The start of a repeated word: the hash is new here and stays the same for the next REACH words.
+    same = np.zeros(n, bool)
+    same[:-1] = (h[1:] == h[:-1]) & (h[1:] >= 0) & (doc[1:] == doc[:-1])
+    steady = same.copy()
+    for k in range(1, REACH):
+        steady[:-k] &= same[k:]
+    steady[-REACH:] = False
+    steady[1:] &= ~same[:-1]
+    cut |= steady & (h >= 0)
     cut[final] = True
     ends = np.flatnonzero(cut)
     words = np.diff(ends, prepend=-1)
