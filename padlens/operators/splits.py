@@ -52,12 +52,20 @@ def two_folds(rows: DataFrame, parity: bool = False) -> DataFrame:
 
 def mirrored_draw(genuine: DataFrame, fake: DataFrame, replicates: int) -> DataFrame:
     """For each genuine session and replicate, as many fakes of the same user and action as it has events, without
-    repeats within a session. Ranks by xxhash64 stand for the random generator."""
+    repeats within a session (all of them if there are fewer).
+
+    Each replicate puts a user's fakes in an order by hash; a session takes neighbours in it from a place of its own, so
+    the work is the number of fakes and of drawn rows, never sessions times fakes. Hashes stand for the random generator.
+    """
+    key = ["rep", "user_id", "action"]
     rep = genuine.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    need = genuine.groupBy("user_id", "session_id", "action").agg(F.count("*").alias("need")).crossJoin(F.broadcast(rep))
-    drawn = need.join(fake.select("user_id", "action", F.col("event_id").alias("fake_id")), ["user_id", "action"])
-    order = Window.partitionBy("rep", "user_id", "session_id", "action").orderBy(F.xxhash64("rep", "session_id", "action", "fake_id"), "fake_id")
-    return drawn.withColumn("slot", F.row_number().over(order)).filter("slot <= need").drop("need")
+    order = Window.partitionBy(*key).orderBy(F.xxhash64("rep", "fake_id"), "fake_id")
+    pool = fake.select("user_id", "action", F.col("event_id").alias("fake_id")).crossJoin(F.broadcast(rep)).withColumn("rank", F.row_number().over(order) - 1)
+    size = fake.groupBy("user_id", "action").agg(F.count("*").alias("m"))
+    need = genuine.groupBy("user_id", "session_id", "action").agg(F.count("*").alias("need")).join(size, ["user_id", "action"]).crossJoin(F.broadcast(rep))
+    slots = need.withColumn("slot", F.explode(F.sequence(F.lit(1), F.least("need", "m").cast("int"))))
+    place = F.pmod(F.xxhash64("rep", "session_id", "action") % F.lit(1 << 40) + F.col("slot"), F.col("m")).cast("int")
+    return slots.withColumn("rank", place).join(pool, [*key, "rank"]).select("rep", "user_id", "session_id", "action", "slot", "fake_id")
 
 
 def equal_size_sample(rows: DataFrame, key: str, unit: str, seed: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padlens.operators import detectors as L
+from padlens.operators import rows as W
+from padlens.operators import sessions as N
 from padlens.plans import adapters as A
 from padlens.plans.gesture_queries import all_rounded
 from padlens.streaming import queries as T
@@ -73,7 +75,39 @@ def l6_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(L.run_protocol(L.fusion(scores.withColumn("pool", meta)), list(L.KINDS[:2]), "logistic"))
 
 
+def l9_session_rhythm(spark: SparkSession, sf: str) -> DataFrame:
+    """Genuine sessions against the same sessions with machine gaps: a forest on three gap features, cut at the validation
+    rows' 95 % quantile of genuine scores; caught and false-alarm share on test rows."""
+    rows = W.machine_cadence(N.gaps(A.rhythm(spark, sf)), 0.5)
+    pool = F.element_at(F.array(*map(F.lit, ["train", "train", "val", "test"])), (F.col("user_id") % 4 + 1).cast("int"))
+    key = ["user_id", "session_id"]
+
+    def side(gap: str, label: int) -> DataFrame:
+        return rows.groupBy(*key).agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("f0"), F.coalesce(F.stddev_pop(gap), F.lit(0.0)).alias("f1"), F.count("*").cast("double").alias("f2")).filter("f2 >= 2").withColumn("label", F.lit(label))
+
+    both = side("gap_s", 0).unionByName(side("jittered_s", 1)).withColumn("pool", pool).withColumn("action", F.lit("session"))
+    both = both.withColumn("event_id", F.concat_ws("-", *key, "label"))
+    scored = L.run_protocol(both, ["f0", "f1", "f2"], "forest")
+    cut = scored.filter("pool = 'val' and label = 0").agg(F.percentile("score", F.lit(0.95)).alias("cut"))
+    flag = (F.col("score") > F.col("cut")).cast("double")
+    return scored.filter("pool = 'test'").crossJoin(F.broadcast(cut)).groupBy("label").agg(F.round(F.avg(flag), 5).alias("flagged"), F.count("*").alias("n"))
+
+
+def t5_streaming_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A logistic detector fitted on line items of the train pool scores them all as a stream."""
+    rows = feature_rows(spark, sf)
+    model = L.detector("logistic", ["f0", "f1", "f2", "f3"]).fit(L.balanced(rows.filter("pool = 'train'")))
+    folder = shared_folder(spark)
+    rows.write.parquet(f"{folder}/in")
+    out = T.scored(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), model)
+    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return all_rounded(spark.read.schema(out.schema).parquet(f"{folder}/out").select("event_id", "pool", "label", "score"))
+
+
 QUERIES = {
+    "l9_session_rhythm": l9_session_rhythm,
+    "t5_streaming_scores": t5_streaming_scores,
     "t1_streaming_contacts": lambda s, d: once(s, d, lambda e: T.contacts(touch_stream(e))),
     "t2_streaming_occupancy": lambda s, d: once(s, d, lambda e: T.occupancy(timed(e))).withColumn("start", F.unix_seconds("start")),
     "t3_streaming_sessions": lambda s, d: once(s, d, lambda e: T.gap_sessions(timed(e), "6 hours")).withColumn("start", F.unix_micros("start")),

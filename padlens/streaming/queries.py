@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from padlens.operators.detectors import scored as batch_scored
 from padlens.operators.gestures import CANCEL, DOWN, UP
 
 CONTACT = "user_id long, act_id long, start_ms long, end_ms long, n_frames long, state string"
@@ -64,3 +66,8 @@ def caught_alarm(events: DataFrame, thresholds: DataFrame, least: int, width: st
     caught = events.join(F.broadcast(thresholds), "action").filter("score >= cut").withWatermark("ts", delay)
     counted = caught.groupBy("user_id", F.window("ts", width, slide)).agg(F.count("*").alias("caught"))
     return counted.filter(F.col("caught") >= least).select("user_id", F.col("window.start").alias("start"), "caught")
+
+
+def scored(rows: DataFrame, model: PipelineModel) -> DataFrame:
+    """T5: a fitted detector's scores on a stream."""
+    return batch_scored(model, rows)

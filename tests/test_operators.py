@@ -200,3 +200,30 @@ def test_streaming_contacts_equal_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).select(key).collect() if r["state"] != "eof"}
     want = {tuple(r) for r in gestures.contacts(df).select(key).collect() if r["state"] != "eof"}
     assert got == want
+
+
+def test_mirrored_draw_has_no_repeats_in_a_session(spark):
+    from padlens.operators import splits
+
+    genuine = spark.createDataFrame([(1, s, "tap") for s in range(6) for _ in range(s + 1)] + [(2, 0, "tap")], "user_id long, session_id long, action string")
+    fake = spark.createDataFrame([(1, "tap", 100 + i) for i in range(4)] + [(3, "tap", 9)], "user_id long, action string, event_id long")
+    got = {}
+    for r in splits.mirrored_draw(genuine, fake, 3).collect():
+        got.setdefault((r["rep"], r["user_id"], r["session_id"]), []).append(r["fake_id"])
+    assert {k: len(v) for k, v in got.items()} == {(rep, 1, s): min(s + 1, 4) for rep in range(3) for s in range(6)}
+    assert all(len(set(v)) == len(v) for v in got.values())
+
+
+def test_streamed_scores_equal_batch_scores(spark, tmp_path):
+    from padlens.operators import detectors
+    from padlens.plans.stream_queries import feature_rows
+
+    rows = feature_rows(spark, "/root/testdata/sf0.001").cache()
+    model = detectors.detector("logistic", ["f0", "f1", "f2", "f3"]).fit(detectors.balanced(rows.filter("pool = 'train'")))
+    test = rows.filter("pool = 'test'")
+    test.write.parquet(str(tmp_path / "in"))
+    out = streams.scored(spark.readStream.schema(test.schema).parquet(str(tmp_path / "in")), model)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["event_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == pytest.approx({r["event_id"]: r["score"] for r in detectors.scored(model, test).collect()})
