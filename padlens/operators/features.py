@@ -142,8 +142,8 @@ def channel_statistics(windows: DataFrame) -> DataFrame:
 def concatenated(windows: DataFrame, width: int = 16, hz: int = 100) -> DataFrame:
     """chunks of a window in order as one series with a new time axis."""
     order = Window.partitionBy("vec_id").orderBy("chunk", "j")
-    chunks = windows.withColumn("chunk", F.floor(F.col("i") / width)).withColumn("j", F.col("i") % width)
-    return chunks.withColumn("t_ms", (F.row_number().over(order) - 1) * (1000 // hz)).drop("i")
+    chunks = windows.withColumn("chunk", F.floor(F.col("i") / width).cast("int")).withColumn("j", F.col("i") % width)
+    return chunks.withColumn("t_ms", (F.row_number().over(order) - 1).cast("long") * (1000 // hz)).drop("i")
 
 
 def lag_one_correlation(windows: DataFrame) -> DataFrame:
