@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from padlens.llm.common import buffer_of, mix, slices, staged, texts_of
+from padlens.llm.common import buffer_of, mix, runs, slices, staged, texts_of
 
-#: Words on either side that a cut's hash must exceed, the longest chunk in words, and the least repeated run in words.
-REACH, MOST_WORDS, LEAST_WORDS = 4, 32, 12
-#: Bytes that a cut must follow at least within one long word.
-MOST_BYTES = 4096
+#: Units on either side that a cut's hash exceeds, units in every run of which one ends a chunk, least repeated run in words.
+NEAR, REACH, LEAST_WORDS = 3, 10, 12
+#: The weight of a word.
+WORD_BYTES = 6
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -29,61 +29,115 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """End offsets of all chunks, and the number of words in each. data: texts that each end in a line feed.
+def picked(value: np.ndarray, before: np.ndarray, after: np.ndarray, width: int) -> np.ndarray:
+    """Places whose value is the greatest, and the last of equal ones, in some run of `width` places; none below zero.
 
-    A chunk ends after the white space that ends a word, if the gear hash there is the greatest among those of
-    REACH words on either side, or if a word begins to repeat there: rules that see only nearby bytes, so cuts move
-    with their text. Where nothing stands out for long, a chunk ends after MOST_WORDS words, counted from the last cut.
+    before and after: how many places of the same text stand on either side. Each run holds such a place if one of its
+    values isn't negative, and which one depends on the run alone.
+    """
+    reach = np.ones(len(value), np.int64)
+    for side in (0, 1):
+        held = value >= 0
+        room = after if side else before
+        for k in range(1, min(width, len(value))):
+            held[-k if side else 0 : None if side else k] = False
+            if side:
+                held[:-k] &= value[k:] < value[:-k]
+            else:
+                held[k:] &= value[:-k] <= value[k:]
+            held &= room >= k
+            reach += held
+    return (value >= 0) & (reach >= width)
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Last byte, end without white space, weight and hash (-1 in a text's first 16 bytes) of each unit.
+
+    A unit is a word with the white space behind it, of weight WORD_BYTES.
     """
     gap = _SPACE[data]
-    last = gap.copy()
+    last, stop = gap.copy(), gap.copy()
     last[:-1] &= ~gap[1:]  # the last white space of a run
     last[offsets[1:] - 1] = True
-    if len(data) > MOST_BYTES:  # long words: a cut at a fixed step from the word's start, at the start of a character
-        at = np.flatnonzero(last)
-        begin = np.concatenate([[-1], at[:-1]])
-        for i in np.flatnonzero(at - begin > MOST_BYTES).tolist():
-            for x in range(int(begin[i]) + MOST_BYTES, int(at[i]), MOST_BYTES):
-                while (int(data[x + 1]) & 0xC0) == 0x80:
-                    x -= 1
-                last[x] = True
-    at = np.flatnonzero(last)
-    h = gear(data)[at]
-    h = (mix(h.astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
-    doc = np.searchsorted(offsets, at, side="right") - 1
-    h[at - offsets[doc] < 16] = -1  # what stands before a text doesn't count
+    stop[1:] &= ~gap[:-1]  # and the first
+    stop[offsets[:-1]] = gap[offsets[:-1]]
+    at, end = np.flatnonzero(last), np.flatnonzero(stop)
+    rolled = (mix(gear(data).astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
+    weight = np.full(len(at), WORD_BYTES)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    return at, end, weight, np.where(at - offsets[text] < 16, -1, rolled[at])
+
+
+def chosen(at: np.ndarray, h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Units that end a chunk: the greatest hash among NEAR units on either side, and where REACH units in a row hold
+    none, the greatest of these; so every such row holds a cut, and cuts move with their text.
+
+    Where the hash stays the same for REACH units, a chunk ends where that begins and ends and every REACH units between.
+    The same count from the last cut holds in a text's first 16 bytes.
+    """
     n = len(at)
+    number = np.arange(n)
+    doc = np.searchsorted(offsets, at, side="right") - 1
     final = np.searchsorted(at, offsets[1:] - 1)
     first = np.concatenate([[0], final[:-1] + 1])
-    number = np.arange(n)
-    cut = (number - first[doc] >= REACH) & (final[doc] - number >= REACH)
-    for k in range(1, REACH + 1):
-        cut[k:] &= h[k:] > h[:-k]
-        cut[:-k] &= h[:-k] > h[k:]
-    # The start of a repeated word: the hash is new here and stays the same for the next REACH words.
     same = np.zeros(n, bool)
-    same[:-1] = (h[1:] == h[:-1]) & (h[1:] >= 0) & (doc[1:] == doc[:-1])
-    steady = same.copy()
-    for k in range(1, REACH):
-        steady[:-k] &= same[k:]
-    steady[-REACH:] = False
-    steady[1:] &= ~same[:-1]
-    cut |= steady & (h >= 0)
+    same[1:] = (h[1:] == h[:-1]) & (h[1:] >= 0) & (doc[1:] == doc[:-1])
+    value = np.where(same, -1, h)
+    cut = (value >= 0) & (number - first[doc] >= NEAR) & (final[doc] - number >= NEAR)
+    for k in range(1, NEAR + 1):
+        cut[k:] &= value[k:] > value[:-k]
+        cut[:-k] &= value[:-k] > value[k:]
+    left = np.maximum(np.maximum.accumulate(np.where(cut, number + 1, 0)), first[doc])  # after the cut before
+    right = np.minimum(np.minimum.accumulate(np.where(cut, number, n)[::-1])[::-1] - 1, final[doc])
+    cut |= picked(np.where(cut, -1, value), number - left, right - number, REACH)
+    a, b = runs(same)
+    steady = b - a >= REACH - 1
+    cut[a[steady] - 1] = True
+    cut[b[steady] - 1] = True
     cut[final] = True
     ends = np.flatnonzero(cut)
-    words = np.diff(ends, prepend=-1)
-    long = np.flatnonzero(words > MOST_WORDS)
-    if len(long):
-        begin = ends[long] - words[long]
-        extra = np.concatenate([np.arange(b + MOST_WORDS, e, MOST_WORDS) for b, e in zip(begin.tolist(), ends[long].tolist())])
-        ends = np.unique(np.concatenate([ends, extra]))
-        words = np.diff(ends, prepend=-1)
-    return at[ends] + 1, words
+    size = np.diff(ends, prepend=-1)
+    far = np.flatnonzero(size > REACH)
+    if len(far):
+        begin = ends[far] - size[far]
+        ends = np.unique(np.concatenate([ends, *[np.arange(b + REACH, e, REACH) for b, e in zip(begin.tolist(), ends[far].tolist())]]))
+    return ends
+
+
+def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """End offsets of all chunks, and the number of units in each. data: texts that each end in a line feed."""
+    at, _, _, h = units(data, offsets)
+    ends = chosen(at, h, offsets)
+    return at[ends] + 1, np.diff(ends, prepend=-1)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """`doc_id, chunks array<struct<digest, start, stop, words>>`, offsets in bytes of the UTF-8 text."""
+def passages(data: np.ndarray, offsets: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+    """Text number, start, end without white space, end, and weight before it in its text, of each passage.
+
+    From each chunk's start, and up to each text's end, the fewest units that weigh as much as least_words words.
+    Texts that weigh less have none.
+    """
+    at, end, weight, h = units(data, offsets)
+    total = np.cumsum(weight)
+    before = total - weight
+    final = np.searchsorted(at, offsets[1:] - 1)
+    least = least_words * WORD_BYTES
+    tail = np.searchsorted(before, total[final] - least, side="right") - 1
+    head = np.concatenate([[0], final[:-1] + 1])
+    ends = tail >= head
+    begin = np.concatenate([[0], chosen(at, h, offsets)[:-1] + 1])
+    stop = np.concatenate([np.searchsorted(total, before[begin] + least), final[ends]])
+    begin = np.concatenate([begin, tail[ends]])
+    doc = np.searchsorted(final, begin)
+    fits = stop <= final[doc]
+    begin, stop = np.unique(np.stack([begin[fits], stop[fits]]), axis=1)
+    doc = np.searchsorted(final, begin)
+    start = np.where(begin > 0, at[begin - 1] + 1, 0)
+    return doc, start, end[stop], at[stop] + 1, before[begin] - before[head][doc]
+
+
+def passage_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """`doc_id, passages array<struct<digest, start, stop, weight>>`, offsets in bytes of the UTF-8 text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -91,52 +145,51 @@ def chunks(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches):
             data, offsets = buffer_of(texts_of(batch))
-            ends, words = chunk_ends(data, offsets)
-            starts = np.concatenate([[0], ends[:-1]])
+            doc, start, end, stop, weight = passages(data, offsets, least_words)
             raw = data.tobytes()
-            keys = np.array([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
-            of = np.searchsorted(ends, offsets, side="right")
-            base = np.repeat(offsets[:-1], np.diff(of))
-            stop = np.minimum(ends - base, np.repeat(np.diff(offsets) - 1, np.diff(of)))  # without the added line feed
+            keys = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())], np.uint64).view(np.int64)
+            base = offsets[doc]
+            stop = np.minimum(stop, offsets[doc + 1] - 1)  # without the added line feed
             parts = pa.StructArray.from_arrays(
-                [pa.array(keys), pa.array((starts - base).astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(words.astype(np.int32))],
-                ["digest", "start", "stop", "words"],
+                [pa.array(keys), *[pa.array(x.astype(np.int32)) for x in (start - base, stop - base, weight)]], ["digest", "start", "stop", "weight"]
             )
+            of = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), parts)], ["doc_id", "chunks"]
+                [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), parts)], ["doc_id", "passages"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, chunks array<struct<digest: long, start: int, stop: int, words: int>>"
+        run, "doc_id long, passages array<struct<digest: long, start: int, stop: int, weight: int>>"
     )
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`doc_id, span_start, span_stop, n_chunks, n_words, first_doc_id`: byte ranges whose text came before.
 
-    Of equal chunks the first (least doc_id, then position) stays. Repeated chunks that follow one another make a
-    span; spans under `least_words` words, such as a licence line, are left alone. first_doc_id is the least
-    document that holds any of the span's chunks first; it equals doc_id where a text repeats itself. Null and
-    empty texts have no span; rows without doc_id are left out; rows repeated with the same doc_id count as one
-    document. Digests have 64 bits; a span has two chunks or twelve words, so that one chance collision removes
-    at most a chunk beside a true repeat.
+    Passages of `least_words` words are compared from each chunk's
+    start. Of equal passages the first (least doc_id, then position) stays; others that overlap make one span, with the
+    white space behind it. Shorter repeats, such as a licence line, are left alone. A repeat loses at most the bytes and
+    units up to its first cut and after its last one, so none of over 50 words is missed. n_chunks counts a span's
+    passages; first_doc_id is the least document that holds any of them first; it equals doc_id where a text repeats
+    itself. Null and empty texts have no span; rows without doc_id are left out; rows repeated with the same doc_id
+    count as one document. Digests have 64 bits.
     """
-    table = staged(chunks(docs.filter("doc_id is not null and text <> ''")), "chunks")
-    rows = table.select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", "c.digest", "c.start", "c.stop", "c.words")
+    table = staged(passage_table(docs.filter("doc_id is not null and text <> ''"), least_words), "passages")
+    rows = table.select("doc_id", F.posexplode("passages").alias("i", "c")).select("doc_id", "i", "c.digest", "c.start", "c.stop", "c.weight")
     first = (
         rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).filter("n > 1").select("digest", "f")
     )
-    again = rows.join(first, "digest").filter("doc_id <> f.doc_id or i <> f.i").select("doc_id", "i", "start", "stop", "words", F.col("f.doc_id").alias("first"))
+    again = rows.join(first, "digest").filter("doc_id <> f.doc_id or i <> f.i").select("doc_id", "i", "start", "stop", "weight", F.col("f.doc_id").alias("first"))
     order = Window.partitionBy("doc_id").orderBy("i")
-    again = again.dropDuplicates(["doc_id", "i"]).withColumn("island", F.col("i") - F.row_number().over(order))
-    spans = again.groupBy("doc_id", "island").agg(
+    again = again.dropDuplicates(["doc_id", "i"]).withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    again = again.withColumn("island", F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(order))
+    return again.groupBy("doc_id", "island").agg(
         F.min("start").cast("long").alias("span_start"),
         F.max("stop").cast("long").alias("span_stop"),
         F.count("*").alias("n_chunks"),
-        F.sum("words").alias("n_words"),
+        ((F.max("weight") - F.min("weight")) / WORD_BYTES + least_words).cast("long").alias("n_words"),
         F.min("first").alias("first_doc_id"),
-    )
-    return spans.filter(F.col("n_words") >= least_words).drop("island")
+    ).drop("island")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -214,6 +214,32 @@ def test_chunks_move_with_their_text():
     assert [e for e in ends.tolist() if e <= n] == [e - n - 1 for e in ends.tolist() if e > n + 1]
 
 
+def test_every_planted_passage_is_cut(spark):
+    """Passages of 51 words, one later holder each, none missed, and only words that came before go."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(1000):
+        passage = _prose(rng, 51)
+        for i in (k, 1000 + k):
+            rows.append((i, " ".join([_prose(rng, rng.randrange(1, 70)), passage, _prose(rng, rng.randrange(1, 70))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spans = substring.repeated_spans(docs).collect()
+    assert {r["doc_id"] for r in spans if r["n_words"] >= 20} == {r["doc_id"] for r in spans} == set(range(1000, 2000))
+    texts = {i: t.encode() for i, t in rows}
+    for r in spans:
+        cut = texts[r["doc_id"]][r["span_start"] : r["span_stop"]]
+        assert cut.strip() in texts[r["first_doc_id"]] and r["first_doc_id"] == r["doc_id"] - 1000
+        assert r["n_words"] == len(cut.split()) >= 12
+
+
+def test_chance_neighbours_are_no_passage(spark):
+    """Short repeats from many documents, side by side, are not one long repeat."""
+    rng = random.Random(12)
+    short = [_prose(rng, 10) for _ in range(40)]
+    rows = [(i, _prose(rng, 30) + " " + s + " " + _prose(rng, 30)) for i, s in enumerate(short)] + [(99, " ".join(short))]
+    assert substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
 def test_quality_and_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     known = {r["doc_id"]: r for r in labels.collect()}
