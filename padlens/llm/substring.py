@@ -13,8 +13,8 @@ from padlens.llm.common import buffer_of, mix, runs, slices, staged, texts_of
 
 #: Units on either side that a cut's hash exceeds, units in every run of which one ends a chunk, least repeated run in words.
 NEAR, REACH, LEAST_WORDS = 3, 10, 12
-#: The weight of a word.
-WORD_BYTES = 6
+#: Words of more bytes are cut into pieces; in every run of PIECE bytes one ends. A piece of WORD_BYTES counts as a word.
+LONG_WORD, PIECE, WORD_BYTES = 48, 12, 6
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -53,7 +53,8 @@ def picked(value: np.ndarray, before: np.ndarray, after: np.ndarray, width: int)
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Last byte, end without white space, weight and hash (-1 in a text's first 16 bytes) of each unit.
 
-    A unit is a word with the white space behind it, of weight WORD_BYTES.
+    A unit is a word with the white space behind it, of weight WORD_BYTES, or a piece of a long word, whose weight is
+    its number of bytes up to that. Pieces end between characters, where the hash of the 16 bytes before is greatest.
     """
     gap = _SPACE[data]
     last, stop = gap.copy(), gap.copy()
@@ -62,8 +63,26 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop[1:] &= ~gap[:-1]  # and the first
     stop[offsets[:-1]] = gap[offsets[:-1]]
     at, end = np.flatnonzero(last), np.flatnonzero(stop)
+    begin = np.concatenate([[0], at[:-1] + 1])
     rolled = (mix(gear(data).astype(np.uint64)) >> np.uint64(16)).astype(np.int64)
-    weight = np.full(len(at), WORD_BYTES)
+    light = np.zeros(len(at), bool)
+    long = np.flatnonzero(end - begin > LONG_WORD)
+    if len(long):
+        size = (end - begin)[long]
+        before = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        place = np.repeat(begin[long], size) + before
+        after = np.repeat(size, size) - 1 - before
+        text = np.searchsorted(offsets, place, side="right") - 1
+        value = np.where(((data[place + 1] & 0xC0) == 0x80) | (place - offsets[text] < 15), -1, rolled[place])
+        value[after == 0] = -1  # the word's own end
+        inner = place[picked(value, before, after, PIECE)]
+        at, order = np.unique(np.concatenate([at, inner]), return_index=True)
+        end = np.concatenate([end, inner + 1])[order]
+        begin = np.concatenate([[0], at[:-1] + 1])
+        light = np.zeros(len(data), bool)
+        light[place] = True
+        light = light[begin]
+    weight = np.where(light, np.minimum(end - begin, WORD_BYTES), WORD_BYTES)
     text = np.searchsorted(offsets, at, side="right") - 1
     return at, end, weight, np.where(at - offsets[text] < 16, -1, rolled[at])
 
@@ -166,7 +185,7 @@ def passage_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`doc_id, span_start, span_stop, n_chunks, n_words, first_doc_id`: byte ranges whose text came before.
 
-    Passages of `least_words` words are compared from each chunk's
+    Passages of `least_words` words (in long words: as many times WORD_BYTES bytes) are compared from each chunk's
     start. Of equal passages the first (least doc_id, then position) stays; others that overlap make one span, with the
     white space behind it. Shorter repeats, such as a licence line, are left alone. A repeat loses at most the bytes and
     units up to its first cut and after its last one, so none of over 50 words is missed. n_chunks counts a span's

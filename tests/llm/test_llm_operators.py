@@ -240,6 +240,25 @@ def test_chance_neighbours_are_no_passage(spark):
     assert substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
 
 
+def test_passages_without_white_space_are_cut(spark):
+    """Chinese prose and base64: whole copies, inner passages, and copies with a byte inserted at the front."""
+    rng = random.Random(13)
+    signs = {"zh": [chr(0x4E00 + i) for i in range(3000)], "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    for kind, letters in signs.items():
+        run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        rows, passage, whole, long = [], run(300), run(1000), run(30_000)
+        rows += [(0, run(500) + passage + run(400)), (1, run(77) + passage + run(50)), (2, whole), (3, whole), (4, long), (5, letters[0] + long), (6, run(900))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spans = substring.repeated_spans(docs)
+        assert {(r["doc_id"], r["first_doc_id"]) for r in spans.collect()} == {(1, 0), (3, 2), (5, 4)}, kind
+        left = {r["doc_id"]: r["text"] for r in substring.without_spans(docs, spans).collect()}
+        assert left[3] == "" and len(left[5]) < 60 and 127 <= len(left[1]) < 127 + 150 and all(left[i] == rows[i][1] for i in (0, 2, 4, 6)), kind
+        for i, t in left.items():
+            assert t in rows[i][1] or i == 1
+    rules = spark.createDataFrame([(i, f"{i} head\n{'-' * 60}\n{i} foot {_prose(rng, 20)}") for i in range(5)], "doc_id long, text string")
+    assert substring.repeated_spans(rules).collect() == []  # a short rule of signs is no passage
+
+
 def test_quality_and_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     known = {r["doc_id"]: r for r in labels.collect()}
