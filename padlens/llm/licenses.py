@@ -88,9 +88,9 @@ class Rules:
             for form in forms:
                 # A known sentence can itself hold marks that end one: it is then a sequence of parts.
                 self.ids[tuple(normalise(form[a:b]) for a, b in sentences(form) if normalise(form[a:b]))] = name
-        self.first: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        self.first: dict[str, list[tuple[str, tuple[str, ...], str]]] = {}
         for parts, name in self.ids.items():
-            self.first.setdefault(parts[0], []).append((parts, name))
+            self.first.setdefault(parts[0].split()[0], []).append((" ".join(parts), parts, name))
         for found in self.first.values():
             found.sort(key=lambda x: -len(x[0]))
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
@@ -99,17 +99,30 @@ class Rules:
         self.anchor = re.compile("|".join(sorted({max(p[0].split(), key=len) for p in self.ids})), re.IGNORECASE)
 
     def recognise(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(sentence number, start, end, identifier) of the known sentences of a text."""
+        """(sentence number, start, end, identifier) of the known sentences of a text.
+
+        A known sentence is one part or several in a row: single line ends in it count as spaces, blank lines (also
+        such with signs of comments alone) end it. Lines without a mark at their end are of one sentence with the next.
+        """
         if not self.anchor.search(text):
             return []
         spans = [(a, b, n) for a, b in sentences(text) if (n := normalise(text[a:b]))]
+        blank = [True, *[text.count("\n", x[1], y[0]) > 1 for x, y in zip(spans, spans[1:])]]
+        number = [0] * len(spans)
+        for i in range(1, len(spans)):
+            wrapped = not blank[i] and not text[spans[i - 1][1] - 1] in ".:;!?"
+            number[i] = number[i - 1] + (not wrapped)
         out, i = [], 0
         while i < len(spans):
             step = 1
-            for parts, name in self.first.get(spans[i][2], ()):
-                if tuple(s[2] for s in spans[i : i + len(parts)]) == parts:
-                    step = len(parts)
-                    out.append((i, spans[i][0], spans[i + step - 1][1], name))
+            for joined, parts, name in self.first.get(spans[i][2].split(" ", 1)[0], ()):
+                j, so_far = i + 1, spans[i][2]
+                while j < len(spans) and len(so_far) < len(joined) and joined.startswith(so_far + " "):
+                    so_far += " " + spans[j][2]
+                    j += 1
+                if so_far == joined and (not any(blank[i + 1 : j]) or tuple(s[2] for s in spans[i:j]) == parts):
+                    step = j - i
+                    out.append((number[i], spans[i][0], spans[j - 1][1], name))
                     break
             i += step
         return out

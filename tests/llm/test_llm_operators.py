@@ -289,6 +289,27 @@ def test_licence_rules(spark):
         assert (got[i]["licenses"], got[i]["n_matches"]) == (want, n), i
 
 
+@pytest.mark.parametrize("lead", ["", " * ", "# ", "// "])
+@pytest.mark.parametrize("width", [40, 72])
+def test_wrapped_licences(lead, width):
+    import textwrap
+
+    known = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    join = lambda *names: "\n\n".join(known[n] + "." for n in names)
+    texts = {
+        "MIT": join("mit-grant", "mit-notice", "as-is"),
+        "ISC": join("isc-grant"),
+        "GPL-3.0-or-later": join("gpl-free", "gpl-hope"),
+        "BSD-3-Clause": join("bsd-grant") + "\n\n1. " + join("bsd-source") + "\n\n2. " + join("bsd-binary") + "\n\n3. " + join("bsd-name"),
+    }
+    for want, text in texts.items():
+        lines = [x for part in text.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+        wrapped = "\n".join(lead + x for x in ["Copyright 2020 A", "", *lines, "some code"])
+        assert [m[0] for m in licenses.Rules(licenses.SENTENCES, licenses.RULES, licenses.GAP).match(wrapped)] == [want], wrapped
+        broken = "\n".join(lead + y for x in lines for y in (x, ""))  # blank lines end a sentence
+        assert want not in [m[0] for m in licenses.Rules(licenses.SENTENCES, licenses.RULES, licenses.GAP).match(broken)]
+
+
 def test_media_round_trip(spark, texts):
     rows = {r["doc_id"]: r for r in op9_media(spark, SF).collect()}
     import hashlib
