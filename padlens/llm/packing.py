@@ -71,11 +71,10 @@ class LevelPacker:
     is least afterwards; full windows and the empty one don't count. Ties go to the fuller window.
     """
 
-    def __init__(self, window: int, max_open: int = 4096):
-        self.window, self.max_open = window, max_open
+    def __init__(self, window: int):
+        self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
         self.closed: list[list] = []
 
     def level(self, s: int) -> int:
@@ -98,15 +97,11 @@ class LevelPacker:
         window.append((doc, full, rest))
         if h:
             self.count[h] -= 1
-            self.n_open -= 1
         if (h := h + len(rest)) == self.window:
             self.closed.append(window)
             return
         self.open.setdefault(h, []).append(window)
         self.count[h] += 1
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            self.settle()
 
     def settle(self) -> None:
         """Close every open window without padding: the emptiest are cut up to fill the fullest, and what is left at
@@ -141,7 +136,7 @@ class LevelPacker:
                             pieces.append((doc, start + room, ids[room:]))
                         room -= len(out[-1][2])
                     self.closed.append(out)
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.count[:] = 0
 
     def take(self) -> list[list]:
@@ -155,8 +150,9 @@ def pack(
     """Pack `docs(doc_id, text)` into sequences of at most `window` ids; one row for each piece.
 
     A null or empty text is `end_id` alone. Repeated rows are packed each. No rows give no rows. Other columns are
-    ignored. A null doc_id stays null. Every task packs its own input split, so there is no shuffle; a task holds
-    at most `max_open` open windows. Sequence ids are the partition number times 2^33 plus a running number.
+    ignored. A null doc_id stays null. Texts of any length are packed whole. Every task packs its own input split, so
+    there is no shuffle; a task holds its open windows, which are fewer than the split's documents and, as the rule
+    keeps fill levels balanced, far fewer. Sequence ids are the partition number times 2^33 plus a running number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
