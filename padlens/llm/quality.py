@@ -145,11 +145,17 @@ def labelled_sample(labels: DataFrame, label: str, held: Column, most: int) -> D
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """`doc_id, y, text` of the ids chosen(doc_id, y), a row each: where an id has several texts, the least."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return known.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """`doc_id, held_out, score, predicted` for each row of docs(doc_id, text).
 
-    Labels are learned from ids whose remainder isn't 1 alone, from at most `sample` of them. Null and empty texts
-    get the score of empty features. Repeated rows score alike. Without labelled rows every score comes from an
+    Labels are learned from ids whose remainder isn't 1 alone, from at most `sample` of them, one text each. Null and
+    empty texts get the score of empty features; texts of any length are pooled whole. Repeated rows score alike. Without labelled rows every score comes from an
     untrained network and says nothing; no documents give no rows; a null doc_id isn't held out; other columns
     are ignored.
     """
@@ -164,7 +170,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
             )
 
     chosen = labelled_sample(labels, "quality", remainder("doc_id", 3) == 1, sample)
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, y int, x array<double>")
+    known = labelled_texts(docs, chosen).mapInArrow(features, "doc_id long, y int, x array<double>")
     rows = sorted(known.collect(), key=lambda r: (r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(len(rows), 2 * LENGTH + 3)
     network = spark.sparkContext.broadcast(Network(x, np.array([r["y"] for r in rows])))

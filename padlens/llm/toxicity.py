@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padlens.llm.common import slices, staged, texts_of
-from padlens.llm.quality import labelled_sample, remainder
+from padlens.llm.quality import labelled_sample, labelled_texts, remainder
 
-#: Labelled rows that the trees are fitted on, at most, and entries of a learned lexicon, at most.
-SAMPLE, ENTRIES = 20_000, 2_000
+#: Labelled rows that lexicon and trees are fitted on, at most; what they hold bounds the lexicon.
+SAMPLE = 20_000
 TREES, DEPTH, STEP, BINS, LEAST, SEED = 60, 4, 0.15, 64, 3.0, 11
+#: Least score of a text that counts as toxic.
+THRESHOLD = 0.3
 #: Toxic documents that must hold an entry, how many times likelier they must hold it than others, and by how many
 #: standard deviations their number must exceed chance.
 SUPPORT, TIMES, SIGMAS = 8, 4.0, 5.0
@@ -82,8 +84,11 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def learn_lexicon(known: DataFrame, most: int = ENTRIES) -> dict[str, float]:
-    """Log-odds of the words and word starts that mark toxic rows of known(text, y); the heaviest `most` at most."""
+def learn_lexicon(known: DataFrame) -> dict[str, float]:
+    """Log-odds of the words and word starts that mark toxic rows of known(text, y).
+
+    An entry must be in SUPPORT toxic texts, so there are fewer than the sample's toxic texts have words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
@@ -105,7 +110,7 @@ def learn_lexicon(known: DataFrame, most: int = ENTRIES) -> dict[str, float]:
     chance = (F.col("a") + F.col("b")) * (bad / (bad + good))
     rows = counts.filter((F.col("a") >= SUPPORT) & (F.col("a") - chance >= SIGMAS * F.sqrt(chance))).withColumn("w", odds)
     rows = rows.filter(F.col("w") >= float(np.log(TIMES)))
-    return {r["entry"]: r["w"] for r in rows.orderBy(F.desc(F.col("w") * F.sqrt("a")), "entry").limit(most).collect()}
+    return {r["entry"]: r["w"] for r in rows.collect()}
 
 
 class Trees:
@@ -176,17 +181,16 @@ class Ladder:
         return np.interp(x, self.at, self.value)
 
 
-def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """`doc_id, held_out, score, predicted` for each row of docs(doc_id, text).
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[list[str]], np.ndarray]:
+    """A function, to be called in tasks, that scores texts.
 
-    Labels are learned from ids whose remainder isn't 2 alone, from at most `sample` of them: three quarters fit
-    lexicon and trees, one quarter the isotonic calibration. Null and empty texts have zero features. Repeated
-    rows score alike. Where the sample lacks one of the labels, every score is the share of label 1 in it (0
-    without rows). No documents give no rows; a null doc_id isn't held out; other columns are ignored.
+    Labels are learned from ids whose remainder isn't 2 alone, from at most `sample` of them, one text each: three
+    quarters fit lexicon and trees, one quarter the isotonic calibration. Where the sample lacks one of the labels,
+    every score is the share of label 1 in it (0 without rows).
     """
     spark = docs.sparkSession
     chosen = labelled_sample(labels, "toxic", remainder("doc_id", 4) == 2, sample)
-    known = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    known = staged(labelled_texts(docs, chosen), "labelled")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4))
     lexicon = spark.sparkContext.broadcast(Lexicon(learn_lexicon(known.filter(fold > 0))))
 
@@ -207,19 +211,46 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
         model = (None, float(y.mean()) if len(y) else 0.0)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str]) -> np.ndarray:
         trees, ladder = shared.value
+        if trees is None:
+            return np.full(len(texts), ladder)
+        margin = trees.margin(np.array([features(t, lexicon.value) for t in texts]))
+        # The ladder's ends are flat; a small share of the uncalibrated value keeps the order there.
+        return np.clip(0.95 * ladder(margin) + 0.05 / (1 + np.exp(-margin)), 0, 1)
+
+    return score
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below THRESHOLD; one narrow pass after the fit.
+
+    Null and empty texts have zero features; texts of any length are scored whole; equal texts fare alike; no rows give
+    no rows.
+    """
+    score = fitted(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(score(texts_of(batch)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """`doc_id, held_out, score, predicted` for each row of docs(doc_id, text); fitted() says what is learned.
+
+    Null and empty texts have zero features; texts of any length are scored whole. Repeated rows score alike. No
+    documents give no rows; a null doc_id isn't held out; other columns are ignored.
+    """
+    judge = fitted(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = texts_of(batch)
-            if trees is None:
-                score = np.full(len(texts), ladder)
-            else:
-                margin = trees.margin(np.array([features(t, lexicon.value) for t in texts]))
-                # The ladder's ends are flat; a small share of the uncalibrated value keeps the order there.
-                score = np.clip(0.95 * ladder(margin) + 0.05 / (1 + np.exp(-margin)), 0, 1)
+            score = judge(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(score)], ["doc_id", "score"])
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return rows.select(
-        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
