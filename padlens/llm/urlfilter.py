@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from padlens.llm.common import slices, staged
+
 #: The list: verdict, host, path.
 LIST = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled addresses that are mined, at most, and tokens of each that are mined, those that tell the labels apart best.
-SAMPLE, TOKENS = 200_000, 10
-SUPPORT, CONFIDENCE, SIZE, RULES = 0.001, 0.8, 4, 5_000
+#: Labelled addresses that are mined, at most, and the least share of them that hold a rule and of those that bear its label.
+SAMPLE, SUPPORT, CONFIDENCE = 200_000, 0.001, 0.8
 
 _PART = re.compile(r"[^\W_]+")
 
@@ -59,47 +60,39 @@ def tokens_of(url: str | None) -> list[str]:
     return sorted(out)
 
 
-def mine(labelled: DataFrame) -> list[tuple[frozenset[str], str, float, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset[str], str, float, float]]:
     """(tokens, label, confidence, support) of the rules kept from labelled(tokens, label).
 
-    FP-growth runs over each address's most telling frequent tokens and its label. Rules need the confidence and
-    support; one is dropped if a part of its tokens gives the same label no less confidently.
+    FP-growth runs over each address's tokens and its label. Rules need the confidence and support; one is dropped if
+    a part of its tokens gives the same label no less confidently. Their number depends on the support, as a share of the
+    rows, and on the tokens, not on the number of rows; the driver holds the kept ones alone.
     """
-    total = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    n = sum(total.values())
-    if not n:
-        return []
-    share = total.get("block", 0) / n
-    token = labelled.select(F.explode("tokens").alias("token"), (F.col("label") == "block").cast("int").alias("y")).groupBy("token").agg(F.count("*").alias("c"), F.avg("y").alias("p"))
-    telling = token.filter(F.col("c") >= max(1, SUPPORT * n)).select("token", (F.abs(F.col("p") - share) * F.sqrt("c")).alias("w"))
-    baskets = (
-        labelled.withColumn("id", F.monotonically_increasing_id())
-        .select("id", "label", F.explode("tokens").alias("token"))
-        .join(telling, "token")
-        .groupBy("id", "label")
-        .agg(F.slice(F.sort_array(F.collect_list(F.struct("w", "token")), asc=False), 1, TOKENS)["token"].alias("tokens"))
-        .select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
-    )
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(baskets)
-    found = model.associationRules.filter(F.col("consequent")[0].startswith("label:") & (F.size("antecedent") <= SIZE))
-    found = found.filter(~F.exists("antecedent", lambda t: t.startswith("label:")))
+    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
+    spark = labelled.sparkSession
+    baskets = staged(baskets.repartition(spark.sparkContext.defaultParallelism), "baskets")  # FP-growth reads it several times
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    found = model.associationRules.filter(F.col("consequent")[0].startswith("label:"))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 7)").alias("label"), "confidence", "support")
-    best: dict[tuple[frozenset[str], str], tuple[float, float]] = {}
-    for r in found.orderBy(F.size("tokens"), F.desc("confidence"), F.desc("support"), "tokens").limit(RULES).collect():
-        tokens = frozenset(r["tokens"])
-        parts = (frozenset(c) for k in range(1, len(tokens)) for c in combinations(sorted(tokens), k))
-        if all(best.get((p, r["label"]), (0.0,))[0] < r["confidence"] for p in parts):
-            best[tokens, r["label"]] = (r["confidence"], r["support"])
-    return [(t, label, c, s) for (t, label), (c, s) in best.items()]
+    kept: list[tuple[frozenset[str], str, float, float]] = []
+    holding: dict[str, list[int]] = {}
+    for r in found.orderBy(F.size("tokens"), "tokens", "label").toLocalIterator():
+        parts = Counter(i for t in r["tokens"] for i in holding.get(t, ()))
+        if any(n == len(kept[i][0]) and kept[i][1] == r["label"] and kept[i][2] >= r["confidence"] for i, n in parts.items()):
+            continue
+        for t in r["tokens"]:
+            holding.setdefault(t, []).append(len(kept))
+        kept.append((frozenset(r["tokens"]), r["label"], r["confidence"], r["support"]))
+    return kept
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = LIST, sample: int = SAMPLE) -> DataFrame:
     """`page_id, host, path, rule, verdict, confidence` for each row of pages(page_id, url).
 
-    The list's longest fitting rule decides. Addresses that it decides are the labels that rules are mined from (at
-    most `sample`, those of least hash); a mined rule decides the others: of those whose tokens an address holds
-    all, the most confident, then best supported, then least; `allow` if none fits. A null url or one without
-    `://` has empty host and path, no tokens, and so is allowed. Repeated rows come back each; no rows give no
+    The list's longest fitting rule decides. The verdicts that it gives are the labels, as pages have no others: rules are
+    mined from at most `sample` such addresses, those of least hash, and carry the list's judgement over to addresses
+    with the same combinations of tokens. Of the mined rules whose tokens an address holds all, the most confident
+    decides, then the best supported, then the least; `allow` if none fits. A null url or one without `://` has empty
+    host and path, no tokens, and so is allowed. Urls of any length are taken whole, with all their tokens. Repeated rows come back each; no rows give no
     rows; other columns are ignored.
     """
     spark = pages.sparkSession
@@ -107,7 +100,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = LIST, samp
     keep = marked.schema
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column="url"):
             tokens = pa.array([tokens_of(u) for u in batch.column("url").to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([tokens, batch.column("listed")], ["tokens", "label"])
 
@@ -122,7 +115,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = LIST, samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, size, label, confidence = shared.value
-        for batch in batches:
+        for batch in slices(batches, column="url"):
             verdicts, sure = [], []
             for url, known in zip(batch.column("url").to_pylist(), batch.column("listed").to_pylist()):
                 if known:
