@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from padlens.llm.common import buffer_of, mix, runs, slices, staged, texts_of
 
-#: Units on either side that a cut's hash exceeds, units in every run of which one ends a chunk, least repeated run in words.
+#: Units on either side that a cut's hash exceeds, units in every run of which one ends a chunk, words of a compared passage.
 NEAR, REACH, LEAST_WORDS = 3, 10, 12
+#: Least words of a span, or as many times WORD_BYTES bytes. Of 51 repeated words some run of REACH within the first 17 holds a cut that both places share and
+#: another one within the last 22, so their passages cover 25 or more; in long words the bytes count.
+LEAST_RUN = 22
 #: Words of more bytes are cut into pieces; in every run of PIECE bytes one ends. A piece of WORD_BYTES counts as a word.
 LONG_WORD, PIECE, WORD_BYTES = 48, 12, 6
 
@@ -182,16 +185,18 @@ def passage_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
     """`doc_id, span_start, span_stop, n_chunks, n_words, first_doc_id`: byte ranges whose text came before.
 
     Passages of `least_words` words (in long words: as many times WORD_BYTES bytes) are compared from each chunk's
     start. Of equal passages the first (least doc_id, then position) stays; others that overlap make one span, with the
-    white space behind it. Shorter repeats, such as a licence line, are left alone. A repeat loses at most the bytes and
-    units up to its first cut and after its last one, so none of over 50 words is missed. n_chunks counts a span's
-    passages; first_doc_id is the least document that holds any of them first; it equals doc_id where a text repeats
-    itself. Null and empty texts have no span; rows without doc_id are left out; rows repeated with the same doc_id
-    count as one document. Digests have 64 bits.
+    white space behind it. Spans of fewer than `least_run` words and
+    as many times WORD_BYTES bytes, such as a licence line, are left alone. A repeat loses
+    at most the bytes and units up to its first cut and after its last one, so none of over 50 words is missed. n_chunks
+    counts a span's passages; first_doc_id is the least document that holds any of them first; it equals doc_id where a
+    text repeats itself. Null and empty texts have no span; texts of any length are read whole; rows without doc_id are
+    left out; rows repeated with the same doc_id count as one document; no rows give no rows. Digests have 64 bits: a
+    passage that meets another by chance is shorter than a span, so it can only lengthen a true repeat that it overlaps.
     """
     table = staged(passage_table(docs.filter("doc_id is not null and text <> ''"), least_words), "passages")
     rows = table.select("doc_id", F.posexplode("passages").alias("i", "c")).select("doc_id", "i", "c.digest", "c.start", "c.stop", "c.weight")
@@ -208,7 +213,7 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
         F.count("*").alias("n_chunks"),
         ((F.max("weight") - F.min("weight")) / WORD_BYTES + least_words).cast("long").alias("n_words"),
         F.min("first").alias("first_doc_id"),
-    ).drop("island")
+    ).filter((F.col("n_words") >= least_run) | (F.col("span_stop") - F.col("span_start") >= least_run * WORD_BYTES)).drop("island")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -219,7 +224,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     joined = docs.join(cuts, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist()):
                 if spans and text:
