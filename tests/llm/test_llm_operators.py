@@ -310,6 +310,51 @@ def test_wrapped_licences(lead, width):
         assert want not in [m[0] for m in licenses.Rules(licenses.SENTENCES, licenses.RULES, licenses.GAP).match(broken)]
 
 
+def test_broken_files_are_null(spark):
+    whole = media.encode([media.padded(b"some text " * 200)])[0]
+    baseline = whole.replace(b"\xff\xc2", b"\xff\xc0", 1)
+    files = [None, b"", whole[:1], whole[:40], whole[: len(whole) // 2], whole[:-2], b"not a file", baseline, whole]
+    rows = spark.createDataFrame([(i, 2000, None if f is None else bytearray(f)) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in media.decode(rows).collect()}
+    names = ("payload", "height", "width", "feature", "tensor")
+    assert all(got[i][k] is None for i in range(len(files) - 1) for k in names)
+    last = got[len(files) - 1]
+    assert bytes(last["payload"]) == media.padded(b"some text " * 200) and len(last["tensor"]) == last["height"] * last["width"] * 3
+
+
+def test_similar_documents(spark):
+    """Groups at 0.8 or more of common five-word shingles: chains, stars, odd rows; two texts of one doc_id are one document."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base, rows = [rng.choices(words, k=120) for _ in range(30)], []
+    for text in base:
+        for _ in range(8):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), rng.choice([0, 1, 1, 2, 3, 4, 8])):
+                copy[at] = "other"
+            rows.append(" ".join(copy))
+            if rng.random() < 0.5:
+                text = copy
+    rows += ["", " \n", None, "one", "One ", "one two", "a b c d e", "a b c d e f"]
+    ids = rng.sample(range(10_000), len(rows))
+    data = [*zip(ids, rows), (ids[0], rows[0]), (ids[0], rows[20]), (None, rows[0])]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()) for i, t in data if i is not None]
+    want = _union(ids, [(i, j) for i, x in sets for j, y in sets if i < j and len(x & y) >= 0.8 * len(x | y)])
+    got = simhash.similar_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, want[i]) for i, _ in sets)
+
+
+def test_forest_joins_what_pairs_join():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fp = np.concatenate([base[rng.integers(0, 12)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64), keepdims=True) for _ in range(300)])
+    for side in (None, rng.random(300) < 0.5):
+        near = [(i, j) for i in range(300) for j in range(300) if i < j and (side is None or side[i] != side[j]) and int(fp[i] ^ fp[j]).bit_count() <= 9]
+        left, right = simhash.forest(fp, side, 9, tile=64)
+        assert len(left) <= 2 * 300 and {(min(i, j), max(i, j)) for i, j in zip(left.tolist(), right.tolist())} <= set(near)
+        assert _union(range(300), zip(left.tolist(), right.tolist())) == _union(range(300), near)
+
+
 def test_media_round_trip(spark, texts):
     rows = {r["doc_id"]: r for r in op9_media(spark, SF).collect()}
     import hashlib
@@ -386,6 +431,39 @@ def test_url_verdicts(spark):
         assert r["verdict"] == verdict if rule else r["verdict"] in ("allow", "block")
 
 
+def test_final_verdicts_match_brute_force(spark):
+    """Verdicts of unlisted addresses from all token combinations, counted one by one."""
+    from itertools import combinations
+
+    rng = random.Random(2)
+    hosts = ["a.net", "b.example.net", "c.example.com", "d.org", "e.edu", "f.example.edu"]
+    urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr'])}/{rng.randint(0, 9)}{rng.choice(['', '?ref=x'])}" for _ in range(300)]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    known = [(frozenset(urlfilter.tokens_of(u)), _slow_rule(u)[3]) for u in urls]
+    known = [k for k in known if k[1]]
+    held, right = {}, {}
+    for tokens, label in known:
+        for k in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), k):
+                held[part] = held.get(part, 0) + 1
+                right[part, label] = right.get((part, label), 0) + 1
+    rules = {(p, v): (n / held[p], n / len(known)) for (p, v), n in right.items() if n / len(known) >= urlfilter.SUPPORT and n / held[p] >= urlfilter.CONFIDENCE}
+    mined = 0
+    for i, u in enumerate(urls):
+        rule, verdict = _slow_rule(u)[2:]
+        if not rule:
+            tokens = urlfilter.tokens_of(u)
+            fits = [(c, v) for (p, v), (c, _) in rules.items() if set(p) <= set(tokens)]
+            best = max(c for c, _ in fits) if fits else None
+            mined += bool(fits)
+            assert got[i]["confidence"] == pytest.approx(best) if fits else got[i]["verdict"] == "allow"
+            # Parts of a rule that are as sure stand for it; they are at least as well supported.
+            top = [(-rules[p, v][1], sorted(p), v) for (p, v), (c, _) in rules.items() if set(p) <= set(tokens) and c == best and not any((q, v) in rules and rules[q, v][0] >= c for k in range(1, len(p)) for q in combinations(p, k))]
+            verdict = min(top)[2] if top else "allow"
+        assert got[i]["verdict"] == verdict, u
+    assert mined > 20
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(4)
     rows = []
