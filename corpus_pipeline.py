@@ -14,37 +14,37 @@ from padlens.llm import decontaminate, packing, simhash, substring, toxicity
 from padlens.llm.common import staged
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids(doc_id), one for each id."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic. The model learns from the labelled rows of docs that its folds allow."""
-    scored = toxicity.scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scored.filter("predicted = 1").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents predicted toxic, each row by its own text. The model learns from the labelled rows of docs that its
+    folds allow. Rows repeated or of equal texts fare alike; a null or empty text is judged as one without words."""
+    return toxicity.accepted(docs.filter("doc_id is not null"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one of least doc_id, one row of it."""
-    groups = simhash.near_duplicates(docs)
-    return _keep(docs, groups.filter("doc_id = component_id").select("doc_id"))
+    """Keeps one document of each group of near copies (five words, similarity of 0.8): the one of least doc_id, one row of
+    it, that of the least text. Null, empty and wordless texts are copies of each other."""
+    groups = simhash.similar_documents(docs)
+    kept = docs.join(groups.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = kept.groupBy("doc_id").agg(F.min(F.struct(F.col("text").alias("_"), F.struct(*docs.columns).alias("row"))).alias("least"))
+    return rows.select(*(F.col(f"least.row.{c}") for c in docs.columns))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages out that an earlier document (or place) holds; documents stay, n_chars is counted anew."""
+    """Cuts passages out that an earlier document (or place) holds; documents stay, n_chars is counted anew. Null and empty
+    texts, and texts of fewer words than a passage, stay as they are; rows repeated with a doc_id are cut alike."""
     return substring.without_spans(docs, substring.repeated_spans(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item: all rows of their doc_id. Null and empty texts hold none."""
     found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = staged(found.select("doc_id").distinct(), "contaminated")  # read back, Spark knows its size: broadcast if small
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into windows; one row for each piece."""
+    """Packs the documents into windows; one row for each piece. A null or empty text is the end id alone; repeated rows
+    are packed each."""
     return packing.pack(docs)
 
 
