@@ -6,10 +6,11 @@ batch is one lane; all lanes advance by one symbol at a time, so numpy's cost pe
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -253,49 +254,94 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Lanes:
-    """Segments of one kind of scan: where their bits begin, their blocks, band and tables; lists by scan, joined once."""
-
-    bit: list = field(default_factory=list)
-    at: list = field(default_factory=list)
-    first: list = field(default_factory=list)  # first block of each segment within the scan
-    n: list = field(default_factory=list)
-    band: list = field(default_factory=list)  # ss, se, al
-    table: list = field(default_factory=list)
-    order: list = field(default_factory=list)
-    base: list = field(default_factory=list)
-    component: list = field(default_factory=list)
-    blocks: int = 0
-
-    def join(self, clean: np.ndarray, index: np.ndarray) -> None:
-        """From lists by scan to arrays by segment (order, component and a DC table: by block)."""
-        segments, sizes = [len(x) for x in self.n], [len(x) for x in self.order]
-        self.bit = clean[np.concatenate(self.bit)] * 8
-        self.at = np.concatenate(self.first) + np.repeat(self.at, segments)
-        self.n = np.concatenate(self.n)
-        self.band = np.repeat(np.array(self.band), segments, axis=0)
-        self.order = np.concatenate(self.order) + np.repeat(self.base, sizes)
-        if self.component:
+    """Segments of one kind of scan: where their bits begin, their blocks, band and tables; scan by scan, joined once."""
+
+    scans: list[tuple] = field(default_factory=list)  # first marker, first byte, plan, first block, band (ss, se, al), tables
+
+    def join(self, clean: np.ndarray, marks: np.ndarray) -> None:
+        """From scans to arrays by segment (order, component and a DC table: by block)."""
+        mark, begin, plans, base, band, table = zip(*self.scans)
+        segments, sizes = np.array([len(p.n) for p in plans]), np.array([len(p.order) for p in plans])
+        head = np.cumsum(segments) - segments
+        within = np.arange(segments.sum()) - np.repeat(head, segments)
+        start = marks[np.maximum(np.repeat(mark, segments) + within - 1, 0)] + 2  # behind the marker before
+        start[head] = begin
+        self.bit = clean[start] * 8
+        self.at = np.concatenate([p.first for p in plans]) + np.repeat(np.cumsum(sizes) - sizes, segments)
+        self.n = np.concatenate([p.n for p in plans])
+        self.band = np.repeat(np.array(band), segments, axis=0)
+        self.order = np.concatenate([p.order for p in plans]) + np.repeat(base, sizes)
+        if self.band[0, 0] == 0:
             wide = np.zeros((len(sizes), 4), np.int64)
-            for row, t in zip(wide, self.table):
-                row[: len(t)] = index[t]
-            self.component = np.concatenate(self.component)
+            for row, t in zip(wide, table):
+                row[: len(t)] = t
+            self.component = np.concatenate([p.component for p in plans])
             self.table = wide[np.repeat(np.arange(len(sizes)), sizes), self.component]
         else:
-            self.table = np.repeat(index[[t[0] for t in self.table]], segments)
+            self.table = np.repeat([t[0] for t in table], segments)
 
 
-def _parse(data: bytes, base: int, marks: np.ndarray, out: dict, tables: list[np.ndarray], start: int) -> tuple[Frame, np.ndarray, int]:
-    """Headers of one file; its segments go to `out` by (turn, kind). marks: markers within the batch. Gives the frame, the quantisation table by component, and the payload's length."""
+@lru_cache(256)
+def _frame_of_header(body: bytes) -> tuple[Frame, bytes, bytes]:
+    """Frame, ids and quantisation slots of the components."""
+    _, height, width, n = struct.unpack(">BHHB", body[:6])
+    parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(n)]
+    if n not in (1, 3) or body[0] != 8 or not height or not width:
+        raise ValueError("not an 8-bit image of one or three components")
+    return Frame(height, width, [(p[1] >> 4, p[1] & 15) for p in parts]), bytes(p[0] for p in parts), bytes(p[2] for p in parts)
+
+
+@lru_cache(4096)
+def _scan_of_header(ids: bytes, trail: tuple[bytes, ...]) -> tuple[tuple[int, ...], bytes, tuple[int, int, int], str, int]:
+    """Components, table slots, band (ss, se, al), kind and turn of the last of the scan headers in trail.
+
+    A scan's turn comes after those of all scans before it that share a component and a part of the band.
+    """
+    parsed, turns = [], []
+    for body in trail:
+        n = body[0]
+        components = tuple(ids.index(body[1 + 2 * i]) for i in range(n))
+        ss, se = body[1 + 2 * n], body[2 + 2 * n]
+        met = [t for t, (c, a, b) in zip(turns, parsed) if set(c) & set(components) and a <= se and b >= ss]
+        parsed.append((components, ss, se))
+        turns.append(1 + max(met, default=-1))
+    approximation = trail[-1][3 + 2 * n]
+    slots = bytes(w >> 4 if ss == 0 else 0x10 | w & 15 for w in trail[-1][2 : 2 + 2 * n : 2])
+    return components, slots, (ss, se, approximation & 15), ("dc" if ss == 0 else "ac") + ("+" if approximation >> 4 else ""), turns[-1]
+
+
+@lru_cache(256)
+def _tables_of_header(body: bytes) -> list[tuple[int, bytes]]:
+    """Slot and definition of each Huffman table."""
+    out = []
+    while body:
+        key = body[: 17 + sum(body[1:17])]
+        out.append((key[0], key[1:]))
+        body = body[len(key) :]
+    return out
+
+
+def _parse(data: bytes, base: int, marks: np.ndarray, out: dict, tables: dict[bytes, int], start: int) -> tuple[Frame, np.ndarray, int]:
+    """Headers of one file; its segments go to `out` by (turn, kind). marks: markers within the batch; tables: the batch's
+    Huffman tables by definition. Gives the frame, the quantisation table by component, and the payload's length."""
     at, restart, length, frame = 2, 0, -1, None
     quant: dict[int, np.ndarray] = {}
     huffman: dict[int, int] = {}
-    ids: list[int] = []
-    of: list[int] = []
-    done: list[tuple] = []
+    trail: tuple[bytes, ...] = ()
     while data[at + 1] != 0xD9:
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body, at = data[at + 4 : at + 2 + size], at + 2 + size
-        if marker == 0xFE and body.startswith(b"payload "):
+        if marker == 0xDA:
+            trail += (body,)
+            components, slots, band, kind, turn = _scan_of_header(ids, trail)
+            plan = frame.plan(components, restart)
+            mark = bisect_left(marks, start + at)
+            to = out.get((turn, kind))
+            if to is None:
+                to = out[turn, kind] = Lanes()
+            to.scans.append((mark, start + at, plan, base, band, [huffman.get(x, 0) for x in slots]))
+            at = marks[mark + len(plan.n) - 1] - start
+        elif marker == 0xFE and body.startswith(b"payload "):
             length = int(body[8:])
         elif marker == 0xDB:
             while body:
@@ -303,57 +349,31 @@ def _parse(data: bytes, base: int, marks: np.ndarray, out: dict, tables: list[np
                 quant[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.float32)
                 body = body[65 + 64 * wide :]
         elif marker == 0xC2:
-            _, height, width, n = struct.unpack(">BHHB", body[:6])
-            parts = [body[6 + 3 * i : 9 + 3 * i] for i in range(n)]
-            ids, of = [p[0] for p in parts], [p[2] for p in parts]
-            frame = Frame(height, width, [(p[1] >> 4, p[1] & 15) for p in parts], base)
+            shape, ids, of = _frame_of_header(body)
+            frame = copy(shape)
+            frame.base = base
         elif marker in (0xC0, 0xC1):
             raise ValueError("not a progressive file")
         elif marker == 0xC4:
-            while body:
-                count = sum(body[1:17])
-                key = bytes(body[: 17 + count])
-                if key not in _KNOWN:
-                    _KNOWN[key] = Huffman(list(key[1:17]), list(key[17:])).look
-                tables.append(_KNOWN[key])
-                huffman[key[0]] = len(tables) - 1
-                body = body[17 + count :]
+            for slot, key in _tables_of_header(body):
+                huffman[slot] = tables.setdefault(key, len(tables))
         elif marker == 0xDD:
             restart = int.from_bytes(body, "big")
-        elif marker == 0xDA:
-            n = body[0]
-            components = tuple(ids.index(body[1 + 2 * i]) for i in range(n))
-            which = [body[2 + 2 * i] for i in range(n)]
-            ss, se, ah, al = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
-            plan = frame.plan(components, restart)
-            lanes = len(plan.n)
-            k = int(np.searchsorted(marks, start + at))
-            cuts = marks[k : k + lanes]
-            begin = np.empty(lanes, np.int64)
-            begin[0] = start + at
-            begin[1:] = cuts[:-1] + 2
-            kind = ("dc" if ss == 0 else "ac") + ("+" if ah else "")
-            turn = 1 + max((t for t, c, a, b in done if c & set(components) and a <= se and b >= ss), default=-1)
-            done.append((turn, set(components), ss, se))
-            to = out.setdefault((turn, kind), Lanes())
-            to.bit.append(begin)
-            to.at.append(to.blocks)
-            to.n.append(plan.n)
-            to.first.append(plan.first)
-            to.band.append((ss, se, al))
-            to.order.append(plan.order)
-            to.base.append(base)
-            to.blocks += len(plan.order)
-            if ss == 0:
-                to.component.append(plan.component)
-                to.table.append([huffman.get(w >> 4, 0) for w in which])
-            else:
-                to.table.append([huffman.get(0x10 | which[0] & 15, 0)])
-            at = int(cuts[lanes - 1]) - start
+    if frame is None or at >= len(data) or data[:2] != b"\xff\xd8":
+        raise ValueError("not a whole file")
     return frame, np.stack([quant[q] for q in of]), length
 
 
-_KNOWN: dict[bytes, np.ndarray] = {}
+@lru_cache(256)
+def _looks(key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By the next sixteen bits: length << 8 | symbol of the code, and for codes that hold a value within these bits
+    length with it << 20 | zeros before << 16 | value + 2^15; 0 where that isn't so."""
+    look = Huffman(list(key[:16]), list(key[16:])).look
+    peek = np.arange(1 << 16)
+    used, run, size = look >> 8, look >> 4 & 15, look & 15
+    whole = used + size
+    value = _extend(peek >> np.maximum(16 - whole, 0) & (1 << size) - 1, size)
+    return look, np.where((size > 0) & (whole <= 16), whole << 20 | run << 16 | value + (1 << 15), 0)
 
 
 def _extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -361,23 +381,19 @@ def _extend(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Reader:
-    """Bits of a batch: eight bytes from any byte offset as one number."""
+    """Bits of a batch, from the seven bytes at any byte offset as one number."""
 
     def __init__(self, data: np.ndarray):
         padded = np.concatenate([data, np.full(16, 255, np.uint8)])
-        wide = np.zeros(len(data) + 8, np.uint64)
-        for k in range(8):
-            wide |= padded[k : k + len(wide)].astype(np.uint64) << np.uint64(56 - 8 * k)
-        self.wide = wide
+        self.wide = (np.ndarray((len(data) + 8,), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8)).view(np.int64)
 
-    def at(self, bit: np.ndarray) -> np.ndarray:
-        """The 57 bits or more from each bit offset, at the top."""
-        return self.wide[bit >> 3] << (bit & 7).astype(np.uint64)
+    def peek(self, bit: np.ndarray) -> np.ndarray:
+        """The sixteen bits from each bit offset."""
+        return self.wide[bit >> 3] >> 40 - (bit & 7) & 0xFFFF
 
-
-def _top(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The top n bits; n may be 0."""
-    return ((x >> np.uint64(1)) >> (63 - n).astype(np.uint64)).astype(np.int64)
+    def bits(self, bit: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """The n bits from each bit offset, 16 at most; n may be 0."""
+        return self.wide[bit >> 3] >> 56 - (bit & 7) - n & (1 << n) - 1
 
 
 def _dc(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray) -> None:
@@ -388,10 +404,9 @@ def _dc(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray)
     for k in range(int(n.max())):
         live = live[n[live] > k]
         place = at[live] + k
-        x = read.at(bit[live])
-        found = look[table[place], (x >> np.uint64(48)).astype(np.int64)]
+        found = look[table[place], read.peek(bit[live])]
         size, used = found & 255, found >> 8
-        difference[place] = _extend(_top(x << used.astype(np.uint64), size), size)
+        difference[place] = _extend(read.bits(bit[live] + used, size), size)
         bit[live] += used + size
     lane = np.repeat(np.arange(len(n)), n)
     key = lane * 4 + component
@@ -406,35 +421,37 @@ def _dc_more(lanes: Lanes, read: Reader, coefficients: np.ndarray) -> None:
     bit, n, order = lanes.bit, lanes.n, lanes.order
     al = np.repeat(lanes.band[:, 2], n)
     within = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-    x = read.at(np.repeat(bit, n) + within) >> np.uint64(63)
-    coefficients[order, 0] |= (x.astype(np.int64) << al).astype(coefficients.dtype)
+    coefficients[order, 0] |= (read.bits(np.repeat(bit, n) + within, 1) << al).astype(coefficients.dtype)
 
 
-def _ac(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray) -> None:
+def _ac(lanes: Lanes, read: Reader, look: np.ndarray, fast: np.ndarray, coefficients: np.ndarray) -> None:
     """First scan of a band: one symbol of every lane at a time."""
     order, bit, at, n, table = lanes.order, lanes.bit, lanes.at, lanes.n, lanes.table
     ss, se, al = lanes.band.T
     end, k = at + n, ss.copy()
     flat = coefficients.reshape(-1)
     one = table[0] if (table == table[0]).all() else None
+    base = order[at] * 64
     while len(bit):
-        x = read.at(bit)
-        peek = (x >> np.uint64(48)).astype(np.int64)
-        found = look[one][peek] if one is not None else look[table, peek]
-        used, run, size = found >> 8, found >> 4 & 15, found & 15
-        zero = size == 0
-        bits = np.where(zero, np.where(run < 15, run, 0), size)
-        extra = _top(x << used.astype(np.uint64), bits)
-        bit += used + bits
-        k += run
-        value = _extend(extra, size) << al
-        some = ~zero
-        if some.all():
-            flat[order[at] * 64 + k] = value
+        peek = read.peek(bit)
+        found = fast[one][peek] if one is not None else fast[table, peek]
+        if found.all():  # each lane reads a value
+            bit += found >> 20
+            k += found >> 16 & 15
+            flat[base + k] = (found & 0xFFFF) - (1 << 15) << al
             k += 1
             over = k > se
         else:
-            flat[order[at[some]] * 64 + k[some]] = value[some]
+            found = look[one][peek] if one is not None else look[table, peek]
+            used, run, size = found >> 8, found >> 4 & 15, found & 15
+            zero = size == 0
+            bits = np.where(zero, np.where(run < 15, run, 0), size)
+            extra = read.bits(bit + used, bits)
+            bit += used + bits
+            k += run
+            value = _extend(extra, size) << al
+            some = ~zero
+            flat[base[some] + k[some]] = value[some]
             ends = zero & (run < 15)
             at = np.where(ends, at + (1 << run) + extra - 1, at)
             k += 1
@@ -445,10 +462,11 @@ def _ac(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray)
             live = at < end
             if not live.all():
                 bit, at, end, k, ss, se, al, table = (v[live] for v in (bit, at, end, k, ss, se, al, table))
+            base = order[at] * 64
 
 
-def _ac_more(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndarray) -> None:
-    """Later scan of a band: a bit for each coefficient that is not zero, and new ones of size one.
+def _ac_more(lanes: Lanes, read: Reader, single: np.ndarray, look: np.ndarray, coefficients: np.ndarray) -> None:
+    """Later scan of a band: a bit for each coefficient that is not zero, and new ones of size one. single: each bit.
 
     A lane reads a symbol, then goes on by one coefficient at a time to the place of the new one; where the band
     ends for a run of blocks, all their bits are read at once.
@@ -458,29 +476,28 @@ def _ac_more(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndar
     end, k = at + n, ss.copy()
     flat = coefficients.reshape(-1)
 
-    def correct(where: np.ndarray, bits: np.ndarray, low: np.ndarray) -> None:
-        set_ = (read.at(bits) >> np.uint64(63)).astype(bool)
-        where, low = where[set_], low[set_]
-        old = flat[where].astype(np.int64)
-        new = (np.abs(old) >> low & 1) == 0
-        flat[where[new]] = (old + np.where(old < 0, -1, 1) * (np.int64(1) << low))[new]
+    def correct(where: np.ndarray, old: np.ndarray, bits: np.ndarray, low: np.ndarray) -> None:
+        """Adds the bit to what stands at each place, away from zero."""
+        low = low.astype(old.dtype)
+        step = (single[bits] & (np.abs(old) >> low & 1 == 0)).astype(old.dtype) << low
+        flat[where] = old + np.where(old < 0, -step, step)
 
     while len(bit):
-        x = read.at(bit)
-        found = look[table, (x >> np.uint64(48)).astype(np.int64)]
+        found = look[table, read.peek(bit)]
         used, run, size = found >> 8, found >> 4 & 15, found & 15
         ends = (size == 0) & (run < 15)
         bits = np.where(ends, run, np.where(size > 0, 1, 0))
-        extra = _top(x << used.astype(np.uint64), bits)
+        extra = read.bits(bit + used, bits)
         bit = bit + used + bits
         new = np.where(size > 0, np.where(extra > 0, 1, -1), 0)
         left = run.copy()
         going = np.flatnonzero(~ends)
         while len(going):  # to the place of the new coefficient, or past sixteen zeros
             where = order[at[going]] * 64 + k[going]
-            old = flat[where] != 0
+            value = flat[where]
+            old = value != 0
             if old.any():
-                correct(where[old], bit[going[old]], al[going[old]])
+                correct(where[old], value[old], bit[going[old]], al[going[old]])
                 bit[going[old]] += 1
             stop = ~old & (left[going] == 0)
             put = stop & (new[going] != 0)
@@ -495,16 +512,20 @@ def _ac_more(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndar
             count = np.minimum(count, end[closing] - at[closing])
             lane = np.repeat(closing, count)
             block = at[lane] + np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
-            width = int((se[closing] - ss[closing]).max()) + 1
-            column = ss[lane][:, None] + np.arange(width)
+            low, high = int(ss[closing].min()), int(se[closing].max())
+            value = coefficients[order[block], low : high + 1]
+            column = np.arange(low, high + 1)
+            member = value != 0
             begin = np.where(block == at[lane], k[lane], ss[lane])
-            where = order[block][:, None] * 64 + np.minimum(column, 63)
-            member = (column >= begin[:, None]) & (column <= se[lane][:, None]) & (flat[where] != 0)
-            row, _ = np.nonzero(member)
-            of = lane[row]
-            total = np.bincount(of, minlength=len(bit))
+            if (begin > low).any() or (se[closing] < high).any():
+                member &= (column >= begin[:, None]) & (column <= se[lane][:, None])
+            each = member.sum(1)  # bits of each block, one after the other within a lane
+            total = np.bincount(lane, each, len(bit)).astype(np.int64)
+            of = np.repeat(lane, each)
             first = np.cumsum(total) - total
-            correct(where[member], bit[of] + np.arange(len(of)) - first[of], al[of])
+            where = np.flatnonzero(member)
+            row, place = where // len(column), where % len(column) + low
+            correct(order[block][row] * 64 + place, value.ravel()[where], (bit - first)[of] + np.arange(len(of)), al[of])
             bit = bit + total
             at[closing] += count
         at = at + full
@@ -515,7 +536,10 @@ def _ac_more(lanes: Lanes, read: Reader, look: np.ndarray, coefficients: np.ndar
 
 
 def coefficients_of(files: list[bytes]) -> tuple[np.ndarray, list[Frame], list[np.ndarray], list[int]]:
-    """Coefficients (block, zigzag place) of all files, accumulated scan by scan, with frames, tables and payload lengths."""
+    """Coefficients (block, zigzag place) of all files, accumulated scan by scan, with frames, tables and payload lengths.
+
+    Raises one of BROKEN if a file is not a whole progressive one.
+    """
     data = np.frombuffer(b"".join([*files, b"\0\0"]), np.uint8)
     marked = np.flatnonzero(data[:-1] == 255)
     following = data[marked + 1]
@@ -524,34 +548,38 @@ def coefficients_of(files: list[bytes]) -> tuple[np.ndarray, list[Frame], list[n
     keep = np.ones(len(data), bool)
     keep[stuffed] = False
     clean = np.concatenate([[0], np.cumsum(keep)])
-    read = Reader(data[keep])
+    kept = data[keep]
+    read = Reader(kept)
     turns: dict[tuple[int, str], Lanes] = {}
-    tables: list[np.ndarray] = []
-    frames, quants, lengths, base, start = [], [], [], 0, 0
+    tables: dict[bytes, int] = {}
+    frames, quants, lengths, base, start, places = [], [], [], 0, 0, marks.tolist()
     for f in files:
-        frame, quant, length = _parse(f, base, marks, turns, tables, start)
+        frame, quant, length = _parse(f, base, places, turns, tables, start)
         frames.append(frame)
         quants.append(quant)
         lengths.append(length)
         base, start = base + frame.first[-1], start + len(f)
-    distinct: dict[int, int] = {}
-    index = np.array([distinct.setdefault(id(t), len(distinct)) for t in tables])
-    look = np.stack([next(t for t in tables if id(t) == i) for i in distinct])
+    look, fast = (np.stack(x) for x in zip(*map(_looks, tables)))
+    single = np.unpackbits(kept).view(bool) if any(kind == "ac+" for _, kind in turns) else None
     coefficients = np.zeros((base, 64), np.int32)
     for turn, kind in sorted(turns):
         lanes = turns[turn, kind]
-        lanes.join(clean, index)
+        lanes.join(clean, marks)
         if kind == "dc":
             _dc(lanes, read, look, coefficients)
         elif kind == "dc+":
             _dc_more(lanes, read, coefficients)
         elif kind == "ac":
-            _ac(lanes, read, look, coefficients)
+            _ac(lanes, read, look, fast, coefficients)
         else:
-            _ac_more(lanes, read, look, coefficients)
+            _ac_more(lanes, read, single, look, coefficients)
     return coefficients, frames, quants, lengths
 
 
+#: What coefficients_of() raises for a null, empty or truncated file, or one that is no progressive JPEG.
+BROKEN = (TypeError, ValueError, IndexError, KeyError, UnboundLocalError, AttributeError, struct.error)
+
+
 def _inverse() -> np.ndarray:
     """From coefficients in zigzag order to pixels: one 64 x 64 matrix."""
     k, x = np.arange(8)[:, None], np.arange(8)[None, :]
@@ -635,22 +663,35 @@ def decode(media: DataFrame, tensor: bool = True) -> DataFrame:
 
     Any progressive 8-bit file with Huffman coding and one or three components is read; payload is null where a file
     has no payload length. feature names the size, the sums of the three channels and the tensor's crc32. tensor
-    holds the RGB bytes row by row, or null if not asked for.
+    holds the RGB bytes row by row, or null if not asked for. For a file that is null, empty, truncated or of another
+    kind all five are null; its neighbours are read. Repeated rows come back each, files of any length are read whole,
+    no rows give no rows.
     """
+    nothing = (None,) * 5
+
+    def read(files: list[bytes]) -> list[tuple]:
+        coefficients, frames, quants, lengths = coefficients_of(files)
+        out = []
+        for f, n, x in zip(frames, lengths, tensors(coefficients, frames, quants)):
+            sums = x.reshape(-1, 3).sum(0, dtype=np.int64).tolist()
+            feature = f"{f.height}x{f.width}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(x):08x}"
+            out.append((payload_of(coefficients, f, n) if n >= 0 else None, f.height, f.width, feature, x.tobytes() if tensor else None))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 << 20, "media"):
-            coefficients, frames, quants, lengths = coefficients_of(batch.column("media").to_pylist())
-            payload, feature, pixels = [], [], []
-            for f, n, x in zip(frames, lengths, tensors(coefficients, frames, quants)):
-                payload.append(payload_of(coefficients, f, n) if n >= 0 else None)
-                sums = x.reshape(-1, 3).sum(0, dtype=np.int64).tolist()
-                feature.append(f"{f.height}x{f.width}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(x):08x}")
-                pixels.append(x.tobytes() if tensor else None)
-            size = [pa.array([getattr(f, k) for f in frames], pa.int32()) for k in ("height", "width")]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(payload, pa.binary()), *size, pa.array(feature, pa.string()), pa.array(pixels, pa.binary())],
-                [*batch.schema.names, "payload", "height", "width", "feature", "tensor"],
-            )
+            files = batch.column("media").to_pylist()
+            try:
+                rows = read(files)
+            except BROKEN:  # one by one, so that a broken file costs no other
+                rows = []
+                for f in files:
+                    try:
+                        rows += read([f])
+                    except BROKEN:
+                        rows.append(nothing)
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+            found = [pa.array(list(column), kind) for column, kind in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "payload", "height", "width", "feature", "tensor"])
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string, tensor binary")

@@ -48,7 +48,7 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.decode(media.store(table(spark, sf_dir, "documents")), tensor=False)
+    read = media.decode(media.store(table(spark, sf_dir, "documents")))
     return read.select(
         "doc_id",
         "n_bytes",
@@ -58,6 +58,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("tensor").cast("long").alias("tensor_bytes"),
+        F.crc32("tensor").alias("tensor_crc32"),
     )
 
 
