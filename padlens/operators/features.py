@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from padlens.operators.rows import is_correction
+
 
 def correlation(a: str, b: str) -> Column:
     """Correlation, null where one side is flat."""
@@ -31,7 +33,7 @@ def _p(value: str, level: float) -> Column:
 
 
 def finger_features(points: DataFrame, key: list[str]) -> DataFrame:
-    """the single-finger features of each gesture."""
+    """the single-finger features of each gesture. Mean speed is length over duration; without movement efficiency is 0."""
     first = Window.partitionBy(*key).orderBy("t_ms")
     last = Window.partitionBy(*key).orderBy(F.desc("t_ms"))
     all_ = Window.partitionBy(*key).orderBy("t_ms").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -73,7 +75,6 @@ def finger_features(points: DataFrame, key: list[str]) -> DataFrame:
         F.max_by("dev", F.struct(F.abs("dev"), -F.col("t_ms"))).alias("max_dev"),
         *[_p("dev", q / 100).alias(f"dev{q}") for q in (20, 50, 80)],
         zero(F.sum("length")).alias("length"),
-        zero(F.avg("speed")).alias("mean_speed"),
         _p("_early", 0.5).alias("early_accel"),
     )
     dx, dy = F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y")
@@ -81,54 +82,93 @@ def finger_features(points: DataFrame, key: list[str]) -> DataFrame:
         {
             "displacement": F.hypot(dx, dy),
             "direction": F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.atan2(dy, dx)),
-            "efficiency": F.when(F.col("length") > 1e-12, F.hypot(dx, dy) / F.col("length")).otherwise(1.0),
+            "efficiency": F.when(F.col("length") > 1e-12, F.hypot(dx, dy) / F.col("length")).otherwise(0.0),
+            "mean_speed": F.when(F.col("duration_ms") > 0, F.col("length") / (F.col("duration_ms") / 1000.0)).otherwise(0.0),
         }
     )
 
 
 def typing_features(keys: DataFrame, pause_ms: int = 500) -> DataFrame:
-    """hold, flight, bursts cut by pauses. keys(user_id, session_id, start_ms, end_ms, action, event_id)."""
+    """counts, hold, flight, down-down times, bursts cut by pauses between downs, and ways between keys; 34 columns.
+
+    keys(user_id, session_id, event_id, start_ms down, end_ms up or null, action token, x, y optional). A group whose
+    input is missing is zero, as has_up and has_xy tell.
+    """
     key = ["user_id", "session_id"]
     order = Window.partitionBy(*key).orderBy("start_ms", "end_ms", "event_id")
+    back = lambda c: F.col(c) - F.lag(c).over(order)
+    has_xy = {"x", "y"} <= set(keys.columns)
     rows = keys.withColumns(
-        {"hold": F.col("end_ms") - F.col("start_ms"), "flight": F.col("start_ms") - F.lag("end_ms").over(order), "step": F.col("start_ms") - F.lag("start_ms").over(order)}
+        {
+            "hold": F.col("end_ms") - F.col("start_ms"),
+            "flight": F.col("start_ms") - F.lag("end_ms").over(order),
+            "step": back("start_ms"),
+            "way": F.hypot(back("x"), back("y")) if has_xy else F.lit(None).cast("double"),
+        }
     )
-    rows = rows.withColumn("burst", F.sum(F.when(F.col("flight") > pause_ms, 1).otherwise(0)).over(order))
+    rows = rows.withColumn("pause", F.col("step") > pause_ms)
+    rows = rows.withColumn("burst", F.sum(F.when(F.col("pause"), 1).otherwise(0)).over(order))
     size = rows.groupBy(*key, "burst").agg(F.count("*").alias("_size")).groupBy(*key).agg(F.count("*").alias("bursts"), F.avg("_size").alias("burst_mean"), F.max("_size").alias("burst_max"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    share = lambda c: zero(F.avg(c.cast("double")))
+
+    def spread(value: str) -> list[Column]:
+        return [*[_p(value, q / 100).alias(f"{value}{q}") for q in (20, 50, 80)], zero(F.avg(value)).alias(f"{value}_mean")]
+
+    token = F.col("action")
+    last = F.coalesce(F.max("end_ms"), F.max("start_ms"))
     out = rows.groupBy(*key).agg(
         F.count("*").alias("n_keys"),
-        (F.countDistinct(F.lower("action")) / F.count("*")).alias("unique_ratio"),
-        F.avg("hold").alias("hold_mean"),
-        F.stddev_pop("hold").alias("hold_std"),
-        _p("flight", 0.5).alias("flight50"),
-        F.coalesce(F.stddev_pop("flight"), F.lit(0.0)).alias("flight_std"),
-        _p("step", 0.5).alias("step50"),
-        F.coalesce(F.avg((F.col("flight") < 0).cast("double")), F.lit(0.0)).alias("overlap"),
-        F.coalesce(F.avg((F.col("flight") > pause_ms).cast("double")), F.lit(0.0)).alias("pause_fraction"),
-        (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"),
+        F.count(F.when(token.rlike(r"^\p{L}$"), 1)).alias("n_letters"),
+        F.countDistinct(F.lower(token)).alias("n_unique"),
+        share(is_correction(token)).alias("correction_ratio"),
+        (last - F.min("start_ms")).alias("duration_ms"),
+        *spread("hold"),
+        zero(F.stddev_pop("hold")).alias("hold_std"),
+        *spread("flight"),
+        zero(F.stddev_pop("flight")).alias("flight_std"),
+        share(F.col("flight") < 0).alias("overlap"),
+        *spread("step"),
+        zero(F.stddev_pop("step")).alias("step_std"),
+        share(F.col("pause")).alias("pause_fraction"),
+        *spread("way"),
+        zero(F.sum("way")).alias("way_sum"),
+        F.max(F.col("end_ms").isNotNull().cast("int")).alias("has_up"),
     )
+    out = out.withColumn("unique_ratio", F.col("n_unique") / F.col("n_keys")).withColumn("has_xy", F.lit(int(has_xy)))
+    out = out.withColumn("key_rate", F.when(F.col("duration_ms") > 0, F.col("n_keys") / (F.col("duration_ms") / 1000.0)).otherwise(0.0))
     return out.join(size, key)
 
 
 def kinematics(points: DataFrame, key: list[str]) -> DataFrame:
-    """path, displacement, efficiency, speeds, accelerations, time steps."""
+    """duration, path, displacement, efficiency, speeds, accelerations, time steps (ms), pressure and size; 15 columns.
+
+    points(*key, t_ms, source_row, x, y, pressure, size). Without a segment the median step is the duration.
+    """
     rows = primitives(points, key)
     order = Window.partitionBy(*key).orderBy("t_ms")
     mean_dt = (F.col("dt") + F.lag("dt").over(order)) / 2
     rows = rows.withColumn("acc", F.abs(F.col("speed") - F.lag("speed").over(order)) / mean_dt)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = rows.groupBy(*key).agg(
+        (F.max("t_ms") - F.min("t_ms")).alias("duration_ms"),
         zero(F.sum("length")).alias("path"),
-        zero(F.avg("speed")).alias("mean_speed"),
         _p("speed", 0.95).alias("p95_speed"),
         zero(F.max("speed")).alias("max_speed"),
         zero(F.avg("acc")).alias("mean_accel"),
         zero(F.max("acc")).alias("max_accel"),
-        _p("dt", 0.5).alias("median_dt"),
+        (F.percentile("dt", F.lit(0.5)) * 1000).alias("_dt"),
         zero(F.try_divide(F.stddev_pop("dt"), F.avg("dt"))).alias("dt_cv"),
         F.hypot(F.max_by("x", "t_ms") - F.min_by("x", "t_ms"), F.max_by("y", "t_ms") - F.min_by("y", "t_ms")).alias("displacement"),
+        *[f(c).alias(f"{c}_{n}") for c in ("pressure", "size") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))],
     )
-    return out.withColumn("efficiency", F.when(F.col("path") > 1e-12, F.col("displacement") / F.col("path")).otherwise(1.0))
+    return out.withColumns(
+        {
+            "efficiency": F.when(F.col("path") > 1e-12, F.col("displacement") / F.col("path")).otherwise(1.0),
+            "mean_speed": F.when(F.col("duration_ms") > 0, F.col("path") / (F.col("duration_ms") / 1000.0)).otherwise(0.0),
+            "median_dt": F.coalesce("_dt", F.col("duration_ms").cast("double")),
+        }
+    ).drop("_dt")
 
 
 def channel_statistics(windows: DataFrame) -> DataFrame:
@@ -172,13 +212,13 @@ def held(windows: DataFrame, width: int) -> DataFrame:
 
 
 def linear(windows: DataFrame, width: int) -> DataFrame:
-    """linear interpolation to `width` rows."""
+    """linear interpolation to `width` rows; a window of one row is constant."""
     size = windows.groupBy("vec_id").agg(F.count("*").alias("n"))
     grid = size.select("vec_id", "n", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"))
-    place = grid.withColumn("p", F.col("k") * (F.col("n") - 1) / (width - 1)).withColumn("i", F.least(F.floor("p").cast("int"), (F.col("n") - 2).cast("int")))
+    place = grid.withColumn("p", F.col("k") * (F.col("n") - 1) / (width - 1)).withColumn("i", F.greatest(F.least(F.floor("p").cast("int"), (F.col("n") - 2).cast("int")), F.lit(0)))
     order = Window.partitionBy("vec_id").orderBy("i")
     pairs = windows.withColumn("next", F.lead("v").over(order)).select("vec_id", "i", "v", "next")
-    return place.join(pairs, ["vec_id", "i"]).select("vec_id", "k", (F.col("v") + (F.col("p") - F.col("i")) * (F.col("next") - F.col("v"))).alias("v"))
+    return place.join(pairs, ["vec_id", "i"]).select("vec_id", "k", (F.col("v") + (F.col("p") - F.col("i")) * (F.coalesce("next", "v") - F.col("v"))).alias("v"))
 
 
 def normaliser(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def candidates(labels: DataFrame, contacts: DataFrame, tolerance: int, margin: i
     j = a.join(b, ["user_id", "session_id", "act_id"])
     ds, de = F.abs(F.col("c_start_ms") - F.col("start_ms")), F.abs(F.col("c_end_ms") - F.col("end_ms"))
     scroll = (ds <= tolerance) & (F.col("c_end_ms") >= F.col("end_ms") - tolerance) & (F.col("c_end_ms") - F.col("end_ms") <= margin)
-    spare = (F.col("start_ms") - F.col("c_start_ms")) + (F.col("c_end_ms") - F.col("end_ms"))
+    spare = F.greatest(F.col("start_ms") - F.col("c_start_ms"), F.lit(0)) + F.greatest(F.col("c_end_ms") - F.col("end_ms"), F.lit(0))
     pinch = (F.col("c_start_ms") <= F.col("start_ms") + tolerance) & (F.col("c_end_ms") >= F.col("end_ms") - tolerance) & (spare <= 2 * margin)
     fits = F.when(F.col("action") == "scroll", scroll).when(F.col("action") == "pinch", pinch).otherwise((ds <= tolerance) & (de <= tolerance))
     way = F.hypot(F.col("c_x0") - F.col("x0"), F.col("c_y0") - F.col("y0")) + F.hypot(F.col("c_x1") - F.col("x1"), F.col("c_y1") - F.col("y1"))

@@ -164,7 +164,8 @@ def ks(scores: DataFrame, cell: list[str]) -> DataFrame:
     return cum.groupBy(*cell).agg(F.max(F.abs(F.try_divide("cum_real", "n_real") - F.try_divide("cum_fake", "n_fake"))).alias("ks"))
 
 
-LADDER = [i / 10 for i in range(11)]
+#: Levels of E17.
+LADDER = [0.0, 0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0]
 
 
 def quantile_ladder(rows: DataFrame, by: list[str], value: str, levels: list[float] = LADDER) -> DataFrame:
@@ -174,10 +175,10 @@ def quantile_ladder(rows: DataFrame, by: list[str], value: str, levels: list[flo
 
 
 def real_fake_comparison(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Share of fakes outside the genuine 0.1-99.9 % range, distance of medians over the genuine quartile range, and
-    the ratio of the 99th percentiles."""
+    """Share of fakes outside the 0.1-99.9 % range of genuine training rows, distance of medians over their quartile range
+    (at least 1 % of their median), and the ratio of the 99th percentiles (null where theirs is 0). rows(*by, label, pool, value)."""
     levels = F.array(*map(F.lit, [0.001, 0.25, 0.5, 0.75, 0.99, 0.999]))
-    real = rows.filter("label = 0").groupBy(*by).agg(F.percentile(value, levels).alias("r"))
+    real = rows.filter("label = 0 and pool = 'train'").groupBy(*by).agg(F.percentile(value, levels).alias("r"))
     fake = rows.filter("label = 1").join(real, by).groupBy(*by).agg(
         F.avg(((F.col(value) < F.col("r")[0]) | (F.col(value) > F.col("r")[5])).cast("double")).alias("outside"),
         F.percentile(value, F.array(F.lit(0.5), F.lit(0.99))).alias("f"),
@@ -185,8 +186,8 @@ def real_fake_comparison(rows: DataFrame, by: list[str], value: str) -> DataFram
     return fake.join(real, by).select(
         *by,
         "outside",
-        (F.abs(F.col("f")[0] - F.col("r")[2]) / F.greatest(F.col("r")[3] - F.col("r")[1], F.lit(1e-12))).alias("distance"),
-        F.try_divide(F.col("f")[1], F.col("r")[4]).alias("ratio99"),
+        (F.abs(F.col("f")[0] - F.col("r")[2]) / F.greatest(F.col("r")[3] - F.col("r")[1], F.abs(F.col("r")[2]) * 0.01, F.lit(1e-9))).alias("distance"),
+        F.when(F.abs(F.col("r")[4]) > 1e-12, F.col("f")[1] / F.col("r")[4]).alias("ratio99"),
     )
 
 

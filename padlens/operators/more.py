@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from padlens.functions.prefix import running_totals
 from padlens.operators.features import correlation
 from padlens.operators.joins import nearest
 
@@ -141,31 +144,42 @@ def background(samples: DataFrame, touches: DataFrame, within_ms: int, width_ms:
     return total.join(wins.groupBy("user_id").agg(F.percentile("s", F.lit(0.5)).alias("window50"), F.percentile("s", F.lit(0.05)).alias("window5"), F.count("*").alias("windows")), "user_id", "left")
 
 
-def disjoint_price(stats: DataFrame, value: str, grid: list[float], targets: tuple[float, ...] = (0.5, 0.8)) -> DataFrame:
-    """Over a grid of calibration targets, cross-fitted caught and false-alarm shares; the least false alarm that reaches each target.
+def disjoint_price(stats: DataFrame, value: str, targets: tuple[float, ...] = (0.5, 0.8)) -> DataFrame:
+    """Over every attainable calibration target, the least cross-fitted false alarm that reaches each caught share.
 
-    stats(fold, label, value). The cut for a target is the k-th largest genuine value of the other fold, k = floor(target n).
+    stats(fold, label, value). For a target q the cut is the k-th largest (from 0) genuine value of the other fold with
+    k = floor(q n), and none, which flags all, for k = n. So a session is flagged from q = (genuine values of the other fold
+    at or above its own) / n on; both shares rise with q, and running sums over q give them for all targets at once.
     """
-    real = stats.filter("label = 0").groupBy("fold", value).agg(F.count("*").alias("c"))
-    above = F.sum("c").over(Window.partitionBy("fold").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("c").over(Window.partitionBy("fold"))
-    levels = real.select("fold", value, "c", above.alias("up"), n.alias("n")).select("*", F.explode(F.array(*map(F.lit, grid))).alias("target"))
-    k = F.floor(F.col("target") * F.col("n"))
-    cuts = levels.filter((F.col("up") - F.col("c") <= k) & (k < F.col("up"))).select((1 - F.col("fold")).alias("fold"), "target", F.col(value).alias("cut"))
-    counts = stats.groupBy("fold", "label", value).agg(F.count("*").alias("c")).join(F.broadcast(cuts), "fold")
-    flagged = F.when(F.col(value) > F.col("cut"), F.col("c")).otherwise(0)
-    points = counts.groupBy("target").agg(*[F.try_divide(F.sum(F.when(F.col("label") == x, flagged)), F.sum(F.when(F.col("label") == x, F.col("c")))).alias(m) for x, m in ((1, "caught"), (0, "false_alarm"))])
-    return points.agg(*[F.min(F.when(F.col("caught") >= t, F.col("false_alarm"))).alias(f"price_{round(100 * t)}") for t in targets])
-
-
-def energy_distance(rows: DataFrame, names: list[str], first: str, second: str) -> DataFrame:
-    """F19, second part: 2 E|X-Y| - E|X-X'| - E|Y-Y'| over window summaries of two sides, at most a few hundred rows each.
-
-    rows(side, *names). Both sides are a stated sample; the caller bounds it.
+    counts = stats.groupBy("fold", value).agg(F.count(F.when(F.col("label") == 0, 1)).alias("real"), F.count(F.when(F.col("label") == 1, 1)).alias("fake"))
+    both = counts.select(F.lit(0).alias("side"), "fold", value, "real", "fake").unionByName(counts.select(F.lit(1).alias("side"), (1 - F.col("fold")).alias("fold"), value, "real", "fake"))
+    each = both.groupBy("fold", value).agg(
+        F.sum(F.when(F.col("side") == 0, F.col("real")).otherwise(0)).alias("c"), *[F.sum(F.when(F.col("side") == 1, F.col(x)).otherwise(0)).alias(x) for x in ("real", "fake")]
+    )  # of each calibrating fold: its genuine sessions, and the other fold's sessions of the same value
+    n = each.groupBy("fold").agg(F.sum("c").alias("n"))
+    cum = running_totals(each, ["fold"], value, ["c"]).join(F.broadcast(n), "fold")
+    steps = cum.select(((F.col("n") - F.col("cum_c") + F.col("c")) / F.col("n")).alias("q"), "real", "fake").groupBy("q").agg(F.sum("real").alias("real"), F.sum("fake").alias("fake"))
+    whole = steps.agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
+    points = running_totals(steps, [], "q", ["real", "fake"]).crossJoin(F.broadcast(whole))
+    caught, alarm = F.col("cum_fake") / F.col("n_fake"), F.col("cum_real") / F.col("n_real")
+    return points.agg(*[F.min(F.when(caught >= t - 1e-12, alarm)).alias(f"price_{round(100 * t)}") for t in targets])
+
+
+def energy_distance(rows: DataFrame, queries: DataFrame, names: list[str], first: str, second: str, block_rows: int = 20_000) -> DataFrame:
+    """F19, second part: 2 E|X-Y| - E|X-X'| - E|Y-Y'| over window summaries of two sides, each scaled by its pooled spread.
+
+    rows(side, *names). Each mean is over the pairs of a stated query set with all rows; with queries = rows it is over all
+    pairs. The query set goes to the tasks in blocks, so that a broadcast has at most about block_rows short rows.
     """
+    scale = rows.agg(*[(F.stddev_pop(n) + 1e-9).alias(f"_{n}") for n in names])
     a = rows.select(F.col("side").alias("s"), *[F.col(n).alias(f"a{n}") for n in names])
-    b = rows.select(F.col("side").alias("t"), *[F.col(n).alias(f"b{n}") for n in names])
-    d = F.sqrt(sum(((F.col(f"a{n}") - F.col(f"b{n}")) ** 2 for n in names), F.lit(0.0)))
-    mean = a.crossJoin(F.broadcast(b)).groupBy("s", "t").agg(F.avg(d).alias("d"))
-    side = lambda x, y: F.max(F.when((F.col("s") == x) & (F.col("t") == y), F.col("d")))
-    return mean.agg((2 * side(first, second) - side(first, first) - side(second, second)).alias("energy"))
+    b = queries.crossJoin(F.broadcast(scale)).select(F.col("side").alias("t"), *[F.col(n).alias(f"b{n}") for n in names], *[f"_{n}" for n in names])
+    d = F.sqrt(sum((((F.col(f"a{n}") - F.col(f"b{n}")) / F.col(f"_{n}")) ** 2 for n in names), F.lit(0.0)))
+    blocks, parts = max(1, -(-queries.count() // block_rows)), []
+    for k in range(blocks):
+        part = b.filter(F.pmod(F.xxhash64(*[f"b{n}" for n in names]), F.lit(blocks)) == k)
+        parts.append(a.join(F.broadcast(part), F.lit(True)).groupBy("s", "t").agg(F.sum(d).alias("d"), F.count("*").alias("n")))
+    mean = reduce(DataFrame.unionByName, parts).groupBy("s", "t").agg((F.sum("d") / F.sum("n")).alias("d"))
+    between = F.avg(F.when(F.col("s") != F.col("t"), F.col("d")))
+    within = [F.max(F.when((F.col("s") == x) & (F.col("t") == x), F.col("d"))) for x in (first, second)]
+    return mean.agg((2 * between - within[0] - within[1]).alias("energy"))

@@ -37,9 +37,9 @@ def identity_relink(real: DataFrame, fake: DataFrame, identities: DataFrame, tol
 
 
 def oracle_point(stats: DataFrame, value: str, alpha: float) -> DataFrame:
-    """The cut from all genuine sessions judges all sessions."""
+    """The cut from all genuine sessions judges all sessions; where k >= N there is no cut and all are flagged."""
     cut = N.genuine_cut(stats, value, alpha, []).select("cut")
-    judged = stats.crossJoin(F.broadcast(cut)).withColumn("flag", (F.col(value) > F.col("cut")).cast("double"))
+    judged = stats.join(F.broadcast(cut), F.lit(True), "left").withColumn("flag", F.coalesce((F.col(value) > F.col("cut")).cast("double"), F.lit(1.0)))
     return judged.agg(F.avg(F.when(F.col("label") == 1, F.col("flag"))).alias("caught"), F.avg(F.when(F.col("label") == 0, F.col("flag"))).alias("false_alarm"))
 
 
@@ -58,9 +58,7 @@ def duration_only(rows: DataFrame, alpha: float) -> DataFrame:
 
     rows(user_id, session_id, label, score) where score is the duration.
     """
-    levels = F.array(*[F.lit(i / 40) for i in range(41)])
-    edges = rows.agg(F.array_distinct(F.slice(F.percentile("score", levels), 2, 39)).alias("edges"))
-    placed = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("score"))))
+    placed = rows.crossJoin(F.broadcast(N.ratio_edges(rows, "score"))).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("score"))))
     summed = placed.join(F.broadcast(N.log_ratio(rows, "score").select("bin", "llr")), "bin").groupBy("user_id", "session_id", "label").agg(F.round(F.sum("llr"), 9).alias("s"))
     return N.conformal(summed, "s").groupBy("label").agg(F.avg((F.col("p") <= alpha).cast("double")).alias("flagged"), F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
@@ -92,8 +92,15 @@ def weighted_eer(scores: DataFrame, drawn: DataFrame, cell: list[str]) -> DataFr
 
 
 def half_splits(users: DataFrame, splits: int, seed: str) -> DataFrame:
-    """Balanced random halves: split_id, user_id, fold by hash rank."""
-    ids = users.sparkSession.range(splits).select(F.col("id").cast("int").alias("split_id"))
-    order = Window.partitionBy("split_id").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "split_id", "user_id"), 256))
-    ranked = users.select("user_id").distinct().crossJoin(F.broadcast(ids)).withColumn("fold", (F.row_number().over(order) - 1) % 2)
-    return ranked.select("split_id", "user_id", F.col("fold").cast("int").alias("fold"))
+    """Balanced random halves: split_id, user_id, fold by hash rank; ranks come from running sums, not from one sort."""
+    hashed = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "split_id", "user_id"), 256), 1, 15), 16, 10).cast("long")
+    placed = users.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(i) for i in range(splits)])).alias("split_id")).withColumn("h", hashed).withColumn("one", F.lit(1))
+    ranked = running_totals(placed, ["split_id"], "h", ["one"])
+    return ranked.select("split_id", "user_id", ((F.col("cum_one") - 1) % 2).cast("int").alias("fold"))
+
+
+def over_splits(values: DataFrame) -> DataFrame:
+    """Mean, sd, percentiles and extremes over splits. values(statistic, value)."""
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    out = values.groupBy("statistic").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), q.alias("q"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return out.select("statistic", "n", "mean", "sd", F.col("q")[0].alias("p2_5"), F.col("q")[1].alias("p97_5"), "low", "high")

@@ -11,11 +11,13 @@ KEY = ["user_id", "session_id"]
 
 
 def gaps(events: DataFrame) -> DataFrame:
-    """per event the gap to its predecessor's end in seconds, its duration, and its onset: gaps and durations before it."""
+    """per event the gap to its predecessor's end in seconds, its duration, and its onset: gaps and durations before it,
+    negative ones as 0."""
     order = Window.partitionBy(*KEY).orderBy("start_ms", "event_id")
     rows = events.withColumn("duration_s", (F.col("end_ms") - F.col("start_ms")) / 1000.0).withColumn("gap_s", (F.col("start_ms") - F.lag("end_ms").over(order)) / 1000.0)
     until = order.rowsBetween(Window.unboundedPreceding, 0)
-    onset = F.sum(F.coalesce("gap_s", F.lit(0.0))).over(until) + F.sum("duration_s").over(until) - F.col("duration_s")
+    gap, lasts = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("gap_s", "duration_s"))
+    onset = F.sum(gap).over(until) + F.sum(lasts).over(until) - lasts
     return rows.withColumn("onset_s", onset)
 
 
@@ -31,45 +33,55 @@ def validity(events: DataFrame, least: int = 3, longest_s: float = 120.0) -> Dat
 
 
 def rhythm_features(events: DataFrame, cap_s: float = 30.0, bin_s: float = 3600.0) -> DataFrame:
-    """gap statistics (clipped), occupancy of time bins counted with empty ones, entropy of actions and pairs, repeat rate."""
+    """19 features: gaps clipped to the cap (two of 0 if there are fewer), their logs and 12-bin entropy, onsets a time bin
+    with empty bins counted, the last onset as duration, entropy of actions and of pairs, repeat rate.
+
+    The last onset falls into the last of ceil(duration / bin_s) bins; without duration occupancy is 0.
+    """
     rows = gaps(events).withColumn("g", F.when(F.col("gap_s").isNotNull(), F.least(F.greatest("gap_s", F.lit(0.0)), F.lit(cap_s))))
     order = Window.partitionBy(*KEY).orderBy("start_ms", "event_id")
-    rows = rows.withColumn("prior", F.lag("action").over(order))
-    q = lambda p: F.percentile("g", F.lit(p))
+    rows = rows.withColumn("prior", F.lag("action").over(order)).withColumn("cell", F.least(F.floor(F.col("g") * 12 / cap_s), F.lit(11)))
+    rows = rows.withColumn("bins", F.greatest(F.ceil(F.max("onset_s").over(Window.partitionBy(*KEY)) / bin_s), F.lit(1)))
+    enough = F.count("g") >= 2
+    gap = lambda c: F.when(enough, c).otherwise(0.0)
+    q = lambda p: gap(F.percentile("g", F.lit(p)))
     base = rows.groupBy(*KEY).agg(
-        F.count("*").alias("n_events"),
         q(0.5).alias("gap50"),
+        gap(F.avg("g")).alias("gap_mean"),
+        gap(F.stddev_pop("g")).alias("gap_std"),
+        gap(F.stddev_pop("g") / (F.avg("g") + 1e-9)).alias("gap_cv"),
+        gap(F.min("g")).alias("gap_min"),
         q(0.1).alias("gap10"),
         q(0.9).alias("gap90"),
-        F.avg("g").alias("gap_mean"),
-        F.stddev_pop("g").alias("gap_std"),
-        F.avg(F.log1p("g")).alias("gap_log_mean"),
-        F.min("g").alias("gap_min"),
+        gap(F.avg(F.log1p("g"))).alias("gap_log_mean"),
+        gap(F.stddev_pop(F.log1p("g"))).alias("gap_log_std"),
+        F.greatest(F.count("g"), F.lit(2)).alias("n_gaps"),
+        F.max("onset_s").alias("duration_s"),
         F.coalesce(F.avg(F.when(F.col("prior").isNotNull(), (F.col("prior") == F.col("action")).cast("double"))), F.lit(0.0)).alias("repeat_rate"),
-        ((F.max("end_ms") - F.min("start_ms")) / 1000.0).alias("duration_s"),
-    )
-    full = rows.groupBy(*KEY, F.floor(F.col("onset_s") / bin_s).alias("bin")).agg(F.count("*").alias("c"))
-    occupied = full.groupBy(*KEY).agg((F.max("bin") + 1).alias("_bins"), F.count("*").alias("_full"), F.sum("c").alias("_sum"), F.sum(F.col("c") * F.col("c")).alias("_sq"), F.max("c").alias("occ_max"))
-    occupied = occupied.select(
-        *KEY,
-        (1 - F.col("_full") / F.col("_bins")).alias("occ_empty"),
-        (F.col("_sum") / F.col("_bins")).alias("occ_mean"),
-        F.sqrt(F.greatest(F.col("_sq") / F.col("_bins") - (F.col("_sum") / F.col("_bins")) ** 2, F.lit(0.0))).alias("occ_std"),
-        "occ_max",
     )
+    full = rows.groupBy(*KEY, "bins", F.least(F.floor(F.col("onset_s") / bin_s), F.col("bins") - 1).alias("bin")).agg(F.count("*").alias("c"))
+    occupied = full.groupBy(*KEY, "bins").agg(F.count("*").alias("_full"), F.sum("c").alias("_sum"), F.sum(F.col("c") * F.col("c")).alias("_sq"), F.max("c").alias("occ_max"))
+    mean = F.col("_sum") / F.col("bins")
+    spread = F.sqrt(F.greatest(F.col("_sq") / F.col("bins") - mean**2, F.lit(0.0)))
+    occupied = occupied.select(*KEY, (1 - F.col("_full") / F.col("bins")).alias("occ_empty"), mean.alias("occ_mean"), spread.alias("occ_std"), F.col("occ_max").cast("double").alias("occ_max"))
 
     def entropy(df: DataFrame, what: list[str], name: str) -> DataFrame:
         c = df.groupBy(*KEY, *what).agg(F.count("*").alias("c"))
         n = c.groupBy(*KEY).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
         return n.select(*KEY, (F.log("n") - F.col("clogc") / F.col("n")).alias(name))
 
-    one, two = entropy(rows, ["action"], "entropy1"), entropy(rows.filter("prior is not null"), ["prior", "action"], "entropy2")
-    return base.join(occupied, KEY).join(one, KEY).join(two, KEY, "left").fillna(0.0, ["entropy2"])
+    kinds = (rows, ["action"], "entropy1"), (rows.filter("prior is not null"), ["prior", "action"], "entropy2"), (rows.filter("g is not null"), ["cell"], "gap_entropy")
+    out = base.join(occupied, KEY)
+    for df, what, name in kinds:
+        out = out.join(entropy(df, what, name), KEY, "left")
+    out = out.fillna(0.0, ["entropy1", "entropy2", "gap_entropy"])
+    return out.withColumns({c: F.when(F.col("duration_s") > 0, F.col(c)).otherwise(0.0) for c in ("occ_empty", "occ_mean", "occ_std", "occ_max")})
 
 
 def roster(events: DataFrame) -> DataFrame:
-    """Sessions with their event and action counts, and whether one user owns them."""
-    return events.groupBy("session_id", "user_id").agg(F.count("*").alias("n_events"), F.countDistinct("action").alias("n_actions"))
+    """Sessions with their event and action counts, and how many users hold a session of that id."""
+    each = events.groupBy("session_id", "user_id").agg(F.count("*").alias("n_events"), F.countDistinct("action").alias("n_actions"))
+    return each.join(each.groupBy("session_id").agg(F.count("*").alias("n_owners")), "session_id")
 
 
 def statistics(rows: DataFrame, cut: float) -> DataFrame:
@@ -111,20 +123,21 @@ def crossfit(stats: DataFrame, value: str, alpha: float) -> DataFrame:
 
 
 def roc(stats: DataFrame, value: str) -> DataFrame:
-    """Caught and false-alarm share at every value v with flag iff >= v, and the point where nothing is flagged."""
+    """Caught and false-alarm share at every value v with flag iff >= v, and the points that flag all (v = -inf) and none (inf)."""
     counts = stats.groupBy(value).agg(F.count(F.when(F.col("label") == 0, 1)).alias("real"), F.count(F.when(F.col("label") == 1, 1)).alias("fake"))
     whole = counts.agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
     cum = running_totals(counts, [], value, ["real", "fake"]).crossJoin(F.broadcast(whole))
     at = cum.select(
-        F.col(value).alias("v"),
+        F.col(value).cast("double").alias("v"),
         F.try_divide(F.col("n_fake") - F.col("cum_fake") + F.col("fake"), F.col("n_fake")).alias("caught"),
         F.try_divide(F.col("n_real") - F.col("cum_real") + F.col("real"), F.col("n_real")).alias("false_alarm"),
     )
-    return at.unionByName(whole.select(F.lit(float("inf")).alias("v"), F.lit(0.0).alias("caught"), F.lit(0.0).alias("false_alarm")))
+    ends = stats.sparkSession.createDataFrame([(float("-inf"), 1.0, 1.0), (float("inf"), 0.0, 0.0)], at.schema)
+    return at.unionByName(ends)
 
 
 def price(points: DataFrame, targets: tuple[float, ...] = (0.5, 0.8, 0.95)) -> DataFrame:
-    """Least false-alarm share that reaches each caught share; null if none does."""
+    """Least false-alarm share that reaches each caught share."""
     return points.agg(*[F.min(F.when(F.col("caught") >= t, F.col("false_alarm"))).alias(f"price_{round(100 * t)}") for t in targets])
 
 
@@ -137,10 +150,18 @@ def count_rule(stats: DataFrame, most: int = 10) -> DataFrame:
     return flagged.groupBy("k").agg(share(0).alias("false_alarm"), share(1).alias("caught"))
 
 
+def ratio_edges(rows: DataFrame, value: str, n_quantiles: int = 41) -> DataFrame:
+    """One row with `edges`: the pooled quantiles, each once, without the two ends; the median if none is left."""
+    levels = [i / (n_quantiles - 1) for i in range(n_quantiles)]
+    found = rows.agg(F.percentile(value, F.array(*map(F.lit, [*levels, 0.5]))).alias("q"))
+    once = F.array_distinct(F.slice("q", 1, n_quantiles))
+    inner = F.slice(once, 2, F.greatest(F.size(once) - 2, F.lit(0)))
+    return found.select(F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("q")[n_quantiles])).alias("edges"))
+
+
 def log_ratio(rows: DataFrame, value: str, n_quantiles: int = 41) -> DataFrame:
-    """Log likelihood ratio of each bin between pooled quantiles, counts smoothed by one half."""
-    levels = F.array(*[F.lit(i / (n_quantiles - 1)) for i in range(n_quantiles)])
-    edges = rows.agg(F.array_distinct(F.slice(F.percentile(value, levels), 2, n_quantiles - 2)).alias("edges"))
+    """Log likelihood ratio of each bin between ratio_edges(), counts smoothed by one half."""
+    edges = ratio_edges(rows, value, n_quantiles)
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(value))))
     counts = placed.groupBy("bin").agg(F.count(F.when(F.col("label") == 1, 1)).alias("f"), F.count(F.when(F.col("label") == 0, 1)).alias("g"))
     whole = counts.agg(F.sum("f").alias("nf"), F.sum("g").alias("ng")).crossJoin(F.broadcast(edges.select((F.size("edges") + 1).alias("b"))))
@@ -157,21 +178,27 @@ def conformal(rows: DataFrame, value: str) -> DataFrame:
 
 
 def user_spread(flags: DataFrame, per_day: float = 6.0) -> DataFrame:
-    """Spread of per-user false-alarm rates, pooled rate, and days between lockouts. flags(user_id, flag)."""
+    """Spread of per-user false-alarm rates, pooled rate, and days between lockouts of the median and the p90 user (null:
+    none). flags(user_id, flag)."""
     users = flags.groupBy("user_id").agg(F.avg("flag").alias("r"), F.sum("flag").alias("s"), F.count("*").alias("n"))
-    return users.agg(
-        F.min("r").alias("low"), F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.9)).alias("p90"), F.max("r").alias("high"),
-        (F.sum("s") / F.sum("n")).alias("pooled"), F.try_divide(F.sum("n"), F.sum("s") * per_day).alias("days_between"),
+    out = users.agg(
+        F.count("*").alias("n_users"), F.min("r").alias("low"), F.percentile("r", F.lit(0.5)).alias("median"), F.percentile("r", F.lit(0.9)).alias("p90"),
+        F.max("r").alias("high"), (F.sum("s") / F.sum("n")).alias("pooled"),
     )
+    days = lambda rate: F.when(F.col(rate) > 0, 1 / (F.col(rate) * per_day))
+    return out.withColumn("days_median", days("median")).withColumn("days_p90", days("p90"))
 
 
 def beta_binomial(flags: DataFrame) -> DataFrame:
-    """Mean and overdispersion of per-user rates by moments, and the beta's two parameters."""
-    users = flags.groupBy("user_id").agg(F.sum("flag").alias("s"), F.count("*").alias("n")).withColumn("r", F.col("s") / F.col("n"))
-    m = users.agg((F.sum("s") / F.sum("n")).alias("mean"), F.var_pop("r").alias("var"), F.avg(1 / F.col("n")).alias("inv"))
+    """Mean and overdispersion of per-user rates by moments, weighted by sessions, and the beta's two parameters (null
+    where all or no sessions are flagged)."""
+    users = flags.groupBy("user_id").agg(F.sum("flag").alias("s"), F.count("*").alias("n"))
+    mean = F.sum("s") / F.sum("n")
+    m = users.agg(mean.alias("mean"), (F.sum(F.col("s") * F.col("s") / F.col("n")) / F.sum("n") - mean * mean).alias("var"), F.avg("n").alias("size"))
     base = F.col("mean") * (1 - F.col("mean"))
-    rho = F.least(F.greatest(F.try_divide(F.col("var") - base * F.col("inv"), base * (1 - F.col("inv"))), F.lit(1e-6)), F.lit(0.999))
-    return m.withColumn("rho", rho).select("mean", "rho", (F.col("mean") * (1 / F.col("rho") - 1)).alias("alpha"), ((1 - F.col("mean")) * (1 / F.col("rho") - 1)).alias("beta"))
+    rho = F.least(F.greatest(F.try_divide(F.col("var") - base / F.col("size"), base * (1 - 1 / F.col("size"))), F.lit(1e-6)), F.lit(0.999))
+    m = m.withColumn("rho", F.when(base > 0, rho))
+    return m.select("mean", "rho", (F.col("mean") * (1 / F.col("rho") - 1)).alias("alpha"), ((1 - F.col("mean")) * (1 / F.col("rho") - 1)).alias("beta"))
 
 
 def alarm_curve(rows: DataFrame, grid: list[float]) -> DataFrame:

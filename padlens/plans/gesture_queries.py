@@ -12,6 +12,7 @@ from padlens.plans.adapters import BINS, CELL, RHYTHM, SCORES, TOUCH, WINDOWS
 from padlens.plans.metric_queries import rounded
 
 KEY = [*G.KEY, "seg"]
+TOKENS = ["a", "B", "é", "BackSpace", "7", "keycode_66", "del"]
 
 
 def contact_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,6 +23,18 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return A.rhythm(spark, sf)
 
 
+def keystrokes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions as typing: tokens, and key places from the event's number."""
+    token = F.element_at(F.array(*map(F.lit, TOKENS)), (F.col("event_id") % len(TOKENS) + 1).cast("int"))
+    place = lambda k: (F.col("event_id") % k).cast("double")
+    return A.rhythm(spark, sf).withColumns({"action": token, "x": place(13), "y": place(7)})
+
+
+def pressed(points: DataFrame) -> DataFrame:
+    """Points with a pressure and a size."""
+    return points.withColumns({"pressure": F.col("x") / 100, "size": (F.col("source_row") % 5) / 10})
+
+
 def pointer_rows(spark: SparkSession, sf: str) -> DataFrame:
     t = A.touch(spark, sf)
     return t.select(F.col("user_id").alias("event"), (F.col("source_row") % 2).cast("int").alias("pointer"), F.col("evt_t").alias("t_ms"), "source_row", "x")
@@ -45,8 +58,8 @@ QUERIES = {
     "f1_coalesced": lambda s, d: X.coalesced(G.points(A.touch(s, d)), KEY).select("source_row", "t_ms"),
     "f2_primitives": lambda s, d: all_rounded(X.primitives(G.points(A.touch(s, d)), KEY).select("source_row", "dt", "dx", "dy", "length", "speed", "accel")),
     "f3_finger_features": lambda s, d: all_rounded(X.finger_features(G.points(A.touch(s, d)), KEY)),
-    "f5_typing_features": lambda s, d: all_rounded(X.typing_features(sessions(s, d))),
-    "f7_kinematics": lambda s, d: all_rounded(X.kinematics(G.points(A.touch(s, d)), KEY)),
+    "f5_typing_features": lambda s, d: all_rounded(X.typing_features(keystrokes(s, d))),
+    "f7_kinematics": lambda s, d: all_rounded(X.kinematics(pressed(G.points(A.touch(s, d))), KEY)),
     "f10_concatenated": lambda s, d: all_rounded(X.concatenated(A.windows(s, d)).select("vec_id", "chunk", "j", "t_ms", "v")),
     "f11_channel_statistics": lambda s, d: all_rounded(X.channel_statistics(A.windows(s, d))),
     "f17_normaliser": lambda s, d: all_rounded(X.normaliser(A.scores(s, d), "score", CELL).select("event_id", "z")),
@@ -115,25 +128,30 @@ f AS (SELECT user_id, act_id, seg, count(*) AS n_points, max(t_ms) - min(t_ms) A
   coalesce(sqrt(avg(c) ** 2 + avg(sn) ** 2), 0) AS resultant, coalesce(CASE WHEN avg(c) ** 2 + avg(sn) ** 2 > 1e-18 THEN atan2(avg(sn), avg(c)) END, 0) AS mean_direction,
   {", ".join(_q("speed", q / 100, f"v{q}") for q in (20, 50, 80))}, {", ".join(_q("accel", q / 100, f"a{q}") for q in (20, 50, 80))},
   round(coalesce(quantile_cont(speed, 0.5) FILTER (m <= 3), 0), 5) AS late_speed, arg_max(dev, abs(dev) * 1e9 - t_ms / 1e12) AS max_dev,
-  {", ".join(_q("dev", q / 100, f"dev{q}") for q in (20, 50, 80))}, coalesce(sum(length), 0) AS length, coalesce(avg(speed), 0) AS mean_speed,
+  {", ".join(_q("dev", q / 100, f"dev{q}") for q in (20, 50, 80))}, coalesce(sum(length), 0) AS length,
   round(coalesce(quantile_cont(accel, 0.5) FILTER (n BETWEEN 3 AND 7), 0), 5) AS early_accel FROM d GROUP BY ALL)
-SELECT user_id, act_id, seg, n_points, duration_ms, {", ".join(map(_r, ["start_x", "start_y", "end_x", "end_y", "resultant", "mean_direction", "max_dev", "length", "mean_speed"]))},
+SELECT user_id, act_id, seg, n_points, duration_ms, {", ".join(map(_r, ["start_x", "start_y", "end_x", "end_y", "resultant", "mean_direction", "max_dev", "length"]))},
  v20, v50, v80, a20, a50, a80, late_speed, dev20, dev50, dev80, early_accel, round(sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2), 5) AS displacement,
  round(CASE WHEN end_x = start_x AND end_y = start_y THEN 0 ELSE atan2(end_y - start_y, end_x - start_x) END, 5) AS direction,
- round(CASE WHEN length > 1e-12 THEN sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2) / length ELSE 1 END, 5) AS efficiency FROM f""",
-    "f5_typing_features": f"""WITH {RHYTHM}, r AS (SELECT *, end_ms - start_ms AS hold, start_ms - lag(end_ms) OVER w AS flight, start_ms - lag(start_ms) OVER w AS step FROM rhythm WINDOW w AS (PARTITION BY user_id, session_id ORDER BY start_ms, end_ms, event_id)),
-b AS (SELECT *, sum(CASE WHEN flight > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, session_id ORDER BY start_ms, end_ms, event_id) AS burst FROM r),
-z AS (SELECT user_id, session_id, count(*) AS bursts, avg(k) AS burst_mean, max(k) AS burst_max FROM (SELECT user_id, session_id, burst, count(*) AS k FROM b GROUP BY ALL) GROUP BY ALL)
-SELECT user_id, session_id, n_keys, {", ".join(map(_r, ["unique_ratio", "hold_mean", "hold_std", "flight50", "flight_std", "step50", "overlap", "pause_fraction"]))}, duration_ms, bursts, round(burst_mean, 5) AS burst_mean, burst_max FROM
-(SELECT user_id, session_id, count(*) AS n_keys, count(DISTINCT lower(action))::DOUBLE / count(*) AS unique_ratio, avg(hold) AS hold_mean, stddev_pop(hold) AS hold_std, coalesce(quantile_cont(flight, 0.5), 0) AS flight50,
- coalesce(stddev_pop(flight), 0) AS flight_std, coalesce(quantile_cont(step, 0.5), 0) AS step50, coalesce(avg(CAST(flight < 0 AS INTEGER)), 0) AS overlap, coalesce(avg(CAST(flight > 500 AS INTEGER)), 0) AS pause_fraction,
- max(end_ms) - min(start_ms) AS duration_ms FROM b GROUP BY ALL) JOIN z USING (user_id, session_id)""",
-    "f7_kinematics": f"""WITH {_PRIM}, k AS (SELECT *, abs(speed - lag(speed) OVER w) / ((dt + lag(dt) OVER w) / 2) AS acc FROM prim WINDOW w AS (PARTITION BY user_id, act_id, seg ORDER BY t_ms)),
-a AS (SELECT user_id, act_id, seg, coalesce(sum(length), 0) AS path, coalesce(avg(speed), 0) AS mean_speed, coalesce(quantile_cont(speed, 0.95), 0) AS p95_speed, coalesce(max(speed), 0) AS max_speed,
- coalesce(avg(acc), 0) AS mean_accel, coalesce(max(acc), 0) AS max_accel, coalesce(quantile_cont(dt, 0.5), 0) AS median_dt, coalesce(stddev_pop(dt) / avg(dt), 0) AS dt_cv,
+ round(CASE WHEN length > 1e-12 THEN sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2) / length ELSE 0 END, 5) AS efficiency,
+ round(CASE WHEN duration_ms > 0 THEN length / (duration_ms / 1000.0::DOUBLE) ELSE 0 END, 5) AS mean_speed FROM f""",
+    "f5_typing_features": f"""WITH {RHYTHM}, k AS (SELECT *, {TOKENS}[event_id % {len(TOKENS)} + 1] AS token, (event_id % 13)::DOUBLE AS x, (event_id % 7)::DOUBLE AS y FROM rhythm),
+r AS (SELECT *, end_ms - start_ms AS hold, start_ms - lag(end_ms) OVER w AS flight, start_ms - lag(start_ms) OVER w AS step, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS way FROM k WINDOW w AS (PARTITION BY user_id, session_id ORDER BY start_ms, end_ms, event_id)),
+b AS (SELECT *, sum(CASE WHEN step > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, session_id ORDER BY start_ms, end_ms, event_id) AS burst FROM r),
+z AS (SELECT user_id, session_id, count(*) AS bursts, avg(k) AS burst_mean, max(k) AS burst_max FROM (SELECT user_id, session_id, burst, count(*) AS k FROM b GROUP BY ALL) GROUP BY ALL),
+o AS (SELECT user_id, session_id, count(*) AS n_keys, count(*) FILTER (regexp_full_match(token, '\\p{{L}}')) AS n_letters, count(DISTINCT lower(token)) AS n_unique, avg(CAST(lower(token) IN ('backspace', 'del') AS INTEGER)) AS correction_ratio,
+ max(end_ms) - min(start_ms) AS duration_ms, {", ".join(f"{_q(v, q / 100, f'{v}{q}')}" for v in ("hold", "flight", "step", "way") for q in (20, 50, 80))}, {", ".join(f"round(coalesce(avg({v}), 0), 5) AS {v}_mean" for v in ("hold", "flight", "step", "way"))},
+ {", ".join(f"round(coalesce(stddev_pop({v}), 0), 5) AS {v}_std" for v in ("hold", "flight", "step"))}, round(coalesce(sum(way), 0), 5) AS way_sum, round(coalesce(avg(CAST(flight < 0 AS INTEGER)), 0), 5) AS overlap,
+ round(coalesce(avg(CAST(step > 500 AS INTEGER)), 0), 5) AS pause_fraction FROM b GROUP BY ALL)
+SELECT o.* REPLACE (round(correction_ratio, 5) AS correction_ratio), round(n_unique::DOUBLE / n_keys, 5) AS unique_ratio, round(CASE WHEN duration_ms > 0 THEN n_keys / (duration_ms / 1000.0::DOUBLE) ELSE 0 END, 5) AS key_rate,
+ 1 AS has_up, 1 AS has_xy, bursts, round(burst_mean, 5) AS burst_mean, burst_max FROM o JOIN z USING (user_id, session_id)""",
+    "f7_kinematics": f"""WITH {_PRIM}, k AS (SELECT *, abs(speed - lag(speed) OVER w) / ((dt + lag(dt) OVER w) / 2) AS acc, x / 100 AS pressure, (source_row % 5) / 10.0::DOUBLE AS size FROM prim WINDOW w AS (PARTITION BY user_id, act_id, seg ORDER BY t_ms)),
+a AS (SELECT user_id, act_id, seg, max(t_ms) - min(t_ms) AS duration_ms, coalesce(sum(length), 0) AS path, coalesce(quantile_cont(speed, 0.95), 0) AS p95_speed, coalesce(max(speed), 0) AS max_speed,
+ coalesce(avg(acc), 0) AS mean_accel, coalesce(max(acc), 0) AS max_accel, coalesce(quantile_cont(dt, 0.5) * 1000, max(t_ms) - min(t_ms)) AS median_dt, coalesce(stddev_pop(dt) / avg(dt), 0) AS dt_cv,
+ avg(pressure) AS pressure_mean, stddev_pop(pressure) AS pressure_std, avg(size) AS size_mean, stddev_pop(size) AS size_std,
  sqrt((arg_max(x, t_ms) - arg_min(x, t_ms)) ** 2 + (arg_max(y, t_ms) - arg_min(y, t_ms)) ** 2) AS displacement FROM k GROUP BY ALL)
-SELECT user_id, act_id, seg, {", ".join(map(_r, ["path", "mean_speed", "p95_speed", "max_speed", "mean_accel", "max_accel", "median_dt", "dt_cv", "displacement"]))},
- round(CASE WHEN path > 1e-12 THEN displacement / path ELSE 1 END, 5) AS efficiency FROM a""",
+SELECT user_id, act_id, seg, duration_ms, {", ".join(map(_r, ["path", "p95_speed", "max_speed", "mean_accel", "max_accel", "median_dt", "dt_cv", "pressure_mean", "pressure_std", "size_mean", "size_std", "displacement"]))},
+ round(CASE WHEN path > 1e-12 THEN displacement / path ELSE 1 END, 5) AS efficiency, round(CASE WHEN duration_ms > 0 THEN path / (duration_ms / 1000.0::DOUBLE) ELSE 0 END, 5) AS mean_speed FROM a""",
     "f10_concatenated": f"WITH {WINDOWS} SELECT vec_id, i // 16 AS chunk, i % 16 AS j, (row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1) * 10 AS t_ms, round(v, 5) AS v FROM windows",
     "f11_channel_statistics": f"""WITH {WINDOWS} SELECT vec_id, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(min(v), 5) AS low, round(max(v), 5) AS high,
  round(quantile_cont(v, 0.05), 5) AS p5, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.95), 5) AS p95, count(*) AS n FROM windows GROUP BY vec_id""",
@@ -145,8 +163,8 @@ SELECT label, round(quantile_cont(r, 0.5), 5) AS r50, count(*) AS n FROM e WHERE
 SELECT vec_id, label, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(coalesce(avg(st), 0), 5) AS step, round(max(v) - min(v), 5) AS range FROM s GROUP BY ALL""",
     "f20_held": f"""WITH {WINDOWS}, n AS (SELECT vec_id, count(*) AS n FROM windows GROUP BY vec_id), g AS (SELECT vec_id, k, CAST(floor(k / 24.0::DOUBLE * (n - 1) + 0.5::DOUBLE) AS INTEGER) AS i FROM n, range(25) t(k))
 SELECT vec_id, CAST(k AS INTEGER) AS k, round(v, 5) AS v FROM g JOIN windows USING (vec_id, i)""",
-    "f21_linear": f"""WITH {WINDOWS}, n AS (SELECT vec_id, count(*) AS n FROM windows GROUP BY vec_id), g AS (SELECT vec_id, k, k * (n - 1) / 24.0::DOUBLE AS p, CAST(least(floor(k * (n - 1) / 24.0::DOUBLE), n - 2) AS INTEGER) AS i FROM n, range(25) t(k)),
-w AS (SELECT vec_id, i, v, lead(v) OVER (PARTITION BY vec_id ORDER BY i) AS nx FROM windows) SELECT vec_id, CAST(k AS INTEGER) AS k, round(v + (p - i) * (nx - v), 5) AS v FROM g JOIN w USING (vec_id, i)""",
+    "f21_linear": f"""WITH {WINDOWS}, n AS (SELECT vec_id, count(*) AS n FROM windows GROUP BY vec_id), g AS (SELECT vec_id, k, k * (n - 1) / 24.0::DOUBLE AS p, CAST(greatest(least(floor(k * (n - 1) / 24.0::DOUBLE), n - 2), 0) AS INTEGER) AS i FROM n, range(25) t(k)),
+w AS (SELECT vec_id, i, v, lead(v) OVER (PARTITION BY vec_id ORDER BY i) AS nx FROM windows) SELECT vec_id, CAST(k AS INTEGER) AS k, round(v + (p - i) * (coalesce(nx, v) - v), 5) AS v FROM g JOIN w USING (vec_id, i)""",
     "f22_duration_summary": f"""WITH {BINS}, c AS (SELECT arm, max(duration) FILTER (label = 0) AS cap FROM bins GROUP BY arm), q AS (SELECT arm, quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 0) AS r,
  quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 1) AS f, avg(CAST(duration >= cap AS INTEGER)) FILTER (label = 1) AS fake_at_cap FROM bins JOIN c USING (arm) GROUP BY arm)
 SELECT arm, round(r[1], 5) AS real_p5, round(r[2], 5) AS real_p50, round(r[3], 5) AS real_p95, round(f[1], 5) AS fake_p5, round(f[2], 5) AS fake_p50, round(f[3], 5) AS fake_p95,

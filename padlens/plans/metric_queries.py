@@ -78,7 +78,7 @@ QUERIES = {
     "d1_hash_rank_split": lambda s, d: A.scores(s, d).select("event_id", "pool"),
     "d4_meta_pool": lambda s, d: D.meta_pool(A.scores(s, d)).select("event_id", "label", "pool"),
     "d5_two_folds": lambda s, d: D.two_folds(A.scores(s, d)).groupBy("fold").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n")),
-    "d6_mirrored_draw": lambda s, d: D.mirrored_draw(A.rhythm(s, d).filter("event_id % 2 = 0"), A.scores(s, d).filter("label = 1"), 2),
+    "d6_mirrored_draw": lambda s, d: D.mirrored_draw(A.rhythm(s, d).filter("event_id % 2 = 0"), A.scores(s, d).filter("label = 1"), 20),
     "d7_equal_size_sample": lambda s, d: D.equal_size_sample(A.scores(s, d), "action", "event_id", "d7").select("action", "event_id"),
     "d8_stable_seed": lambda s, d: A.scores(s, d).select("event_id", D.stable_seed(F.concat_ws("|", "user_id", "event_id")).alias("seed")),
     "e1_operating_metrics": e1_operating_metrics,
@@ -124,9 +124,9 @@ def _auc(name: str, where: str) -> str:
 
 
 _LITTLE = "('0x' || " + " || ".join(f"substr(h, {2 * i + 1}, 2)" for i in range(7, -1, -1)) + ")::UBIGINT"
-_COMPARED = f"""WITH {SCORES}, r AS (SELECT action, detector, quantile_cont(score, [0.001, 0.25, 0.5, 0.75, 0.99, 0.999]) AS r FROM scores WHERE label = 0 GROUP BY ALL),
+_COMPARED = f"""WITH {SCORES}, r AS (SELECT action, detector, quantile_cont(score, [0.001, 0.25, 0.5, 0.75, 0.99, 0.999]) AS r FROM scores WHERE label = 0 AND pool = 'train' GROUP BY ALL),
 f AS (SELECT action, detector, avg(CAST(score < r[1] OR score > r[6] AS INTEGER)) AS outside, quantile_cont(score, [0.5, 0.99]) AS f FROM scores JOIN r USING (action, detector) WHERE label = 1 GROUP BY ALL),
-compared AS (SELECT action, detector, round(outside, 6) AS outside, round(abs(f[1] - r[3]) / greatest(r[4] - r[2], 1e-12), 6) AS distance, round(f[2] / r[5], 6) AS ratio99 FROM f JOIN r USING (action, detector))"""
+compared AS (SELECT action, detector, round(outside, 6) AS outside, round(abs(f[1] - r[3]) / greatest(r[4] - r[2], abs(r[3]) * 0.01::DOUBLE, 1e-9), 6) AS distance, round(CASE WHEN abs(r[5]) > 1e-12 THEN f[2] / r[5] END, 6) AS ratio99 FROM f JOIN r USING (action, detector))"""
 _BINNED = "len(list_filter(cuts, lambda c: c <= duration))"
 
 ORACLES = {

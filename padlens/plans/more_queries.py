@@ -69,8 +69,8 @@ def f16_background(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f19_energy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = X.window_summaries(A.windows(spark, sf)).filter("vec_id < 400").withColumn("side", F.when(F.col("label") % 2 == 0, "a").otherwise("b"))
-    return all_rounded(O.energy_distance(rows, ["mean", "std", "step", "range"], "a", "b"))
+    rows = X.window_summaries(A.windows(spark, sf)).withColumn("side", F.when(F.col("label") % 2 == 0, "a").otherwise("b"))
+    return all_rounded(O.energy_distance(rows, rows.filter("vec_id % 20 = 0"), ["mean", "std", "step", "range"], "a", "b"))
 
 
 def e20_style(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p14_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def n8_disjoint_price(spark: SparkSession, sf: str) -> DataFrame:
-    return all_rounded(O.disjoint_price(folded(spark, sf), "s1_count", [0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8]))
+    return all_rounded(O.disjoint_price(folded(spark, sf), "s1_count"))
 
 
 QUERIES = {
@@ -98,7 +98,7 @@ QUERIES = {
     "s7_ragged": s7_ragged,
     "s8_event_writer": s8_event_writer,
     "s11_audit_rollup": s11_audit,
-    "s14_fingerprint": lambda s, d: S.fingerprint(A.table(s, d, "events").select("event_id", "user_id", "event_type")).drop("schema_hash"),
+    "s14_fingerprint": lambda s, d: S.fingerprint(A.table(s, d, "events").select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 1000).cast("long").alias("value")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))),
     "s15_genuine_windows": s15_genuine_windows,
     "f4_pinch_features": f4_pinch,
     "f8_centre_speed": lambda s, d: all_rounded(O.centre_speed(A.touch(s, d).select(F.col("user_id").alias("event"), F.col("evt_t").alias("t_ms"), "x", "y")).select("event", "t_ms", "x", "y", "speed")),
@@ -121,7 +121,8 @@ ORACLES = {
     "s8_event_writer": "SELECT event_id, event_type AS action, value AS score FROM events",
     "s11_audit_rollup": f"""WITH a AS (SELECT event_type AS action, CASE WHEN value < 1 THEN 'rejected' WHEN value > 80 THEN 'reserved_not_emitted' ELSE 'accepted' END AS status, CASE WHEN value < 0.5::DOUBLE THEN 'too_low' ELSE 'none' END AS reason FROM events)
 SELECT action, status, reason, count(*) AS n FROM a GROUP BY ROLLUP (action, status, reason)""",
-    "s14_fingerprint": "SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws(chr(31), event_id, event_type, user_id)), 1, 15))::BIGINT) AS VARCHAR) AS hash FROM events",
+    "s14_fingerprint": """SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws(chr(31), event_id, event_type, epoch_us(ts), user_id, round(value * 1000)::BIGINT)), 1, 15))::BIGINT) AS VARCHAR) AS hash,
+ sha256('event_id:bigint,event_type:string,ts:bigint,user_id:bigint,value:bigint') AS schema_hash FROM events""",
     "s15_genuine_windows": f"WITH {SCORES} SELECT event_id, user_id || '-' || action AS event FROM scores WHERE pool = 'test' AND label = 0 QUALIFY count(*) OVER (PARTITION BY user_id, action) >= 2",
     "f4_pinch_features": f"""WITH {TOUCH}, f AS (SELECT user_id AS event, source_row // 2 AS t_ms, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) + max(source_row % 17) AS y1 FROM touch GROUP BY ALL),
 a0 AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS span, CASE WHEN sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) > 1e-12 THEN atan2(y1 - y0, x1 - x0) END AS a FROM f),
@@ -136,9 +137,10 @@ SELECT event, n_frames, {", ".join(f"round({c}, 5) AS {c}" for c in ["span_first
  round(CASE WHEN greatest(length0, length1) > 0 THEN least(length0, length1) / greatest(length0, length1) ELSE 0 END, 5) AS length_ratio FROM o""",
     "f8_centre_speed": f"WITH {TOUCH}, src AS (SELECT * FROM touch), {_SPEED} SELECT event, t_ms, round(x, 5) AS x, round(y, 5) AS y, round(speed, 5) AS speed FROM sp",
     "f24_corpus_profile": f"WITH {SCORES} SELECT action, pool, count(*) AS n, count(DISTINCT user_id) AS users, round(min(score), 5) AS low, round(max(score), 5) AS high, round(avg(score), 5) AS mean FROM scores GROUP BY ROLLUP (action, pool)",
-    "f19_energy_distance": f"""WITH {WINDOWS}, s AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY i)) AS st FROM windows), r AS (SELECT CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS side, avg(v) AS m, stddev_pop(v) AS sd, coalesce(avg(st), 0) AS st, max(v) - min(v) AS rg FROM s WHERE vec_id < 400 GROUP BY vec_id, label),
-d AS (SELECT a.side AS s, b.side AS t, avg(sqrt((a.m - b.m) ** 2 + (a.sd - b.sd) ** 2 + (a.st - b.st) ** 2 + (a.rg - b.rg) ** 2)) AS d FROM r a, r b GROUP BY ALL)
-SELECT round(2 * max(d) FILTER (s = 'a' AND t = 'b') - max(d) FILTER (s = 'a' AND t = 'a') - max(d) FILTER (s = 'b' AND t = 'b'), 5) AS energy FROM d""",
+    "f19_energy_distance": f"""WITH {WINDOWS}, s AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY i)) AS st FROM windows), r AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS side, avg(v) AS m, stddev_pop(v) AS sd, coalesce(avg(st), 0) AS st, max(v) - min(v) AS rg FROM s GROUP BY vec_id, label),
+k AS (SELECT stddev_pop(m) + 1e-9 AS m, stddev_pop(sd) + 1e-9 AS sd, stddev_pop(st) + 1e-9 AS st, stddev_pop(rg) + 1e-9 AS rg FROM r),
+d AS (SELECT a.side AS s, b.side AS t, avg(sqrt(((a.m - b.m) / k.m) ** 2 + ((a.sd - b.sd) / k.sd) ** 2 + ((a.st - b.st) / k.st) ** 2 + ((a.rg - b.rg) / k.rg) ** 2)) AS d FROM r a, (SELECT * FROM r WHERE vec_id % 20 = 0) b, k GROUP BY ALL)
+SELECT round(2 * avg(d) FILTER (s <> t) - max(d) FILTER (s = 'a' AND t = 'a') - max(d) FILTER (s = 'b' AND t = 'b'), 5) AS energy FROM d""",
     "e20_style_distances": f"""WITH {SCORES}, x AS (SELECT s.user_id, label, score, (epoch_us(ts) // 1000) % 86400000 / 1000.0::DOUBLE AS clock FROM scores s JOIN events USING (event_id)), m AS (SELECT avg(score) AS ms, stddev_pop(score) AS ss, avg(clock) AS mc, stddev_pop(clock) AS sc FROM x WHERE label = 0),
 z AS (SELECT user_id, label, (score - ms) / ss AS a, (clock - mc) / sc AS b FROM x, m), c AS (SELECT user_id, avg(a) AS ca, avg(b) AS cb FROM z WHERE label = 0 GROUP BY user_id), d AS (SELECT user_id, label, sqrt((a - ca) ** 2 + (b - cb) ** 2) AS d FROM z JOIN c USING (user_id)),
 q AS (SELECT user_id, quantile_cont(d, 0.5) FILTER (label = 1) AS f, quantile_cont(d, 0.5) FILTER (label = 0) AS r FROM d GROUP BY user_id) SELECT user_id, round(f, 5) AS fake_own, round(r, 5) AS real_own, round(f - r, 5) AS delta FROM q""",
@@ -146,10 +148,11 @@ q AS (SELECT user_id, quantile_cont(d, 0.5) FILTER (label = 1) AS f, quantile_co
 SELECT user_id, CAST(count(*) FILTER (k = 2) AS INTEGER) AS shared, CAST(count(*) AS INTEGER) AS either FROM g GROUP BY user_id""",
     "e22_latency_summary": f"""WITH {RHYTHM}, q AS (SELECT action, quantile_cont(end_ms - start_ms, [0.5, 0.95, 1.0]) AS q FROM rhythm GROUP BY action) SELECT action, CAST(i - 1 AS INTEGER) AS step, round(q[i], 5) AS value FROM (SELECT *, unnest(range(1, 4)) AS i FROM q)""",
     "n8_disjoint_price": f"""WITH {_STATS}, u AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)), x AS (SELECT * FROM stats JOIN u USING (user_id)),
-r AS (SELECT fold, s1_count, row_number() OVER (PARTITION BY fold ORDER BY s1_count DESC) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM x WHERE label = 0),
-c AS (SELECT 1 - fold AS fold, target, s1_count AS cut FROM r, (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])::DOUBLE AS target) WHERE i = floor(target * n)),
-p AS (SELECT target, avg(CAST(s1_count > cut AS INTEGER)) FILTER (label = 1) AS caught, avg(CAST(s1_count > cut AS INTEGER)) FILTER (label = 0) AS fa FROM x JOIN c USING (fold) GROUP BY target)
-SELECT round(min(fa) FILTER (caught >= 0.5), 5) AS price_50, round(min(fa) FILTER (caught >= 0.8::DOUBLE), 5) AS price_80 FROM p""",
+g AS (SELECT fold, s1_count AS v, count(*) AS c FROM x WHERE label = 0 GROUP BY ALL), n AS (SELECT fold, sum(c) AS n FROM g GROUP BY fold), w AS (SELECT DISTINCT fold, s1_count AS v FROM x),
+at AS (SELECT w.fold, w.v, coalesce(sum(c), 0)::DOUBLE / any_value(n) AS q FROM w JOIN n ON n.fold = 1 - w.fold LEFT JOIN g ON g.fold = 1 - w.fold AND g.v >= w.v GROUP BY ALL),
+p AS (SELECT q, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS r FROM x JOIN at ON at.fold = x.fold AND at.v = s1_count GROUP BY q),
+k AS (SELECT sum(f) OVER o::DOUBLE / sum(f) OVER () AS caught, sum(r) OVER o::DOUBLE / sum(r) OVER () AS fa FROM p WINDOW o AS (ORDER BY q ROWS UNBOUNDED PRECEDING))
+SELECT round(min(fa) FILTER (caught >= 0.5::DOUBLE - 1e-12), 5) AS price_50, round(min(fa) FILTER (caught >= 0.8::DOUBLE - 1e-12), 5) AS price_80 FROM k""",
     "p14_coverage_status": f"""WITH c AS (SELECT user_id, event_type AS action, bool_or(value > 70) AS scored, bool_or(event_id % 2 = 1 AND user_id % 2 = 0) AS fakes FROM events GROUP BY ALL)
 SELECT user_id, action, CASE WHEN scored THEN 'scored' WHEN user_id % 5 = 0 THEN 'not_owned' WHEN fakes THEN 'declined' ELSE 'missing' END AS status FROM c""",
 }

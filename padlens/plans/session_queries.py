@@ -44,7 +44,11 @@ def conformal_of(spark: SparkSession, sf: str) -> DataFrame:
     return N.conformal(session_scores(spark, sf), "score").select("event_id", "user_id", "label", "p")
 
 
-def drawn_of(spark: SparkSession, sf: str, n: int = 40) -> DataFrame:
+#: Replicates of the shared draw, of the draws with classes apart and of the EER, and half splits.
+SHARED, APART, LOCATED, HALVES = 2000, 200, 200, 200
+
+
+def drawn_of(spark: SparkSession, sf: str, n: int = SHARED) -> DataFrame:
     return R.draws(A.scores(spark, sf).filter("pool = 'test'").select("user_id").distinct(), n, "r2")
 
 
@@ -55,7 +59,7 @@ def rates_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def r1_auc_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     test = A.scores(spark, sf).filter("pool = 'test'")
-    drawn = R.draws(test.select("label", "user_id").distinct(), 10, "r1", ["label"])
+    drawn = R.draws(test.select("label", "user_id").distinct(), APART, "r1", ["label"])
     return all_rounded(R.interval(R.weighted_auc(test, drawn, ["detector"]), ["detector"], "auc"))
 
 
@@ -65,11 +69,12 @@ def r3_paired_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 def r10_split_marginal(spark: SparkSession, sf: str) -> DataFrame:
     stats = stats_of(spark, sf)
-    halves = R.half_splits(stats.select("user_id").distinct(), 5, "r10")
+    halves = R.half_splits(stats.select("user_id").distinct(), HALVES, "r10")
     both = stats.join(halves, "user_id")
     cuts = N.genuine_cut(both, "s2_mean", 0.05, ["split_id", "fold"]).select("split_id", (1 - F.col("fold")).alias("fold"), "cut")
     flagged = both.join(F.broadcast(cuts), ["split_id", "fold"]).withColumn("flag", (F.col("s2_mean") > F.col("cut")).cast("double"))
-    return all_rounded(flagged.groupBy("split_id").agg(F.avg(F.when(F.col("label") == 1, F.col("flag"))).alias("caught"), F.avg(F.when(F.col("label") == 0, F.col("flag"))).alias("false_alarm")))
+    each = flagged.groupBy("split_id").agg(F.avg(F.when(F.col("label") == 1, F.col("flag"))).alias("caught"), F.avg(F.when(F.col("label") == 0, F.col("flag"))).alias("false_alarm"))
+    return all_rounded(R.over_splits(each.unpivot("split_id", ["caught", "false_alarm"], "statistic", "value")))
 
 
 def labels_and_contacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +83,7 @@ def labels_and_contacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
         "event_id", "user_id", "session_id", F.lit(0).alias("act_id"),
         F.element_at(F.array(*map(F.lit, ["tap", "swipe", "scroll", "pinch", "keystroke"])), (F.col("event_id") % 5 + 1).cast("int")).alias("action"),
         F.floor(F.col("start_ms") / 3_600_000).alias("start_ms"), (F.floor(F.col("start_ms") / 3_600_000) + 1).alias("end_ms"),
-        *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")],
+        *[(F.col("event_id") % k).cast("double").alias(c) for c, k in (("x0", 7), ("y0", 5), ("x1", 11), ("y1", 3))],
     )
     return t.filter("event_id % 2 = 0"), t.filter("event_id % 2 = 1").withColumnRenamed("event_id", "contact_id")
 
@@ -135,7 +140,7 @@ QUERIES = {
     "n2_session_statistics": lambda s, d: all_rounded(stats_of(s, d), 9),
     "n3_genuine_cut": lambda s, d: all_rounded(N.genuine_cut(stats_of(s, d), "s1_count", 0.05, [])),
     "n4_crossfit": lambda s, d: all_rounded(N.crossfit(folded(s, d), "s1_count", 0.05)),
-    "n6_session_roc": lambda s, d: all_rounded(N.roc(stats_of(s, d), "s1_count").filter("v <> double('Infinity')")),
+    "n6_session_roc": lambda s, d: all_rounded(N.roc(stats_of(s, d), "s1_count").select(F.when(F.col("v") < 0, "all").when(F.col("v") > 1e300, "none").otherwise(F.col("v").cast("long").cast("string")).alias("v"), "caught", "false_alarm")),
     "n7_price": lambda s, d: all_rounded(N.price(N.roc(stats_of(s, d), "s1_count"))),
     "n9_count_rule": lambda s, d: all_rounded(N.count_rule(stats_of(s, d))),
     "n11_log_ratio": lambda s, d: all_rounded(N.log_ratio(A.scores(s, d), "score")),
@@ -147,7 +152,7 @@ QUERIES = {
     "r1_auc_bootstrap": r1_auc_bootstrap,
     "r2_shared_bootstrap": lambda s, d: all_rounded(R.interval(rates_of(s, d), CELL, "far")),
     "r3_paired_difference": r3_paired_difference,
-    "r4_eer_bootstrap": lambda s, d: all_rounded(R.interval(R.weighted_eer(A.scores(s, d).filter("pool = 'test'"), drawn_of(s, d, 5), ["detector"]), ["detector"], "eer")),
+    "r4_eer_bootstrap": lambda s, d: all_rounded(R.interval(R.weighted_eer(A.scores(s, d).filter("pool = 'test'"), drawn_of(s, d, LOCATED), ["detector"]), ["detector"], "eer")),
     "r10_split_marginal": r10_split_marginal,
     "j1_candidates": j1_candidates,
     "j3_assignment": j3_assignment,
@@ -182,10 +187,10 @@ _CONF = f"""{_SESS}, cf AS (SELECT event_id, user_id, label, (1 + (SELECT count(
   (SELECT score, sum(c) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below FROM (SELECT score, count(*) FILTER (label = 0) AS c FROM ss GROUP BY score)) b USING (score))"""
 _FLAGS = f"{_SESS}, flags AS (SELECT user_id, CAST(score > 0.6::DOUBLE AS INTEGER) AS flag FROM ss WHERE label = 0), users AS (SELECT user_id, avg(flag) AS r, sum(flag) AS s, count(*) AS n FROM flags GROUP BY user_id)"
 _GAPS = f"""{RHYTHM}, g0 AS (SELECT *, (end_ms - start_ms) / 1000.0::DOUBLE AS duration_s, (start_ms - lag(end_ms) OVER w) / 1000.0::DOUBLE AS gap_s, lag(action) OVER w AS prior FROM rhythm WINDOW w AS (PARTITION BY user_id, session_id ORDER BY start_ms, event_id)),
-gaps AS (SELECT *, sum(coalesce(gap_s, 0)) OVER w + sum(duration_s) OVER w - duration_s AS onset_s FROM g0 WINDOW w AS (PARTITION BY user_id, session_id ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING))"""
-_LC = f"""{RHYTHM}, t AS (SELECT event_id, user_id, session_id, ['tap', 'swipe', 'scroll', 'pinch', 'keystroke'][event_id % 5 + 1] AS action, start_ms // 3600000 AS a, start_ms // 3600000 + 1 AS b FROM rhythm)"""
-_DRAWN = """u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM scores WHERE pool = 'test')),
-picks AS (SELECT rep, CAST(floor(('0x' || substr(sha256(concat_ws('|', 'r2', rep, slot)), 1, 12))::UBIGINT::DOUBLE / 281474976710656::DOUBLE * n) AS BIGINT) AS slot FROM u, range(40) t(rep)),
+gaps AS (SELECT *, sum(greatest(coalesce(gap_s, 0), 0)) OVER w + sum(greatest(duration_s, 0)) OVER w - greatest(duration_s, 0) AS onset_s FROM g0 WINDOW w AS (PARTITION BY user_id, session_id ORDER BY start_ms, event_id ROWS UNBOUNDED PRECEDING))"""
+_LC = f"""{RHYTHM}, t AS (SELECT event_id, user_id, session_id, ['tap', 'swipe', 'scroll', 'pinch', 'keystroke'][event_id % 5 + 1] AS action, start_ms // 3600000 AS a, start_ms // 3600000 + 1 AS b, event_id % 7 AS x0, event_id % 5 AS y0, event_id % 11 AS x1, event_id % 3 AS y1 FROM rhythm)"""
+_DRAWN = f"""u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM scores WHERE pool = 'test')),
+picks AS (SELECT rep, CAST(floor(('0x' || substr(sha256(concat_ws('|', 'r2', rep, slot)), 1, 12))::UBIGINT::DOUBLE / 281474976710656::DOUBLE * n) AS BIGINT) AS slot FROM u, range({SHARED}) t(rep)),
 drawn AS (SELECT rep, user_id, count(*) AS mult FROM picks JOIN u USING (slot) GROUP BY ALL)"""
 _CUTS, _AUC = metric_queries._CUTS, metric_queries._auc
 _RATES = f"""{_CUTS}, {_DRAWN}, per_user AS (SELECT action, detector, user_id, count(*) FILTER (label = 1 AND score < frr5) AS accepted, count(*) FILTER (label = 1) AS n_fake FROM scores JOIN cuts USING (action, detector) WHERE pool = 'test' GROUP BY ALL),
@@ -200,31 +205,35 @@ def _entropy(source: str, what: str, name: str) -> str:
 ORACLES = {
     "p15_session_validity": f"""WITH {_GAPS} SELECT *, n_events >= 3 AND negative = 0 AND long = 0 AND usable >= 2 AS kept FROM (SELECT user_id, session_id, count(*) AS n_events, count(*) FILTER (gap_s < 0) AS negative,
  count(*) FILTER (gap_s > 36000) AS long, count(*) FILTER (gap_s BETWEEN 0 AND 36000) AS usable FROM gaps GROUP BY ALL)""",
-    "f13_rhythm_features": f"""WITH {_GAPS}, r AS (SELECT *, CASE WHEN gap_s IS NOT NULL THEN least(greatest(gap_s, 0), 36000) END AS g FROM gaps),
-b AS (SELECT user_id, session_id, count(*) AS n_events, quantile_cont(g, 0.5) AS gap50, quantile_cont(g, 0.1) AS gap10, quantile_cont(g, 0.9) AS gap90, avg(g) AS gap_mean, stddev_pop(g) AS gap_std, avg(ln(1 + g)) AS gap_log_mean, min(g) AS gap_min,
- coalesce(avg(CASE WHEN prior IS NOT NULL THEN CAST(prior = action AS INTEGER) END), 0) AS repeat_rate, (max(end_ms) - min(start_ms)) / 1000.0::DOUBLE AS duration_s FROM r GROUP BY ALL),
-f AS (SELECT user_id, session_id, CAST(floor(onset_s / 3600) AS BIGINT) AS bin, count(*) AS c FROM r GROUP BY ALL),
-o AS (SELECT user_id, session_id, 1 - count(*)::DOUBLE / (max(bin) + 1) AS occ_empty, sum(c)::DOUBLE / (max(bin) + 1) AS occ_mean, sqrt(greatest(sum(c * c)::DOUBLE / (max(bin) + 1) - (sum(c)::DOUBLE / (max(bin) + 1)) ** 2, 0)) AS occ_std, max(c) AS occ_max FROM f GROUP BY ALL),
-pairs AS (SELECT * FROM r WHERE prior IS NOT NULL)
-SELECT user_id, session_id, n_events, {", ".join(f"round({c}, 5) AS {c}" for c in ["gap50", "gap10", "gap90", "gap_mean", "gap_std", "gap_log_mean", "gap_min", "repeat_rate", "duration_s", "occ_empty", "occ_mean", "occ_std"])}, occ_max,
- round(entropy1, 5) AS entropy1, round(coalesce(entropy2, 0), 5) AS entropy2 FROM b JOIN o USING (user_id, session_id) JOIN {_entropy("r", "action", "entropy1")} e1 USING (user_id, session_id) LEFT JOIN {_entropy("pairs", "prior, action", "entropy2")} e2 USING (user_id, session_id)""",
+    "f13_rhythm_features": f"""WITH {_GAPS}, r AS (SELECT *, CASE WHEN gap_s IS NOT NULL THEN least(greatest(gap_s, 0), 36000) END AS g, greatest(ceil(max(onset_s) OVER (PARTITION BY user_id, session_id) / 3600), 1)::BIGINT AS bins FROM gaps),
+b AS (SELECT user_id, session_id, any_value(bins) AS bins, greatest(count(g), 2) AS n_gaps, count(g) >= 2 AS enough, quantile_cont(g, 0.5) AS gap50, quantile_cont(g, 0.1) AS gap10, quantile_cont(g, 0.9) AS gap90, avg(g) AS gap_mean, stddev_pop(g) AS gap_std,
+ stddev_pop(g) / (avg(g) + 1e-9) AS gap_cv, avg(ln(1 + g)) AS gap_log_mean, stddev_pop(ln(1 + g)) AS gap_log_std, min(g) AS gap_min, coalesce(avg(CASE WHEN prior IS NOT NULL THEN CAST(prior = action AS INTEGER) END), 0) AS repeat_rate, max(onset_s) AS duration_s FROM r GROUP BY ALL),
+f AS (SELECT user_id, session_id, bins, least(CAST(floor(onset_s / 3600) AS BIGINT), bins - 1) AS bin, count(*) AS c FROM r GROUP BY ALL),
+o AS (SELECT user_id, session_id, 1 - count(*)::DOUBLE / bins AS occ_empty, sum(c)::DOUBLE / bins AS occ_mean, sqrt(greatest(sum(c * c)::DOUBLE / bins - (sum(c)::DOUBLE / bins) ** 2, 0)) AS occ_std, max(c)::DOUBLE AS occ_max FROM f GROUP BY user_id, session_id, bins),
+pairs AS (SELECT * FROM r WHERE prior IS NOT NULL), cells AS (SELECT *, least(floor(g * 12 / 36000.0::DOUBLE), 11) AS cell FROM r WHERE g IS NOT NULL)
+SELECT user_id, session_id, n_gaps, {", ".join(f"round(CASE WHEN enough THEN {c} ELSE 0 END, 5) AS {c}" for c in ["gap50", "gap10", "gap90", "gap_mean", "gap_std", "gap_cv", "gap_min", "gap_log_mean", "gap_log_std"])}, round(repeat_rate, 5) AS repeat_rate, round(duration_s, 5) AS duration_s,
+ {", ".join(f"round(CASE WHEN duration_s > 0 THEN {c} ELSE 0 END, 5) AS {c}" for c in ["occ_empty", "occ_mean", "occ_std", "occ_max"])}, round(entropy1, 5) AS entropy1, round(coalesce(entropy2, 0), 5) AS entropy2, round(coalesce(gap_entropy, 0), 5) AS gap_entropy
+FROM b JOIN o USING (user_id, session_id) JOIN {_entropy("r", "action", "entropy1")} e1 USING (user_id, session_id) LEFT JOIN {_entropy("pairs", "prior, action", "entropy2")} e2 USING (user_id, session_id)
+LEFT JOIN {_entropy("cells", "cell", "gap_entropy")} e3 USING (user_id, session_id)""",
     "f14_onsets": f"WITH {_GAPS} SELECT event_id, round(gap_s, 3) AS gap_s, round(duration_s, 3) AS duration_s, round(onset_s, 3) AS onset_s FROM gaps",
-    "n1_roster": f"WITH {RHYTHM} SELECT session_id, user_id, count(*) AS n_events, count(DISTINCT action) AS n_actions FROM rhythm GROUP BY ALL",
+    "n1_roster": f"WITH {RHYTHM}, e AS (SELECT session_id, user_id, count(*) AS n_events, count(DISTINCT action) AS n_actions FROM rhythm GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY session_id) AS n_owners FROM e",
     "n2_session_statistics": f"WITH {_STATS} SELECT user_id, session_id, label, s1_count, round(s2_mean, 9) AS s2_mean, round(s3_max, 9) AS s3_max, round(s4_top, 9) AS s4_top, round(s5_logodds, 9) AS s5_logodds, n_events FROM stats",
     "n3_genuine_cut": f"""WITH {_STATS}, r AS (SELECT s1_count, row_number() OVER (ORDER BY s1_count DESC) - 1 AS i, count(*) OVER () AS n FROM stats WHERE label = 0)
 SELECT s1_count AS cut, n, CAST(floor(0.05::DOUBLE * n) AS BIGINT) AS k FROM r WHERE i = floor(0.05::DOUBLE * n)""",
     "n4_crossfit": f"""WITH {_STATS}, u AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)), x AS (SELECT * FROM stats JOIN u USING (user_id)),
 r AS (SELECT fold, s1_count, row_number() OVER (PARTITION BY fold ORDER BY s1_count DESC) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM x WHERE label = 0), c AS (SELECT 1 - fold AS fold, s1_count AS cut FROM r WHERE i = floor(0.05::DOUBLE * n))
 SELECT round(avg(CAST(s1_count > cut AS INTEGER)) FILTER (label = 1), 5) AS caught, round(avg(CAST(s1_count > cut AS INTEGER)) FILTER (label = 0), 5) AS false_alarm, count(*) AS n FROM x JOIN c USING (fold)""",
-    "n6_session_roc": f"WITH {_ROC} SELECT v::DOUBLE AS v, round(caught, 5) AS caught, round(false_alarm, 5) AS false_alarm FROM roc",
+    "n6_session_roc": f"WITH {_ROC} SELECT v::VARCHAR AS v, round(caught, 5) AS caught, round(false_alarm, 5) AS false_alarm FROM roc UNION ALL SELECT 'all', 1.0, 1.0 UNION ALL SELECT 'none', 0.0, 0.0",
     "n7_price": f"WITH {_ROC} SELECT " + ", ".join(f"round(min(false_alarm) FILTER (caught >= {t}::DOUBLE), 5) AS price_{round(100 * t)}" for t in (0.5, 0.8, 0.95)) + " FROM roc",
     "n9_count_rule": f"""WITH {_STATS} SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(s1_count >= k AS INTEGER)) FILTER (label = 0), 5) AS false_alarm, round(avg(CAST(s1_count >= k AS INTEGER)) FILTER (label = 1), 5) AS caught FROM stats, range(1, 11) t(k) GROUP BY k""",
-    "n11_log_ratio": f"""WITH {SCORES}, e AS (SELECT list_sort(list_distinct(quantile_cont(score, {[i / 40 for i in range(1, 40)]}))) AS edges FROM scores), p AS (SELECT len(list_filter(edges, lambda c: c <= score)) AS bin, label FROM scores, e),
+    "n11_log_ratio": f"""WITH {SCORES}, q AS (SELECT list_sort(list_distinct(quantile_cont(score, {[i / 40 for i in range(41)]}))) AS q, quantile_cont(score, 0.5) AS m FROM scores), e AS (SELECT CASE WHEN len(q) > 2 THEN q[2 : len(q) - 1] ELSE [m] END AS edges FROM q), p AS (SELECT len(list_filter(edges, lambda c: c <= score)) AS bin, label FROM scores, e),
 c AS (SELECT bin, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS g FROM p GROUP BY bin)
 SELECT CAST(bin AS INTEGER) AS bin, round(ln(((f + 0.5::DOUBLE) / ((SELECT sum(f) FROM c) + 0.5::DOUBLE * (len(edges) + 1))) / ((g + 0.5::DOUBLE) / ((SELECT sum(g) FROM c) + 0.5::DOUBLE * (len(edges) + 1)))), 5) AS llr, f, g FROM c, e""",
     "n12_conformal": f"WITH {_CONF} SELECT event_id, round(p, 5) AS p FROM cf",
-    "n14_user_spread": f"WITH {_FLAGS} SELECT round(min(r), 5) AS low, round(quantile_cont(r, 0.5), 5) AS median, round(quantile_cont(r, 0.9), 5) AS p90, round(max(r), 5) AS high, round(sum(s)::DOUBLE / sum(n), 5) AS pooled, round(sum(n)::DOUBLE / sum(s) / 6, 5) AS days_between FROM users",
-    "n15_beta_binomial": f"""WITH {_FLAGS}, m AS (SELECT sum(s)::DOUBLE / sum(n) AS mean, var_pop(r) AS v, avg(1.0::DOUBLE / n) AS inv FROM users), q AS (SELECT *, least(greatest((v - mean * (1 - mean) * inv) / (mean * (1 - mean) * (1 - inv)), 1e-6), 0.999::DOUBLE) AS rho FROM m)
+    "n14_user_spread": f"""WITH {_FLAGS} SELECT count(*) AS n_users, round(min(r), 5) AS low, round(quantile_cont(r, 0.5), 5) AS median, round(quantile_cont(r, 0.9), 5) AS p90, round(max(r), 5) AS high, round(sum(s)::DOUBLE / sum(n), 5) AS pooled,
+ round(CASE WHEN quantile_cont(r, 0.5) > 0 THEN 1 / quantile_cont(r, 0.5) / 6 END, 5) AS days_median, round(CASE WHEN quantile_cont(r, 0.9) > 0 THEN 1 / quantile_cont(r, 0.9) / 6 END, 5) AS days_p90 FROM users""",
+    "n15_beta_binomial": f"""WITH {_FLAGS}, p AS (SELECT sum(s)::DOUBLE / sum(n) AS mean, avg(n) AS k FROM users), m AS (SELECT mean, k, sum(n * (r - mean) ** 2) / sum(n) AS v FROM users, p GROUP BY mean, k),
+q AS (SELECT *, least(greatest((v - mean * (1 - mean) / k) / (mean * (1 - mean) * (1 - 1 / k)), 1e-6), 0.999::DOUBLE) AS rho FROM m)
 SELECT round(mean, 5) AS mean, round(rho, 5) AS rho, round(mean * (1 / rho - 1), 5) AS alpha, round((1 - mean) * (1 / rho - 1), 5) AS beta FROM q""",
     "n16_largest_cut": f"""WITH {_CONF}, r AS (SELECT cut, user_id, avg(CAST(p <= cut AS INTEGER)) AS rate FROM cf, (SELECT unnest({GRID})::DOUBLE AS cut) WHERE label = 0 GROUP BY ALL), c AS (SELECT cut, quantile_cont(rate, 0.9) AS p90 FROM r GROUP BY cut)
 SELECT max(cut) AS cut, count(*) AS passed FROM c WHERE cut < coalesce((SELECT min(cut) FROM c WHERE p90 > 0.5), 9)""",
@@ -232,8 +241,9 @@ SELECT max(cut) AS cut, count(*) AS passed FROM c WHERE cut < coalesce((SELECT m
     "r2_shared_bootstrap": f"WITH {_RATES.removeprefix('WITH ')} SELECT action, detector, {_INTERVAL} FROM (SELECT *, far AS v FROM rates) GROUP BY ALL",
     "r3_paired_difference": f"""WITH {_RATES.removeprefix('WITH ')}, g AS (SELECT a.rep, avg(a.far - b.far) AS v FROM rates a JOIN rates b ON a.rep = b.rep AND a.action = b.action AND a.detector = 0 AND b.detector = 1 GROUP BY a.rep)
 SELECT *, low > 0 OR high < 0 AS excludes_zero FROM (SELECT {_INTERVAL} FROM g)""",
-    "j1_candidates": f"""WITH {_LC}, j AS (SELECT l.event_id, c.event_id AS contact_id, l.action, abs(c.a - l.a) AS ds, abs(c.b - l.b) AS de, c.b - l.b AS after, l.a - c.a AS before FROM t l JOIN t c USING (user_id, session_id) WHERE l.event_id % 2 = 0 AND c.event_id % 2 = 1)
-SELECT event_id, contact_id, round((ds + de)::DOUBLE, 5) AS score FROM j WHERE CASE WHEN action = 'scroll' THEN ds <= 1 AND after >= -1 AND after <= 2 WHEN action = 'pinch' THEN before >= -1 AND after >= -1 AND before + after <= 4 ELSE ds <= 1 AND de <= 1 END""",
+    "j1_candidates": f"""WITH {_LC}, j AS (SELECT l.event_id, c.event_id AS contact_id, l.action, abs(c.a - l.a) AS ds, abs(c.b - l.b) AS de, c.b - l.b AS after, l.a - c.a AS before,
+  0.01::DOUBLE * (sqrt((c.x0 - l.x0) ** 2 + (c.y0 - l.y0) ** 2) + sqrt((c.x1 - l.x1) ** 2 + (c.y1 - l.y1) ** 2)) AS way FROM t l JOIN t c USING (user_id, session_id) WHERE l.event_id % 2 = 0 AND c.event_id % 2 = 1)
+SELECT event_id, contact_id, round((ds + de)::DOUBLE + way, 5) AS score FROM j WHERE CASE WHEN action = 'scroll' THEN ds <= 1 AND after >= -1 AND after <= 2 WHEN action = 'pinch' THEN before >= -1 AND after >= -1 AND greatest(before, 0) + greatest(after, 0) <= 4 ELSE ds <= 1 AND de <= 1 END""",
     "j6_pair_index": """WITH n AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber - 1) AS lo, max(l_linenumber - 1) AS hi, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1)
 SELECT coalesce(o_orderkey, k) AS k, n AS n_chunks, CASE WHEN n IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' WHEN lo = 0 AND hi = n - 1 AND d = n THEN 'ok' ELSE 'broken' END AS status FROM orders FULL JOIN n ON o_orderkey = k""",
     "j7_pair_digest": f"WITH {RHYTHM} SELECT event_id, sha256(concat_ws('|', 'pair_v1', action, user_id, session_id, start_ms, end_ms)) AS digest FROM rhythm",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,11 @@ from padlens.streaming import queries as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    """A new folder in spark.checkpoint.dir; a local one where that is unset and Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

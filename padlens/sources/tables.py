@@ -15,13 +15,15 @@ from pyspark.sql import types as T
 # Columns of the raw touch rows and of the one-finger rows.
 TOUCH = "sys_t evt_t act_id pointer_count pointer_id action x y pressure size orient".split()
 ONE_FINGER = "sys_t evt_t act_id tap_id tap_type action x y pressure size orient".split()
-REAL = {"x", "y", "pressure", "size"}
+WHOLE = {"sys_t", "evt_t", "act_id", "pointer_count", "pointer_id", "tap_id", "tap_type", "action", "orient"}
+# Columns of the accelerometer rows.
+SENSOR = "t x y z".split()
 
 
 def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Text columns to numbers; a row with any cell that isn't one goes."""
+    """Text columns to numbers, those in WHOLE to integers; a row with any cell that isn't a number goes."""
     typed = rows.withColumns({c: F.expr(f"try_cast(trim(`{c}`) as double)") for c in columns}).na.drop(subset=columns)
-    return typed.withColumns({c: F.col(c).cast("long") for c in columns if c not in REAL})
+    return typed.withColumns({c: F.col(c).cast("long") for c in columns if c in WHOLE})
 
 
 def touch_csv(spark: SparkSession, path: str, columns: list[str] = TOUCH) -> DataFrame:
@@ -88,8 +90,9 @@ def from_ragged(events: DataFrame, key: str) -> DataFrame:
 
 
 def write_events(rows: DataFrame, path: str) -> None:
-    """Partitioned by action; Spark's committer makes the folder appear whole."""
-    rows.repartition("action").write.mode("overwrite").partitionBy("action").parquet(path)
+    """Partitioned by action, each action in several files; Spark's committer makes the folder appear whole."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(16))
+    rows.repartition("action", salt).write.mode("overwrite").partitionBy("action").parquet(path)
 
 
 def audit_rollup(audit: DataFrame) -> DataFrame:

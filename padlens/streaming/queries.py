@@ -14,39 +14,54 @@ from padlens.operators.detectors import scored as batch_scored
 from padlens.operators.gestures import CANCEL, DOWN, UP
 
 CONTACT = "user_id long, act_id long, start_ms long, end_ms long, n_frames long, state string"
-#: start, end, frames; start is -1 while nothing is open.
-OPEN = "start_ms long, end_ms long, n_frames long"
+#: start, end, frames (start is -1 while nothing is open), and the frames that wait for the watermark: time, bits of their codes.
+OPEN = "start_ms long, end_ms long, n_frames long, wait_t array<long>, wait_bits array<int>"
+#: How long after its last frame an open contact is given up.
+IDLE_MS = 600_000
+_BIT = {DOWN: 1, UP: 2, CANCEL: 4}
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    out: list[tuple] = []
-    start, end, n = state.get if state.exists else (-1, -1, 0)
-    if state.hasTimedOut:
-        if start >= 0:
+    start, end, n, *waiting = state.get if state.exists else (-1, -1, 0, [], [])
+    frames: dict[int, int] = dict(zip(*waiting))
+    if not state.hasTimedOut:
+        for batch in batches:
+            for t, code in zip(batch["evt_t"].tolist(), batch["code"].tolist()):
+                frames[t] = frames.get(t, 0) | _BIT.get(code, 0)
+    mark, out = state.getCurrentWatermarkMs(), []
+    for t in sorted(t for t in frames if t < mark):  # no earlier row can come any more
+        bits = frames.pop(t)
+        if start >= 0 and t - end >= IDLE_MS:
             out.append((*key, start, end, n, "eof"))
-        state.remove()
+            start = -1
+        if bits & _BIT[DOWN]:
+            if start >= 0:
+                out.append((*key, start, end, n, "restarted"))
+            start, n = t, 0
+        if start < 0:
+            continue
+        end, n = t, n + 1
+        if bits & (_BIT[UP] | _BIT[CANCEL]):
+            out.append((*key, start, end, n, "cancelled" if bits & _BIT[CANCEL] else "complete"))
+            start = -1
+    if start >= 0 and not frames and mark > end + IDLE_MS:
+        out.append((*key, start, end, n, "eof"))
+        start = -1
+    if start < 0 and not frames:
+        state.remove() if state.exists else None
     else:
-        frame = pd.concat(list(batches))
-        frame = frame.assign(down=frame["code"] == DOWN, up=frame["code"] == UP, cancel=frame["code"] == CANCEL).groupby("evt_t", sort=True)[["down", "up", "cancel"]].any()
-        for t, down, up, cancel in frame.itertuples():
-            if down:
-                if start >= 0:
-                    out.append((*key, start, end, n, "restarted"))
-                start, n = t, 0
-            if start < 0:
-                continue
-            end, n = t, n + 1
-            if cancel or up:
-                out.append((*key, start, end, n, "cancelled" if cancel else "complete"))
-                start, n = -1, 0
-        state.update((int(start), int(end), int(n)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(frame.index.max())) + 600_000)
+        state.update((start, end, n, list(frames), list(frames.values())))
+        state.setTimeoutTimestamp(max(mark, min(frames) if frames else end + IDLE_MS) + 1)
     yield pd.DataFrame(out, columns=["user_id", "act_id", "start_ms", "end_ms", "n_frames", "state"])
 
 
 def contacts(touch: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Contacts as they close. touch(user_id, act_id, evt_t ms, code, ts). Frames of one batch are put in order;
-    what is open when the watermark has passed by ten minutes is flushed as eof. State is three numbers a key."""
+    """Contacts as they close. touch(user_id, act_id, evt_t ms, code, ts).
+
+    Rows may come late by up to the delay, in any order and in any batch: frames wait in the state until the watermark has
+    passed them and are then handled in order of their time, so the contacts are those of the batch form. An open contact
+    without a frame for IDLE_MS ends as eof. State is three numbers a key and the frames of the last `delay`.
+    """
     rows = touch.withWatermark("ts", delay).select("user_id", "act_id", "evt_t", "code", "ts")
     return rows.groupBy("user_id", "act_id").applyInPandasWithState(_step, CONTACT, OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 

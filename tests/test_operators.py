@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -41,8 +42,11 @@ def test_typing_features(spark):
 
 
 def test_kinematics(spark):
-    r = features.kinematics(line(spark, [(0, 0, 0), (1, 0, 10), (3, 0, 20)]), ["e"]).first()
-    assert [r[k] for k in ("path", "mean_speed", "max_speed", "max_accel")] == pytest.approx([3, 150, 200, 10000])
+    points = line(spark, [(0, 0, 0), (1, 0, 10), (3, 0, 20)]).withColumns({"pressure": (F.col("source_row") + 2) / 10, "size": F.lit(0.5)})
+    r = features.kinematics(points, ["e"]).first()
+    assert [r[k] for k in ("duration_ms", "path", "mean_speed", "max_speed", "max_accel", "median_dt", "pressure_mean", "size_std")] == pytest.approx([20, 3, 150, 200, 10000, 10, 0.3, 0])
+    r = features.kinematics(points.filter("t_ms <= 10 or x > 5").unionByName(points.filter("t_ms = 10").withColumns({"t_ms": F.lit(90).cast("long"), "source_row": F.lit(9).cast("long")})), ["e"]).first()
+    assert r["mean_speed"] == pytest.approx(1 / 0.09) and len(r) == 1 + 15  # one unit in 90 ms
 
 
 def scores(spark, rows):
@@ -189,17 +193,135 @@ def test_readers(spark, tmp_path):
 
 
 def test_streaming_contacts_equal_batch(spark, tmp_path):
+    """Several batches, rows out of order by less than the delay: the contacts of the batch form, up to the watermark."""
     rng = random.Random(3)
     rows = [(u, u, 1000 * t, rng.choice([0, 1, 2, 3]), i) for u in range(5) for i, t in enumerate(sorted(rng.sample(range(4000), 60)))]
+    rows.append((9, 9, 5_000_000, 0, 0))
     df = spark.createDataFrame(rows, "user_id long, act_id long, evt_t long, code int, source_row long").withColumn("ts", F.timestamp_millis("evt_t"))
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    out = streams.contacts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    late = sorted(rows, key=lambda r: r[2] + rng.randint(0, 300_000))
+    for k in range(6):
+        spark.createDataFrame(late[k * len(late) // 6 : (k + 1) * len(late) // 6], df.schema.names[:5]).selectExpr("user_id", "act_id", "evt_t", "int(code) code", "source_row", "timestamp_millis(evt_t) ts").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    out = streams.contacts(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
     q.awaitTermination()
     key = ["user_id", "start_ms", "end_ms", "n_frames", "state"]
     got = {tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).select(key).collect() if r["state"] != "eof"}
     want = {tuple(r) for r in gestures.contacts(df).select(key).collect() if r["state"] != "eof"}
-    assert got == want
+    assert got == want and len(want) > 50
+
+
+def test_a_late_end_closes_its_own_contact(spark, tmp_path):
+    """DOWN 500 and DOWN 1000 come before UP 800 of the first contact: 500-800 complete, 1000-1300 complete."""
+    for k, part in enumerate([[(1, 500, 0), (1, 1000, 0)], [(1, 800, 1), (1, 1300, 1)], [(2, 10_000_000, 0)]]):
+        rows = spark.createDataFrame(part, "user_id long, evt_t long, code int").selectExpr("user_id", "user_id act_id", "evt_t", "code", "timestamp_millis(evt_t) ts")
+        rows.repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    out = streams.contacts(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["start_ms"], r["end_ms"], r["state"]) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect())
+    assert got == [(500, 800, "complete"), (1000, 1300, "complete")]
+
+
+def test_sensor_axes_stay_real(spark):
+    r = tables.cleaned(spark.createDataFrame([("5", "0.5", "-1.25", "0.987"), ("6", "1", "2", "x")], "t string, x string, y string, z string"), tables.SENSOR).collect()
+    assert [tuple(x) for x in r] == [(5.0, 0.5, -1.25, 0.987)]
+
+
+def test_typing_pauses_lie_between_downs(spark):
+    """Downs 0, 400, 1000 with ups 390, 410, 1010: flights 10 and 590, down-down 400 and 600: one pause; held 400..900: none."""
+    schema = "user_id long, session_id long, start_ms long, end_ms long, action string, event_id long, x double, y double"
+    keys = [(1, 1, 0, 390, "a", 0, 0.0, 0.0), (1, 1, 400, 410, "DEL", 1, 3.0, 4.0), (1, 1, 1000, 1010, "7", 2, 3.0, 4.0), (2, 1, 0, 10, "a", 0, 0.0, 0.0), (2, 1, 520, 1500, "A", 1, 6.0, 8.0), (2, 1, 1000, 1600, "é", 2, 6.0, 8.0)]
+    a, b = features.typing_features(spark.createDataFrame(keys, schema)).orderBy("user_id").collect()
+    assert (a["bursts"], a["burst_max"], a["pause_fraction"], a["n_letters"], a["n_unique"], a["way_sum"], a["step50"]) == (2, 2, 0.5, 1, 3, 5, 500)
+    assert a["correction_ratio"] == pytest.approx(1 / 3) and a["key_rate"] == pytest.approx(3 / 1.01) and a["way50"] == 2.5
+    assert (b["bursts"], b["overlap"], b["n_letters"], b["n_unique"], b["duration_ms"], b["has_xy"]) == (2, 0.5, 3, 2, 1600, 1)
+    assert len(a) == 2 + 34
+
+
+def test_no_movement_has_no_efficiency(spark):
+    r = features.finger_features(line(spark, [(1, 1, 0), (1, 1, 50)]), ["e"]).first()
+    assert (r["efficiency"], r["mean_speed"], r["duration_ms"]) == (0, 0, 50)
+    r = features.finger_features(line(spark, [(0, 0, 0), (1, 0, 10), (1, 0, 100)]), ["e"]).first()
+    assert r["mean_speed"] == pytest.approx(10)  # 1 in 0.1 s, not the mean of 100 and 0
+
+
+def test_rhythm_by_hand(spark):
+    """Starts 0, 8, 9 s; ends 10, 8.5, 11 s: gaps -2 (as 0) and 0.5; onsets 0, 10, 11 s; four bins of 3 s."""
+    rows = [(1, 1, "a", 0, 10_000, 0), (1, 1, "b", 8_000, 8_500, 1), (1, 1, "b", 9_000, 11_000, 2), (2, 1, "a", 0, 5, 3)]
+    df = spark.createDataFrame(rows, "user_id long, session_id long, action string, start_ms long, end_ms long, event_id long")
+    assert [r["onset_s"] for r in sessions.gaps(df).orderBy("event_id").collect()] == [0, 10, 11, 0]
+    r, one = sessions.rhythm_features(df, 30.0, 3.0).orderBy("user_id").collect()
+    import math
+
+    assert (r["duration_s"], r["gap_mean"], r["gap_std"], r["gap_min"], r["n_gaps"], r["repeat_rate"]) == (11, 0.25, 0.25, 0, 2, 0.5)
+    assert (r["occ_empty"], r["occ_mean"], r["occ_max"]) == (0.5, 0.75, 2) and r["gap_cv"] == pytest.approx(1) and r["gap_log_std"] == pytest.approx(math.log(1.5) / 2)
+    assert r["gap_entropy"] == 0 and r["entropy1"] == pytest.approx(-(math.log(1 / 3) / 3 + 2 * math.log(2 / 3) / 3))
+    assert (one["n_gaps"], one["gap50"], one["duration_s"], one["occ_mean"], one["occ_max"]) == (2, 0, 0, 0, 0) and len(r) == 2 + 19
+
+
+def test_linear_window_of_one_row_is_constant(spark):
+    got = features.linear(spark.createDataFrame([(1, 0, 7.0), (2, 0, 0.0), (2, 1, 4.0)], "vec_id long, i int, v double"), 3).collect()
+    assert sorted((r["vec_id"], r["k"], r["v"]) for r in got) == [(1, 0, 7), (1, 1, 7), (1, 2, 7), (2, 0, 0), (2, 1, 2), (2, 2, 4)]
+
+
+def test_comparison_uses_training_rows_and_the_wider_scale(spark):
+    rows = [(0, 0, "train", 100.0)] * 5 + [(0, 0, "test", 900.0)] * 5 + [(0, 1, "test", 102.0)] * 4
+    r = metrics.real_fake_comparison(spark.createDataFrame(rows, "c int, label int, pool string, v double"), ["c"], "v").first()
+    assert (r["outside"], r["distance"], r["ratio99"]) == (1, 2, pytest.approx(1.02))  # quartile range 0: 1 % of the median is 1
+
+
+def test_pinch_slack_is_not_offset(spark):
+    """A contact that begins 500 late has no slack before, so 300 after don't become -200."""
+    label = spark.createDataFrame([(1, 1, 1, 1, "pinch", 1000, 2000, 0.0, 0.0, 0.0, 0.0)], "event_id long, user_id long, session_id long, act_id long, action string, start_ms long, end_ms long, x0 double, y0 double, x1 double, y1 double")
+    contact = lambda a, b: spark.createDataFrame([(7, 1, 1, 1, a, b, 0.0, 3.0, 0.0, 4.0)], "contact_id long, user_id long, session_id long, act_id long, start_ms long, end_ms long, x0 double, y0 double, x1 double, y1 double")
+    assert joins.candidates(label, contact(1500, 2300), 500, 100).count() == 0
+    assert joins.candidates(label, contact(900, 2100), 500, 100).first()["score"] == pytest.approx(200.07)
+
+
+def test_energy_distance_by_hand(spark):
+    rows = spark.createDataFrame([("a", 0.0), ("a", 2.0), ("b", 4.0), ("b", 6.0)], "side string, m double")
+    scale = 5**0.5  # spread of 0, 2, 4, 6
+    assert more.energy_distance(rows, rows, ["m"], "a", "b").first()["energy"] == pytest.approx((2 * 4 - 1 - 1) / scale)
+
+
+def test_session_points_by_hand(spark):
+    flags = spark.createDataFrame([(1, 1.0), (1, 0.0), (2, 0.0), (2, 0.0), (3, 1.0), (3, 1.0), (3, 1.0), (3, 0.0)], "user_id long, flag double")
+    r = sessions.user_spread(flags, 6.0).first()  # rates 0.5, 0, 0.75
+    assert (r["median"], r["p90"], r["pooled"]) == (0.5, pytest.approx(0.7), 0.5) and r["days_median"] == pytest.approx(1 / 3) and r["days_p90"] == pytest.approx(1 / 4.2)
+    b = sessions.beta_binomial(flags).first()  # mean 0.5, variance (2*0 + 2*.25 + 4*.0625) / 8 = 0.09375, mean size 8/3
+    rho = (0.09375 - 0.25 * 3 / 8) / (0.25 * (1 - 3 / 8))
+    assert (b["mean"], b["rho"]) == (0.5, pytest.approx(max(rho, 1e-6)))
+    edges = sessions.ratio_edges(spark.createDataFrame([(0.0,)] * 30 + [(1.0,)] * 5 + [(2.0,)] * 30, "v double"), "v").first()["edges"]
+    assert 0.0 not in edges and 2.0 not in edges and 1.0 in edges
+    assert sessions.ratio_edges(spark.createDataFrame([(3.0,)] * 4, "v double"), "v").first()["edges"] == [3.0]
+    stats = spark.createDataFrame([(0, 5), (0, 7), (1, 6), (1, 9)], "label int, v int")
+    points = sorted((r["v"], r["caught"], r["false_alarm"]) for r in sessions.roc(stats, "v").collect())
+    assert points[0] == (float("-inf"), 1, 1) and points[-1] == (float("inf"), 0, 0) and points[2] == (6, 1, 0.5)
+    from padlens.operators import reports
+
+    r = reports.oracle_point(stats, "v", 1.0).first()
+    assert (r["caught"], r["false_alarm"]) == (1, 1)  # k = N: everything is flagged
+
+
+def test_disjoint_price_against_every_target(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 1), rng.randint(0, 1), rng.randint(0, 6)) for _ in range(60)]
+    side = {f: {y: sorted((v for g, z, v in rows if (g, z) == (f, y)), reverse=True) for y in (0, 1)} for f in (0, 1)}
+    targets = sorted({i / len(side[f][0]) for f in (0, 1) for i in range(len(side[f][0]) + 1)})
+    points = []
+    for q in targets:
+        flagged = {0: 0, 1: 0}
+        for f in (0, 1):
+            k = int((q + 1e-12) * len(side[f][0]))
+            cut = side[f][0][k] if k < len(side[f][0]) else -1
+            for y in (0, 1):
+                flagged[y] += sum(v > cut for v in side[1 - f][y])
+        points.append([flagged[y] / sum(z == y for _, z, _ in rows) for y in (0, 1)])
+    r = more.disjoint_price(spark.createDataFrame(rows, "fold int, label int, v int"), "v").first()
+    for t in (0.5, 0.8):
+        assert r[f"price_{round(100 * t)}"] == pytest.approx(min(a for a, c in points if c >= t))
 
 
 def test_mirrored_draw_has_no_repeats_in_a_session(spark):
