@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
@@ -24,13 +24,11 @@ def score_counts(scores: DataFrame, cell: list[str]) -> DataFrame:
 def curve(scores: DataFrame, cell: list[str]) -> DataFrame:
     """Every attainable cut with FA and FRR. Cuts are the least score, the midpoints of neighbours, and +inf."""
     counts = score_counts(scores, cell)
-    cum = running_totals(counts, cell, "score", ["real", "fake"])
-    whole = counts.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
-    before = Window.partitionBy(*cell).orderBy("score")
-    rows = cum.withColumn("_last", F.lag("score").over(before)).join(whole, cell)
-    at = rows.select(
+    cum = running_totals(counts, cell, "score", ["real", "fake"], last="before")
+    whole = cum.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
+    at = cum.join(whole, cell).select(
         *cell,
-        F.when(F.col("_last").isNull(), F.col("score")).otherwise(F.col("_last") + 0.5 * (F.col("score") - F.col("_last"))).alias("cut"),
+        F.when(F.col("before").isNull(), F.col("score")).otherwise(F.col("before") + 0.5 * (F.col("score") - F.col("before"))).alias("cut"),
         (F.col("cum_fake") - F.col("fake")).alias("accepted"),
         (F.col("n_real") - (F.col("cum_real") - F.col("real"))).alias("rejected"),
         "n_real",
@@ -45,12 +43,12 @@ def curve(scores: DataFrame, cell: list[str]) -> DataFrame:
 def select_cuts(val: DataFrame, cell: list[str], target: float = 0.05) -> DataFrame:
     """E5: the EER cut and the cut for a genuine rejection of at most `target`, from validation rows alone."""
     points = curve(val, cell)
-    eer = points.groupBy(*cell).agg(
-        F.min(F.struct(F.abs(F.col("fa") - F.col("frr")).alias("gap"), F.greatest("fa", "frr").alias("worst"), F.col("cut"), F.col("fa"), F.col("frr"))).alias("b")
+    best = points.groupBy(*cell).agg(
+        F.min(F.struct(F.abs(F.col("fa") - F.col("frr")).alias("gap"), F.greatest("fa", "frr").alias("worst"), F.col("cut"), F.col("fa"), F.col("frr"))).alias("e"),
+        F.min(F.when(F.col("frr") <= target + 1e-15, F.struct(F.col("fa"), (-F.col("frr")).alias("minus"), F.col("cut")))).alias("b"),
     )
-    frr = points.filter(F.col("frr") <= target + 1e-15).groupBy(*cell).agg(F.min(F.struct(F.col("fa"), (-F.col("frr")).alias("minus"), F.col("cut"))).alias("b"))
-    return eer.select(*cell, F.col("b.cut").alias("eer"), ((F.col("b.fa") + F.col("b.frr")) / 2).alias("eer_rate")).join(
-        frr.select(*cell, F.col("b.cut").alias("frr5"), F.col("b.fa").alias("val_fa"), (-F.col("b.minus")).alias("val_frr")), cell
+    return best.filter("b is not null").select(
+        *cell, F.col("e.cut").alias("eer"), ((F.col("e.fa") + F.col("e.frr")) / 2).alias("eer_rate"), F.col("b.cut").alias("frr5"), F.col("b.fa").alias("val_fa"), (-F.col("b.minus")).alias("val_frr")
     )
 
 
@@ -85,8 +83,8 @@ def test_eer(scores: DataFrame, cell: list[str]) -> DataFrame:
 
 def curve_at_scores(scores: DataFrame, cell: list[str]) -> DataFrame:
     counts = score_counts(scores, cell)
-    whole = counts.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
-    cum = running_totals(counts, cell, "score", ["real", "fake"]).join(whole, cell)
+    cum = running_totals(counts, cell, "score", ["real", "fake"])
+    cum = cum.join(cum.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake")), cell)
     return cum.select(
         *cell,
         "score",
@@ -159,8 +157,8 @@ def standardised_rate(rows: DataFrame, cuts: DataFrame, cut: float, reference: s
 def ks(scores: DataFrame, cell: list[str]) -> DataFrame:
     """The greatest gap between the distributions of the two classes."""
     counts = score_counts(scores, cell)
-    whole = counts.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
-    cum = running_totals(counts, cell, "score", ["real", "fake"]).join(whole, cell)
+    cum = running_totals(counts, cell, "score", ["real", "fake"])
+    cum = cum.join(cum.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake")), cell)
     return cum.groupBy(*cell).agg(F.max(F.abs(F.try_divide("cum_real", "n_real") - F.try_divide("cum_fake", "n_fake"))).alias("ks"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from padlens.functions.shared import written
 from padlens.operators import metrics as M
 from padlens.operators import splits as D
 from padlens.plans import adapters as A
@@ -22,14 +23,15 @@ def cuts_of(spark: SparkSession, sf: str) -> DataFrame:
     return M.select_cuts(A.scores(spark, sf).filter("pool = 'val'"), CELL)
 
 
-def cells_of(spark: SparkSession, sf: str) -> DataFrame:
-    return M.at_cut(A.scores(spark, sf).filter("pool = 'test'"), cuts_of(spark, sf), CELL, "frr5")
+def cells_of(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = written(A.scores(spark, sf), "scores") if rows is None else rows  # split once for both pools
+    return M.at_cut(rows.filter("pool = 'test'"), M.select_cuts(rows.filter("pool = 'val'"), CELL), CELL, "frr5")
 
 
 def e1_operating_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: cuts from validation rows, FAR and FRR on test rows, joined with AUC, per cell."""
-    test = A.scores(spark, sf).filter("pool = 'test'")
-    return rounded(cells_of(spark, sf).join(M.auc(test, CELL).select(*CELL, "auc"), CELL), "far", "frr", "auc")
+    rows = written(A.scores(spark, sf), "scores")
+    return rounded(cells_of(spark, sf, rows).join(M.auc(rows.filter("pool = 'test'"), CELL).select(*CELL, "auc"), CELL), "far", "frr", "auc")
 
 
 def e4_curve(spark: SparkSession, sf: str) -> DataFrame:

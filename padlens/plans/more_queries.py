@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from padlens.functions.shared import shared_folder
 from padlens.operators import features as X
 from padlens.operators import metrics as M
 from padlens.operators import more as O
@@ -12,7 +13,6 @@ from padlens.plans import adapters as A
 from padlens.plans.adapters import CELL, RHYTHM, SCORES, TOUCH, WINDOWS
 from padlens.plans.gesture_queries import all_rounded
 from padlens.plans.session_queries import _STATS, folded
-from padlens.plans.stream_queries import shared_folder
 from padlens.sources import tables as S
 
 
@@ -32,7 +32,7 @@ def s7_ragged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s8_event_writer(spark: SparkSession, sf: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = shared_folder(spark, "events")
     S.write_events(A.scores(spark, sf).select("event_id", "action", "score"), path)
     return spark.read.parquet(path).select("event_id", F.col("action").cast("string").alias("action"), "score")
 
@@ -149,8 +149,8 @@ SELECT user_id, CAST(count(*) FILTER (k = 2) AS INTEGER) AS shared, CAST(count(*
     "e22_latency_summary": f"""WITH {RHYTHM}, q AS (SELECT action, quantile_cont(end_ms - start_ms, [0.5, 0.95, 1.0]) AS q FROM rhythm GROUP BY action) SELECT action, CAST(i - 1 AS INTEGER) AS step, round(q[i], 5) AS value FROM (SELECT *, unnest(range(1, 4)) AS i FROM q)""",
     "n8_disjoint_price": f"""WITH {_STATS}, u AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)), x AS (SELECT * FROM stats JOIN u USING (user_id)),
 g AS (SELECT fold, s1_count AS v, count(*) AS c FROM x WHERE label = 0 GROUP BY ALL), n AS (SELECT fold, sum(c) AS n FROM g GROUP BY fold), w AS (SELECT DISTINCT fold, s1_count AS v FROM x),
-at AS (SELECT w.fold, w.v, coalesce(sum(c), 0)::DOUBLE / any_value(n) AS q FROM w JOIN n ON n.fold = 1 - w.fold LEFT JOIN g ON g.fold = 1 - w.fold AND g.v >= w.v GROUP BY ALL),
-p AS (SELECT q, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS r FROM x JOIN at ON at.fold = x.fold AND at.v = s1_count GROUP BY q),
+step AS (SELECT w.fold, w.v, coalesce(sum(c), 0)::DOUBLE / any_value(n) AS q FROM w JOIN n ON n.fold = 1 - w.fold LEFT JOIN g ON g.fold = 1 - w.fold AND g.v >= w.v GROUP BY ALL),
+p AS (SELECT q, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS r FROM x JOIN step ON step.fold = x.fold AND step.v = s1_count GROUP BY q),
 k AS (SELECT sum(f) OVER o::DOUBLE / sum(f) OVER () AS caught, sum(r) OVER o::DOUBLE / sum(r) OVER () AS fa FROM p WINDOW o AS (ORDER BY q ROWS UNBOUNDED PRECEDING))
 SELECT round(min(fa) FILTER (caught >= 0.5::DOUBLE - 1e-12), 5) AS price_50, round(min(fa) FILTER (caught >= 0.8::DOUBLE - 1e-12), 5) AS price_80 FROM k""",
     "p14_coverage_status": f"""WITH c AS (SELECT user_id, event_type AS action, bool_or(value > 70) AS scored, bool_or(event_id % 2 = 1 AND user_id % 2 = 0) AS fakes FROM events GROUP BY ALL)

@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from padlens.functions.shared import shared_folder
 from padlens.operators import detectors as L
 from padlens.operators import rows as W
 from padlens.operators import sessions as N
 from padlens.plans import adapters as A
+from padlens.plans.adapters import TOUCH
 from padlens.plans.gesture_queries import all_rounded
 from padlens.streaming import queries as T
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; a local one where that is unset and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = found or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def once(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over the events table to its end and return what it wrote."""
     schema = A.table(spark, sf, "events").schema
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     out = build(spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf))
     query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -102,7 +92,7 @@ def t5_streaming_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A logistic detector fitted on line items of the train pool scores them all as a stream."""
     rows = feature_rows(spark, sf)
     model = L.detector("logistic", ["f0", "f1", "f2", "f3"]).fit(L.balanced(rows.filter("pool = 'train'")))
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     rows.write.parquet(f"{folder}/in")
     out = T.scored(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), model)
     query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
@@ -127,6 +117,11 @@ QUERIES = {
 # A window closes when the watermark (ten minutes behind the latest event) passes its end; later windows stay open.
 _MARK = "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM events)"
 ORACLES = {
+    "t1_streaming_contacts": f"""WITH {TOUCH}, mark AS (SELECT {_MARK} // 1000 AS m), f AS (SELECT user_id, act_id, evt_t AS t, bool_or(code = 0) AS down, bool_or(code = 1) AS up, bool_or(code = 3) AS cancel FROM touch, mark WHERE evt_t < m GROUP BY ALL),
+s AS (SELECT *, sum(CAST(down AS INTEGER)) OVER w AS seg, t - lag(t) OVER w >= 600000 AS far, lead(t) OVER w AS later FROM f WINDOW w AS (PARTITION BY user_id, act_id ORDER BY t)),
+v AS (SELECT *, coalesce(sum(CAST(far AND NOT down AS INTEGER)) OVER w, 0) + coalesce(sum(CAST(up OR cancel AS INTEGER)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM s WHERE seg > 0 WINDOW w AS (PARTITION BY user_id, act_id, seg ORDER BY t)),
+c AS (SELECT user_id, act_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n_frames, bool_or(cancel) AS cancel, bool_or(up) AS up, max_by(later, t) AS later, any_value(m) AS m FROM v, mark WHERE over = 0 GROUP BY user_id, act_id, seg)
+SELECT user_id, act_id, start_ms, end_ms, n_frames, CASE WHEN cancel THEN 'cancelled' WHEN up THEN 'complete' WHEN later - end_ms < 600000 THEN 'restarted' ELSE 'eof' END AS state FROM c WHERE up OR cancel OR later IS NOT NULL OR m > end_ms + 600000""",
     "t2_streaming_occupancy": f"SELECT * FROM (SELECT user_id, epoch_us(ts) // 3600000000 * 3600 AS start, count(*) AS n FROM events GROUP BY ALL) WHERE (start + 3600) * 1000000 <= {_MARK}",
     "t3_streaming_sessions": f"""WITH n AS (SELECT user_id, ts, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 21600000000 THEN 1 ELSE 0 END AS new FROM events),
 g AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM n) SELECT user_id, min(t) AS start, count(*) AS n FROM g GROUP BY user_id, k HAVING max(t) + 21600000000 <= {_MARK}""",

@@ -44,14 +44,14 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if bits & (_BIT[UP] | _BIT[CANCEL]):
             out.append((*key, start, end, n, "cancelled" if bits & _BIT[CANCEL] else "complete"))
             start = -1
-    if start >= 0 and not frames and mark > end + IDLE_MS:
+    if start >= 0 and mark > end + IDLE_MS:
         out.append((*key, start, end, n, "eof"))
         start = -1
     if start < 0 and not frames:
         state.remove() if state.exists else None
     else:
         state.update((start, end, n, list(frames), list(frames.values())))
-        state.setTimeoutTimestamp(max(mark, min(frames) if frames else end + IDLE_MS) + 1)
+        state.setTimeoutTimestamp(max(mark, min([*frames, end + IDLE_MS] if start >= 0 else frames)) + 1)
     yield pd.DataFrame(out, columns=["user_id", "act_id", "start_ms", "end_ms", "n_frames", "state"])
 
 
