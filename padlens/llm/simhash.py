@@ -84,7 +84,7 @@ def _keys(fp: Column, blocks: list[tuple[int, int]], m: int) -> Column:
     return F.array(*keys)
 
 
-def forest(fp: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE // 4) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs within the radius that join what such pairs join, the nearest first: at most two for each fingerprint.
 
     In turn each part takes its nearest pair with another part, until none is within the radius. Tiles are compared as
@@ -301,7 +301,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 1 << 20):
             texts = texts_of(batch)
             digest = [xxhash.xxh3_128_digest(b" ".join(t.lower().encode("utf-8", "surrogatepass").split())) for t in texts]
             hashes, at = word_shingles(texts, width)
@@ -335,7 +335,7 @@ def alike(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: flo
     """The pairs(a, b) of doc_ids whose texts have that share of common shingles or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2 << 20, "left"):
+        for batch in slices(batches, 1 << 20, "left"):
             n = batch.num_rows
             hashes, at = word_shingles(texts_of(batch, "left") + texts_of(batch, "right"), width)
             sets = [np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]

@@ -165,7 +165,7 @@ def passage_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             data, offsets = buffer_of(texts_of(batch))
             doc, start, end, stop, weight = passages(data, offsets, least_words)
             raw = data.tobytes()
@@ -200,9 +200,8 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: i
     """
     table = staged(passage_table(docs.filter("doc_id is not null and text <> ''"), least_words), "passages")
     rows = table.select("doc_id", F.posexplode("passages").alias("i", "c")).select("doc_id", "i", "c.digest", "c.start", "c.stop", "c.weight")
-    first = (
-        rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).filter("n > 1").select("digest", "f")
-    )
+    first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).filter("n > 1").select("digest", "f")
+    first = staged(first, "repeated")  # few; a join of two shuffles, which Spark splits at digests of many rows
     again = rows.join(first, "digest").filter("doc_id <> f.doc_id or i <> f.i").select("doc_id", "i", "start", "stop", "weight", F.col("f.doc_id").alias("first"))
     order = Window.partitionBy("doc_id").orderBy("i")
     again = again.dropDuplicates(["doc_id", "i"]).withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
