@@ -20,6 +20,8 @@ TILE = 512
 #: shingles are compared (at 0.8 the mean is 9.7, the deviation 2.9), and the bands of least values that bring documents
 #: together with the values of each: a pair at 0.8 shares none of them with a chance of (1 - 0.8^5)^20, under 0.0004.
 WIDTH, SIMILARITY, WIDE, BANDS, VALUES = 5, 0.8, 20, 20, 5
+#: How many times over the nearest pairs of a group are taken; in a group of up to six texts all pairs are.
+TURNS = 5
 #: Rows of one block of a large key; larger keys are compared block by block, each pair of blocks in a group of its own.
 BLOCK = 4096
 
@@ -84,47 +86,52 @@ def _keys(fp: Column, blocks: list[tuple[int, int]], m: int) -> Column:
     return F.array(*keys)
 
 
-def forest(fp: np.ndarray, side: np.ndarray | None, radius: int, tile: int = TILE // 4) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the radius that join what such pairs join, the nearest first: at most two for each fingerprint.
+def forest(fp: np.ndarray, side: np.ndarray | None, radius: int, turns: int = 1, tile: int = TILE // 4) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within the radius that join what such pairs join, the nearest first: at most 2 * turns a fingerprint.
 
-    In turn each part takes its nearest pair with another part, until none is within the radius. Tiles are compared as
-    in group_links, but each with the run of all fingerprints whose number of ones isn't too far off.
+    In turn each part takes its nearest pair with another part, until none is within the radius. Every further turn
+    does so anew with the pairs that are left; so where fewer than `turns` pairs cross between two parts, all are given.
+    Tiles are compared as in group_links, but each with the run of all fingerprints whose number of ones isn't too far off.
     """
     ones = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(ones, kind="stable")
     fp, ones, n = fp[order], ones[order], len(fp)
     side = None if side is None else side[order]
-    label, left, right = np.arange(n), [], []
-    while True:
-        near, mate = np.full(n, 255), np.zeros(n, np.int64)
-        for a in range(0, n, tile):
-            low = np.searchsorted(ones, ones[a] - radius)
-            high = np.searchsorted(ones, ones[min(a + tile, n) - 1] + radius, side="right")
-            x = slice(a, a + tile)
-            differing = np.bitwise_count(fp[x, None] ^ fp[None, low:high])
-            differing[label[x, None] == label[None, low:high]] = 255
-            if side is not None:
-                differing[side[x, None] == side[None, low:high]] = 255
-            j = differing.argmin(1)
-            near[x], mate[x] = differing[np.arange(len(j)), j], j + low
-        open_ = np.flatnonzero(near <= radius)
-        if not len(open_):
-            break
-        by = open_[np.lexsort((near[open_], label[open_]))]
-        i = by[np.concatenate([[True], np.diff(label[by]) != 0])]
-        j = mate[i]
-        left.append(i)
-        right.append(j)
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            while not np.array_equal(deeper := label[label], label):
-                label = deeper
-            apart = label[i] != label[j]
-            i, j = i[apart], j[apart]
-    none = [np.zeros(0, np.int64)]
-    return order[np.concatenate(left or none)], order[np.concatenate(right or none)]
+    found = [np.zeros((2, 0), np.int64)]
+    for _ in range(turns):
+        label, taken = np.arange(n), np.concatenate(found, axis=1)
+        while True:
+            near, mate = np.full(n, 255), np.zeros(n, np.int64)
+            for a in range(0, n, tile):
+                low = np.searchsorted(ones, ones[a] - radius)
+                high = np.searchsorted(ones, ones[min(a + tile, n) - 1] + radius, side="right")
+                x = slice(a, a + tile)
+                differing = np.bitwise_count(fp[x, None] ^ fp[None, low:high])
+                differing[label[x, None] == label[None, low:high]] = 255
+                if side is not None:
+                    differing[side[x, None] == side[None, low:high]] = 255
+                for i, j in (taken, taken[::-1]):
+                    here = (i >= a) & (i < a + tile) & (j >= low) & (j < high)
+                    differing[i[here] - a, j[here] - low] = 255
+                j = differing.argmin(1)
+                near[x], mate[x] = differing[np.arange(len(j)), j], j + low
+            open_ = np.flatnonzero(near <= radius)
+            if not len(open_):
+                break
+            by = open_[np.lexsort((near[open_], label[open_]))]
+            i = by[np.concatenate([[True], np.diff(label[by]) != 0])]
+            j = mate[i]
+            found.append(np.stack([i, j]))
+            while len(i):
+                low = np.minimum(label[i], label[j])
+                np.minimum.at(label, label[i], low)
+                np.minimum.at(label, label[j], low)
+                while not np.array_equal(deeper := label[label], label):
+                    label = deeper
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+    left, right = np.concatenate(found, axis=1)
+    return order[left], order[right]
 
 
 def group_links(fp: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +192,7 @@ def _in_groups(rows: DataFrame, compare: Callable[[np.ndarray, np.ndarray | None
     rows = rows.select(
         "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).alias("second"), "id", "fp"
     )
-    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")  # by id too, so that ties fall alike in every run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -350,14 +357,15 @@ def alike(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: flo
     return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = WIDE, turns: int = TURNS) -> DataFrame:
     """`doc_id, component_id` for each row of docs(doc_id, text): groups by links of `similarity` or more.
 
     Two documents link if their sets of `width`-word shingles (lower case) have that Jaccard similarity; component_id is
     the least doc_id that links reach. Documents that share a band of least values are compared bit by bit in tiles;
-    within a group the nearest pairs within the radius that hold it together, no others, have their shingles compared.
+    within a group the nearest pairs within the radius that hold it together, `turns` times over, have their shingles
+    compared; a link is lost only if all of these fail between two parts that a farther pair would link.
     Texts of the same words collapse first, so groups of copies of any size cost one row; texts without words are such
-    copies of each other. Null texts are empty; texts of any length are taken whole. Repeated rows come back as often as
+    copies of each other; different texts of one doc_id are one document. Null texts are empty; texts of any length are taken whole. Repeated rows come back as often as
     they came in; rows with a null doc_id are left out; no rows give no rows; other columns are ignored.
     """
     docs = docs.filter("doc_id is not null")
@@ -365,8 +373,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = S
     nodes = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("n"))
     nodes = staged(nodes.select("digest", F.col("n.doc_id").alias("id"), "n.fp", "n.keys"), "nodes")
     rows = nodes.select("id", "fp", F.explode("keys").alias("key"))
-    found = _in_groups(rows, partial(forest, radius=radius)).filter("a <> b")
+    found = _in_groups(rows, partial(forest, radius=radius, turns=turns)).filter("a <> b")
     pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    groups = components(alike(pairs, docs, width, similarity).toDF("u", "v"))
-    named = nodes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    members = staged(marked.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest").select("doc_id", "id"), "members")
+    several = members.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("_most")).filter("v <> _most").select("doc_id", "v")
+    own = members.join(staged(several, "several"), "doc_id").select(F.col("id").alias("u"), "v")
+    groups = components(alike(pairs, docs, width, similarity).toDF("u", "v").unionByName(own))
+    return members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))

@@ -353,6 +353,10 @@ def test_forest_joins_what_pairs_join():
         left, right = simhash.forest(fp, side, 9, tile=64)
         assert len(left) <= 2 * 300 and {(min(i, j), max(i, j)) for i, j in zip(left.tolist(), right.tolist())} <= set(near)
         assert _union(range(300), zip(left.tolist(), right.tolist())) == _union(range(300), near)
+        more = {(min(i, j), max(i, j)) for i, j in zip(*(x.tolist() for x in simhash.forest(fp, side, 9, turns=4, tile=64)))}
+        assert {(min(i, j), max(i, j)) for i, j in zip(left.tolist(), right.tolist())} < more <= set(near)
+    small = fp[:6] & np.uint64(3)  # six texts near each other: all fifteen pairs
+    assert len({(min(i, j), max(i, j)) for i, j in zip(*(x.tolist() for x in simhash.forest(small, None, 9, turns=5)))}) == 15
 
 
 def test_media_round_trip(spark, texts):
