@@ -126,3 +126,26 @@ def least_distance(queries: DataFrame, train: DataFrame, block_rows: int = 20_00
         best = near.select("query_id", F.sqrt(total / F.size("q")).alias("d")).groupBy("query_id").agg(F.min("d").alias("distance"))
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def two_sources(keys: DataFrame, raw: DataFrame, fallback: DataFrame, event: list[str], partial: bool = False) -> DataFrame:
+    """The contact of each key of a typing event from raw touch first and, where that is absent or invalid, from one-finger
+    contacts; an event with a key left over is rejected, unless `partial` allows it, with its reasons counted.
+
+    keys(*event, key_id), raw and fallback(key_id, contact_id, reason), at most one row a key (as `assign` gives), reason null if
+    valid. Returns one row an event: n_keys, n_raw, n_fallback, status and reason (`name=count` in order of names). Reasons are
+    counted before an event's are listed, so that a list has one entry for each kind.
+    """
+    side = lambda df, name: df.filter("contact_id is not null").select("key_id", F.lit(True).alias(f"{name}_found"), F.col("reason").alias(f"{name}_reason"))
+    j = keys.join(side(raw, "raw"), "key_id", "left").join(side(fallback, "one"), "key_id", "left")
+    raw_fits = F.col("raw_found").isNotNull() & F.col("raw_reason").isNull()
+    one_fits = ~raw_fits & F.col("one_found").isNotNull() & F.col("one_reason").isNull()
+    why = F.coalesce("raw_reason", "one_reason", F.lit("key_has_no_matching_raw_or_one_finger_contact"))
+    judged = j.select(*event, raw_fits.alias("by_raw"), one_fits.alias("by_one"), F.when(~raw_fits & ~one_fits, why).alias("why"))
+    kinds = judged.groupBy(*event, "why").agg(F.count("*").alias("c"), F.count(F.when(F.col("by_raw"), 1)).alias("r"), F.count(F.when(F.col("by_one"), 1)).alias("o"))
+    named = F.collect_list(F.when(F.col("why").isNotNull(), F.struct("why", F.concat_ws("=", "why", F.col("c").cast("string")).alias("s"))))
+    whole = kinds.groupBy(*event).agg(F.sum("c").alias("n_keys"), F.sum("r").alias("n_raw"), F.sum("o").alias("n_fallback"), F.sort_array(named).alias("named"))
+    matched = F.col("n_raw") + F.col("n_fallback")
+    listed = F.concat(F.lit("incomplete_key_touch_alignment:"), F.array_join(F.col("named.s"), ";"))
+    reason = F.when(~F.lit(partial) & (matched < F.col("n_keys")), listed).when(matched == 0, "typing_event_has_zero_aligned_keys")
+    return whole.select(*event, "n_keys", "n_raw", "n_fallback", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"), reason.alias("reason"))

@@ -91,6 +91,33 @@ def weighted_eer(scores: DataFrame, drawn: DataFrame, cell: list[str]) -> DataFr
     return best.select(*key, F.col("b.eer").alias("eer"))
 
 
+def crossfit_replicates(stats: DataFrame, drawn: DataFrame, value: str, alpha: float, cell: list[str]) -> DataFrame:
+    """Per cell, replicate and mode the share of fakes caught and of genuine sessions flagged, cuts found anew each time.
+    crossfit: each fold is judged by the cut of the other fold's genuine sessions; oracle: all are judged by their own cut.
+
+    stats(*cell, fold 0 or 1, user_id, label, value), drawn(rep, fold, user_id, mult): `draws` by fold, so that no fold is
+    emptied. The cut is the k-th largest (from 0) genuine value, k = floor(alpha N) with users weighted by how often they were
+    drawn; a session is flagged iff it lies above. Without genuine sessions there is no cut and all are flagged. Sessions are
+    counted by distinct value before and after the draws meet them.
+    """
+    counts = stats.groupBy(*cell, "fold", "user_id", value).agg(F.count(F.when(F.col("label") == 0, 1)).alias("r"), F.count(F.when(F.col("label") == 1, 1)).alias("f"))
+    w = lambda c: F.sum(F.col(c) * F.col("mult"))
+    key = [*cell, "rep", "judge"]
+    parts = F.explode(F.array(F.col("fold"), F.lit(2))).alias("part")
+    drawn_counts = counts.join(drawn, ["fold", "user_id"]).select(*cell, "rep", parts, value, "r", "f", "mult")
+    by_value = drawn_counts.groupBy(*cell, "rep", "part", value).agg(w("r").alias("real"), w("f").alias("fake"))
+    fitted = by_value.filter("real > 0").withColumnRenamed("part", "judge")
+    n = fitted.groupBy(*key).agg(F.sum("real").alias("n"))
+    cum = running_totals(fitted, key, value, ["real"]).join(n, key)
+    above, k = F.col("n") - F.col("cum_real"), F.floor(F.lit(alpha) * F.col("n"))
+    cuts = cum.filter((above <= k) & (k < above + F.col("real"))).select(*key, F.col(value).alias("cut"))
+    judged = by_value.withColumn("judge", F.when(F.col("part") == 2, 2).otherwise(1 - F.col("part"))).join(cuts, key, "left")
+    flagged = F.col("cut").isNull() | (F.col(value) > F.col("cut"))
+    share = lambda c: F.try_divide(F.sum(F.when(flagged, F.col(c)).otherwise(0)), F.sum(c))
+    mode = F.when(F.col("part") == 2, "oracle").otherwise("crossfit")
+    return judged.groupBy(*cell, "rep", mode.alias("mode")).agg(share("fake").alias("caught"), share("real").alias("false_alarm"))
+
+
 def half_splits(users: DataFrame, splits: int, seed: str) -> DataFrame:
     """Balanced random halves: split_id, user_id, fold by hash rank; ranks come from running sums, not from one sort."""
     hashed = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "split_id", "user_id"), 256), 1, 15), 16, 10).cast("long")

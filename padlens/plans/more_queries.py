@@ -93,6 +93,14 @@ def n8_disjoint_price(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(O.disjoint_price(folded(spark, sf), "s1_count"))
 
 
+def p13_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Actions as methods, detectors as modalities; what a method changed is told by its own rows."""
+    modality = F.element_at(F.array(*map(F.lit, ["trajectory", "imu", "joint"])), F.col("detector") + 1)
+    rows = A.scores(spark, sf).select(F.col("action").alias("method"), modality.alias("modality"), "event_id", "score")
+    flags = rows.groupBy("method").agg((F.count("*") % 2 == 0).alias("touch"), (F.count(F.when(F.col("score") > 20, 1)) % 2 == 0).alias("sensor"))
+    return O.covered(rows, flags).groupBy("method", "modality").agg(F.count("*").alias("n"), F.max("score").alias("high"))
+
+
 QUERIES = {
     "s1_touch_cleaning": s1_cleaned,
     "s7_ragged": s7_ragged,
@@ -110,6 +118,7 @@ QUERIES = {
     "e21_reference_overlap": e21_overlap,
     "e22_latency_summary": lambda s, d: all_rounded(M.quantile_ladder(A.rhythm(s, d).withColumn("ms", F.col("end_ms") - F.col("start_ms")), ["action"], "ms", [0.5, 0.95, 1.0])),
     "n8_disjoint_price": n8_disjoint_price,
+    "p13_modality_coverage": p13_coverage,
     "p14_coverage_status": p14_coverage,
 }
 
@@ -153,6 +162,9 @@ step AS (SELECT w.fold, w.v, coalesce(sum(c), 0)::DOUBLE / any_value(n) AS q FRO
 p AS (SELECT q, count(*) FILTER (label = 1) AS f, count(*) FILTER (label = 0) AS r FROM x JOIN step ON step.fold = x.fold AND step.v = s1_count GROUP BY q),
 k AS (SELECT sum(f) OVER o::DOUBLE / sum(f) OVER () AS caught, sum(r) OVER o::DOUBLE / sum(r) OVER () AS fa FROM p WINDOW o AS (ORDER BY q ROWS UNBOUNDED PRECEDING))
 SELECT round(min(fa) FILTER (caught >= 0.5::DOUBLE - 1e-12), 5) AS price_50, round(min(fa) FILTER (caught >= 0.8::DOUBLE - 1e-12), 5) AS price_80 FROM k""",
+    "p13_modality_coverage": """WITH s AS (SELECT event_type AS method, CASE event_id % 3 WHEN 0 THEN 'trajectory' WHEN 1 THEN 'imu' ELSE 'joint' END AS modality, value FROM events),
+f AS (SELECT method, count(*) % 2 = 0 AS touch, count(*) FILTER (value > 20) % 2 = 0 AS sensor FROM s GROUP BY 1)
+SELECT method, modality, count(*) AS n, max(value) AS high FROM s JOIN f USING (method) WHERE CASE modality WHEN 'trajectory' THEN touch WHEN 'imu' THEN sensor ELSE touch AND sensor END GROUP BY ALL""",
     "p14_coverage_status": f"""WITH c AS (SELECT user_id, event_type AS action, bool_or(value > 70) AS scored, bool_or(event_id % 2 = 1 AND user_id % 2 = 0) AS fakes FROM events GROUP BY ALL)
 SELECT user_id, action, CASE WHEN scored THEN 'scored' WHEN user_id % 5 = 0 THEN 'not_owned' WHEN fakes THEN 'declined' ELSE 'missing' END AS status FROM c""",
 }

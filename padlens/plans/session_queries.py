@@ -44,8 +44,8 @@ def conformal_of(spark: SparkSession, sf: str) -> DataFrame:
     return N.conformal(session_scores(spark, sf), "score").select("event_id", "user_id", "label", "p")
 
 
-#: Replicates of the shared draw, of the draws with classes apart and of the EER, and half splits.
-SHARED, APART, LOCATED, HALVES = 2000, 200, 200, 200
+#: Replicates of the shared draw, of the draws with classes apart and of the EER, half splits, and draws within folds.
+SHARED, APART, LOCATED, HALVES, FOLDED = 2000, 200, 200, 200, 200
 
 
 def drawn_of(spark: SparkSession, sf: str, n: int = SHARED) -> DataFrame:
@@ -77,6 +77,26 @@ def r10_split_marginal(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(R.over_splits(each.unpivot("split_id", ["caught", "false_alarm"], "statistic", "value")))
 
 
+def r6_fold_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Two statistics of sessions as cells; users drawn within their fold."""
+    stats = folded(spark, sf)
+    drawn = R.draws(stats.select("fold", "user_id").distinct(), FOLDED, "r6", ["fold"])
+    cells = stats.select("fold", "user_id", "label", F.col("s1_count").cast("double").alias("s1"), F.round("s2_mean", 6).alias("s2")).unpivot(["fold", "user_id", "label"], ["s1", "s2"], "statistic", "value")
+    each = R.crossfit_replicates(cells, drawn, "value", 0.05, ["statistic"])
+    shares = each.unpivot(["statistic", "mode", "rep"], ["caught", "false_alarm"], "share", "v")
+    return all_rounded(R.interval(shares, ["statistic", "mode", "share"], "v"))
+
+
+def j5_two_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys from every third event; the two events after it hold its raw and its one-finger contact, some absent or invalid."""
+    t = A.rhythm(spark, sf).join(A.table(spark, sf, "events").select("event_id", "value"), "event_id")
+    keys = t.filter("event_id % 3 = 0").select("user_id", "session_id", F.col("event_id").alias("key_id"))
+    side = lambda k, least, good, why: t.filter((F.col("event_id") % 3 == k) & (F.col("value") > least)).select(
+        (F.col("event_id") - k).alias("key_id"), F.col("event_id").alias("contact_id"), F.when(F.col("value") < good, why).alias("reason")
+    )
+    return J.two_sources(keys, side(1, 10, 15, "orientation_mismatch"), side(2, 20, 25, "pointer_count"), ["user_id", "session_id"])
+
+
 def labels_and_contacts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Labels from even events and contacts from odd ones, in hours so that neighbours match."""
     t = A.rhythm(spark, sf).select(
@@ -153,7 +173,9 @@ QUERIES = {
     "r2_shared_bootstrap": lambda s, d: all_rounded(R.interval(rates_of(s, d), CELL, "far")),
     "r3_paired_difference": r3_paired_difference,
     "r4_eer_bootstrap": lambda s, d: all_rounded(R.interval(R.weighted_eer(A.scores(s, d).filter("pool = 'test'"), drawn_of(s, d, LOCATED), ["detector"]), ["detector"], "eer")),
+    "r6_fold_bootstrap": r6_fold_bootstrap,
     "r10_split_marginal": r10_split_marginal,
+    "j5_two_sources": j5_two_sources,
     "j1_candidates": j1_candidates,
     "j3_assignment": j3_assignment,
     "j6_pair_index": lambda s, d: J.pair_index(*order_pairs(s, d), ["k"], "chunk"),
@@ -244,6 +266,26 @@ SELECT *, low > 0 OR high < 0 AS excludes_zero FROM (SELECT {_INTERVAL} FROM g)"
     "j1_candidates": f"""WITH {_LC}, j AS (SELECT l.event_id, c.event_id AS contact_id, l.action, abs(c.a - l.a) AS ds, abs(c.b - l.b) AS de, c.b - l.b AS after, l.a - c.a AS before,
   0.01::DOUBLE * (sqrt((c.x0 - l.x0) ** 2 + (c.y0 - l.y0) ** 2) + sqrt((c.x1 - l.x1) ** 2 + (c.y1 - l.y1) ** 2)) AS way FROM t l JOIN t c USING (user_id, session_id) WHERE l.event_id % 2 = 0 AND c.event_id % 2 = 1)
 SELECT event_id, contact_id, round((ds + de)::DOUBLE + way, 5) AS score FROM j WHERE CASE WHEN action = 'scroll' THEN ds <= 1 AND after >= -1 AND after <= 2 WHEN action = 'pinch' THEN before >= -1 AND after >= -1 AND greatest(before, 0) + greatest(after, 0) <= 4 ELSE ds <= 1 AND de <= 1 END""",
+    "r6_fold_bootstrap": f"""WITH {_STATS}, us AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)),
+u AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY user_id) - 1 AS slot, count(*) OVER (PARTITION BY fold) AS n FROM us),
+picks AS (SELECT rep, fold, CAST(floor(('0x' || substr(sha256(concat_ws('|', 'r6', rep, fold, slot)), 1, 12))::UBIGINT::DOUBLE / 281474976710656::DOUBLE * n) AS BIGINT) AS slot FROM u, range({FOLDED}) t(rep)),
+drawn AS (SELECT rep, fold, user_id, count(*) AS mult FROM picks JOIN u USING (fold, slot) GROUP BY ALL),
+x AS (SELECT rep, fold, label, mult, s1_count::DOUBLE AS s1, round(s2_mean, 6) AS s2 FROM stats JOIN drawn USING (user_id)),
+y AS (SELECT 's1' AS statistic, rep, fold, label, s1 AS v, mult FROM x UNION ALL SELECT 's2', rep, fold, label, s2, mult FROM x),
+z AS (SELECT statistic, rep, part, v, coalesce(sum(mult) FILTER (label = 0), 0) AS r, coalesce(sum(mult) FILTER (label = 1), 0) AS f FROM (SELECT *, fold AS part FROM y UNION ALL SELECT *, 2 FROM y) GROUP BY ALL),
+a AS (SELECT *, coalesce(sum(r) OVER (PARTITION BY statistic, rep, part ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, floor(0.05::DOUBLE * sum(r) OVER (PARTITION BY statistic, rep, part)) AS k FROM z),
+c AS (SELECT statistic, rep, part, v AS cut FROM a WHERE above <= k AND k < above + r),
+j AS (SELECT z.*, CASE WHEN z.part = 2 THEN 'oracle' ELSE 'crossfit' END AS mode, c.cut IS NULL OR z.v > c.cut AS flag FROM z LEFT JOIN c ON z.statistic = c.statistic AND z.rep = c.rep AND c.part = CASE WHEN z.part = 2 THEN 2 ELSE 1 - z.part END),
+e AS (SELECT statistic, mode, rep, coalesce(sum(f) FILTER (flag), 0)::DOUBLE / nullif(sum(f), 0) AS caught, coalesce(sum(r) FILTER (flag), 0)::DOUBLE / nullif(sum(r), 0) AS false_alarm FROM j GROUP BY ALL)
+SELECT statistic, mode, share, {_INTERVAL} FROM (SELECT statistic, mode, 'caught' AS share, caught AS v FROM e UNION ALL SELECT statistic, mode, 'false_alarm', false_alarm FROM e) GROUP BY ALL""",
+    "j5_two_sources": f"""WITH {RHYTHM}, t AS (SELECT r.event_id, r.user_id, r.session_id, e.value FROM rhythm r JOIN events e USING (event_id)),
+k AS (SELECT a.user_id, a.session_id, b.value > 10 AS has_raw, b.value > 10 AND b.value < 15 AS bad_raw, c.value > 20 AS has_one, c.value > 20 AND c.value < 25 AS bad_one
+ FROM t a LEFT JOIN t b ON b.event_id = a.event_id + 1 LEFT JOIN t c ON c.event_id = a.event_id + 2 WHERE a.event_id % 3 = 0),
+w AS (SELECT user_id, session_id, coalesce(has_raw AND NOT bad_raw, false) AS r, NOT coalesce(has_raw AND NOT bad_raw, false) AND coalesce(has_one AND NOT bad_one, false) AS o,
+ CASE WHEN bad_raw THEN 'orientation_mismatch' WHEN bad_one THEN 'pointer_count' ELSE 'key_has_no_matching_raw_or_one_finger_contact' END AS why FROM k),
+g AS (SELECT user_id, session_id, count(*) AS n_keys, count(*) FILTER (r) AS n_raw, count(*) FILTER (o) AS n_fallback FROM w GROUP BY ALL),
+h AS (SELECT user_id, session_id, string_agg(why || '=' || c, ';' ORDER BY why) AS names FROM (SELECT user_id, session_id, why, count(*) AS c FROM w WHERE NOT r AND NOT o GROUP BY ALL) GROUP BY ALL)
+SELECT g.*, CASE WHEN names IS NULL THEN 'accepted' ELSE 'rejected' END AS status, 'incomplete_key_touch_alignment:' || names AS reason FROM g LEFT JOIN h USING (user_id, session_id)""",
     "j6_pair_index": """WITH n AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber - 1) AS lo, max(l_linenumber - 1) AS hi, count(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY 1)
 SELECT coalesce(o_orderkey, k) AS k, n AS n_chunks, CASE WHEN n IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' WHEN lo = 0 AND hi = n - 1 AND d = n THEN 'ok' ELSE 'broken' END AS status FROM orders FULL JOIN n ON o_orderkey = k""",
     "j7_pair_digest": f"WITH {RHYTHM} SELECT event_id, sha256(concat_ws('|', 'pair_v1', action, user_id, session_id, start_ms, end_ms)) AS digest FROM rhythm",

@@ -349,3 +349,34 @@ def test_streamed_scores_equal_batch_scores(spark, tmp_path):
     q.awaitTermination()
     got = {r["event_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == pytest.approx({r["event_id"]: r["score"] for r in detectors.scored(model, test).collect()})
+
+
+def test_cross_fitted_cuts_of_weighted_users(spark):
+    """By hand: user 1 drawn twice, 2 never in fold 0; alpha 0.5 of two genuine sessions leaves k = 1, so the cut is the lesser one."""
+    rows = [(0, 1, 0, 1.0), (0, 1, 1, 9.0), (0, 2, 0, 50.0), (1, 3, 0, 4.0), (1, 4, 0, 6.0), (1, 3, 1, 0.5), (1, 4, 1, 5.0)]
+    stats = spark.createDataFrame(rows, "fold int, user_id long, label int, v double")
+    drawn = spark.createDataFrame([(0, 0, 1, 2), (0, 1, 3, 1), (0, 1, 4, 1)], "rep int, fold int, user_id long, mult long")
+    got = {r["mode"]: (r["caught"], r["false_alarm"]) for r in resample.crossfit_replicates(stats, drawn, "v", 0.5, []).collect()}
+    # fold 0's cut 1 flags 4, 6 and the fake at 5, not that at 0.5; fold 1's cut 4 flags the fake at 9 (twice), not 1 (twice)
+    # all four genuine 1, 1, 4, 6: k = 2, cut 1 flags the same
+    assert got == {"crossfit": (3 / 4, 2 / 4), "oracle": (3 / 4, 2 / 4)}
+
+
+def test_keys_take_raw_contacts_first(spark):
+    keys = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21), (2, 22), (3, 30)], "e long, key_id long")
+    raw = spark.createDataFrame([(10, 100, None), (11, 101, "bad"), (20, 102, "bad"), (21, None, None)], "key_id long, contact_id long, reason string")
+    one = spark.createDataFrame([(10, 200, None), (11, 201, None), (20, 202, "worse"), (22, 203, "worse")], "key_id long, contact_id long, reason string")
+    nothing = "key_has_no_matching_raw_or_one_finger_contact"
+    got = {r["e"]: tuple(r)[1:] for r in joins.two_sources(keys, raw, one, ["e"]).collect()}
+    assert got[1] == (2, 1, 1, "accepted", None)
+    assert got[2] == (3, 0, 0, "rejected", f"incomplete_key_touch_alignment:bad=1;{nothing}=1;worse=1")
+    assert got[3] == (1, 0, 0, "rejected", f"incomplete_key_touch_alignment:{nothing}=1")
+    allowed = {r["e"]: (r["status"], r["reason"]) for r in joins.two_sources(keys, raw, one, ["e"], partial=True).collect()}
+    assert allowed == {1: ("accepted", None), 2: ("rejected", "typing_event_has_zero_aligned_keys"), 3: ("rejected", "typing_event_has_zero_aligned_keys")}
+    assert joins.two_sources(keys.limit(0), raw, one, ["e"]).count() == 0
+
+
+def test_modalities_a_method_changed(spark):
+    scores = spark.createDataFrame([(m, k) for m in "abc" for k in ("trajectory", "imu", "joint")], "method string, modality string")
+    flags = spark.createDataFrame([("a", True, True), ("b", True, False), ("c", False, True)], "method string, touch boolean, sensor boolean")
+    assert sorted(map(tuple, more.covered(scores, flags).collect())) == [("a", "imu"), ("a", "joint"), ("a", "trajectory"), ("b", "trajectory"), ("c", "imu")]
