@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlens.llm import decontaminate, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from padlens.llm import decontaminate, filteraudit, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
 from padlens.llm.sql import ORACLES
 
 
@@ -67,6 +67,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -78,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
+    "op11_filter_audit": op11_filter_audit,
 }

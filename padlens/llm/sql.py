@@ -7,4 +7,18 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": f"""WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark), i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM iw), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM dw)
 SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS item_shingles, count(*)::DOUBLE / any_value(n) AS containment FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8::DOUBLE * any_value(n)""",
+    "op11_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS first FROM t),
+m AS (SELECT doc_id, part, CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER) + 4 * CAST(100 * len(regexp_extract_all(x, '[A-Z]')) > 10 * length(x) AS INTEGER)
+  + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > first, false) AS INTEGER) AS m FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, m),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS fs, [a.b, b.b, c.b, d.b, e.b] AS bs FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT array_to_string(fs, '') AS filter_order, step, fs[step] AS f, bs[step] AS b, list_sum(bs[1:step]) - bs[step] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (m & (before | b) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & b > 0 AND m & before = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (m & b > 0 AND m & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (m = b), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (m & b > 0 AND m & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (m & b > 0 AND m & before = 0), 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r""",
 }
