@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlens.llm import decontaminate, filteraudit, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
+from padlens.llm import decontaminate, filteraudit, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter, vectorcodes, warc
+from padlens.llm.common import shared_dir
 from padlens.llm.sql import ORACLES
 
 
@@ -71,6 +73,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read(spark, path))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -83,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": op9_media,
     "op10_url_filter": op10_url_filter,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
