@@ -12,6 +12,7 @@ from padlens.plans.adapters import BINS, CELL, RHYTHM, SCORES, TOUCH, WINDOWS
 from padlens.plans.metric_queries import rounded
 
 KEY = [*G.KEY, "seg"]
+OFF = 1e-9
 TOKENS = ["a", "B", "é", "BackSpace", "7", "keycode_66", "del"]
 
 
@@ -44,6 +45,12 @@ def all_rounded(df: DataFrame, digits: int = 5) -> DataFrame:
     return rounded(df, *[n for n, t in df.dtypes if t == "double"], digits=digits)
 
 
+def off_ties(df: DataFrame) -> DataFrame:
+    """df with OFF added to its doubles: means of terminating decimals fall on ties of the last digit, which two sums of
+    another order round to either side."""
+    return df.withColumns({n: F.col(n) + OFF for n, t in df.dtypes if t == "double"})
+
+
 QUERIES = {
     "g1_frame_collapse": lambda s, d: G.frames(A.touch(s, d)),
     "g2_contact_reconstruction": lambda s, d: G.contacts(A.touch(s, d)),
@@ -59,7 +66,7 @@ QUERIES = {
     "f2_primitives": lambda s, d: all_rounded(X.primitives(G.points(A.touch(s, d)), KEY).select("source_row", "dt", "dx", "dy", "length", "speed", "accel")),
     "f3_finger_features": lambda s, d: all_rounded(X.finger_features(G.points(A.touch(s, d)), KEY)),
     "f5_typing_features": lambda s, d: all_rounded(X.typing_features(keystrokes(s, d))),
-    "f7_kinematics": lambda s, d: all_rounded(X.kinematics(pressed(G.points(A.touch(s, d))), KEY)),
+    "f7_kinematics": lambda s, d: all_rounded(off_ties(X.kinematics(pressed(G.points(A.touch(s, d))), KEY))),
     "f10_concatenated": lambda s, d: all_rounded(X.concatenated(A.windows(s, d)).select("vec_id", "chunk", "j", "t_ms", "v")),
     "f11_channel_statistics": lambda s, d: all_rounded(X.channel_statistics(A.windows(s, d))),
     "f17_normaliser": lambda s, d: all_rounded(X.normaliser(A.scores(s, d), "score", CELL).select("event_id", "z")),
@@ -90,6 +97,10 @@ def _r(name: str) -> str:
     return f"round({name}, 5) AS {name}"
 
 
+def _off(name: str) -> str:
+    return f"round({name} + {OFF}, 5) AS {name}"
+
+
 def _q(value: str, level: float, name: str) -> str:
     return f"round(coalesce(quantile_cont({value}, {level}), 0), 5) AS {name}"
 
@@ -150,8 +161,8 @@ a AS (SELECT user_id, act_id, seg, max(t_ms) - min(t_ms) AS duration_ms, coalesc
  coalesce(avg(acc), 0) AS mean_accel, coalesce(max(acc), 0) AS max_accel, coalesce(quantile_cont(dt, 0.5) * 1000, max(t_ms) - min(t_ms)) AS median_dt, coalesce(stddev_pop(dt) / avg(dt), 0) AS dt_cv,
  avg(pressure) AS pressure_mean, stddev_pop(pressure) AS pressure_std, avg(size) AS size_mean, stddev_pop(size) AS size_std,
  sqrt((arg_max(x, t_ms) - arg_min(x, t_ms)) ** 2 + (arg_max(y, t_ms) - arg_min(y, t_ms)) ** 2) AS displacement FROM k GROUP BY ALL)
-SELECT user_id, act_id, seg, duration_ms, {", ".join(map(_r, ["path", "p95_speed", "max_speed", "mean_accel", "max_accel", "median_dt", "dt_cv", "pressure_mean", "pressure_std", "size_mean", "size_std", "displacement"]))},
- round(CASE WHEN path > 1e-12 THEN displacement / path ELSE 1 END, 5) AS efficiency, round(CASE WHEN duration_ms > 0 THEN path / (duration_ms / 1000.0::DOUBLE) ELSE 0 END, 5) AS mean_speed FROM a""",
+SELECT user_id, act_id, seg, duration_ms, {", ".join(map(_off, ["path", "p95_speed", "max_speed", "mean_accel", "max_accel", "median_dt", "dt_cv", "pressure_mean", "pressure_std", "size_mean", "size_std", "displacement"]))},
+ round(CASE WHEN path > 1e-12 THEN displacement / path ELSE 1 END + {OFF}, 5) AS efficiency, round(CASE WHEN duration_ms > 0 THEN path / (duration_ms / 1000.0::DOUBLE) ELSE 0 END + {OFF}, 5) AS mean_speed FROM a""",
     "f10_concatenated": f"WITH {WINDOWS} SELECT vec_id, i // 16 AS chunk, i % 16 AS j, (row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1) * 10 AS t_ms, round(v, 5) AS v FROM windows",
     "f11_channel_statistics": f"""WITH {WINDOWS} SELECT vec_id, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, round(min(v), 5) AS low, round(max(v), 5) AS high,
  round(quantile_cont(v, 0.05), 5) AS p5, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.95), 5) AS p95, count(*) AS n FROM windows GROUP BY vec_id""",
