@@ -178,8 +178,8 @@ def read(spark: SparkSession, path: str, broadcast_splits: int = BROADCAST_SPLIT
 
     Records are those that a file's start leads to, each by its length; of a field given twice the last one counts. Where
     the chain breaks off (no header, or a length that leads to no record) nothing behind is read; a block that the file's
-    end cuts short is left out. Blocks don't pass a shuffle but for those that run over the segments of several splits. An empty
-    file has no records.
+    end cuts short is left out. Blocks are read when they are asked for and pass no shuffle, but for those that run over the
+    segments of several splits; where there are such, the archives are read once more for them. An empty file has no records.
     """
     marks = staged(entries(spark, path), "entries")
     rows = segments(spark, path)
@@ -226,8 +226,10 @@ def read(spark: SparkSession, path: str, broadcast_splits: int = BROADCAST_SPLIT
             yield _records(out)
 
     schema = "file string, split long, headers map<string,string>, block binary, missing long"
-    found = staged(rows.select("file", "split", "entry", "carry", "text").mapInArrow(run, schema), "records")
+    found = rows.select("file", "split", "entry", "carry", "text").mapInArrow(run, schema)
     whole = found.filter("missing = 0").select("headers", "block")
+    if marks.filter(F.col("carry") > -len(MAGIC)).isEmpty():  # no record runs over the segments of several splits
+        return whole
     order = Window.partitionBy("file").orderBy("split", F.col("headers").isNotNull())
     cut = found.filter("missing is null or missing > 0").withColumn("owner", F.last(F.when(F.col("headers").isNotNull(), F.col("split")), True).over(order))
     cut = cut.filter("owner is not null").groupBy("file", "owner").agg(
