@@ -13,10 +13,10 @@ from padlens.llm.common import buffer_of, mix, runs, slices, staged, texts_of
 
 #: Units on either side that a cut's hash exceeds, units in every run of which one ends a chunk, words of a compared passage.
 NEAR, REACH, LEAST_WORDS = 3, 10, 12
-#: Least words of a span, or as many times WORD_BYTES bytes. Of 51 repeated words some run of REACH within the first 17 holds a cut that both places share and
-#: another one within the last 22, so their passages cover 25 or more; in long words the bytes count.
+#: Least words of a span. Of 51 repeated words some run of REACH within the first 17 holds a cut that both places share and another
+#: one within the last 22, so their passages cover 25 or more. In long words each WORD_BYTES bytes count as a word.
 LEAST_RUN = 22
-#: Words of more bytes are cut into pieces; in every run of PIECE bytes one ends. A piece of WORD_BYTES counts as a word.
+#: Words of more bytes are cut into pieces; in every run of PIECE bytes one ends.
 LONG_WORD, PIECE, WORD_BYTES = 48, 12, 6
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -57,7 +57,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Last byte, end without white space, weight and hash (-1 in a text's first 16 bytes) of each unit.
 
     A unit is a word with the white space behind it, of weight WORD_BYTES, or a piece of a long word, whose weight is
-    its number of bytes up to that. Pieces end between characters, where the hash of the 16 bytes before is greatest.
+    its number of bytes. Pieces end between characters, where the hash of the 16 bytes before is greatest.
     """
     gap = _SPACE[data]
     last, stop = gap.copy(), gap.copy()
@@ -85,7 +85,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         light = np.zeros(len(data), bool)
         light[place] = True
         light = light[begin]
-    weight = np.where(light, np.minimum(end - begin, WORD_BYTES), WORD_BYTES)
+    weight = np.where(light, end - begin, WORD_BYTES)
     text = np.searchsorted(offsets, at, side="right") - 1
     return at, end, weight, np.where(at - offsets[text] < 16, -1, rolled[at])
 
@@ -136,12 +136,13 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def passages(data: np.ndarray, offsets: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     """Text number, start, end without white space, end, and weight before it in its text, of each passage.
 
-    From each chunk's start, and up to each text's end, the fewest units that weigh as much as least_words words.
-    Texts that weigh less have none.
+    From each chunk's start, and up to each text's end, the fewest units that weigh as much as least_words words, a unit
+    as much as one word at most, so that a passage reaches the next cut. Texts that weigh less have none.
     """
     at, end, weight, h = units(data, offsets)
-    total = np.cumsum(weight)
-    before = total - weight
+    passed = np.cumsum(weight) - weight
+    total = np.cumsum(np.minimum(weight, WORD_BYTES))
+    before = total - np.minimum(weight, WORD_BYTES)
     final = np.searchsorted(at, offsets[1:] - 1)
     least = least_words * WORD_BYTES
     tail = np.searchsorted(before, total[final] - least, side="right") - 1
@@ -155,72 +156,89 @@ def passages(data: np.ndarray, offsets: np.ndarray, least_words: int = LEAST_WOR
     begin, stop = np.unique(np.stack([begin[fits], stop[fits]]), axis=1)
     doc = np.searchsorted(final, begin)
     start = np.where(begin > 0, at[begin - 1] + 1, 0)
-    return doc, start, end[stop], at[stop] + 1, before[begin] - before[head][doc]
+    return doc, start, end[stop], at[stop] + 1, passed[begin] - passed[head][doc]
 
 
 def passage_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """`doc_id, passages array<struct<digest, start, stop, weight>>`, offsets in bytes of the UTF-8 text."""
+    """`doc_id, version, passages array<struct<digest, check, start, stop, weight>>`: offsets in bytes of the UTF-8 text, version its
+    64-bit hash, digest and check 96 bits of the passage's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
+        digest, low = xxhash.xxh3_128_intdigest, (1 << 96) - 1
         for batch in slices(batches, 1 << 20):
             data, offsets = buffer_of(texts_of(batch))
             doc, start, end, stop, weight = passages(data, offsets, least_words)
             raw = data.tobytes()
-            keys = np.array([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())], np.uint64).view(np.int64)
+            keys = b"".join([(digest(raw[a:b]) & low).to_bytes(12, "little") for a, b in zip(start.tolist(), end.tolist())])
+            keys = np.frombuffer(keys, np.dtype([("digest", "<i8"), ("check", "<i4")]))
             base = offsets[doc]
             stop = np.minimum(stop, offsets[doc + 1] - 1)  # without the added line feed
-            parts = pa.StructArray.from_arrays(
-                [pa.array(keys), *[pa.array(x.astype(np.int32)) for x in (start - base, stop - base, weight)]], ["digest", "start", "stop", "weight"]
-            )
+            numbers = [pa.array(x.astype(np.int32)) for x in (start - base, stop - base, weight)]
+            parts = pa.StructArray.from_arrays([pa.array(keys["digest"].copy()), pa.array(keys["check"].copy()), *numbers], ["digest", "check", "start", "stop", "weight"])
             of = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), parts)], ["doc_id", "passages"]
+                [batch.column("doc_id").cast(pa.int64()), batch.column("version"), pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), parts)], ["doc_id", "version", "passages"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, passages array<struct<digest: long, start: int, stop: int, weight: int>>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(
+        run, "doc_id long, version long, passages array<struct<digest: long, check: int, start: int, stop: int, weight: int>>"
     )
 
 
+def versions(table: DataFrame) -> DataFrame:
+    """The doc_ids of several texts among table(doc_id, version): `doc_id, several` (true)."""
+    found = table.groupBy("doc_id").agg(F.min("version").alias("a"), F.max("version").alias("b")).filter("a < b")
+    return staged(found.select("doc_id", F.lit(True).alias("several")), "versions")  # Spark knows its size
+
+
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
-    """`doc_id, span_start, span_stop, n_chunks, n_words, first_doc_id`: byte ranges whose text came before.
+    """`doc_id, version, span_start, span_stop, n_chunks, n_words, first_doc_id`: byte ranges whose text came before.
 
     Passages of `least_words` words (in long words: as many times WORD_BYTES bytes) are compared from each chunk's
-    start. Of equal passages the first (least doc_id, then position) stays; others that overlap make one span, with the
-    white space behind it. Spans of fewer than `least_run` words and
-    as many times WORD_BYTES bytes, such as a licence line, are left alone. A repeat loses
+    start. Of equal passages the first (least doc_id, version, position) stays; others that overlap make one span, with the
+    white space behind it. Spans of fewer than `least_run` words, such as a licence line, are left alone. A repeat loses
     at most the bytes and units up to its first cut and after its last one, so none of over 50 words is missed. n_chunks
     counts a span's passages; first_doc_id is the least document that holds any of them first; it equals doc_id where a
-    text repeats itself. Null and empty texts have no span; texts of any length are read whole; rows without doc_id are
-    left out; rows repeated with the same doc_id count as one document; no rows give no rows. Digests have 64 bits: a
-    passage that meets another by chance is shorter than a span, so it can only lengthen a true repeat that it overlaps.
+    text repeats itself. Passages are equal if 96 bits of their hashes are.
+
+    Null and empty texts have no span; texts of any length are read whole; rows without doc_id are left out. Rows repeated
+    with the same doc_id and text count as one document, rows of one doc_id with different texts as one each: there
+    `version` is the text's xxhash64, else 0. No rows give no rows.
     """
     table = staged(passage_table(docs.filter("doc_id is not null and text <> ''"), least_words), "passages")
-    rows = table.select("doc_id", F.posexplode("passages").alias("i", "c")).select("doc_id", "i", "c.digest", "c.start", "c.stop", "c.weight")
-    first = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("f")).filter("n > 1").select("digest", "f")
-    first = staged(first, "repeated")  # few; a join of two shuffles, which Spark splits at digests of many rows
-    again = rows.join(first, "digest").filter("doc_id <> f.doc_id or i <> f.i").select("doc_id", "i", "start", "stop", "weight", F.col("f.doc_id").alias("first"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    again = again.dropDuplicates(["doc_id", "i"]).withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    known = table.join(versions(table), "doc_id", "left").withColumn("version", F.when(F.col("several"), F.col("version")).otherwise(F.lit(0)))
+    rows = known.select("doc_id", "version", F.posexplode("passages").alias("i", "c")).select("doc_id", "version", "i", "c.*")
+    first = rows.groupBy("digest", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "i")).alias("f")).filter("n > 1")
+    first = staged(first.select("digest", "check", "f"), "repeated")  # few; a join of two shuffles, which Spark splits at digests of many rows
+    again = rows.join(first, ["digest", "check"]).filter(F.struct("doc_id", "version", "i") != F.col("f"))
+    again = again.select("doc_id", "version", "i", "start", "stop", "weight", F.col("f.doc_id").alias("first")).distinct()  # of repeated rows
+    order = Window.partitionBy("doc_id", "version").orderBy("i")
+    again = again.withColumn("reached", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     again = again.withColumn("island", F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(order))
-    return again.groupBy("doc_id", "island").agg(
+    return again.groupBy("doc_id", "version", "island").agg(
         F.min("start").cast("long").alias("span_start"),
         F.max("stop").cast("long").alias("span_stop"),
         F.count("*").alias("n_chunks"),
         ((F.max("weight") - F.min("weight")) / WORD_BYTES + least_words).cast("long").alias("n_words"),
         F.min("first").alias("first_doc_id"),
-    ).filter((F.col("n_words") >= least_run) | (F.col("span_stop") - F.col("span_start") >= least_run * WORD_BYTES)).drop("island")
+    ).filter(F.col("n_words") >= least_run).drop("island")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut out of their texts and n_chars counted anew; all rows and columns stay."""
+    """docs with the spans, which repeated_spans found in docs, cut out of their texts and n_chars counted anew; all rows and columns stay.
+
+    Rows repeated with the same doc_id and text are cut alike; where a doc_id has several texts, each is cut by the spans
+    of its version. Null and empty texts and rows without doc_id stay as they are; texts of any length are cut whole.
+    """
     schema = docs.schema
     name = "_cuts" + "_" * max(map(len, schema.names))  # longer than any name, so it can't clash
-    cuts = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias(name))
-    joined = docs.join(cuts, "doc_id", "left")
+    version = name + "_"
+    cuts = spans.groupBy("doc_id", F.col("version").alias(version)).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_stop"))).alias(name))
+    several = staged(spans.filter("version <> 0").select("doc_id", F.lit(True).alias(name)).distinct(), "several")  # Spark knows its size
+    known = docs.join(several, "doc_id", "left").withColumn(version, F.when(F.col(name), F.xxhash64("text")).otherwise(F.lit(0))).drop(name)
+    joined = known.join(cuts, ["doc_id", version], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

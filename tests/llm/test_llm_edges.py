@@ -80,5 +80,22 @@ def test_defined_values(spark):
     assert {(r["doc_id"], r["first_doc_id"]) for r in spans if r["doc_id"] == 7} == {(7, 6)}
 
 
+def test_one_doc_id_with_several_texts(spark):
+    """Each text is judged and cut by itself, and a text cut at another one's offsets would lose what it alone holds."""
+    words = lambda name, n: " ".join(f"{name}{i}ü" for i in range(n))
+    shared, own, other = words("shared", 60), words("own", 40), words("é", 90)
+    rows = [(1, shared), (2, f"{own} {shared}"), (2, other), (2, other), (3, other), (4, words("z", 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = substring.repeated_spans(docs)
+    found = {(r["doc_id"], r["first_doc_id"]) for r in spans.collect()}
+    assert found == {(2, 1), (3, 2)} and spans.filter("doc_id = 2").count() == 1
+    left = sorted((r["doc_id"], r["text"]) for r in substring.without_spans(docs, spans).collect())
+    assert [i for i, _ in left] == [1, 2, 2, 2, 3, 4] and left.count((2, other)) == 2 and (1, shared) in left
+    cut = next(t for i, t in left if i == 2 and t != other)
+    assert cut.startswith(own) and len(cut) < len(own) + 200 and len(left[4][1]) < 100
+    scores = {m: sorted(m.scores(docs, labels(spark)).select("doc_id", "score").collect()) for m in (quality, toxicity)}
+    assert all(len(s) == 6 for s in scores.values())
+
+
 def test_no_benchmark(spark):
     assert decontaminate.contained(documents(spark), spark.createDataFrame([], "item_id long, text string")).collect() == []
