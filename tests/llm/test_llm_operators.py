@@ -468,6 +468,21 @@ def test_final_verdicts_match_brute_force(spark):
     assert mined > 20
 
 
+def test_tokens_that_come_together_cost_one_item(spark):
+    """30 parts that the same 300 addresses share, and verdicts by the joined rules equal those by the index."""
+    parts = "/".join(f"part{i}" for i in range(30))
+    urls = [f"http://h{i % 7}.net/{parts}/x{i}" for i in range(300)] + [f"http://k{i % 5}.example.net/en/{'good' * (i % 2)}/y{i}" for i in range(200)]
+    urls += ["http://other.io/part7", "http://other.io/part29/part1", "http://other.io/en/good", "http://other.io/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = [sorted(map(tuple, urlfilter.judge(pages, most=most).collect()), key=str) for most in (urlfilter.RULES, 0)]
+    assert found[0] == found[1] and len(found[0]) == len(urls)
+    verdict = {r[0]: r[4] for r in found[0]}
+    assert [verdict[i] for i in range(500, 504)] == ["block", "block", "allow", "allow"]
+    known = [(urlfilter.tokens_of(u), _slow_rule(u)[3]) for u in urls]
+    kept, classes = urlfilter.mined_rules(spark.createDataFrame([k for k in known if k[1]], "tokens array<string>, label string"))
+    assert len({r["name"] for r in classes.collect() if r["token"].startswith("p:part")}) == 1 and kept.count() < 1000
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(4)
     rows = []
