@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padlens.plans import gesture_queries, metric_queries, more_queries, report_queries, session_queries, stream_queries
+from padlens.plans import audit_queries, gesture_queries, metric_queries, more_queries, report_queries, session_queries, stream_queries
 
-_MODULES = [metric_queries, gesture_queries, session_queries, more_queries, report_queries, stream_queries]
+_MODULES = [metric_queries, gesture_queries, session_queries, more_queries, report_queries, stream_queries, audit_queries]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
