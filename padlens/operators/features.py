@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from padlens.functions.quantiles import exact_quantiles
+
 from padlens.operators.rows import is_correction
 
 
@@ -228,15 +230,20 @@ def normaliser(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return rows.join(fit, by).withColumn("z", (F.col(value) - F.col("_m")) / scale).drop("_m", "_s")
 
 
-def duration_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """quantiles of the durations by label, how far the medians are apart, and the share of fakes at the genuine cap."""
-    levels = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    cap = rows.filter("label = 0").groupBy(*by).agg(F.max("duration").alias("cap"))
-    stats = rows.join(cap, by).groupBy(*by).agg(
-        *[F.percentile(F.when(F.col("label") == k, F.col("duration")), levels).alias(n) for k, n in ((0, "r"), (1, "f"))],
-        F.avg(F.when(F.col("label") == 1, (F.col("duration") >= F.col("cap")).cast("double"))).alias("fake_at_cap"),
+def duration_summary(rows: DataFrame, by: list[str], cap: float | None = None) -> DataFrame:
+    """quantiles, mean and maximum of the durations by label, how far the medians are apart, the share of fakes at the cap
+    or over it, and of genuine rows over it. The cap of a generator, or (None) the longest genuine duration."""
+    real, fake = (F.when(F.col("label") == k, F.col("duration")) for k in (0, 1))
+    limit = rows.groupBy(*by).agg((F.max(real) if cap is None else F.lit(cap)).alias("cap"))
+    stats = rows.join(limit, by).groupBy(*by).agg(
+        *[f(c).alias(f"{n}_{m}") for c, n in ((real, "real"), (fake, "fake")) for f, m in ((F.avg, "mean"), (F.max, "max"))],
+        F.avg((fake >= F.col("cap")).cast("double")).alias("fake_at_cap"),
+        F.avg((real > F.col("cap")).cast("double")).alias("real_over_cap"),
     )
+    for k, n in ((0, "r"), (1, "f")):
+        q = exact_quantiles(rows.filter(F.col("label") == k), by, "duration", [0.05, 0.5, 0.95]).withColumnRenamed("q", n)
+        stats = stats.join(q, by, "left")
     return stats.select(
         *by, *[F.col(n)[i].alias(f"{m}_{q}") for n, m in (("r", "real"), ("f", "fake")) for i, q in enumerate(("p5", "p50", "p95"))],
-        (F.col("f")[1] - F.col("r")[1]).alias("shift"), "fake_at_cap",
+        (F.col("f")[1] - F.col("r")[1]).alias("shift"), "fake_at_cap", "real_mean", "real_max", "fake_mean", "fake_max", "real_over_cap",
     )

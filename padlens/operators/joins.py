@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Order in which actions take contacts.
 PRIORITY = {"keystroke": 0, "pinch": 1, "swipe": 2, "scroll": 3, "tap": 4}
+#: What a label's row says.
+ACCEPTED, RESERVED, UNMATCHED = "accepted", "raw_contact_reserved_by_higher_priority_event", "no_matching_complete_raw_contact"
 
 
 def candidates(labels: DataFrame, contacts: DataFrame, tolerance: int, margin: int) -> DataFrame:
@@ -27,18 +29,36 @@ def candidates(labels: DataFrame, contacts: DataFrame, tolerance: int, margin: i
     fits = F.when(F.col("action") == "scroll", scroll).when(F.col("action") == "pinch", pinch).otherwise((ds <= tolerance) & (de <= tolerance))
     way = F.hypot(F.col("c_x0") - F.col("x0"), F.col("c_y0") - F.col("y0")) + F.hypot(F.col("c_x1") - F.col("x1"), F.col("c_y1") - F.col("y1"))
     return j.filter(fits).withColumn("score", ds + de + 0.01 * F.coalesce(way, F.lit(0.0))).select(
-        "user_id", "session_id", "event_id", "action", "start_ms", "end_ms", "contact_id", "score"
+        "user_id", "session_id", "event_id", "action", "start_ms", "end_ms", "contact_id", "score", F.col("c_start_ms").alias("contact_ms")
     )
 
 
+def stretches(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(user_id, session_id, event_id, ...) with `stretch`, a number within the session: labels that share a contact, or
+    whose contacts lie between those of others, have the same one.
+
+    A label covers the time from its first to its last candidate's start; where no label covers the next one's first
+    candidate, the running maximum of last starts lies below it and a new stretch begins. Labels without candidates share 0.
+    """
+    key = ["user_id", "session_id"]
+    span = found.groupBy(*key, "event_id").agg(F.min("contact_ms").alias("_lo"), F.max("contact_ms").alias("_hi"))
+    order = Window.partitionBy(*key).orderBy("_lo", "event_id")
+    opens = F.col("_lo") > F.coalesce(F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_lo") - 1)
+    marked = span.withColumn("_new", opens.cast("long")).select(*key, "event_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    return labels.join(marked, [*key, "event_id"], "left").fillna(0, ["stretch"])
+
+
 def assign(labels: DataFrame, found: DataFrame) -> DataFrame:
     """One contact at most for each label and one label for each contact, taken greedily within a session by
     action priority, then start and end; each takes the least (score, contact_id) still free. Labels left over say why.
 
-    The order matters, so this is a grouped function; a group is one session's candidates.
+    The order matters, so this is a grouped function; labels that can't compete for a contact are apart, so a group is one
+    of a session's stretches; labels without candidates need none.
     """
     key = ["user_id", "session_id"]
-    rows = labels.select(*key, "event_id", "action", "start_ms", "end_ms").join(found.select(*key, "event_id", "contact_id", "score"), [*key, "event_id"], "left")
+    placed = stretches(labels.select(*key, "event_id", "action", "start_ms", "end_ms"), found)
+    alone = placed.filter("stretch = 0").select("event_id", F.lit(None).cast("long").alias("contact_id"), F.lit(None).cast("double").alias("score"), F.lit(UNMATCHED).alias("status"))
+    rows = placed.filter("stretch > 0").join(found.select(*key, "event_id", "contact_id", "score"), [*key, "event_id"], "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         wanted: dict[tuple, list] = {}
@@ -52,13 +72,19 @@ def assign(labels: DataFrame, found: DataFrame) -> DataFrame:
         for *_, event in (keys := sorted(wanted)):
             options = sorted(wanted[keys[len(out)]])
             score, contact = next((o for o in options if o[1] not in taken), (None, None))
-            why = "accepted" if contact is not None else "raw_contact_reserved_by_higher_priority_event" if options else "no_matching_complete_raw_contact"
+            why = ACCEPTED if contact is not None else RESERVED if options else UNMATCHED
             taken.add(contact)
             out.append((event, contact, score, why))
         frame = pd.DataFrame(out, columns=["event_id", "contact_id", "score", "status"])
         return frame.astype({"event_id": "int64", "contact_id": "Int64", "score": "float64"})
 
-    return rows.groupBy(*key).applyInPandas(one, "event_id long, contact_id long, score double, status string")
+    return rows.groupBy(*key, "stretch").applyInPandas(one, "event_id long, contact_id long, score double, status string").unionByName(alone)
+
+
+def largest_stretch(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """J3's largest group: `labels, sessions, stretches, largest`."""
+    size = stretches(labels, found).filter("stretch > 0").groupBy("user_id", "session_id", "stretch").agg(F.count("*").alias("n"))
+    return size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("labels"), F.countDistinct("user_id", "session_id").alias("sessions"), F.count("*").alias("stretches"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
 
 
 def pair_index(left: DataFrame, right: DataFrame, on: list[str], chunk: str) -> DataFrame:

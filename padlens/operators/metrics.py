@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
+from padlens.functions.quantiles import exact_quantiles
 
 
 def _real(x: Column | None = None) -> Column:
@@ -124,8 +125,7 @@ def long_results(cells: DataFrame, keys: list[str], values: list[str]) -> DataFr
 
 def duration_cuts(train: DataFrame, levels: list[float]) -> DataFrame:
     """Distinct quantile cuts of the training durations, as one row with an array."""
-    cuts = F.percentile("duration", F.array(*map(F.lit, levels)))
-    return train.agg(F.array_sort(F.array_distinct(cuts)).alias("cuts"))
+    return exact_quantiles(train, [], "duration", levels).select(F.array_sort(F.array_distinct("q")).alias("cuts"))
 
 
 def bin_right(x: Column, cuts: Column) -> Column:
@@ -167,20 +167,26 @@ LADDER = [0.0, 0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0]
 
 
 def quantile_ladder(rows: DataFrame, by: list[str], value: str, levels: list[float] = LADDER) -> DataFrame:
-    """Quantiles at all levels, one row each."""
-    found = rows.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, levels))).alias("q"))
-    return found.select(*by, F.posexplode("q").alias("step", "value"))
+    """Quantiles at all levels, one row each."""
+    return exact_quantiles(rows, by, value, levels).select(*by, F.posexplode("q").alias("step", "value"))
+
+
+def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, median, 95th percentile and maximum of latencies, and whether the last three rise in this order (`monotone`)."""
+    q = exact_quantiles(rows, by, value, [0.5, 0.95, 1.0])
+    mean = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    p = [F.col("q")[i] for i in range(3)]
+    return mean.join(q, by).select(*by, "n", "mean", *[c.alias(n) for c, n in zip(p, ("p50", "p95", "max"))], ((p[0] <= p[1]) & (p[1] <= p[2])).alias("monotone"))
 
 
 def real_fake_comparison(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Share of fakes outside the 0.1-99.9 % range of genuine training rows, distance of medians over their quartile range
     (at least 1 % of their median), and the ratio of the 99th percentiles (null where theirs is 0). rows(*by, label, pool, value)."""
-    levels = F.array(*map(F.lit, [0.001, 0.25, 0.5, 0.75, 0.99, 0.999]))
-    real = rows.filter("label = 0 and pool = 'train'").groupBy(*by).agg(F.percentile(value, levels).alias("r"))
-    fake = rows.filter("label = 1").join(real, by).groupBy(*by).agg(
-        F.avg(((F.col(value) < F.col("r")[0]) | (F.col(value) > F.col("r")[5])).cast("double")).alias("outside"),
-        F.percentile(value, F.array(F.lit(0.5), F.lit(0.99))).alias("f"),
-    )
+    real = exact_quantiles(rows.filter("label = 0 and pool = 'train'"), by, value, [0.001, 0.25, 0.5, 0.75, 0.99, 0.999]).withColumnRenamed("q", "r")
+    beyond = (F.col(value) < F.col("r")[0]) | (F.col(value) > F.col("r")[5])
+    fakes = rows.filter("label = 1")
+    share = fakes.join(real, by).groupBy(*by).agg(F.avg(beyond.cast("double")).alias("outside"))
+    fake = exact_quantiles(fakes, by, value, [0.5, 0.99]).withColumnRenamed("q", "f").join(share, by)
     return fake.join(real, by).select(
         *by,
         "outside",

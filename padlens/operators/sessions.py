@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
+from padlens.functions.quantiles import exact_quantiles
+from padlens.functions.shared import written
 
 KEY = ["user_id", "session_id"]
 
@@ -153,7 +155,7 @@ def count_rule(stats: DataFrame, most: int = 10) -> DataFrame:
 def ratio_edges(rows: DataFrame, value: str, n_quantiles: int = 41) -> DataFrame:
     """One row with `edges`: the pooled quantiles, each once, without the two ends; the median if none is left."""
     levels = [i / (n_quantiles - 1) for i in range(n_quantiles)]
-    found = rows.agg(F.percentile(value, F.array(*map(F.lit, [*levels, 0.5]))).alias("q"))
+    found = exact_quantiles(rows, [], value, [*levels, 0.5])
     once = F.array_distinct(F.slice("q", 1, n_quantiles))
     inner = F.slice(once, 2, F.greatest(F.size(once) - 2, F.lit(0)))
     return found.select(F.when(F.size(inner) > 0, inner).otherwise(F.array(F.col("q")[n_quantiles])).alias("edges"))
@@ -208,13 +210,34 @@ def alarm_curve(rows: DataFrame, grid: list[float]) -> DataFrame:
     return counted.groupBy("label", "alpha").agg((F.sum(F.when(F.col("p") <= F.col("alpha"), F.col("c")).otherwise(0)) / F.sum("c")).alias("share"))
 
 
-def largest_cut(rows: DataFrame, cap: float, grid: list[float]) -> DataFrame:
-    """The largest level up to which the 90th percentile of users' rates of p <= level stays within cap.
+def largest_cut(rows: DataFrame, cap: float, level: float = 0.9, ways: int = 32) -> DataFrame:
+    """The largest observed p up to which the 90th percentile of users' rates of p <= cut stays within cap, and how many
+    observed values that are; null and 0 if the least one fails.
 
-    rows(user_id, p) of genuine sessions. The scan over the rising levels stops at the first that fails.
+    rows(user_id, p) of genuine sessions. Each user's rate never falls as the cut rises, so neither does their
+    percentile, and a scan over the rising cuts would stop at the same place as this search: each pass tries `ways` cuts between the
+    largest that is known to pass and the least that is known to fail, on counts by user and value.
     """
-    level = F.explode(F.array(*map(F.lit, grid))).alias("cut")
-    rates = rows.select("user_id", "p", level).groupBy("cut", "user_id").agg(F.avg((F.col("p") <= F.col("cut")).cast("double")).alias("rate"))
-    curve = rates.groupBy("cut").agg(F.percentile("rate", F.lit(0.9)).alias("p90"))
-    first_bad = curve.filter(F.col("p90") > cap).agg(F.min("cut").alias("bad"))
-    return curve.crossJoin(F.broadcast(first_bad)).filter("bad is null or cut < bad").agg(F.max("cut").alias("cut"), F.count("*").alias("passed"))
+    counts = written(rows.groupBy("user_id", "p").agg(F.count("*").alias("c")), "counts")
+    values = written(counts.select("p").filter("p is not null").distinct(), "values")
+    passed = failed = None
+    while True:
+        within = values
+        if passed is not None:
+            within = within.filter(F.col("p") > passed)
+        if failed is not None:
+            within = within.filter(F.col("p") < failed)
+        edges = within.agg(F.percentile_approx("p", F.array(*[F.lit((i + 1) / ways) for i in range(ways)]), F.lit(100 * ways)).alias("e")).first()["e"]
+        if not edges:
+            break
+        cuts = sorted(set(edges))
+        shares = [F.sum(F.when(F.col("p") <= c, F.col("c")).otherwise(0)) / F.sum("c") for c in cuts]
+        users = counts.groupBy("user_id").agg(*[s.alias(f"r{i}") for i, s in enumerate(shares)])
+        rates = users.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"r{i}").alias("r")) for i in range(len(cuts))])).alias("x")).select("x.i", "x.r")
+        top = {r["i"]: r["q"][0] for r in exact_quantiles(rates, ["i"], "r", [level]).collect()}  # a row a cut
+        good = [c for i, c in enumerate(cuts) if top[i] <= cap]
+        bad = [c for i, c in enumerate(cuts) if top[i] > cap]
+        passed = max(good, default=passed)
+        failed = min(bad, default=failed)
+    n = values.filter(F.lit(False) if passed is None else F.col("p") <= passed)
+    return n.agg(F.lit(passed).cast("double").alias("cut"), F.count("*").alias("passed"))

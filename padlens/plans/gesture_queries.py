@@ -74,7 +74,7 @@ QUERIES = {
     "f19_window_summaries": lambda s, d: all_rounded(X.window_summaries(A.windows(s, d))),
     "f20_held": lambda s, d: all_rounded(X.held(A.windows(s, d), 25)),
     "f21_linear": lambda s, d: all_rounded(X.linear(A.windows(s, d), 25)),
-    "f22_duration_summary": lambda s, d: all_rounded(X.duration_summary(A.bins(s, d), ["arm"])),
+    "f22_duration_summary": lambda s, d: all_rounded(X.duration_summary(A.bins(s, d), ["arm"], cap=45.0)),
 }
 
 _SEG = f"""{TOUCH}, frames AS (SELECT user_id, act_id, evt_t, count(*) AS n_rows, bool_or(code = 0) AS down, bool_or(code = 1) AS up, bool_or(code = 3) AS cancel,
@@ -176,8 +176,9 @@ SELECT vec_id, label, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std,
 SELECT vec_id, CAST(k AS INTEGER) AS k, round(v, 5) AS v FROM g JOIN windows USING (vec_id, i)""",
     "f21_linear": f"""WITH {WINDOWS}, n AS (SELECT vec_id, count(*) AS n FROM windows GROUP BY vec_id), g AS (SELECT vec_id, k, k * (n - 1) / 24.0::DOUBLE AS p, CAST(greatest(least(floor(k * (n - 1) / 24.0::DOUBLE), n - 2), 0) AS INTEGER) AS i FROM n, range(25) t(k)),
 w AS (SELECT vec_id, i, v, lead(v) OVER (PARTITION BY vec_id ORDER BY i) AS nx FROM windows) SELECT vec_id, CAST(k AS INTEGER) AS k, round(v + (p - i) * (coalesce(nx, v) - v), 5) AS v FROM g JOIN w USING (vec_id, i)""",
-    "f22_duration_summary": f"""WITH {BINS}, c AS (SELECT arm, max(duration) FILTER (label = 0) AS cap FROM bins GROUP BY arm), q AS (SELECT arm, quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 0) AS r,
- quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 1) AS f, avg(CAST(duration >= cap AS INTEGER)) FILTER (label = 1) AS fake_at_cap FROM bins JOIN c USING (arm) GROUP BY arm)
+    "f22_duration_summary": f"""WITH {BINS}, q AS (SELECT arm, quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 0) AS r, quantile_cont(duration, [0.05, 0.5, 0.95]) FILTER (label = 1) AS f,
+ avg(CAST(duration >= 45 AS INTEGER)) FILTER (label = 1) AS fake_at_cap, avg(CAST(duration > 45 AS INTEGER)) FILTER (label = 0) AS real_over_cap, avg(duration) FILTER (label = 0) AS real_mean, max(duration) FILTER (label = 0) AS real_max,
+ avg(duration) FILTER (label = 1) AS fake_mean, max(duration) FILTER (label = 1) AS fake_max FROM bins GROUP BY arm)
 SELECT arm, round(r[1], 5) AS real_p5, round(r[2], 5) AS real_p50, round(r[3], 5) AS real_p95, round(f[1], 5) AS fake_p5, round(f[2], 5) AS fake_p50, round(f[3], 5) AS fake_p95,
- round(f[2] - r[2], 5) AS shift, round(fake_at_cap, 5) AS fake_at_cap FROM q""",
+ round(f[2] - r[2], 5) AS shift, {", ".join(map(_r, ["fake_at_cap", "real_over_cap", "real_mean", "real_max", "fake_mean", "fake_max"]))} FROM q""",
 }

@@ -116,7 +116,7 @@ QUERIES = {
     "f24_corpus_profile": lambda s, d: all_rounded(O.corpus_profile(A.scores(s, d))),
     "e20_style_distances": e20_style,
     "e21_reference_overlap": e21_overlap,
-    "e22_latency_summary": lambda s, d: all_rounded(M.quantile_ladder(A.rhythm(s, d).withColumn("ms", F.col("end_ms") - F.col("start_ms")), ["action"], "ms", [0.5, 0.95, 1.0])),
+    "e22_latency_summary": lambda s, d: all_rounded(M.latency_summary(A.rhythm(s, d).withColumn("ms", F.col("end_ms") - F.col("start_ms")), ["action"], "ms")),
     "n8_disjoint_price": n8_disjoint_price,
     "p13_modality_coverage": p13_coverage,
     "p14_coverage_status": p14_coverage,
@@ -155,7 +155,8 @@ z AS (SELECT user_id, label, (score - ms) / ss AS a, (clock - mc) / sc AS b FROM
 q AS (SELECT user_id, quantile_cont(d, 0.5) FILTER (label = 1) AS f, quantile_cont(d, 0.5) FILTER (label = 0) AS r FROM d GROUP BY user_id) SELECT user_id, round(f, 5) AS fake_own, round(r, 5) AS real_own, round(f - r, 5) AS delta FROM q""",
     "e21_reference_overlap": """WITH t AS (SELECT DISTINCT l_suppkey AS user_id, l_partkey % 50 AS ref, l_linestatus AS side FROM lineitem), g AS (SELECT user_id, ref, count(*) AS k FROM t GROUP BY ALL)
 SELECT user_id, CAST(count(*) FILTER (k = 2) AS INTEGER) AS shared, CAST(count(*) AS INTEGER) AS either FROM g GROUP BY user_id""",
-    "e22_latency_summary": f"""WITH {RHYTHM}, q AS (SELECT action, quantile_cont(end_ms - start_ms, [0.5, 0.95, 1.0]) AS q FROM rhythm GROUP BY action) SELECT action, CAST(i - 1 AS INTEGER) AS step, round(q[i], 5) AS value FROM (SELECT *, unnest(range(1, 4)) AS i FROM q)""",
+    "e22_latency_summary": f"""WITH {RHYTHM}, q AS (SELECT action, quantile_cont(end_ms - start_ms, [0.5, 0.95, 1.0]) AS q, avg(end_ms - start_ms) AS mean, count(*) AS n FROM rhythm GROUP BY action)
+SELECT action, n, round(mean, 5) AS mean, round(q[1], 5) AS p50, round(q[2], 5) AS p95, round(q[3], 5) AS max, q[1] <= q[2] AND q[2] <= q[3] AS monotone FROM q""",
     "n8_disjoint_price": f"""WITH {_STATS}, u AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)), x AS (SELECT * FROM stats JOIN u USING (user_id)),
 g AS (SELECT fold, s1_count AS v, count(*) AS c FROM x WHERE label = 0 GROUP BY ALL), n AS (SELECT fold, sum(c) AS n FROM g GROUP BY fold), w AS (SELECT DISTINCT fold, s1_count AS v FROM x),
 step AS (SELECT w.fold, w.v, coalesce(sum(c), 0)::DOUBLE / any_value(n) AS q FROM w JOIN n ON n.fold = 1 - w.fold LEFT JOIN g ON g.fold = 1 - w.fold AND g.v >= w.v GROUP BY ALL),

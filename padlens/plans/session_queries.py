@@ -167,7 +167,7 @@ QUERIES = {
     "n12_conformal": lambda s, d: all_rounded(conformal_of(s, d).select("event_id", "p")),
     "n14_user_spread": lambda s, d: all_rounded(N.user_spread(flags_of(s, d))),
     "n15_beta_binomial": lambda s, d: all_rounded(N.beta_binomial(flags_of(s, d))),
-    "n16_largest_cut": lambda s, d: N.largest_cut(conformal_of(s, d).filter("label = 0"), 0.5, GRID),
+    "n16_largest_cut": lambda s, d: N.largest_cut(conformal_of(s, d).filter("label = 0"), 0.5),
     "n17_alarm_curve": lambda s, d: all_rounded(N.alarm_curve(conformal_of(s, d), GRID)),
     "r1_auc_bootstrap": r1_auc_bootstrap,
     "r2_shared_bootstrap": lambda s, d: all_rounded(R.interval(rates_of(s, d), CELL, "far")),
@@ -257,8 +257,8 @@ SELECT CAST(bin AS INTEGER) AS bin, round(ln(((f + 0.5::DOUBLE) / ((SELECT sum(f
     "n15_beta_binomial": f"""WITH {_FLAGS}, p AS (SELECT sum(s)::DOUBLE / sum(n) AS mean, avg(n) AS k FROM users), m AS (SELECT mean, k, sum(n * (r - mean) ** 2) / sum(n) AS v FROM users, p GROUP BY mean, k),
 q AS (SELECT *, least(greatest((v - mean * (1 - mean) / k) / (mean * (1 - mean) * (1 - 1 / k)), 1e-6), 0.999::DOUBLE) AS rho FROM m)
 SELECT round(mean, 5) AS mean, round(rho, 5) AS rho, round(mean * (1 / rho - 1), 5) AS alpha, round((1 - mean) * (1 / rho - 1), 5) AS beta FROM q""",
-    "n16_largest_cut": f"""WITH {_CONF}, r AS (SELECT cut, user_id, avg(CAST(p <= cut AS INTEGER)) AS rate FROM cf, (SELECT unnest({GRID})::DOUBLE AS cut) WHERE label = 0 GROUP BY ALL), c AS (SELECT cut, quantile_cont(rate, 0.9) AS p90 FROM r GROUP BY cut)
-SELECT max(cut) AS cut, count(*) AS passed FROM c WHERE cut < coalesce((SELECT min(cut) FROM c WHERE p90 > 0.5), 9)""",
+    "n16_largest_cut": f"""WITH {_CONF}, g AS MATERIALIZED (SELECT user_id, p FROM cf WHERE label = 0), k AS (SELECT DISTINCT p AS cut FROM g), r AS (SELECT cut, user_id, avg(CAST(p <= cut AS INTEGER)) AS rate FROM g, k GROUP BY ALL),
+c AS (SELECT cut, quantile_cont(rate, 0.9) AS p90 FROM r GROUP BY cut) SELECT max(cut) AS cut, count(*) AS passed FROM c WHERE cut < coalesce((SELECT min(cut) FROM c WHERE p90 > 0.5::DOUBLE), 2)""",
     "n17_alarm_curve": f"WITH {_CONF} SELECT label, alpha, round(avg(CAST(p <= alpha AS INTEGER)), 5) AS share FROM cf, (SELECT unnest({GRID})::DOUBLE AS alpha) GROUP BY ALL",
     "r2_shared_bootstrap": f"WITH {_RATES.removeprefix('WITH ')} SELECT action, detector, {_INTERVAL} FROM (SELECT *, far AS v FROM rates) GROUP BY ALL",
     "r3_paired_difference": f"""WITH {_RATES.removeprefix('WITH ')}, g AS (SELECT a.rep, avg(a.far - b.far) AS v FROM rates a JOIN rates b ON a.rep = b.rep AND a.action = b.action AND a.detector = 0 AND b.detector = 1 GROUP BY a.rep)
