@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from padlens.llm.common import buffer_of, mix, run_hashes, runs, slices, staged, texts_of
@@ -20,8 +20,8 @@ TILE = 512
 #: shingles are compared (at 0.8 the mean is 9.7, the deviation 2.9), and the bands of least values that bring documents
 #: together with the values of each: a pair at 0.8 shares none of them with a chance of (1 - 0.8^5)^20, under 0.0004.
 WIDTH, SIMILARITY, WIDE, BANDS, VALUES = 5, 0.8, 20, 20, 5
-#: How many times over the nearest pairs of a group are taken; in a group of up to six texts all pairs are.
-TURNS = 5
+#: Shingles of a block of documents that are compared with each other at once, and of a part that has blocks of its own.
+SHINGLES, OWN = 500_000, 250_000
 #: Rows of one block of a large key; larger keys are compared block by block, each pair of blocks in a group of its own.
 BLOCK = 4096
 
@@ -300,7 +300,8 @@ def word_shingles(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`doc_id, digest, fp, keys`: 128 bits of the words, the SimHash of the shingles, and a key for each band of least values.
+    """`doc_id, version, digest, size, fp, keys`: the text's xxhash64, 128 bits of the words, the number of shingles, their SimHash,
+    and a key for each band of least values.
 
     A text without words has no keys.
     """
@@ -328,55 +329,152 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("version"),
                     pa.array(digest, pa.binary()),
+                    pa.array(np.diff(at)),
                     pa.array(fp.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())),
                 ],
-                ["doc_id", "digest", "fp", "keys"],
+                ["doc_id", "version", "digest", "size", "fp", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, fp long, keys array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    return rows.mapInArrow(run, "doc_id long, version long, digest binary, size long, fp long, keys array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs(a, b) of doc_ids whose texts have that share of common shingles or more."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """nodes' columns with `hashes binary`: the sorted distinct shingle hashes of each node(id, doc_id, version), from a row of docs
+    with that doc_id and text. Rows repeated in docs give repeated rows."""
+    kinds = [(n, t) for n, t in nodes.dtypes if n not in ("doc_id", "version")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20, "left"):
-            n = batch.num_rows
-            hashes, at = word_shingles(texts_of(batch, "left") + texts_of(batch, "right"), width)
-            sets = [np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]
-            keep = np.zeros(n, bool)
-            for i, (x, y) in enumerate(zip(sets[:n], sets[n:])):
-                shared = len(x) + len(y) - len(np.union1d(x, y))
+        for batch in slices(batches, 1 << 20):
+            hashes, at = word_shingles(texts_of(batch), width)
+            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in kinds), pa.array(sets, pa.binary())], [*(n for n, _ in kinds), "hashes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version")).join(nodes, ["doc_id", "version"])
+    return rows.select(*(n for n, _ in kinds), "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kinds) + ", hashes binary")
+
+
+def jaccard_links(ids: np.ndarray, fp: np.ndarray, part: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids of that Jaccard similarity or more that join what such pairs join: no more than one for each id.
+
+    Pairs of one part are joined already. A pair is compared if its SimHashes differ in at most `radius` bits and its
+    sets' sizes allow the similarity; a document's shingles are looked up in all its candidates' sets at once. With
+    `side` only documents of different sides are compared.
+    """
+    size = np.array([len(x) for x in sets])
+    _, label = np.unique(part, return_inverse=True)
+    label = label.copy()
+    left, right = [], []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        j = j[(label[j] != label[i]) & (np.bitwise_count(fp[j] ^ fp[i]) <= radius) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]))]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        if not len(j) or not size[i]:
+            continue
+        flat = np.concatenate([sets[k] for k in j])
+        near = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+        starts = np.concatenate([[0], np.cumsum(size[j])[:-1]])
+        shared = np.add.reduceat((sets[i][near] == flat).astype(np.int64), starts)
+        for k in j[shared >= similarity * (size[i] + size[j] - shared)].tolist():
+            if label[k] != label[i]:
+                left.append(ids[i])
+                right.append(ids[k])
+                label[label == label[k]] = label[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs(a, b) of nodes(id, doc_id, version) whose texts have that share of common shingles or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+                shared = int((x[at] == y).sum()) if len(x) and len(y) else 0
                 keep[i] = shared >= similarity * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    rows = pairs.join(docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("left")), "a")
-    rows = rows.join(docs.select(F.col("doc_id").cast("long").alias("b"), F.col("text").alias("right")), "b")
-    return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = staged(shingle_sets(docs, nodes.join(ends, "id", "left_semi").select("id", "doc_id", "version"), width), "sets")
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
+    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
+    return rows.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = WIDE, turns: int = TURNS) -> DataFrame:
+def left_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, parts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = WIDE, shingles: int = SHINGLES, own: int = OWN) -> DataFrame:
+    """Pairs (a, b) of nodes(id, doc_id, version, size, fp) that join the parts of a group, if any pair across them is alike.
+
+    groups(id, component): what candidates join; parts(id, component): what pairs of them found alike join; both without
+    the nodes that stand alone. Groups of one part are done. In the others all documents within the radius of different parts
+    are compared, block by block: blocks hold about `shingles` shingles, a large part has blocks of its own, and those are
+    never paired with each other, so a large part meets the group's other documents alone.
+    """
+    rows = nodes.join(groups.withColumnRenamed("component", "grp"), "id").join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    split = rows.groupBy("grp").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("grp")
+    rows = staged(rows.join(split, "grp", "left_semi").select("grp", "part", "id", "doc_id", "version", "size", "fp"), "split")
+    large = rows.groupBy("grp", "part").agg(F.sum("size").alias("total")).withColumn("large", F.col("total") > own)
+    few = large.filter(~F.col("large")).groupBy("grp").agg(F.sum("total").alias("rest")).select("grp", F.ceil(F.col("rest") / shingles).cast("int").alias("few"))
+    before = Window.partitionBy("grp").orderBy("part")  # over the large parts of a group
+    much = large.filter("large").select("grp", "part", F.ceil(F.col("total") / shingles).cast("int").alias("mine"))
+    much = much.withColumn("upto", F.sum("mine").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    last = staged(much.groupBy("grp").agg(F.max("upto").alias("all")), "all")
+    much, few = staged(much, "much"), staged(few, "few")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    rows = rows.join(few, "grp", "left").join(last, "grp", "left").join(much, ["grp", "part"], "left").withColumns({c: zero(c) for c in ("few", "all")})
+    rows = rows.withColumn("k", F.col("few") + F.col("all")).withColumn("low", zero(F.col("few") + F.col("upto") - F.col("mine")))
+    deal = F.pmod(F.xxhash64("id"), F.greatest(zero("mine"), F.lit(1))).cast("int")
+    rows = rows.withColumn("at", F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("id"), F.greatest("few", F.lit(1))).cast("int")).otherwise(F.col("low") + deal))
+    others = F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda b: F.col("mine").isNull() | (b < F.col("low")) | (b >= F.col("low") + F.col("mine")))
+    rows = shingle_sets(docs, rows.select("grp", "part", "id", "doc_id", "version", "fp", "at", others.alias("others")), width)
+    rows = rows.select("grp", "part", "id", "fp", "hashes", "at", F.explode("others").alias("other"))
+    rows = rows.select("grp", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), (F.col("at") > F.col("other")).alias("second"), "part", "id", "fp", "hashes")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("id")
+        ids = group.column("id").to_numpy()
+        once = np.concatenate([[True], ids[1:] != ids[:-1]])  # of repeated rows
+        group, ids = group.filter(pa.array(once)), ids[once]
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in group.column("hashes")]
+        side = group.column("second").to_numpy(zero_copy_only=False) if key[1].as_py() != key[2].as_py() else None
+        found = jaccard_links(ids, group.column("fp").to_numpy().view(np.uint64), group.column("part").to_numpy(), sets, side, similarity, radius)
+        return pa.Table.from_arrays([pa.array(x) for x in found], ["a", "b"])
+
+    return rows.groupBy("grp", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = WIDE) -> DataFrame:
     """`doc_id, component_id` for each row of docs(doc_id, text): groups by links of `similarity` or more.
 
     Two documents link if their sets of `width`-word shingles (lower case) have that Jaccard similarity; component_id is
     the least doc_id that links reach. Documents that share a band of least values are compared bit by bit in tiles;
-    within a group the nearest pairs within the radius that hold it together, `turns` times over, have their shingles
-    compared; a link is lost only if all of these fail between two parts that a farther pair would link.
+    the nearest pairs within the radius that hold a group together have their shingles compared. Where that leaves a
+    group in parts, all its documents of different parts within the radius are compared, so a link is lost only if
+    neither its documents nor others lead from one to the other by bands and the radius (README has the recall).
     Texts of the same words collapse first, so groups of copies of any size cost one row; texts without words are such
-    copies of each other; different texts of one doc_id are one document. Null texts are empty; texts of any length are taken whole. Repeated rows come back as often as
-    they came in; rows with a null doc_id are left out; no rows give no rows; other columns are ignored.
+    copies of each other; different texts of one doc_id are one document. Null texts are empty; texts of any length are
+    taken whole. Repeated rows come back as often as they came in; rows with a null doc_id are left out; no rows give no
+    rows; other columns are ignored.
     """
     docs = docs.filter("doc_id is not null")
     marked = staged(signatures(docs, width), "signatures")
-    nodes = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("n"))
-    nodes = staged(nodes.select("digest", F.col("n.doc_id").alias("id"), "n.fp", "n.keys"), "nodes")
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "version", "size", "fp", "keys")).alias("n"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("id"), "digest", "n.*"), "nodes")
     rows = nodes.select("id", "fp", F.explode("keys").alias("key"))
-    found = _in_groups(rows, partial(forest, radius=radius, turns=turns)).filter("a <> b")
+    found = _in_groups(rows, partial(forest, radius=radius)).filter("a <> b")
     pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    groups, alikes = staged(components(pairs.toDF("u", "v")), "groups"), staged(alike(pairs, docs, nodes, width, similarity), "alike")
+    parts = components(alikes.toDF("u", "v"))
+    joined = left_links(docs, nodes.select("id", "doc_id", "version", "size", "fp"), groups, parts, width, similarity, radius)
     members = staged(marked.select("doc_id", "digest").join(nodes.select("digest", "id"), "digest").select("doc_id", "id"), "members")
     several = members.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("_most")).filter("v <> _most").select("doc_id", "v")
     own = members.join(staged(several, "several"), "doc_id").select(F.col("id").alias("u"), "v")
-    groups = components(alike(pairs, docs, width, similarity).toDF("u", "v").unionByName(own))
-    return members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
+    whole = components(alikes.unionByName(joined).toDF("u", "v").unionByName(own))
+    named = members.join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    return named.join(least, "component").select("doc_id", "component_id")

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from padlens.llm import common, decontaminate, licenses, media, packing, quality, simhash, substring, tokencount, toxicity, urlfilter
@@ -322,6 +323,30 @@ def test_broken_files_are_null(spark):
     assert bytes(last["payload"]) == media.padded(b"some text " * 200) and len(last["tensor"]) == last["height"] * last["width"] * 3
 
 
+def test_groups_left_in_parts_are_compared_whole(spark):
+    """Documents of one template, in several parts that few of their pairs join, found in small blocks too."""
+    rng = random.Random(21)
+    base = [f"t{i}" for i in range(120)]
+    rows, sets = [], {}
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5, 9])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(116)}
+    want = _union(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes = simhash.signatures(docs).select(F.col("doc_id").alias("id"), "doc_id", "version", "size", "fp").cache()
+    groups = spark.createDataFrame([(i, 0) for i in range(240)], "id long, component long")
+    done = {i: 7 for i, r in want.items() if r == 0 and i % 3} | {0: 7}  # joined before: most of one part
+    parts = spark.createDataFrame(list(done.items()), "id long, component long")
+    joined = [(a, b) for a in done for b in done if a < b]
+    for shingles, own in ((10**6, 10**6), (3000, 10**6), (3000, 2000)):
+        found = [tuple(r) for r in simhash.left_links(docs, nodes, groups, parts, radius=64, shingles=shingles, own=own).collect()]
+        assert _union(sets, found + joined) == want and len(found) < 60 * 240
+        assert not any(a in done and b in done for a, b in found)
+
+
 def test_similar_documents(spark):
     """Groups at 0.8 or more of common five-word shingles: chains, stars, odd rows; two texts of one doc_id are one document."""
     rng = random.Random(8)
