@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from padlens.functions.shared import written
 
 #: Order in which actions take contacts.
 PRIORITY = {"keystroke": 0, "pinch": 1, "swipe": 2, "scroll": 3, "tap": 4}
@@ -137,21 +142,80 @@ def nearest(events: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "sample_id", "t", value.alias("v"), distance.alias("distance"))
 
 
-def least_distance(queries: DataFrame, train: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """Least root-mean-square distance of each query vector to the training vectors. queries, train(vec_id, x array<double>).
+def spread_pivots(train: DataFrame, count: int, sample: int = 2000) -> list[list[float]]:
+    """Vectors of train far from each other: of those of least hash, at most `sample`, in turn the farthest from all taken before."""
+    import numpy as np
+
+    rows = np.array([r["x"] for r in train.select("x").orderBy(F.xxhash64("x"), "x").limit(sample).collect()], float)
+    if not rows.size:
+        return []
+    taken, far = [0], np.linalg.norm(rows - rows[0], axis=1)
+    while len(taken) < count and far.max() > 0:
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, np.linalg.norm(rows - rows[taken[-1]], axis=1))
+    return rows[taken].tolist()
+
+
+def pivot_distances(rows: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """rows(..., x array<double>) with `away array<double>`, the distances to the pivots."""
+    import numpy as np
+    import pyarrow as pa
+
+    centres = np.array(pivots)
 
-    The query set goes to the tasks in blocks; the training vectors are read once for each block and never shuffled.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                away = np.sqrt(np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1))
+                column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(centres)), pa.array(away.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "away"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("away", T.ArrayType(T.DoubleType()))]))
+
+
+def least_distance(queries: DataFrame, train: DataFrame, pivots: int = 64, rings: int = 32) -> DataFrame:
+    """`query_id, distance, compared`: the least root-mean-square distance of each query vector to the training vectors of
+    other ids, and how many distinct ones it was compared with. queries, train(vec_id, x array<double>, all of one length).
+
+    Training vectors lie in the cell of their nearest pivot, in a ring by their distance to it. A query first meets its own ring;
+    the least distance found there bounds the rest: by the triangle inequality a vector nearer than the bound lies in
+    rings whose distance to their pivot differs from the query's by no more. Only those are joined, by cell and ring. Equal
+    training vectors are compared once. How much that saves depends on the vectors: where all are about equally far
+    apart, most rings are within the bound.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block_rows))
-    out = None
-    for k in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-        near = train.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
+    same = train.groupBy("x").agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    centres = spread_pivots(train, pivots)
+    if not centres:
+        return queries.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("double").alias("distance"), F.lit(0).cast("long").alias("compared")).limit(0)
+    nearest = F.array_position("away", F.array_min("away")).cast("int") - 1
+    placed = pivot_distances(same, centres).withColumn("cell", nearest).withColumn("far", F.array_min("away")).drop("away")
+    placed = written(placed, "placed")
+    reach = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("far").alias("r")).collect()}  # a row a pivot
+    width = F.array(*[F.lit(max(reach.get(k, 0.0), 1e-12) / rings) for k in range(len(centres))])
+    top = F.array(*[F.lit(reach.get(k, -1.0)) for k in range(len(centres))])
+    ring = lambda d, k: F.floor(d / F.get(width, k)).cast("int")
+    placed = placed.withColumn("ring", ring(F.col("far"), F.col("cell")))
+    asked = written(pivot_distances(queries.select(F.col("vec_id").alias("query_id"), "x"), centres).withColumnRenamed("x", "q"), "asked")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Exact distances of rows(query_id, q, cell, ring, ...) to the training vectors of their rings."""
+        near = rows.join(placed, ["cell", "ring"]).filter((F.col("low") != F.col("query_id")) | (F.col("high") != F.col("query_id")))
         total = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-        best = near.select("query_id", F.sqrt(total / F.size("q")).alias("d")).groupBy("query_id").agg(F.min("d").alias("distance"))
-        out = best if out is None else out.unionByName(best)
-    return out
+        return near.withColumn("d", F.sqrt(total))
+
+    own = asked.withColumn("cell", F.array_position("away", F.array_min("away")).cast("int") - 1).withColumn("ring", ring(F.array_min("away"), F.col("cell")))
+    first = written(met(own).groupBy("query_id").agg(F.min("d").alias("d"), F.count("*").alias("c")), "first")
+    # Without one in its ring a query has its second pivot's distance as bound: it may be the first pivot itself.
+    spare = F.get(F.array_sort("away"), F.lit(min(1, len(centres) - 1))) if len(centres) > 1 else F.lit(float("inf"))
+    bound = (F.coalesce("d", spare) * (1 + 1e-9) + 1e-12).alias("bound")
+    rest = asked.join(first, "query_id", "left").select("query_id", "q", "away", bound)
+    cells = F.transform("away", lambda d, k: F.struct(k.alias("cell"), F.greatest(d - F.col("bound"), F.lit(0.0)).alias("lo"), F.least(d + F.col("bound"), F.get(top, k)).alias("hi"), d.alias("at")))
+    rest = rest.select("query_id", "q", "bound", F.explode(F.filter(cells, lambda c: c["lo"] <= c["hi"])).alias("c")).select("query_id", "q", "bound", "c.*")
+    rest = rest.withColumn("ring", F.explode(F.sequence(ring(F.col("lo"), F.col("cell")), ring(F.col("hi"), F.col("cell")))))
+    found = met(rest.withColumnRenamed("at", "mine")).filter(F.abs(F.col("far") - F.col("mine")) <= F.col("bound"))
+    best = found.groupBy("query_id").agg(F.min(F.col("d") / F.sqrt(F.size("q"))).alias("distance"), F.count("*").alias("n"))
+    return best.join(first.select("query_id", "c"), "query_id", "left").select("query_id", "distance", (F.col("n") + F.coalesce("c", F.lit(0))).alias("compared"))
 
 
 def two_sources(keys: DataFrame, raw: DataFrame, fallback: DataFrame, event: list[str], partial: bool = False) -> DataFrame:

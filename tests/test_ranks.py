@@ -91,3 +91,33 @@ def test_stretches_assign_like_whole_sessions(spark):
     size = J.largest_stretch(a, b).first()
     assert size["labels"] == sum(s != J.UNMATCHED for *_, s in want.values()) and size["stretches"] > 10 * size["sessions"] and size["largest"] < 60
     assert J.assign(a, b.limit(0)).filter(F.col("status") != J.UNMATCHED).isEmpty() and J.assign(a.limit(0), b.limit(0)).isEmpty()
+
+
+def nested(queries, train):
+    return {i: min((float(np.sqrt(np.mean((np.array(q) - np.array(x)) ** 2))) for j, x in train if j != i), default=None) for i, q in queries}
+
+
+def test_least_distance_equals_the_nested_loop_with_fewer_pairs(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 30, (40, 6))
+    train = [(i, (centres[i % 40] + rng.normal(0, 1, 6)).tolist()) for i in range(2000)]
+    train += [(3000 + i, train[11][1]) for i in range(700)] + [(9000, [500.0] * 6)]  # copies, and one far from all
+    queries = train[::20] + [(9000, [500.0] * 6), (9500, [0.0] * 6), (9600, train[0][1])]
+    schema = "vec_id long, x array<double>"
+    got = J.least_distance(spark.createDataFrame(queries, schema).repartition(3), spark.createDataFrame(train, schema).repartition(3)).collect()
+    want = nested(queries, train)
+    assert {r["query_id"]: r["distance"] for r in got} == pytest.approx(want)
+    assert sum(r["compared"] for r in got) < 0.1 * len(queries) * 2001
+
+
+@pytest.mark.parametrize("pivots", [1, 2, 9])
+def test_least_distance_on_few_and_equal_vectors(spark, pivots):
+    schema = "vec_id long, x array<double>"
+    rng = random.Random(pivots)
+    train = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(60)]
+    for rows in (train, train[:2], [(1, [0.0]), (2, [0.0])], [(1, [1.0]), (2, [0.0])]):
+        got = {r["query_id"]: r["distance"] for r in J.least_distance(spark.createDataFrame(rows, schema), spark.createDataFrame(rows, schema), pivots, 4).collect()}
+        assert got == pytest.approx(nested(rows, rows))
+    empty = spark.createDataFrame([], schema)
+    assert J.least_distance(spark.createDataFrame(train, schema), empty).collect() == [] and J.least_distance(empty, spark.createDataFrame(train, schema)).collect() == []
+    assert J.least_distance(spark.createDataFrame(train[:1], schema), spark.createDataFrame(train[:1], schema)).collect() == []
