@@ -211,6 +211,25 @@ def test_streaming_contacts_equal_batch(spark, tmp_path):
     assert got == want and len(want) > 50
 
 
+def test_streaming_contacts_go_on_after_a_restart(spark, tmp_path):
+    """A query that is stopped after each file and started again from its checkpoint gives the same contacts, each once."""
+    rng = random.Random(6)
+    rows = [(u, u, 1000 * t, rng.choice([0, 1, 2, 3]), i) for u in range(3) for i, t in enumerate(sorted(rng.sample(range(3000), 40)))]
+    rows.append((9, 9, 5_000_000, 0, 0))
+    names = ["user_id", "act_id", "evt_t", "code", "source_row"]
+    df = spark.createDataFrame(rows, "user_id long, act_id long, evt_t long, code int, source_row long").withColumn("ts", F.timestamp_millis("evt_t"))
+    late = sorted(rows, key=lambda r: r[2] + rng.randint(0, 300_000))
+    for k in range(3):
+        spark.createDataFrame(late[k * len(late) // 3 : (k + 1) * len(late) // 3], names).selectExpr("user_id", "act_id", "evt_t", "int(code) code", "source_row", "timestamp_millis(evt_t) ts").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streams.contacts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    key = ["user_id", "start_ms", "end_ms", "n_frames", "state"]
+    got = [tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).select(key).collect() if r["state"] != "eof"]
+    want = [tuple(r) for r in gestures.contacts(df).select(key).collect() if r["state"] != "eof"]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_a_late_end_closes_its_own_contact(spark, tmp_path):
     """DOWN 500 and DOWN 1000 come before UP 800 of the first contact: 500-800 complete, 1000-1300 complete."""
     for k, part in enumerate([[(1, 500, 0), (1, 1000, 0)], [(1, 800, 1), (1, 1300, 1)], [(2, 10_000_000, 0)]]):
