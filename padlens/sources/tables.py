@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,29 +33,6 @@ def touch_csv(spark: SparkSession, path: str, columns: list[str] = TOUCH) -> Dat
     return cleaned(raw, columns).withColumn("source_row", F.monotonically_increasing_id())
 
 
-def archive_entries(spark: SparkSession, path: str, keep: str = r"^(\d+)/(\d+)/([^/]+\.csv)$") -> DataFrame:
-    """S3: entries of zip files, also of zips inside zips: user, session, name, kept, lines. One task for each archive;
-    entries that don't match are listed without lines."""
-    match = re.compile(keep)
-
-    def walk(data: bytes) -> Iterator[tuple[str, bytes]]:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                if info.filename.endswith(".zip"):
-                    yield from walk(z.read(info))
-                elif not info.is_dir():
-                    yield info.filename, z.read(info)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                for name, data in walk(content):
-                    m = match.match(name)
-                    yield pd.DataFrame([{"user": m[1] if m else None, "session": m[2] if m else None, "name": name, "kept": bool(m), "body": data.decode("utf-8", "replace") if m else None}])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "user string, session string, name string, kept boolean, body string")
-
-
 def score_lines(spark: SparkSession, path: str) -> DataFrame:
     """Plain or gzip JSON lines; the cell comes from the folder names action/modality/detector."""
     schema = "event_id long, user_id long, session_id long, action string, label int, fake_high_score double"

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from padlens.operators import contracts, features, gestures, joins, metrics, more, resample, sessions
-from padlens.sources import tables
+from padlens.sources import archives, tables
 from padlens.streaming import queries as streams
 
 
@@ -180,7 +180,7 @@ def test_readers(spark, tmp_path):
         z.writestr("__MACOSX/x", "no")
     with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
         z.write(inner, "u.zip")
-    entries = {r["name"]: r["kept"] for r in tables.archive_entries(spark, str(tmp_path / "all.zip")).collect()}
+    entries = {r["name"]: r["kept"] for r in archives.archive_rows(spark, str(tmp_path / "all.zip")).collect()}
     assert entries == {"7/3/Touch.csv": True, "__MACOSX/x": False}
     cell = tmp_path / "scores" / "tap" / "imu" / "forest"
     cell.mkdir(parents=True)
