@@ -94,7 +94,7 @@ def typing_features(keys: DataFrame, pause_ms: int = 500) -> DataFrame:
     """counts, hold, flight, down-down times, bursts cut by pauses between downs, and ways between keys; 34 columns.
 
     keys(user_id, session_id, event_id, start_ms down, end_ms up or null, action token, x, y optional). A group whose
-    input is missing is zero, as has_up and has_xy tell.
+    input is missing is zero, as has_up and has_xy (every key has a place) tell.
     """
     key = ["user_id", "session_id"]
     order = Window.partitionBy(*key).orderBy("start_ms", "end_ms", "event_id")
@@ -136,8 +136,9 @@ def typing_features(keys: DataFrame, pause_ms: int = 500) -> DataFrame:
         *spread("way"),
         zero(F.sum("way")).alias("way_sum"),
         F.max(F.col("end_ms").isNotNull().cast("int")).alias("has_up"),
+        ((F.count("x") == F.count("*")).cast("int") if has_xy else F.lit(0)).alias("has_xy"),
     )
-    out = out.withColumn("unique_ratio", F.col("n_unique") / F.col("n_keys")).withColumn("has_xy", F.lit(int(has_xy)))
+    out = out.withColumn("unique_ratio", F.col("n_unique") / F.col("n_keys"))
     out = out.withColumn("key_rate", F.when(F.col("duration_ms") > 0, F.col("n_keys") / (F.col("duration_ms") / 1000.0)).otherwise(0.0))
     return out.join(size, key)
 

@@ -4,36 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
-from padlens.operators.features import correlation
+from padlens.operators.features import correlation, finger_features
 from padlens.operators.joins import nearest
 
 
+def unwrapped(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """rows(span, angle or null where the span is 0) with `turned`: angles from the first valid one on, each step taken to within
+    half a turn; between valid frames linear in the frame's number, before and after them the nearest; 0 without any."""
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    step = F.col("angle") - F.last("angle", ignorenulls=True).over(back)
+    folded = step - 2 * F.pi() * F.floor((step + F.pi()) / (2 * F.pi()))
+    turn = F.when((folded == -F.pi()) & (step > 0), F.pi()).otherwise(folded)
+    rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("_turn", F.when(F.col("angle").isNotNull(), F.coalesce(turn, F.col("angle"))))
+    valid = F.when(F.col("angle").isNotNull(), F.struct(F.col("_i").alias("i"), F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("u")))
+    rows = rows.withColumn("_own", valid)
+    rows = rows.withColumn("_a", F.last("_own", ignorenulls=True).over(back)).withColumn("_b", F.first("_own", ignorenulls=True).over(ahead))
+    between = F.col("_a.u") + (F.col("_b.u") - F.col("_a.u")) * (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
+    return rows.withColumn("turned", F.coalesce("_own.u", between, "_a.u", "_b.u", F.lit(0.0))).drop("_i", "_turn", "_own", "_a", "_b")
+
+
 def pinch_features(frames: DataFrame) -> DataFrame:
-    """span, its rate, unwrapped angle and finger paths of two-pointer events.
+    """the 24 single-finger features of the fingers' midpoint (`center_`), and span, its rate, unwrapped angle, angular speed
+    and finger paths of two-pointer events; also the mean rate, the median speed and the number of frames.
 
-    frames(event, t_ms, x0, y0, x1, y1), one row for each time at which both pointers touch. The angle is unwrapped
-    by adding up steps taken to within half a turn; a span of zero keeps the angle before it.
+    frames(event, t_ms, x0, y0, x1, y1), one row for each time at which both pointers touch.
     """
     order = Window.partitionBy("event").orderBy("t_ms")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     rows = frames.withColumn("span", F.hypot(dx, dy)).withColumn("angle", F.when(F.col("span") > 1e-12, F.atan2(dy, dx)))
-    rows = rows.withColumn("angle", F.coalesce(F.last("angle", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
-    turn = F.col("angle") - F.lag("angle").over(order)
-    rows = rows.withColumns(
+    back = lambda c: F.col(c) - F.lag(c).over(order)
+    rows = unwrapped(rows, order).withColumns(
         {
-            "dt": (F.col("t_ms") - F.lag("t_ms").over(order)) / 1000.0,
-            "dspan": F.col("span") - F.lag("span").over(order),
-            "turn": turn - 2 * F.pi() * F.floor(turn / (2 * F.pi()) + 0.5),
-            "len0": F.hypot(F.col("x0") - F.lag("x0").over(order), F.col("y0") - F.lag("y0").over(order)),
-            "len1": F.hypot(F.col("x1") - F.lag("x1").over(order), F.col("y1") - F.lag("y1").over(order)),
-            "lenc": F.hypot((F.col("x0") + F.col("x1") - F.lag("x0").over(order) - F.lag("x1").over(order)) / 2, (F.col("y0") + F.col("y1") - F.lag("y0").over(order) - F.lag("y1").over(order)) / 2),
+            "dt": back("t_ms") / 1000.0,
+            "dspan": back("span"),
+            "turn": back("turned"),
+            "len0": F.hypot(back("x0"), back("y0")),
+            "len1": F.hypot(back("x1"), back("y1")),
+            "lenc": F.hypot((back("x0") + back("x1")) / 2, (back("y0") + back("y1")) / 2),
         }
     )
+    rows = rows.withColumns({"rate": F.col("dspan") / F.col("dt"), "spin": F.col("turn") / F.col("dt"), "speed0": F.col("len0") / F.col("dt"), "speed1": F.col("len1") / F.col("dt")})
     z = lambda c: F.coalesce(c, F.lit(0.0))
+    q = lambda c, k: z(F.percentile(c, F.lit(k / 100)))
+    corr = F.when((F.count("speed0") >= 2) & (F.stddev_pop("speed0") > 1e-12) & (F.stddev_pop("speed1") > 1e-12), correlation("speed0", "speed1"))
     out = rows.groupBy("event").agg(
         F.count("*").alias("n_frames"),
         F.min_by("span", "t_ms").alias("span_first"),
@@ -41,17 +58,28 @@ def pinch_features(frames: DataFrame) -> DataFrame:
         F.min("span").alias("span_min"),
         F.max("span").alias("span_max"),
         F.avg("span").alias("span_mean"),
-        z(F.avg(F.col("dspan") / F.col("dt"))).alias("span_rate"),
-        z(F.percentile(F.abs(F.col("dspan") / F.col("dt")), F.lit(0.5))).alias("span_speed50"),
+        F.stddev_pop("span").alias("span_std"),
+        z(F.sum(F.abs("dspan"))).alias("span_path"),
+        z(F.avg("rate")).alias("span_rate"),
+        *[q("rate", k).alias(f"span_rate{k}") for k in (20, 50, 80)],
+        z(F.avg(F.abs("rate"))).alias("span_rate_abs"),
+        z(F.percentile(F.abs("rate"), F.lit(0.5))).alias("span_speed50"),
+        F.min_by("turned", "t_ms").alias("angle_first"),
+        F.max_by("turned", "t_ms").alias("angle_last"),
         z(F.sum("turn")).alias("angle_total"),
-        z(F.avg(F.abs(F.col("turn") / F.col("dt")))).alias("angular_speed"),
+        z(F.sum(F.abs("turn"))).alias("angle_path"),
+        *[q("spin", k).alias(f"angular{k}") for k in (20, 50, 80)],
+        z(F.avg(F.abs("spin"))).alias("angular_speed"),
         z(F.sum("len0")).alias("length0"),
         z(F.sum("len1")).alias("length1"),
         z(F.sum("lenc")).alias("length_centre"),
-        z(F.when((F.stddev_pop("len0") > 1e-12) & (F.stddev_pop("len1") > 1e-12), correlation("len0", "len1"))).alias("speed_corr"),
+        z(F.when(F.abs(corr) > 1, F.signum(corr)).otherwise(corr)).alias("speed_corr"),
     )
-    longer = F.greatest("length0", "length1")
-    return out.withColumn("length_ratio", F.when(longer > 0, F.least("length0", "length1") / longer).otherwise(0.0))
+    longer, delta = F.greatest("length0", "length1"), F.col("span_last") - F.col("span_first")
+    out = out.withColumns({"length_ratio": F.when(longer > 1e-12, F.least("length0", "length1") / longer).otherwise(0.0), "span_delta": delta, "span_delta_abs": F.abs(delta)})
+    middle = frames.select("event", "t_ms", F.lit(0).alias("source_row"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    centre = finger_features(middle, ["event"])
+    return out.join(centre.select("event", *[F.col(c).alias(f"center_{c}") for c in centre.columns if c not in ("event", "n_points")]), "event")
 
 
 def centre_speed(rows: DataFrame) -> DataFrame:

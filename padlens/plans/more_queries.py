@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from padlens.functions.shared import shared_folder
 from padlens.operators import features as X
 from padlens.operators import metrics as M
 from padlens.operators import more as O
+from padlens.operators.dispatch import event_features
 from padlens.plans import adapters as A
 from padlens.plans.adapters import CELL, RHYTHM, SCORES, TOUCH, WINDOWS
 from padlens.plans.gesture_queries import all_rounded
 from padlens.plans.session_queries import _STATS, folded
 from padlens.sources import tables as S
 
+#: The last of them is none that features exist for.
+ACTIONS6 = ["tap", "scroll", "swipe", "pinch", "keystroke", "fling"]
+
 
 def s1_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Raw text cells, some of them broken, to numbers."""
@@ -54,6 +58,26 @@ def f4_pinch(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(O.pinch_features(both))
 
 
+def dispatched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each user as one event: rows in turn to two slots, every twenty of them a key; some rows and some whole keys don't touch."""
+    kinds = F.array(*map(F.lit, ACTIONS6))
+    t = A.touch(spark, sf).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("source_row")) - 1)
+    points = t.select(
+        F.col("user_id").alias("event_id"), (F.col("rn") % 2).alias("slot"), (F.floor(F.col("rn") / 2) * 10).alias("t_ms"), "source_row", "x", "y",
+        ((F.col("source_row") % 4 != 0) & ((F.col("user_id") % 4 != 0) | (F.col("rn") >= 20))).cast("int").alias("contact"), F.floor(F.col("rn") / 20).cast("int").alias("key_index"),
+    )
+    events = points.select("event_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("action")).distinct()
+    code = F.when(F.col("key_index") % 9 == 8, -5).otherwise(60 + F.col("key_index") % 40)
+    keys = points.groupBy("event_id", "key_index").agg(F.min("t_ms").alias("down_ms"), (F.max("t_ms") + F.max("source_row") % 40).alias("up_ms")).withColumn("keycode", code)
+    return events, points, keys.filter("event_id % 7 > 0")
+
+
+def f6_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    out = event_features(*dispatched(spark, sf))
+    named = {"points": "finger.n_points", "length": "finger.length", "frames": "pinch.n_frames", "span_mean": "pinch.span_mean", "centre_length": "pinch.center_length", "keys": "typing.n_keys", "unique": "typing.n_unique", "has_xy": "typing.has_xy", "way_sum": "typing.way_sum", "hold_mean": "typing.hold_mean"}
+    return all_rounded(out.select("event_id", "action", "problem", *[F.col(c).alias(n) for n, c in named.items()]))
+
+
 def sensor(spark: SparkSession, sf: str) -> DataFrame:
     return A.touch(spark, sf).filter("source_row % 3 = 0").select(F.col("user_id").alias("event"), F.col("evt_t").alias("t_ms"), F.col("x").alias("v"), F.col("source_row").alias("sample_id"))
 
@@ -109,6 +133,7 @@ QUERIES = {
     "s14_fingerprint": lambda s, d: S.fingerprint(A.table(s, d, "events").select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 1000).cast("long").alias("value")).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))),
     "s15_genuine_windows": s15_genuine_windows,
     "f4_pinch_features": f4_pinch,
+    "f6_dispatch": f6_dispatch,
     "f8_centre_speed": lambda s, d: all_rounded(O.centre_speed(A.touch(s, d).select(F.col("user_id").alias("event"), F.col("evt_t").alias("t_ms"), "x", "y")).select("event", "t_ms", "x", "y", "speed")),
     "f9_consistency": f9_consistency,
     "f16_background": f16_background,
@@ -124,6 +149,37 @@ QUERIES = {
 
 _SPEED = """m AS (SELECT user_id AS event, evt_t AS t_ms, avg(x) AS x, avg(y) AS y FROM src GROUP BY ALL), d AS (SELECT *, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE AS dt,
   sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS l FROM m WINDOW w AS (PARTITION BY event ORDER BY t_ms)), sp AS (SELECT event, t_ms, x, y, CASE WHEN dt > 0 THEN l / dt END AS speed, t_ms - dt * 500 AS mid FROM d)"""
+_W = "(PARTITION BY event ORDER BY t_ms)"
+_CENTRE = ["start_x", "start_y", "end_x", "end_y", "resultant", "mean_direction", "v20", "v50", "v80", "a20", "a50", "a80", "late_speed", "max_dev", "dev20", "dev50", "dev80", "length", "early_accel", "displacement", "direction", "efficiency", "mean_speed"]
+_SPANS = ["span_first", "span_last", "span_min", "span_max", "span_mean", "span_std", "span_path", "span_rate", "span_rate20", "span_rate50", "span_rate80", "span_rate_abs", "span_speed50", "angle_first", "angle_last", "angle_total", "angle_path",
+          "angular20", "angular50", "angular80", "angular_speed", "length0", "length1", "length_centre", "speed_corr", "length_ratio", "span_delta", "span_delta_abs"]
+_LEVELS = lambda v, n: ", ".join(f"coalesce(quantile_cont({v}, {k / 100}), 0) AS {n}{k}" for k in (20, 50, 80))
+#: Of f(event, t_ms, x0, y0, x1, y1): angles, spans and paths of two fingers, and their midpoint's path.
+_PINCH = f"""f1 AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS span, CASE WHEN sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) > 1e-12 THEN atan2(y1 - y0, x1 - x0) END AS a, row_number() OVER {_W} AS i FROM f),
+v1 AS (SELECT event, i, a - lag(a) OVER (PARTITION BY event ORDER BY i) AS st, a FROM f1 WHERE a IS NOT NULL),
+v2 AS (SELECT event, i, sum(CASE WHEN st IS NULL THEN a WHEN st - 2 * pi() * floor((st + pi()) / (2 * pi())) = -pi() AND st > 0 THEN pi() ELSE st - 2 * pi() * floor((st + pi()) / (2 * pi())) END) OVER (PARTITION BY event ORDER BY i) AS u FROM v1),
+f2 AS (SELECT f1.*, u, CASE WHEN u IS NOT NULL THEN f1.i END AS ui FROM f1 LEFT JOIN v2 USING (event, i)),
+f3 AS (SELECT *, last_value(u IGNORE NULLS) OVER p AS ua, last_value(ui IGNORE NULLS) OVER p AS ia, first_value(u IGNORE NULLS) OVER n AS ub, first_value(ui IGNORE NULLS) OVER n AS ib FROM f2
+  WINDOW p AS (PARTITION BY event ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY event ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+f4 AS (SELECT *, coalesce(u, ua + (ub - ua) * (i - ia) / (ib - ia), ua, ub, 0) AS angle FROM f3),
+r AS (SELECT *, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE AS dt, span - lag(span) OVER w AS ds, angle - lag(angle) OVER w AS turn, sqrt((x0 - lag(x0) OVER w) ** 2 + (y0 - lag(y0) OVER w) ** 2) AS l0, sqrt((x1 - lag(x1) OVER w) ** 2 + (y1 - lag(y1) OVER w) ** 2) AS l1,
+ sqrt(((x0 + x1 - lag(x0) OVER w - lag(x1) OVER w) / 2) ** 2 + ((y0 + y1 - lag(y0) OVER w - lag(y1) OVER w) / 2) ** 2) AS lc FROM f4 WINDOW w AS {_W}),
+o AS (SELECT event, count(*) AS n_frames, arg_min(span, t_ms) AS span_first, arg_max(span, t_ms) AS span_last, min(span) AS span_min, max(span) AS span_max, avg(span) AS span_mean, stddev_pop(span) AS span_std, coalesce(sum(abs(ds)), 0) AS span_path,
+ coalesce(avg(ds / dt), 0) AS span_rate, {_LEVELS("ds / dt", "span_rate")}, coalesce(avg(abs(ds / dt)), 0) AS span_rate_abs, coalesce(quantile_cont(abs(ds / dt), 0.5), 0) AS span_speed50, arg_min(angle, t_ms) AS angle_first, arg_max(angle, t_ms) AS angle_last,
+ coalesce(sum(turn), 0) AS angle_total, coalesce(sum(abs(turn)), 0) AS angle_path, {_LEVELS("turn / dt", "angular")}, coalesce(avg(abs(turn / dt)), 0) AS angular_speed, coalesce(sum(l0), 0) AS length0, coalesce(sum(l1), 0) AS length1, coalesce(sum(lc), 0) AS length_centre,
+ coalesce(CASE WHEN count(l0) >= 2 AND stddev_pop(l0 / dt) > 1e-12 AND stddev_pop(l1 / dt) > 1e-12 THEN corr(l0 / dt, l1 / dt) END, 0) AS speed_corr FROM r GROUP BY event),
+o2 AS (SELECT *, CASE WHEN greatest(length0, length1) > 1e-12 THEN least(length0, length1) / greatest(length0, length1) ELSE 0 END AS length_ratio, span_last - span_first AS span_delta, abs(span_last - span_first) AS span_delta_abs FROM o),
+p0 AS (SELECT event, t_ms, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM f),
+p1 AS (SELECT *, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE AS dt, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, row_number() OVER w AS n, row_number() OVER (PARTITION BY event ORDER BY t_ms DESC) AS m, first_value(x) OVER a AS sx, first_value(y) OVER a AS sy, last_value(x) OVER a AS ex, last_value(y) OVER a AS ey FROM p0
+  WINDOW w AS {_W}, a AS (PARTITION BY event ORDER BY t_ms ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+p2 AS (SELECT *, sqrt(dx * dx + dy * dy) AS len, sqrt(dx * dx + dy * dy) / dt AS speed, sqrt((ex - sx) ** 2 + (ey - sy) ** 2) AS chord FROM p1),
+p3 AS (SELECT *, (speed - lag(speed) OVER {_W}) / dt AS accel, CASE WHEN chord > 0 THEN ((ex - sx) * (y - sy) - (ey - sy) * (x - sx)) / chord ELSE 0 END AS dev, CASE WHEN len > 0 THEN dx / len END AS c, CASE WHEN len > 0 THEN dy / len END AS s FROM p2),
+p4 AS (SELECT event, max(t_ms) - min(t_ms) AS duration_ms, min(sx) AS start_x, min(sy) AS start_y, min(ex) AS end_x, min(ey) AS end_y, coalesce(sqrt(avg(c) ** 2 + avg(s) ** 2), 0) AS resultant, coalesce(CASE WHEN avg(c) ** 2 + avg(s) ** 2 > 1e-18 THEN atan2(avg(s), avg(c)) END, 0) AS mean_direction,
+ {_LEVELS("speed", "v")}, {_LEVELS("accel", "a")}, coalesce(quantile_cont(speed, 0.5) FILTER (m <= 3), 0) AS late_speed, arg_max(dev, abs(dev) * 1e9 - t_ms / 1e12) AS max_dev, {_LEVELS("dev", "dev")}, coalesce(sum(len), 0) AS length, coalesce(quantile_cont(accel, 0.5) FILTER (n BETWEEN 3 AND 7), 0) AS early_accel FROM p3 GROUP BY event),
+p5 AS (SELECT *, sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2) AS displacement, CASE WHEN end_x = start_x AND end_y = start_y THEN 0 ELSE atan2(end_y - start_y, end_x - start_x) END AS direction,
+ CASE WHEN length > 1e-12 THEN sqrt((end_x - start_x) ** 2 + (end_y - start_y) ** 2) / length ELSE 0 END AS efficiency, CASE WHEN duration_ms > 0 THEN length / (duration_ms / 1000.0::DOUBLE) ELSE 0 END AS mean_speed FROM p4)
+SELECT o2.event, n_frames, {", ".join(f"round({c}, 5) AS {c}" for c in _SPANS)}, p5.duration_ms AS center_duration_ms, {", ".join(f"round(p5.{c}, 5) AS center_{c}" for c in _CENTRE)} FROM o2 JOIN p5 USING (event)"""
+
 ORACLES = {
     "s1_touch_cleaning": "SELECT event_id AS evt_t, value AS x FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0",
     "s7_ragged": f"WITH {TOUCH} SELECT user_id, source_row, evt_t, x FROM touch",
@@ -133,17 +189,20 @@ SELECT action, status, reason, count(*) AS n FROM a GROUP BY ROLLUP (action, sta
     "s14_fingerprint": """SELECT count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws(chr(31), event_id, event_type, epoch_us(ts), user_id, round(value * 1000)::BIGINT)), 1, 15))::BIGINT) AS VARCHAR) AS hash,
  sha256('event_id:bigint,event_type:string,ts:bigint,user_id:bigint,value:bigint') AS schema_hash FROM events""",
     "s15_genuine_windows": f"WITH {SCORES} SELECT event_id, user_id || '-' || action AS event FROM scores WHERE pool = 'test' AND label = 0 QUALIFY count(*) OVER (PARTITION BY user_id, action) >= 2",
-    "f4_pinch_features": f"""WITH {TOUCH}, f AS (SELECT user_id AS event, source_row // 2 AS t_ms, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) + max(source_row % 17) AS y1 FROM touch GROUP BY ALL),
-a0 AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS span, CASE WHEN sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) > 1e-12 THEN atan2(y1 - y0, x1 - x0) END AS a FROM f),
-a AS (SELECT * EXCLUDE a, coalesce(last_value(a IGNORE NULLS) OVER (PARTITION BY event ORDER BY t_ms ROWS UNBOUNDED PRECEDING), 0) AS angle FROM a0),
-r AS (SELECT *, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE AS dt, span - lag(span) OVER w AS ds, angle - lag(angle) OVER w AS tu, sqrt((x0 - lag(x0) OVER w) ** 2 + (y0 - lag(y0) OVER w) ** 2) AS l0, sqrt((x1 - lag(x1) OVER w) ** 2 + (y1 - lag(y1) OVER w) ** 2) AS l1,
- sqrt(((x0 + x1 - lag(x0) OVER w - lag(x1) OVER w) / 2) ** 2 + ((y0 + y1 - lag(y0) OVER w - lag(y1) OVER w) / 2) ** 2) AS lc FROM a WINDOW w AS (PARTITION BY event ORDER BY t_ms)),
-q AS (SELECT *, tu - 2 * pi() * floor(tu / (2 * pi()) + 0.5) AS turn FROM r),
-o AS (SELECT event, count(*) AS n_frames, arg_min(span, t_ms) AS span_first, arg_max(span, t_ms) AS span_last, min(span) AS span_min, max(span) AS span_max, avg(span) AS span_mean, coalesce(avg(ds / dt), 0) AS span_rate, coalesce(quantile_cont(abs(ds / dt), 0.5), 0) AS span_speed50,
- coalesce(sum(turn), 0) AS angle_total, coalesce(avg(abs(turn / dt)), 0) AS angular_speed, coalesce(sum(l0), 0) AS length0, coalesce(sum(l1), 0) AS length1, coalesce(sum(lc), 0) AS length_centre,
- coalesce(CASE WHEN stddev_pop(l0) > 1e-12 AND stddev_pop(l1) > 1e-12 THEN corr(l0, l1) END, 0) AS speed_corr FROM q GROUP BY event)
-SELECT event, n_frames, {", ".join(f"round({c}, 5) AS {c}" for c in ["span_first", "span_last", "span_min", "span_max", "span_mean", "span_rate", "span_speed50", "angle_total", "angular_speed", "length0", "length1", "length_centre", "speed_corr"])},
- round(CASE WHEN greatest(length0, length1) > 0 THEN least(length0, length1) / greatest(length0, length1) ELSE 0 END, 5) AS length_ratio FROM o""",
+    "f4_pinch_features": f"WITH {TOUCH}, f AS (SELECT user_id AS event, source_row // 2 AS t_ms, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) + max(source_row % 17) AS y1 FROM touch GROUP BY ALL), {_PINCH}",
+    "f6_dispatch": f"""WITH {TOUCH}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source_row) - 1 AS rn FROM touch),
+p AS (SELECT user_id AS event_id, {ACTIONS6}[user_id % 6 + 1] AS action, rn % 2 AS slot, rn // 2 * 10 AS t_ms, source_row, x, y, source_row % 4 <> 0 AND (user_id % 4 <> 0 OR rn >= 20) AS contact, rn // 20 AS k FROM n),
+e AS (SELECT DISTINCT event_id, action FROM p), a AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM p WHERE contact AND slot = 0 AND action IN ('tap', 'scroll', 'swipe') WINDOW w AS (PARTITION BY event_id ORDER BY t_ms)),
+fi AS (SELECT event_id, count(*) AS points, coalesce(sum(sqrt(dx * dx + dy * dy)), 0) AS length FROM a GROUP BY event_id),
+fr AS (SELECT a.event_id, a.t_ms, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM p a JOIN p b USING (event_id, t_ms) WHERE a.action = 'pinch' AND a.contact AND b.contact AND a.slot = 0 AND b.slot = 1),
+pw AS (SELECT *, (x0 + x1) / 2 - lag((x0 + x1) / 2) OVER w AS cx, (y0 + y1) / 2 - lag((y0 + y1) / 2) OVER w AS cy FROM fr WINDOW w AS (PARTITION BY event_id ORDER BY t_ms)),
+pi AS (SELECT event_id, count(*) AS frames, avg(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS span_mean, coalesce(sum(sqrt(cx * cx + cy * cy)), 0) AS centre_length FROM pw GROUP BY event_id),
+ke AS (SELECT event_id, k, min(t_ms) AS down, max(t_ms) + max(source_row) % 40 AS up, CASE WHEN k % 9 = 8 THEN 0 ELSE 60 + k % 40 END AS code, arg_min(x, source_row) FILTER (contact) AS x, arg_min(y, source_row) FILTER (contact) AS y FROM p WHERE action = 'keystroke' AND event_id % 7 > 0 GROUP BY event_id, k),
+kw AS (SELECT *, CASE WHEN code BETWEEN 65 AND 90 OR code BETWEEN 97 AND 122 THEN chr(CAST(code AS INTEGER)) ELSE 'keycode_' || code END AS token, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS way FROM ke WINDOW w AS (PARTITION BY event_id ORDER BY down, up, k)),
+ty AS (SELECT event_id, count(*) AS keys, count(DISTINCT lower(token)) AS u, CAST(count(x) = count(*) AS INTEGER) AS has_xy, coalesce(CASE WHEN count(x) = count(*) THEN sum(way) END, 0) AS way_sum, avg(up - down) AS hold_mean FROM kw GROUP BY event_id)
+SELECT event_id, action, CASE WHEN action IN ('tap', 'scroll', 'swipe') THEN CASE WHEN points IS NULL THEN 'no_contact_row' END WHEN action = 'pinch' THEN CASE WHEN frames IS NULL THEN 'no_simultaneous_two_pointer_frame' END WHEN action = 'keystroke' THEN CASE WHEN keys IS NULL THEN 'no_key' END
+ ELSE 'unsupported_action' END AS problem, points, round(length, 5) AS length, frames, round(span_mean, 5) AS span_mean, round(centre_length, 5) AS centre_length, keys, u AS unique, has_xy, round(way_sum, 5) AS way_sum, round(hold_mean, 5) AS hold_mean
+FROM e LEFT JOIN fi USING (event_id) LEFT JOIN pi USING (event_id) LEFT JOIN ty USING (event_id)""",
     "f8_centre_speed": f"WITH {TOUCH}, src AS (SELECT * FROM touch), {_SPEED} SELECT event, t_ms, round(x, 5) AS x, round(y, 5) AS y, round(speed, 5) AS speed FROM sp",
     "f24_corpus_profile": f"WITH {SCORES} SELECT action, pool, count(*) AS n, count(DISTINCT user_id) AS users, round(min(score), 5) AS low, round(max(score), 5) AS high, round(avg(score), 5) AS mean FROM scores GROUP BY ROLLUP (action, pool)",
     "f19_energy_distance": f"""WITH {WINDOWS}, s AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY i)) AS st FROM windows), r AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'a' ELSE 'b' END AS side, avg(v) AS m, stddev_pop(v) AS sd, coalesce(avg(st), 0) AS st, max(v) - min(v) AS rg FROM s GROUP BY vec_id, label),

@@ -160,6 +160,56 @@ def test_unchanged_rows_name_the_columns(spark):
     assert {r["k"]: r["what"] for r in contracts.unchanged(a, b, "k", ["v", "s"]).collect()} == {2: "v,s", 3: "left_only", 4: "right_only"}
 
 
+def test_pinch_features_by_plain_python(spark):
+    """Angles across half a turn, coincident fingers at the start, inside and at the end, and one frame alone."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    events = {}
+    for e in range(6):
+        n = 1 if e == 5 else 14
+        t = np.cumsum(rng.integers(5, 40, n))
+        a, b = rng.normal(0, 1, (n, 2)).cumsum(0), rng.normal(0, 1, (n, 2)).cumsum(0)
+        for k in {1: [0, 1], 2: [5, 6], 3: [12, 13], 4: range(14)}.get(e, []):
+            b[k] = a[k]
+        events[e] = t, a, b
+    rows = [(e, int(t[i]), *map(float, (*a[i], *b[i]))) for e, (t, a, b) in events.items() for i in range(len(t))]
+    got = {r["event"]: r for r in more.pinch_features(spark.createDataFrame(rows, "event long, t_ms long, x0 double, y0 double, x1 double, y1 double")).collect()}
+    for e, (t, a, b) in events.items():
+        span, v = np.linalg.norm(b - a, axis=1), b - a
+        good = span > 1e-12
+        angle = np.interp(np.arange(len(t)), np.flatnonzero(good), np.unwrap(np.arctan2(v[good, 1], v[good, 0]))) if good.any() else np.zeros(len(t))
+        dt = np.diff(t) / 1000
+        p = lambda x, q: float(np.percentile(x, q)) if len(x) else 0.0
+        m = lambda x: float(np.mean(x)) if len(x) else 0.0
+        l0, l1 = (np.linalg.norm(np.diff(x, axis=0), axis=1) for x in (a, b))
+        centre = (a + b) / 2
+        want = {"span_std": span.std(), "span_path": np.abs(np.diff(span)).sum(), "span_delta": span[-1] - span[0], "span_delta_abs": abs(span[-1] - span[0]), "span_rate_abs": m(np.abs(np.diff(span) / dt)), "angle_first": angle[0], "angle_last": angle[-1],
+                "angle_total": angle[-1] - angle[0], "angle_path": np.abs(np.diff(angle)).sum(), "angular_speed": m(np.abs(np.diff(angle) / dt)), "length0": l0.sum(), "length1": l1.sum(), "center_length": np.linalg.norm(np.diff(centre, axis=0), axis=1).sum(),
+                "center_duration_ms": t[-1] - t[0], "speed_corr": np.corrcoef(l0 / dt, l1 / dt)[0, 1] if len(dt) >= 2 else 0.0}
+        want |= {f"span_rate{q}": p(np.diff(span) / dt, q) for q in (20, 50, 80)} | {f"angular{q}": p(np.diff(angle) / dt, q) for q in (20, 50, 80)}
+        assert {k: got[e][k] for k in want} == pytest.approx(want, abs=1e-9), e
+    assert sum(c.startswith("center_") for c in got[0].asDict()) == 24
+
+
+def test_events_go_to_the_features_of_their_action(spark):
+    from padlens.operators.dispatch import event_features
+
+    events = spark.createDataFrame([(1, "tap"), (2, "pinch"), (3, "keystroke"), (4, "keystroke"), (5, "fling"), (6, "swipe"), (7, "pinch"), (8, "keystroke")], "event_id long, action string")
+    point = lambda e, slot, t, row, x, contact=1, k=0: (e, slot, t, row, x, 0.0, contact, k)
+    points = [point(1, 0, 0, 0, 0.0), point(1, 0, 10, 1, 3.0), point(1, 0, 20, 2, 9.0, 0), point(1, 1, 10, 3, 50.0), point(6, 0, 0, 4, 1.0, 0)]
+    points += [point(2, s, t, 10 + t + s, float(s * (1 + t))) for t in (0, 1, 2) for s in (0, 1) if (t, s) != (2, 1)] + [point(2, 1, 1, 99, 5.0), point(7, 0, 0, 20, 1.0), point(7, 1, 1, 21, 1.0)]
+    points += [point(3, 0, 0, 30, 8.0, 0), point(3, 0, 5, 31, 1.0), point(3, 0, 6, 32, 2.0), point(3, 0, 9, 33, 5.0, 1, 1), point(4, 0, 0, 40, 1.0), point(4, 0, 0, 41, 1.0, 0, 1)]
+    keys = [(3, 0, 65, 0, 50), (3, 1, -5, 60, 90), (4, 0, 97, 0, 50), (4, 1, 98, 60, 90)]
+    out = event_features(events, spark.createDataFrame(points, "event_id long, slot int, t_ms long, source_row long, x double, y double, contact int, key_index int"), spark.createDataFrame(keys, "event_id long, key_index int, keycode int, down_ms long, up_ms long"))
+    got = {r["event_id"]: r for r in out.collect()}
+    assert {i: r["problem"] for i, r in got.items()} == {1: None, 2: None, 3: None, 4: None, 5: "unsupported_action", 6: "no_contact_row", 7: "no_simultaneous_two_pointer_frame", 8: "no_key"}
+    assert got[1]["finger"]["length"] == 3.0 and got[1]["pinch"] is None and got[1]["typing"] is None
+    assert (got[2]["pinch"]["n_frames"], got[2]["pinch"]["span_first"], got[2]["pinch"]["span_last"]) == (2, 1.0, 5.0)
+    typed = got[3]["typing"]
+    assert (typed["n_keys"], typed["n_letters"], typed["has_xy"], typed["way_sum"]) == (2, 1, 1, 4.0) and (got[4]["typing"]["has_xy"], got[4]["typing"]["way_sum"]) == (0, 0.0)
+
+
 def test_pinch_angle_is_unwrapped(spark):
     import math
 
