@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -9,6 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padlens.functions.shared import written
+from padlens.operators import metrics as M
+from padlens.operators import resample as R
+
 KINDS = ("linear_svm", "forest", "boosted", "logistic", "rff_svm")
 
 
@@ -30,15 +38,23 @@ def with_fourier(rows: DataFrame, names: list[str], count: int = 64, seed: int =
     return rows.select("*", *out), [f"rff{k}" for k in range(count)]
 
 
-def detector(kind: str, names: list[str]) -> Pipeline:
+#: The published sizes: trees of the forest, their depth (Spark's greatest; the original has no limit) and least leaf, rounds, depth and
+#: rate of boosting, share of rows each round sees; and those of the session detector's forest.
+PUBLISHED = {"trees": 500, "depth": 30, "leaf": 2, "rounds": 200, "round_depth": 3, "rate": 0.05, "subsample": 0.9}
+SESSION = PUBLISHED | {"trees": 300, "depth": 8}
+
+
+def detector(kind: str, names: list[str], sizes: dict[str, float] = PUBLISHED) -> Pipeline:
     """Assemble, standardise by the training rows, classify."""
     stages: list[Transformer] = [VectorAssembler(inputCols=names, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
+    trees = {"numTrees": sizes["trees"], "maxDepth": sizes["depth"], "minInstancesPerNode": sizes["leaf"]}
+    boost = {"maxIter": sizes["rounds"], "maxDepth": sizes["round_depth"], "stepSize": sizes["rate"], "subsamplingRate": sizes["subsample"]}
     model = {
         "linear_svm": lambda: LinearSVC(**common, regParam=0.01, maxIter=50),
         "rff_svm": lambda: LinearSVC(**common, regParam=0.01, maxIter=50),
-        "forest": lambda: RandomForestClassifier(**common, numTrees=100, maxDepth=8, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=1),
-        "boosted": lambda: GBTClassifier(**common, maxIter=40, maxDepth=3, stepSize=0.1, subsamplingRate=0.9, seed=1),
+        "forest": lambda: RandomForestClassifier(**common, **trees, featureSubsetStrategy="sqrt", seed=1),
+        "boosted": lambda: GBTClassifier(**common, **boost, seed=1),
         "logistic": lambda: LogisticRegression(**common, maxIter=50, regParam=1e-4),
     }[kind]()
     return Pipeline(stages=[*stages, model])
@@ -51,21 +67,88 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array(column)[1]).drop("raw_features", "features", "rawPrediction", "probability", "prediction", "weight")
 
 
-def run_protocol(rows: DataFrame, names: list[str], kind: str) -> DataFrame:
-    """Fit on train, score val and test alone, so that nothing fitted later sees in-sample scores. rows(label, pool, *names)."""
+def run_protocol(rows: DataFrame, names: list[str], kind: str, sizes: dict[str, float] = PUBLISHED) -> DataFrame:
+    """Fit on train, score val and test alone, so that nothing fitted later sees in-sample scores. rows(label, pool, *names)."""
     if kind == "rff_svm":
         m = rows.filter("pool = 'train'").agg(*[F.avg(n).alias(f"_m_{n}") for n in names], *[F.stddev_pop(n).alias(f"_s_{n}") for n in names])
         rows = rows.crossJoin(F.broadcast(m))
         rows = rows.withColumns({n: (F.col(n) - F.col(f"_m_{n}")) / F.when(F.col(f"_s_{n}") < 1e-8, 1.0).otherwise(F.col(f"_s_{n}")) for n in names}).drop(*m.columns)
         rows, names = with_fourier(rows, names)
-    model = detector(kind, names).fit(balanced(rows.filter("pool = 'train'")))
+    model = detector(kind, names, sizes).fit(balanced(rows.filter("pool = 'train'")))
     return scored(model, rows.filter("pool <> 'train'")).select("event_id", "user_id", "action", "label", "pool", "score")
 
 
-def fusion(scores: DataFrame, by: str = "detector") -> DataFrame:
-    """Detector scores side by side per event, for a logistic fusion; an event lacking one gets its mean."""
-    wide = scores.groupBy("event_id", "user_id", "action", "label", "pool").pivot(by, KINDS[:2]).agg(F.max("score"))
-    mean = scores.filter("pool = 'train'").groupBy().pivot(by, KINDS[:2]).agg(F.avg("score"))
-    return wide.crossJoin(F.broadcast(mean.select(*[F.col(k).alias(f"_m_{k}") for k in KINDS[:2]]))).select(
-        "event_id", "user_id", "action", "label", "pool", *[F.coalesce(k, F.col(f"_m_{k}"), F.lit(0.0)).alias(k) for k in KINDS[:2]]
-    )
+def grid_scores(rows: DataFrame, names: list[str], kinds: tuple[str, ...], sizes: dict[str, float] = PUBLISHED, parallel: int = 4) -> DataFrame:
+    """Scores of val and test rows by a model for each (action, kind): event_id, user_id, action, label, pool, detector, score.
+
+    The actions are few and the driver names a job for each cell; `parallel` cells are fitted at a time, each on the
+    cluster, and their scores are written as they come. An action without train rows of both labels has no scores.
+    """
+    rows = written(rows, "features")
+    both = rows.filter("pool = 'train'").groupBy("action").agg(F.countDistinct("label").alias("n")).filter("n = 2")
+    cells = [(r["action"], k) for r in both.select("action").orderBy("action").collect() for k in kinds]
+    if not cells:
+        return rows.limit(0).select("event_id", "user_id", "action", "label", "pool", F.lit("").alias("detector"), F.lit(0.0).alias("score"))
+
+    def one(cell: tuple[str, str]) -> DataFrame:
+        action, kind = cell
+        out = run_protocol(rows.filter(F.col("action") == action), names, kind, sizes)
+        return written(out.select("event_id", "user_id", "action", "label", "pool", F.lit(kind).alias("detector"), "score"), "scores")
+
+    with ThreadPool(min(parallel, len(cells))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(one), cells))
+
+
+def cell_table(scores: DataFrame, replicates: int = 2000, seed: str = "l7") -> DataFrame:
+    """L7 after the scores: of each (action, detector) the cuts that validation rows give, FAR and FRR of both pools at each cut, the
+    test rows' AUC, and the 95 % interval of test FAR and FRR over `replicates` draws of users, genuine users and those of fakes apart.
+
+    scores(event_id, user_id, action, label, pool, detector, score). Test rows have no part in any cut.
+    """
+    cell = ["action", "detector"]
+    scores = written(scores, "scores")
+    test = scores.filter("pool = 'test'")
+    cuts = written(M.select_cuts(scores.filter("pool = 'val'"), cell).select(*cell, "eer", "frr5"), "cuts")
+    out = cuts.join(M.auc(test, cell).select(*cell, "auc"), cell, "left")
+    drawn = written(R.draws(test.select("label", "user_id").distinct(), replicates, seed, ["label"]), "drawn")
+    for point in ("eer", "frr5"):
+        for pool in ("val", "test"):
+            at = M.at_cut(scores.filter(F.col("pool") == pool), cuts, cell, point)
+            out = out.join(at.select(*cell, *[F.col(c).alias(f"{pool}_{point}_{c}") for c in ("far", "frr")]), cell, "left")
+        bands = R.cut_bands(test, cuts, cell, point, drawn)
+        out = out.join(bands.select(*cell, *[F.col(c).alias(f"{point}_{c}") for c in bands.columns if c not in cell]), cell, "left")
+    counts = test.groupBy(*cell).agg(F.count(F.when(F.col("label") == 0, 1)).alias("n_real"), F.count(F.when(F.col("label") == 1, 1)).alias("n_fake"))
+    return out.join(counts, cell, "left")
+
+
+def protocol(rows: DataFrame, names: list[str], kinds: tuple[str, ...], sizes: dict[str, float] = PUBLISHED, replicates: int = 2000, parallel: int = 4) -> DataFrame:
+    """From feature rows to the full table of cells, in one call: grid_scores and cell_table."""
+    return cell_table(grid_scores(rows, names, kinds, sizes, parallel), replicates)
+
+
+def decisions(scores: DataFrame, cuts: DataFrame, cell: list[str]) -> DataFrame:
+    """Scores with, at both cuts, the margin (score less cut) and whether the record is rejected; null margins where a
+    cell has no cut. Scores or cuts named twice are an error, which Spark raises when the row is met."""
+    held = cuts.groupBy(*cell).agg(F.count("*").alias("_n"), *[F.max(p).alias(f"_{p}") for p in ("eer", "frr5")])
+    out = scores.join(held, cell, "left")
+    out = out.withColumns({f"margin_{p}": F.when(F.col("_n") > 1, F.raise_error(F.lit("a cell has several cuts")).cast("double")).otherwise(F.col("score") - F.col(f"_{p}")) for p in ("eer", "frr5")})
+    return out.withColumns({f"reject_{p}": (F.col(f"margin_{p}") >= 0).cast("int") for p in ("eer", "frr5")}).drop("_n", "_eer", "_frr5")
+
+
+def fusion_rows(decided: DataFrame, consistency: DataFrame | None, detectors: list[str]) -> tuple[DataFrame, list[str]]:
+    """Per sample the score, the margins and the reject flags of each detector side by side, and the consistency
+    columns; with the names of all of them. decided: `decisions` with event_id, user_id, action, label, pool, detector.
+
+    A fusion without `consistency__` columns is refused, and so are names that meet twice; samples that lack a detector
+    or the consistency row are left out, since a made-up score would be learnt from.
+    """
+    found = [c for c in (consistency.columns if consistency is not None else []) if c.startswith("consistency__")]
+    if not found:
+        raise ValueError("the fusion needs consistency__ columns")
+    if len(set(detectors)) < len(detectors):
+        raise ValueError("a detector is named twice")
+    what = ["score", "margin_eer", "margin_frr5", "reject_eer", "reject_frr5"]
+    wide = decided.groupBy("event_id", "user_id", "action", "label", "pool").pivot("detector", detectors).agg(*[F.max(c).cast("double").alias(c) for c in what])
+    names = [f"{d}_{c}" for d in detectors for c in what] + found
+    out = wide.join(consistency.select("event_id", *[F.col(c).cast("double").alias(c) for c in found]), "event_id")
+    return out.dropna(subset=names), names

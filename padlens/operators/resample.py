@@ -59,6 +59,18 @@ def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "n")
 
 
+def cut_bands(scores: DataFrame, cuts: DataFrame, cell: list[str], cut: str, drawn: DataFrame) -> DataFrame:
+    """*cell, far_low, far_high, frr_low, frr_high: 95 % intervals at a frozen cut; drawn(rep, label, user_id, mult) has users of each
+    label drawn apart. Scores are summed by user once; replicates meet those counts alone."""
+    counts = user_counts(scores, cuts, cell, cut)
+    sides = counts.select(*cell, "user_id", F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("rejected").alias("hit"), F.col("n_real").alias("n")), F.struct(F.lit(1).alias("label"), F.col("accepted").alias("hit"), F.col("n_fake").alias("n")))).alias("s"))
+    sides = sides.select(*cell, "user_id", "s.*").filter("n > 0").join(drawn, ["label", "user_id"])
+    rates = sides.groupBy(*cell, "label", "rep").agg((F.sum(F.col("hit") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))).alias("rate"))
+    band = interval(rates, [*cell, "label"], "rate")
+    pick = lambda k, c: F.max(F.when(F.col("label") == k, F.col(c)))
+    return band.groupBy(*cell).agg(*[pick(k, c).alias(f"{n}_{c}") for k, n in ((1, "far"), (0, "frr")) for c in ("low", "high")])
+
+
 def paired_difference(rates: DataFrame, left: Column, right: Column, on: list[str], value: str) -> DataFrame:
     """The difference of two sides' mean over shared cells on the same draw; does its interval exclude zero?"""
     a = rates.filter(left).select("rep", *on, F.col(value).alias("_a"))

@@ -36,7 +36,7 @@ def validity(events: DataFrame, least: int = 3, longest_s: float = 120.0) -> Dat
 
 def rhythm_features(events: DataFrame, cap_s: float = 30.0, bin_s: float = 3600.0) -> DataFrame:
     """19 features: gaps clipped to the cap (two of 0 if there are fewer), their logs and 12-bin entropy, onsets a time bin
-    with empty bins counted, the last onset as duration, entropy of actions and of pairs, repeat rate.
+    with empty bins counted, the last onset as duration, entropy of actions and of pairs, repeat rate (1 for a session of one event).
 
     The last onset falls into the last of ceil(duration / bin_s) bins; without duration occupancy is 0.
     """
@@ -59,7 +59,7 @@ def rhythm_features(events: DataFrame, cap_s: float = 30.0, bin_s: float = 3600.
         gap(F.stddev_pop(F.log1p("g"))).alias("gap_log_std"),
         F.greatest(F.count("g"), F.lit(2)).alias("n_gaps"),
         F.max("onset_s").alias("duration_s"),
-        F.coalesce(F.avg(F.when(F.col("prior").isNotNull(), (F.col("prior") == F.col("action")).cast("double"))), F.lit(0.0)).alias("repeat_rate"),
+        F.coalesce(F.avg(F.when(F.col("prior").isNotNull(), (F.col("prior") == F.col("action")).cast("double"))), F.lit(1.0)).alias("repeat_rate"),
     )
     full = rows.groupBy(*KEY, "bins", F.least(F.floor(F.col("onset_s") / bin_s), F.col("bins") - 1).alias("bin")).agg(F.count("*").alias("c"))
     occupied = full.groupBy(*KEY, "bins").agg(F.count("*").alias("_full"), F.sum("c").alias("_sum"), F.sum(F.col("c") * F.col("c")).alias("_sq"), F.max("c").alias("occ_max"))
@@ -80,6 +80,16 @@ def rhythm_features(events: DataFrame, cap_s: float = 30.0, bin_s: float = 3600.
     return out.withColumns({c: F.when(F.col("duration_s") > 0, F.col(c)).otherwise(0.0) for c in ("occ_empty", "occ_mean", "occ_std", "occ_max")})
 
 
+def at_cadence(events: DataFrame, gap: str) -> DataFrame:
+    """events with start_ms and end_ms moved so that the gaps between them are those of the column `gap` (seconds, null for the first
+    event): each event keeps its duration, the session its start."""
+    order = Window.partitionBy(*KEY).orderBy("start_ms", "event_id")
+    lasts = F.col("end_ms") - F.col("start_ms")
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.min("start_ms").over(until) + F.sum(lasts).over(until) - lasts + F.sum(F.coalesce(F.round(F.col(gap) * 1000), F.lit(0.0)).cast("long")).over(until)
+    return events.withColumns({"_start": start, "_lasts": lasts}).withColumns({"start_ms": F.col("_start"), "end_ms": F.col("_start") + F.col("_lasts")}).drop("_start", "_lasts")
+
+
 def roster(events: DataFrame) -> DataFrame:
     """Sessions with their event and action counts, and how many users hold a session of that id."""
     each = events.groupBy("session_id", "user_id").agg(F.count("*").alias("n_events"), F.countDistinct("action").alias("n_actions"))

@@ -229,7 +229,7 @@ ORACLES = {
  count(*) FILTER (gap_s > 36000) AS long, count(*) FILTER (gap_s BETWEEN 0 AND 36000) AS usable FROM gaps GROUP BY ALL)""",
     "f13_rhythm_features": f"""WITH {_GAPS}, r AS (SELECT *, CASE WHEN gap_s IS NOT NULL THEN least(greatest(gap_s, 0), 36000) END AS g, greatest(ceil(max(onset_s) OVER (PARTITION BY user_id, session_id) / 3600), 1)::BIGINT AS bins FROM gaps),
 b AS (SELECT user_id, session_id, any_value(bins) AS bins, greatest(count(g), 2) AS n_gaps, count(g) >= 2 AS enough, quantile_cont(g, 0.5) AS gap50, quantile_cont(g, 0.1) AS gap10, quantile_cont(g, 0.9) AS gap90, avg(g) AS gap_mean, stddev_pop(g) AS gap_std,
- stddev_pop(g) / (avg(g) + 1e-9) AS gap_cv, avg(ln(1 + g)) AS gap_log_mean, stddev_pop(ln(1 + g)) AS gap_log_std, min(g) AS gap_min, coalesce(avg(CASE WHEN prior IS NOT NULL THEN CAST(prior = action AS INTEGER) END), 0) AS repeat_rate, max(onset_s) AS duration_s FROM r GROUP BY ALL),
+ stddev_pop(g) / (avg(g) + 1e-9) AS gap_cv, avg(ln(1 + g)) AS gap_log_mean, stddev_pop(ln(1 + g)) AS gap_log_std, min(g) AS gap_min, coalesce(avg(CASE WHEN prior IS NOT NULL THEN CAST(prior = action AS INTEGER) END), 1) AS repeat_rate, max(onset_s) AS duration_s FROM r GROUP BY ALL),
 f AS (SELECT user_id, session_id, bins, least(CAST(floor(onset_s / 3600) AS BIGINT), bins - 1) AS bin, count(*) AS c FROM r GROUP BY ALL),
 o AS (SELECT user_id, session_id, 1 - count(*)::DOUBLE / bins AS occ_empty, sum(c)::DOUBLE / bins AS occ_mean, sqrt(greatest(sum(c * c)::DOUBLE / bins - (sum(c)::DOUBLE / bins) ** 2, 0)) AS occ_std, max(c)::DOUBLE AS occ_max FROM f GROUP BY user_id, session_id, bins),
 pairs AS (SELECT * FROM r WHERE prior IS NOT NULL), cells AS (SELECT *, least(floor(g * 12 / 36000.0::DOUBLE), 11) AS cell FROM r WHERE g IS NOT NULL)

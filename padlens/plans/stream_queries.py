@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlens.functions.shared import shared_folder
+from padlens.functions.quantiles import exact_quantiles
+from padlens.functions.shared import shared_folder, written
 from padlens.operators import detectors as L
+from padlens.operators import metrics as M
 from padlens.operators import rows as W
 from padlens.operators import sessions as N
 from padlens.plans import adapters as A
@@ -17,6 +19,11 @@ from padlens.plans.gesture_queries import all_rounded
 from padlens.streaming import queries as T
 
 
+#: The queries' forests are smaller than the library's default, the published size: 500 trees of depth 30 take minutes on the smallest
+#: tables (README).
+SIZES = L.PUBLISHED | {"trees": 100, "depth": 8}
+
+
 def once(spark: SparkSession, sf: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a stream over the events table to its end and return what it wrote."""
     schema = A.table(spark, sf, "events").schema
@@ -57,33 +64,45 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("pool", F.element_at(F.array(*map(F.lit, ["train", "train", "train", "val", "test"])), (F.pmod(F.xxhash64("event_id"), F.lit(5)) + 1).cast("int")))
 
 
+FEATURES = ["f0", "f1", "f2", "f3"]
+
+
 def detector_query(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: all_rounded(L.run_protocol(feature_rows(s, d), ["f0", "f1", "f2", "f3"], kind))
+    return lambda s, d: all_rounded(L.run_protocol(feature_rows(s, d), FEATURES, kind, SIZES))
 
 
 def l6_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Two base detectors' out-of-sample scores, fused by a logistic model fitted on half of the validation rows."""
+    """Two base detectors' out-of-sample scores, margins and rejections beside consistency columns, fused by a logistic model
+    fitted on half of the validation rows; the cuts come from the other half."""
     rows = feature_rows(spark, sf)
-    base = [L.run_protocol(rows, ["f0", "f1", "f2", "f3"], k).withColumn("detector", F.lit(k)) for k in L.KINDS[:2]]
-    scores = base[0].unionByName(base[1])
+    kinds = ["linear_svm", "logistic"]
+    base = [L.run_protocol(rows, FEATURES, k).withColumn("detector", F.lit(k)) for k in kinds]
     meta = F.when((F.col("pool") == "val") & (F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(2)) == 0), "train").otherwise(F.col("pool"))
-    return all_rounded(L.run_protocol(L.fusion(scores.withColumn("pool", meta)), list(L.KINDS[:2]), "logistic"))
+    scores = written(base[0].unionByName(base[1]).withColumn("pool", meta), "scores")
+    cuts = M.select_cuts(scores.filter("pool = 'val'"), ["detector"])
+    consistency = rows.select("event_id", (F.col("f1") / F.col("f0")).alias("consistency__unit"), (F.col("f2") * F.col("f3")).alias("consistency__spread"))
+    fused, names = L.fusion_rows(L.decisions(scores, cuts, ["detector"]), consistency, kinds)
+    return all_rounded(L.run_protocol(fused, names, "logistic"))
+
+
+def l7_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    """Five actions by two detectors: cuts, metrics of both pools, AUC and intervals of 2000 draws."""
+    action = F.element_at(F.array(*map(F.lit, ["tap", "scroll", "swipe", "pinch", "keystroke"])), (F.pmod(F.xxhash64("event_id", F.lit(2)), F.lit(5)) + 1).cast("int"))
+    return all_rounded(L.protocol(feature_rows(spark, sf).withColumn("action", action), FEATURES, ("linear_svm", "logistic")))
 
 
 def l9_session_rhythm(spark: SparkSession, sf: str) -> DataFrame:
-    """Genuine sessions against the same sessions with machine gaps: a forest on three gap features, cut at the validation
+    """Genuine sessions against the same sessions with machine gaps, by all rhythm features: a forest, cut at the validation
     rows' 95 % quantile of genuine scores; caught and false-alarm share on test rows."""
     rows = W.machine_cadence(N.gaps(A.rhythm(spark, sf)), 0.5)
     pool = F.element_at(F.array(*map(F.lit, ["train", "train", "val", "test"])), (F.col("user_id") % 4 + 1).cast("int"))
-    key = ["user_id", "session_id"]
-
-    def side(gap: str, label: int) -> DataFrame:
-        return rows.groupBy(*key).agg(F.coalesce(F.avg(gap), F.lit(0.0)).alias("f0"), F.coalesce(F.stddev_pop(gap), F.lit(0.0)).alias("f1"), F.count("*").cast("double").alias("f2")).filter("f2 >= 2").withColumn("label", F.lit(label))
-
-    both = side("gap_s", 0).unionByName(side("jittered_s", 1)).withColumn("pool", pool).withColumn("action", F.lit("session"))
-    both = both.withColumn("event_id", F.concat_ws("-", *key, "label"))
-    scored = L.run_protocol(both, ["f0", "f1", "f2"], "forest")
-    cut = scored.filter("pool = 'val' and label = 0").agg(F.percentile("score", F.lit(0.95)).alias("cut"))
+    events = rows.select(*N.KEY, "action", "start_ms", "end_ms", "event_id", "jittered_s")
+    sides = [N.rhythm_features(e.drop("jittered_s")).withColumn("label", F.lit(k)) for k, e in enumerate((events, N.at_cadence(events, "jittered_s")))]
+    both = sides[0].unionByName(sides[1]).withColumn("pool", pool).withColumn("action", F.lit("session")).withColumn("event_id", F.concat_ws("-", *N.KEY, "label"))
+    names = [c for c in sides[0].columns if c not in (*N.KEY, "label")]
+    both = written(both.withColumns({n: F.col(n).cast("double") for n in names}), "rhythm")
+    scored = written(L.run_protocol(both, names, "forest", L.SESSION), "scores")
+    cut = exact_quantiles(scored.filter("pool = 'val' and label = 0"), [], "score", [0.95]).select(F.col("q")[0].alias("cut"))
     flag = (F.col("score") > F.col("cut")).cast("double")
     return scored.filter("pool = 'test'").crossJoin(F.broadcast(cut)).groupBy("label").agg(F.round(F.avg(flag), 5).alias("flagged"), F.count("*").alias("n"))
 
@@ -112,6 +131,7 @@ QUERIES = {
     "l4_boosted": detector_query("boosted"),
     "l5_rff_svm": detector_query("rff_svm"),
     "l6_fusion": l6_fusion,
+    "l7_protocol": l7_protocol,
 }
 
 # A window closes when the watermark (ten minutes behind the latest event) passes its end; later windows stay open.
