@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlens.functions.shared import written
+from padlens.functions.shared import shared_folder, written
 from padlens.operators import eventaudit as V
 from padlens.operators import gestures as G
 from padlens.operators import metrics as M
@@ -13,7 +13,8 @@ from padlens.operators import recompute as R
 from padlens.plans import adapters as A
 from padlens.plans.adapters import BINS, CELL
 from padlens.plans.gesture_queries import _POINTS
-from padlens.plans.metric_queries import _BINNED, _CUTS, CUT, LEVELS
+from padlens.plans.metric_queries import _BINNED, _CELLS, _CUTS, CUT, LEVELS
+from padlens.sources import registries as S
 
 #: Each action has so many users in the given tables' smallest size; any other number is reported.
 USERS = 50
@@ -207,5 +208,48 @@ joined AS (SELECT coalesce(s.artifact, c.artifact) AS artifact, coalesce(s.key,
 SELECT artifact, key, measure, round(stored, 5) AS stored, round(recomputed, 5) AS recomputed, CASE WHEN verdict IN ('orphan', 'missing') THEN verdict ELSE coalesce(state, verdict) END AS verdict,
   CASE WHEN verdict NOT IN ('orphan', 'missing') THEN cause END AS cause FROM joined LEFT JOIN fallen USING (artifact)"""
 
-QUERIES = {"p27_event_audit": p27_event_audit, "p28_recompute_audit": p28_recompute_audit}
-ORACLES = {"p27_event_audit": _P27, "p28_recompute_audit": _P28}
+
+def s9_registries(spark: SparkSession, sf: str) -> DataFrame:
+    """A split file of each action's users, one of them cut short, with users listed twice, in two pools, in none and unknown; written,
+    read back and held against the events' users."""
+    users = A.table(spark, sf, "events").select(F.col("event_type").alias("action"), "user_id").distinct()
+    u = F.col("user_id")
+    pools = {"train": u % 10 < 7, "val": (u % 10 == 7) | (u % 23 == 0), "test": u % 10 > 7}
+    listed = users.filter("user_id % 31 > 0").groupBy("action").agg(*[F.sort_array(F.collect_list(F.when(c, F.when(u % 37 == 0, -u).otherwise(u)))).alias(f"{p}_users") for p, c in pools.items()])
+    listed = listed.withColumn("test_users", F.concat("test_users", F.filter("test_users", lambda x: x % 29 == 0)))
+    last = users.agg(F.max("action")).first()[0]
+    text = F.to_json(F.struct("action", *[f"{p}_users" for p in pools]))
+    folder = shared_folder(spark, "splits")
+    listed.select(F.when(F.col("action") == last, F.substring(text, F.lit(1), F.length(text) - 5)).otherwise(text).alias("value")).write.text(folder)
+    rows = S.json_rows(spark, folder, "action string, train_users array<long>, val_users array<long>, test_users array<long>", ["action", *[f"{p}_users" for p in pools]])
+    good = rows.filter("reason is null")
+    known = users.join(good.select("action"), "action", "left_semi")
+    faults = S.split_faults(S.split_users(good, ["action"]), ["action"], {"train": 7, "val": 1, "test": 2}, known)
+    return faults.unionByName(rows.filter("reason is not null").select(F.lit(None).cast("string").alias("action"), F.col("reason").alias("rule"), F.lit(None).cast("string").alias("key")))
+
+
+def s10_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cell results written as CSV and read back; one detector's rates are out of range."""
+    cells = M.at_cut(A.scores(spark, sf).filter("pool = 'test'"), M.select_cuts(A.scores(spark, sf).filter("pool = 'val'"), CELL), CELL, "frr5")
+    rate = F.round(F.col("far") + F.when(F.col("detector") == 2, 1).otherwise(0), 6)
+    named = cells.select(F.lit("release").alias("method"), "action", F.lit("touch").alias("modality"), F.concat(F.lit("d"), "detector").alias("detector"), rate.alias("far_at_frr5"), F.when(F.col("detector") != 1, F.round("frr", 6)).alias("eer_test"))
+    folder = shared_folder(spark, "cells")
+    S.write_cells(named, folder)
+    return S.read_cells(spark, folder)
+
+
+_S9 = """WITH u AS (SELECT DISTINCT event_type AS action, user_id FROM events), z AS (SELECT max(action) AS z FROM u), g AS (SELECT u.* FROM u, z WHERE action <> z),
+l AS (SELECT action, CASE WHEN user_id % 37 = 0 THEN -user_id ELSE user_id END AS id, unnest(list_filter([CASE WHEN user_id % 10 < 7 THEN 'train' END, CASE WHEN user_id % 10 = 7 OR user_id % 23 = 0 THEN 'val' END, CASE WHEN user_id % 10 > 7 THEN 'test' END], lambda p: p IS NOT NULL)) AS pool
+  FROM g WHERE user_id % 31 > 0), e AS (SELECT action, id, pool, CASE WHEN pool = 'test' AND id % 29 = 0 THEN 2 ELSE 1 END AS n FROM l),
+w AS (SELECT action, pool, want FROM (SELECT DISTINCT action FROM e), (SELECT unnest(['train', 'val', 'test']) AS pool, unnest([7, 1, 2]) AS want)), h AS (SELECT action, pool, count(*) AS n FROM e GROUP BY ALL)
+SELECT action, 'user_twice_in_pool' AS rule, pool || '/' || id AS key FROM e WHERE n > 1
+UNION ALL SELECT action, 'user_in_several_pools', string_agg(pool, '+' ORDER BY pool) || '/' || id FROM e GROUP BY action, id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT action, 'unknown_user', id::VARCHAR FROM e WHERE (action, id) NOT IN (SELECT (action, user_id) FROM g)
+UNION ALL SELECT action, 'user_in_no_pool', user_id::VARCHAR FROM g WHERE (action, user_id) NOT IN (SELECT (action, id) FROM e)
+UNION ALL SELECT w.action, 'pool_size', w.pool || '/' || coalesce(n, 0) FROM w LEFT JOIN h USING (action, pool) WHERE coalesce(n, 0) <> want
+UNION ALL SELECT NULL, 'not_json', NULL"""
+_S10 = f"""{_CELLS}, c AS (SELECT 'release' AS method, action, 'touch' AS modality, 'd' || detector AS detector, round(far + CASE WHEN detector = 2 THEN 1 ELSE 0 END, 6) AS far_at_frr5, CASE WHEN detector <> 1 THEN round(frr, 6) END AS eer_test FROM cells)
+SELECT *, CASE WHEN far_at_frr5 NOT BETWEEN 0 AND 1 THEN 'bad:far_at_frr5' END AS reason FROM c"""
+
+QUERIES = {"p27_event_audit": p27_event_audit, "p28_recompute_audit": p28_recompute_audit, "s9_registries": s9_registries, "s10_cells": s10_cells}
+ORACLES = {"p27_event_audit": _P27, "p28_recompute_audit": _P28, "s9_registries": _S9, "s10_cells": _S10}
