@@ -10,54 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from padlens.llm.common import slices, texts_of
+from padlens.llm.licence_texts import RULES, SENTENCES
 
-# Sentences of public licences and notices, each with its identifier.
-SENTENCES = {
-    "mit-short": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License"],
-    "mit-title": ["The MIT License", "MIT License", "The MIT License (MIT)"],
-    "mit-grant": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions"
-    ],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "as-is": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "isc-title": ["ISC License"],
-    "apache-short": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'],
-    "apache-comply": ["you may not use this file except in compliance with the License"],
-    "apache-copy": ["You may obtain a copy of the License at"],
-    "gpl3-short": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "cc-by-nc-short": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-short": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-name": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "mpl-short": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-}
-# Licences and the identifier sequences that state them, in order.
-RULES = [
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
-    ("MIT", ("mit-title", "mit-grant", "mit-notice", "as-is")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("Apache-2.0", ("apache-short", "apache-comply", "apache-copy")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("ISC", ("isc-title", "isc-grant")),
-    ("ISC", ("isc-grant",)),
-    ("MIT", ("mit-short",)),
-    ("MIT", ("mit-title",)),
-    ("Apache-2.0", ("apache-short",)),
-    ("GPL-3.0-only", ("gpl3-short",)),
-    ("GPL-3.0-or-later", ("gpl-free",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
-    ("CC-BY-4.0", ("cc-by-short",)),
-    ("MPL-2.0", ("mpl-short",)),
-]
 #: Unknown sentences that may stand between two sentences of a rule.
 GAP = 3
 

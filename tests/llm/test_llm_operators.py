@@ -280,6 +280,35 @@ def test_isotonic_ladder_is_monotone():
     assert (np.diff(ladder.value) > 0).all() and abs(ladder(x).mean() - y.mean()) < 0.05
 
 
+def test_licence_sequences_match_a_plain_walk(spark):
+    """Known and unknown sentences in random order, one a line: each rule is tried at each place, the longest first."""
+    rng = random.Random(31)
+    form = {name: forms[0] for name, forms in licenses.SENTENCES.items()}
+    noise = ["Copyright 2024 somebody", "All rights kept", "Please read on", "See the file", "Nothing to see"]
+    wide = sorted(licenses.RULES, key=lambda r: -len(r[1]))
+    texts, want = [], []
+    for _ in range(400):
+        names = []
+        for _ in range(rng.randrange(1, 5)):
+            for name in rng.choice(licenses.RULES)[1]:
+                names += [None] * rng.choice([0, 0, 0, 1, 3, 4]) + ([name] if rng.random() < 0.9 else [])
+        texts.append("\n\n".join(form[n] + "." if n else rng.choice(noise) + "." for n in names))
+        known = [(i, n) for i, n in enumerate(names) if n]
+        found, at = [], 0
+        while at < len(known):
+            for licence, rule in wide:
+                part = known[at : at + len(rule)]
+                if tuple(n for _, n in part) == rule and all(b - a <= licenses.GAP + 1 for (a, _), (b, _) in zip(part, part[1:])):
+                    found.append(licence)
+                    at += len(rule) - 1
+                    break
+            at += 1
+        want.append((",".join(sorted(set(found))), len(found)))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r["licenses"], r["n_matches"]) for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    assert {n for w, _ in want for n in w.split(",")} >= {"LGPL-2.1-or-later", "AGPL-3.0-or-later", "GPL-2.0-only", "Unlicense", "EPL-2.0", "Zlib", "Apache-2.0", "0BSD"}
+
+
 def test_licence_rules(spark):
     mit = "MIT License\n\n" + licenses.SENTENCES["mit-grant"][0] + ":\n\n" + licenses.SENTENCES["mit-notice"][0] + ".\n\n" + licenses.SENTENCES["as-is"][0] + "."
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http://x"
