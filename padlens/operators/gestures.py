@@ -97,11 +97,16 @@ def with_gap_rows(keys: DataFrame) -> DataFrame:
     return rows.select("user_id", "session_id", "event_id", F.explode(both).alias("r")).select("user_id", "session_id", "event_id", "r.*")
 
 
-def contact_phase(rows: DataFrame) -> DataFrame:
-    """DOWN at the start and UP at the end of each run of contact. rows(user_id, act_id, evt_t, source_row, contact)."""
-    order = Window.partitionBy(*KEY).orderBy("evt_t", "source_row")
+def contact_phase(rows: DataFrame, slot: str | None = None) -> DataFrame:
+    """In each run of contact the first row is a DOWN, the last an UP (a run of one row is an UP), those between are moves.
+
+    rows(user_id, act_id, evt_t, source_row, contact). With the name of a slot column each slot has runs of its own, and
+    those of slots other than 0 begin and end with POINTER_DOWN and POINTER_UP.
+    """
+    order = Window.partitionBy(*KEY, *([slot] if slot else [])).orderBy("evt_t", "source_row")
     before, after = F.coalesce(F.lag("contact").over(order), F.lit(0)), F.coalesce(F.lead("contact").over(order), F.lit(0))
-    phase = F.when(F.col("contact") == 0, F.lit(-1)).when(before == 0, DOWN).when(after == 0, UP).otherwise(MOVE)
+    first = F.col(slot) == 0 if slot else F.lit(True)
+    phase = F.when(F.col("contact") == 0, F.lit(-1)).when(after == 0, F.when(first, UP).otherwise(POINTER_UP)).when(before == 0, F.when(first, DOWN).otherwise(POINTER_DOWN)).otherwise(MOVE)
     return rows.withColumn("phase", phase)
 
 

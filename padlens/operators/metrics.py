@@ -134,7 +134,7 @@ def bin_right(x: Column, cuts: Column) -> Column:
 
 
 def duration_metrics(rows: DataFrame, cuts: DataFrame, cut: float) -> DataFrame:
-    """FA and FRR in each duration bin at a global cut; bins without rows are listed too."""
+    """FA, FRR and AUC (null without one of the classes) in each duration bin at a global cut; bins without rows are listed too."""
     listed = cuts.select(F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("bin"))
     placed = rows.crossJoin(F.broadcast(cuts)).withColumn("bin", bin_right(F.col("duration"), F.col("cuts")))
     found = placed.groupBy("bin").agg(
@@ -143,7 +143,7 @@ def duration_metrics(rows: DataFrame, cuts: DataFrame, cut: float) -> DataFrame:
         F.count(_real()).alias("n_real"),
         F.count(_fake()).alias("n_fake"),
     )
-    return listed.join(found, "bin", "left").fillna(0, ["n_real", "n_fake"])
+    return listed.join(found, "bin", "left").join(auc(placed, ["bin"]).select("bin", "auc"), "bin", "left").fillna(0, ["n_real", "n_fake"])
 
 
 def standardised_rate(rows: DataFrame, cuts: DataFrame, cut: float, reference: str) -> DataFrame:

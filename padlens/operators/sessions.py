@@ -113,6 +113,17 @@ def statistics(rows: DataFrame, cut: float) -> DataFrame:
     )
 
 
+def rank_statistic(rows: DataFrame) -> DataFrame:
+    """N2's S5R: per session and label the sum of log odds of the scores' mid-ranks among all rows, as shares kept half a rank from
+    0 and 1. rows as for `statistics`."""
+    counts = rows.groupBy("score").agg(F.count("*").alias("c"))
+    n = counts.agg(F.sum("c").alias("n"))
+    share = (F.col("cum_c") - F.col("c") / 2) / F.col("n")
+    kept = F.least(F.greatest(share, 0.5 / F.col("n")), 1 - 0.5 / F.col("n"))
+    ranks = running_totals(counts, [], "score", ["c"]).crossJoin(F.broadcast(n)).select("score", F.log(kept / (1 - kept)).alias("odds"))
+    return rows.join(written(ranks, "ranks"), "score").groupBy(*KEY, "label").agg(F.sum("odds").alias("s5r_ranklogodds"))
+
+
 def genuine_cut(stats: DataFrame, value: str, alpha: float, by: list[str]) -> DataFrame:
     """With k = floor(alpha N), the k-th largest (from 0) genuine value; a session is flagged iff it lies above.
 

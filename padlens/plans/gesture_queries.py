@@ -59,7 +59,7 @@ QUERIES = {
     "g6_parser_counters": lambda s, d: G.counters(A.touch(s, d)),
     "g8_last_row_of_frame": lambda s, d: G.last_row_of_frame(A.touch(s, d)),
     "g9_gap_rows": lambda s, d: G.with_gap_rows(sessions(s, d)),
-    "g10_contact_phase": lambda s, d: G.contact_phase(contact_rows(s, d)).select("source_row", "phase"),
+    "g10_contact_phase": lambda s, d: G.contact_phase(contact_rows(s, d).withColumn("slot", F.col("source_row") % 2), "slot").select("source_row", "phase"),
     "g12_deltas": lambda s, d: all_rounded(G.deltas(contact_rows(s, d)).select("source_row", "dx", "dy")),
     "g13_union_timeline": lambda s, d: G.union_timeline(pointer_rows(s, d)),
     "f1_coalesced": lambda s, d: X.coalesced(G.points(A.touch(s, d)), KEY).select("source_row", "t_ms"),
@@ -120,8 +120,9 @@ SELECT user_id, act_id, -source_row AS contact_id, start_ms, evt_t AS end_ms, st
     "g8_last_row_of_frame": f"WITH {TOUCH} SELECT user_id, act_id, evt_t, code, x, y, source_row FROM touch QUALIFY row_number() OVER (PARTITION BY user_id, act_id, evt_t ORDER BY source_row DESC) = 1",
     "g9_gap_rows": f"""WITH {RHYTHM}, r AS (SELECT *, lag(end_ms) OVER (PARTITION BY user_id, session_id ORDER BY start_ms, event_id) AS e FROM rhythm)
 SELECT user_id, session_id, event_id, start_ms AS t_ms, 1 AS contact FROM r UNION ALL SELECT user_id, session_id, event_id, CAST(e + floor((start_ms - e) / 2) AS BIGINT), 0 FROM r WHERE start_ms > e""",
-    "g10_contact_phase": f"""WITH {_CONTACT} SELECT source_row, CASE WHEN contact = 0 THEN -1 WHEN coalesce(lag(contact) OVER w, 0) = 0 THEN 0 WHEN coalesce(lead(contact) OVER w, 0) = 0 THEN 1 ELSE 2 END AS phase
-FROM rows WINDOW w AS {_WP}""",
+    "g10_contact_phase": f"""WITH {_CONTACT} SELECT source_row, CASE WHEN contact = 0 THEN -1 WHEN coalesce(lead(contact) OVER w, 0) = 0 THEN CASE WHEN source_row % 2 = 0 THEN 1 ELSE 6 END
+ WHEN coalesce(lag(contact) OVER w, 0) = 0 THEN CASE WHEN source_row % 2 = 0 THEN 0 ELSE 5 END ELSE 2 END AS phase
+FROM rows WINDOW w AS (PARTITION BY user_id, act_id, source_row % 2 ORDER BY evt_t, source_row)""",
     "g12_deltas": f"""WITH {_CONTACT} SELECT source_row, round(CASE WHEN contact = 1 AND lag(contact) OVER w = 1 THEN x - lag(x) OVER w ELSE 0 END, 5) AS dx,
  round(CASE WHEN contact = 1 AND lag(contact) OVER w = 1 THEN y - lag(y) OVER w ELSE 0 END, 5) AS dy FROM rows WINDOW w AS {_WP}""",
     "g13_union_timeline": f"""WITH {TOUCH}, own AS (SELECT user_id AS event, CAST(source_row % 2 AS INTEGER) AS pointer, evt_t AS t_ms, arg_max(x, source_row) AS x FROM touch GROUP BY ALL),

@@ -42,7 +42,7 @@ def e4_curve(spark: SparkSession, sf: str) -> DataFrame:
 def e12_e14_duration_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = A.bins(spark, sf)
     cuts = M.duration_cuts(rows.filter("pool = 'train'"), LEVELS)
-    return rounded(M.duration_metrics(rows.filter("pool = 'test'"), cuts, CUT), "fa", "frr")
+    return rounded(M.duration_metrics(rows.filter("pool = 'test'"), cuts, CUT), "fa", "frr", "auc")
 
 
 def e15_standardised_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,9 +155,11 @@ SELECT count(*) AS n, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0
     "e10_macro": f"{_CELLS} SELECT detector, round(avg(far), 6) AS far, round(avg(frr), 6) AS frr, count(*) AS n_cells FROM cells GROUP BY detector",
     "e11_long_results": f"{_CELLS} SELECT action, detector, 'far' AS point, round(far, 6) AS value FROM cells UNION ALL SELECT action, detector, 'frr', round(frr, 6) FROM cells",
     "e14_duration_metrics": f"""WITH {BINS}, c AS (SELECT list_sort(list_distinct(quantile_cont(duration, {LEVELS}))) AS cuts FROM bins WHERE pool = 'train'),
-p AS (SELECT {_BINNED} AS bin, * FROM bins, c WHERE pool = 'test'), l AS (SELECT unnest(range(0, len(cuts) + 1)) AS bin FROM c)
+p AS (SELECT {_BINNED} AS bin, * FROM bins, c WHERE pool = 'test'), l AS (SELECT unnest(range(0, len(cuts) + 1)) AS bin FROM c),
+k AS (SELECT bin, score, count(*) FILTER (label = 0) AS r, count(*) FILTER (label = 1) AS f FROM p GROUP BY ALL), b AS (SELECT *, coalesce(sum(r) OVER (PARTITION BY bin ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k),
+u AS (SELECT bin, CASE WHEN sum(r) > 0 AND sum(f) > 0 THEN sum(f * (below + r / 2.0::DOUBLE)) / (sum(r) * sum(f)) END AS auc FROM b GROUP BY bin)
 SELECT CAST(l.bin AS INTEGER) AS bin, round(avg(CAST(score < {CUT} AS INTEGER)) FILTER (label = 1), 6) AS fa, round(avg(CAST(score >= {CUT} AS INTEGER)) FILTER (label = 0), 6) AS frr,
- count(*) FILTER (label = 0) AS n_real, count(*) FILTER (label = 1) AS n_fake FROM l LEFT JOIN p ON p.bin = l.bin GROUP BY l.bin""",
+ count(*) FILTER (label = 0) AS n_real, count(*) FILTER (label = 1) AS n_fake, round(any_value(auc), 6) AS auc FROM l LEFT JOIN p ON p.bin = l.bin LEFT JOIN u ON u.bin = l.bin GROUP BY l.bin""",
     "e15_standardised_rate": f"""WITH {BINS}, c AS (SELECT list_sort(list_distinct(quantile_cont(duration, {LEVELS}))) AS cuts FROM bins), p AS (SELECT {_BINNED} AS bin, * FROM bins, c),
 r AS (SELECT arm, bin, avg(CAST(score < {CUT} AS INTEGER)) AS rate FROM p GROUP BY ALL), w AS (SELECT bin, count(*) AS w FROM p WHERE arm = 'F' GROUP BY bin)
 SELECT arm, round(sum(w * rate) / sum(w), 6) AS rate, count(*) AS n_bins FROM r JOIN w USING (bin) GROUP BY arm""",

@@ -157,7 +157,7 @@ QUERIES = {
     "f13_rhythm_features": lambda s, d: all_rounded(N.rhythm_features(A.rhythm(s, d), 36000.0)),
     "f14_onsets": lambda s, d: all_rounded(N.gaps(A.rhythm(s, d)).select("event_id", "gap_s", "duration_s", "onset_s"), 3),
     "n1_roster": lambda s, d: N.roster(A.rhythm(s, d)),
-    "n2_session_statistics": lambda s, d: all_rounded(stats_of(s, d), 9),
+    "n2_session_statistics": lambda s, d: all_rounded(stats_of(s, d).join(N.rank_statistic(session_scores(s, d)), [*N.KEY, "label"]), 9),
     "n3_genuine_cut": lambda s, d: all_rounded(N.genuine_cut(stats_of(s, d), "s1_count", 0.05, [])),
     "n4_crossfit": lambda s, d: all_rounded(N.crossfit(folded(s, d), "s1_count", 0.05)),
     "n6_session_roc": lambda s, d: all_rounded(N.roc(stats_of(s, d), "s1_count").select(F.when(F.col("v") < 0, "all").when(F.col("v") > 1e300, "none").otherwise(F.col("v").cast("long").cast("string")).alias("v"), "caught", "false_alarm")),
@@ -239,7 +239,9 @@ FROM b JOIN o USING (user_id, session_id) JOIN {_entropy("r", "action", "entropy
 LEFT JOIN {_entropy("cells", "cell", "gap_entropy")} e3 USING (user_id, session_id)""",
     "f14_onsets": f"WITH {_GAPS} SELECT event_id, round(gap_s, 3) AS gap_s, round(duration_s, 3) AS duration_s, round(onset_s, 3) AS onset_s FROM gaps",
     "n1_roster": f"WITH {RHYTHM}, e AS (SELECT session_id, user_id, count(*) AS n_events, count(DISTINCT action) AS n_actions FROM rhythm GROUP BY ALL) SELECT *, count(*) OVER (PARTITION BY session_id) AS n_owners FROM e",
-    "n2_session_statistics": f"WITH {_STATS} SELECT user_id, session_id, label, s1_count, round(s2_mean, 9) AS s2_mean, round(s3_max, 9) AS s3_max, round(s4_top, 9) AS s4_top, round(s5_logodds, 9) AS s5_logodds, n_events FROM stats",
+    "n2_session_statistics": f"""WITH {_STATS}, mid AS (SELECT score, (sum(c) OVER (ORDER BY score) - c / 2.0::DOUBLE) / sum(c) OVER () AS p, 0.5::DOUBLE / sum(c) OVER () AS least FROM (SELECT score, count(*) AS c FROM ss GROUP BY score)),
+odds AS (SELECT score, ln(least(greatest(p, least), 1 - least) / (1 - least(greatest(p, least), 1 - least))) AS odds FROM mid), s5r AS (SELECT user_id, session_id, label, sum(odds) AS s5r FROM ss JOIN odds USING (score) GROUP BY ALL)
+SELECT user_id, session_id, label, s1_count, round(s2_mean, 9) AS s2_mean, round(s3_max, 9) AS s3_max, round(s4_top, 9) AS s4_top, round(s5_logodds, 9) AS s5_logodds, n_events, round(s5r, 9) AS s5r_ranklogodds FROM stats JOIN s5r USING (user_id, session_id, label)""",
     "n3_genuine_cut": f"""WITH {_STATS}, r AS (SELECT s1_count, row_number() OVER (ORDER BY s1_count DESC) - 1 AS i, count(*) OVER () AS n FROM stats WHERE label = 0)
 SELECT s1_count AS cut, n, CAST(floor(0.05::DOUBLE * n) AS BIGINT) AS k FROM r WHERE i = floor(0.05::DOUBLE * n)""",
     "n4_crossfit": f"""WITH {_STATS}, u AS (SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1) % 2 AS fold FROM (SELECT DISTINCT user_id FROM stats)), x AS (SELECT * FROM stats JOIN u USING (user_id)),

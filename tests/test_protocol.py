@@ -87,3 +87,34 @@ def test_sessions_at_machine_cadence(spark):
     assert features[2]["repeat_rate"] == 1.0 and features[1]["repeat_rate"] == 0.0
     moved = N.gaps(N.at_cadence(events, "g")).filter(F.col("gap_s").isNotNull()).select("event_id", "gap_s").collect()
     assert {r["event_id"]: r["gap_s"] for r in moved} == {2: 2.0, 3: 1.5}
+
+
+def test_phases_of_two_slots(spark):
+    from padlens.operators import gestures as G
+
+    contact = {0: "0111011", 1: "1101000"}
+    rows = [(1, 1, t, 2 * t + s, int(c), s) for s, text in contact.items() for t, c in enumerate(text)]
+    got = G.contact_phase(spark.createDataFrame(rows, "user_id long, act_id long, evt_t long, source_row long, contact int, slot int"), "slot").collect()
+    phases = {s: [r["phase"] for r in sorted(got, key=lambda r: r["evt_t"]) if r["slot"] == s] for s in (0, 1)}
+    assert phases == {0: [-1, 0, 2, 1, -1, 0, 1], 1: [5, 6, -1, 6, -1, -1, -1]}
+
+
+def test_rank_statistic_equals_numpy(spark):
+    rng = random.Random(9)
+    rows = [(i % 3, i % 2, i % 2, round(rng.random(), 1), i) for i in range(200)]
+    every = np.sort([r[3] for r in rows])
+    p = np.clip([(np.searchsorted(every, r[3], "left") + np.searchsorted(every, r[3], "right")) / 2 / 200 for r in rows], 0.5 / 200, 1 - 0.5 / 200)
+    want = {}
+    for r, x in zip(rows, np.log(p / (1 - p))):
+        want[r[:3]] = want.get(r[:3], 0) + x
+    got = N.rank_statistic(spark.createDataFrame(rows, "user_id int, session_id int, label int, score double, event_id int"))
+    assert {(r[0], r[1], r[2]): r["s5r_ranklogodds"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_duration_bins_have_an_auc_where_both_classes_are(spark):
+    from padlens.operators import metrics as M
+
+    rows = [(1.0, 0.2, 0), (1.0, 0.2, 1), (1.5, 0.9, 1), (5.0, 0.4, 0)]
+    cuts = spark.createDataFrame([([2.0, 9.0],)], "cuts array<double>")
+    got = {r["bin"]: (r["auc"], r["n_real"], r["n_fake"]) for r in M.duration_metrics(spark.createDataFrame(rows, "duration double, score double, label int"), cuts, 0.5).collect()}
+    assert got == {0: (0.75, 1, 2), 1: (None, 1, 0), 2: (None, 0, 0)}
