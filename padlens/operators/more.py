@@ -111,22 +111,48 @@ def consistency(touch: DataFrame, sensor: DataFrame) -> DataFrame:
     return joined.join(speed.groupBy("event").agg(F.avg("speed").alias("mean_speed"), F.count("*").alias("n_frames")), "event")
 
 
-def style_distances(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Median distance of each user's fakes, and of the others' genuine rows, to the user's genuine centroid.
-
-    rows(user_id, label, *names). Columns are standardised by genuine rows. The centroids (one row a user) are
-    compared with per-user means of the others, so no pair of events is formed.
+def style_distances(rows: DataFrame, names: list[str], others: int = 2000, each: int = 4) -> DataFrame:
+    """Per user the median distances to the user's genuine centroid of the fakes (`fake_own`), of the own genuine rows (`real_own`)
+    and of other users' genuine rows (`others_own`), that of the own later sessions' rows to the centroid of the earlier half of
+    sessions (`sessions_own`, null with one session), the delta others_own - fake_own, and whether the chain
+    sessions_own <= fake_own < others_own holds.
+
+    rows(event_id, user_id, session_id, label, pool, *names). Columns are standardised by the train pool's genuine rows. Other
+    users are a stated set, so that no pair of all events is formed: of each user `each` rows of least hash, of these
+    the `others` of least hash; every user meets that set but for the own rows.
     """
-    m = rows.filter("label = 0").agg(*[F.avg(n).alias(f"_m{n}") for n in names], *[F.stddev_pop(n).alias(f"_s{n}") for n in names])
-    z = rows.crossJoin(F.broadcast(m)).select("user_id", "label", *[((F.col(n) - F.col(f"_m{n}")) / F.greatest(F.col(f"_s{n}"), F.lit(1e-9))).alias(n) for n in names])
-    centre = z.filter("label = 0").groupBy("user_id").agg(*[F.avg(n).alias(f"c{n}") for n in names])
-    d = F.sqrt(sum(((F.col(n) - F.col(f"c{n}")) ** 2 for n in names), F.lit(0.0)))
-    own = z.join(centre, "user_id").withColumn("d", d).groupBy("user_id").agg(*[F.percentile(F.when(F.col("label") == k, F.col("d")), F.lit(0.5)).alias(n) for k, n in ((1, "fake_own"), (0, "real_own"))])
-    return own.withColumn("delta", F.col("fake_own") - F.col("real_own"))
+    real = F.col("label") == 0
+    fit = rows.filter(real & (F.col("pool") == "train"))
+    m = fit.agg(*[F.avg(n).alias(f"_m{n}") for n in names], *[(F.stddev_pop(n) + 1e-9).alias(f"_s{n}") for n in names])
+    z = rows.crossJoin(F.broadcast(m)).select("event_id", "user_id", "session_id", "label", *[((F.col(n) - F.col(f"_m{n}")) / F.col(f"_s{n}")).alias(n) for n in names])
+    away = lambda p: F.sqrt(sum(((F.col(n) - F.col(f"{p}{n}")) ** 2 for n in names), F.lit(0.0)))
+    middle = lambda df, p: df.groupBy("user_id").agg(*[F.avg(n).alias(f"{p}{n}") for n in names])
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    genuine = z.filter(real)
+    centre = middle(genuine, "c")
+    own = z.join(centre, "user_id").groupBy("user_id").agg(*[median(F.when(F.col("label") == k, away("c"))).alias(n) for k, n in ((1, "fake_own"), (0, "real_own"))])
+    sessions = genuine.select("user_id", "session_id").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy("session_id")))
+    sessions = sessions.withColumn("_early", F.col("_r") <= F.floor(F.count("*").over(Window.partitionBy("user_id")) / 2)).drop("_r")
+    placed = genuine.join(sessions, ["user_id", "session_id"])
+    later = placed.filter(~F.col("_early")).join(middle(placed.filter("_early"), "e"), "user_id").groupBy("user_id").agg(median(away("e")).alias("sessions_own"))
+    hashed = F.sha2(F.col("event_id").cast("string"), 256)
+    few = genuine.withColumn("_h", hashed).withColumn("_k", F.row_number().over(Window.partitionBy("user_id").orderBy("_h"))).filter(F.col("_k") <= each)
+    few = few.orderBy("_h").limit(others).select(F.col("user_id").alias("_other"), *names)
+    foreign = centre.join(F.broadcast(few), F.col("user_id") != F.col("_other")).groupBy("user_id").agg(median(away("c")).alias("others_own"))
+    out = own.join(later, "user_id", "left").join(foreign, "user_id", "left")
+    chain = (F.col("sessions_own") <= F.col("fake_own")) & (F.col("fake_own") < F.col("others_own"))
+    return out.withColumn("delta", F.col("others_own") - F.col("fake_own")).withColumn("chain", F.coalesce(chain, F.lit(False)).cast("int"))
+
+
+def style_summary(distances: DataFrame) -> DataFrame:
+    """Over users with fakes their number, the share of positive deltas and of chains that hold, and the median of each distance."""
+    kinds = ["fake_own", "sessions_own", "others_own", "delta"]
+    held = distances.filter("delta is not null")
+    return held.agg(F.count("*").alias("users"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"), F.avg("chain").alias("share_chain"), *[F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in kinds])
 
 
 def reference_overlap(first: DataFrame, second: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per group the sizes of the intersection and the union of two sets, and how many groups have each size."""
+    """Per group the sizes of the intersection and the union of two sets of references (a handful a group)."""
     a = first.groupBy(*by).agg(F.collect_set(value).alias("a"))
     b = second.groupBy(*by).agg(F.collect_set(value).alias("b"))
     e = F.array().cast("array<long>")
@@ -134,6 +160,11 @@ def reference_overlap(first: DataFrame, second: DataFrame, by: list[str], value:
     return j.select(*by, F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("either"))
 
 
+def overlap_histogram(overlap: DataFrame) -> DataFrame:
+    """How many groups share how many references, with the mean union of those groups."""
+    return overlap.groupBy("shared").agg(F.count("*").alias("groups"), F.avg("either").alias("mean_either"))
+
+
 def coverage_status(cells: DataFrame, owned: DataFrame, fakes: DataFrame, scored: DataFrame, on: list[str]) -> DataFrame:
     """Scored, declined (owned, fakes exist, none swapped), missing (owned, no scores) or not_owned; never a zero."""
     j = cells

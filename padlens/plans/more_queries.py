@@ -97,9 +97,9 @@ def f19_energy(spark: SparkSession, sf: str) -> DataFrame:
     return all_rounded(O.energy_distance(rows, rows.filter("vec_id % 20 = 0"), ["mean", "std", "step", "range"], "a", "b"))
 
 
-def e20_style(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.scores(spark, sf).join(A.touch(spark, sf).select(F.col("source_row").alias("event_id"), "evt_t"), "event_id")
-    return all_rounded(O.style_distances(rows.select("user_id", "label", "score", (F.col("evt_t") % 86_400_000 / 1000.0).alias("clock")), ["score", "clock"]))
+def styled(spark: SparkSession, sf: str) -> DataFrame:
+    clock = A.touch(spark, sf).select(F.col("source_row").alias("event_id"), (F.col("evt_t") % 86_400_000 / 1000.0).alias("clock"), F.floor(F.col("evt_t") / 86_400_000).alias("session_id"))
+    return O.style_distances(A.scores(spark, sf).join(clock, "event_id").select("event_id", "user_id", "session_id", "label", "pool", "score", "clock"), ["score", "clock"])
 
 
 def e21_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +139,9 @@ QUERIES = {
     "f16_background": f16_background,
     "f19_energy_distance": f19_energy,
     "f24_corpus_profile": lambda s, d: all_rounded(O.corpus_profile(A.scores(s, d))),
-    "e20_style_distances": e20_style,
+    "e20_style_distances": lambda s, d: all_rounded(styled(s, d)),
+    "e20_style_summary": lambda s, d: all_rounded(O.style_summary(styled(s, d))),
+    "e21_overlap_histogram": lambda s, d: all_rounded(O.overlap_histogram(e21_overlap(s, d))),
     "e21_reference_overlap": e21_overlap,
     "e22_latency_summary": lambda s, d: all_rounded(M.latency_summary(A.rhythm(s, d).withColumn("ms", F.col("end_ms") - F.col("start_ms")), ["action"], "ms")),
     "n8_disjoint_price": n8_disjoint_price,
@@ -149,6 +151,16 @@ QUERIES = {
 
 _SPEED = """m AS (SELECT user_id AS event, evt_t AS t_ms, avg(x) AS x, avg(y) AS y FROM src GROUP BY ALL), d AS (SELECT *, (t_ms - lag(t_ms) OVER w) / 1000.0::DOUBLE AS dt,
   sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS l FROM m WINDOW w AS (PARTITION BY event ORDER BY t_ms)), sp AS (SELECT event, t_ms, x, y, CASE WHEN dt > 0 THEN l / dt END AS speed, t_ms - dt * 500 AS mid FROM d)"""
+_STYLE = f"""WITH {SCORES}, x AS (SELECT event_id, s.user_id, label, pool, score, (epoch_us(ts) // 1000) % 86400000 / 1000.0::DOUBLE AS clock, CAST(floor((epoch_us(ts) // 1000) / 86400000) AS BIGINT) AS session_id FROM scores s JOIN (SELECT event_id, ts FROM events) USING (event_id)),
+m AS (SELECT avg(score) AS ms, stddev_pop(score) + 1e-9 AS ss, avg(clock) AS mc, stddev_pop(clock) + 1e-9 AS sc FROM x WHERE label = 0 AND pool = 'train'), z AS (SELECT event_id, user_id, session_id, label, (score - ms) / ss AS a, (clock - mc) / sc AS b FROM x, m),
+c AS (SELECT user_id, avg(a) AS ca, avg(b) AS cb FROM z WHERE label = 0 GROUP BY user_id), d AS (SELECT user_id, label, sqrt((a - ca) ** 2 + (b - cb) ** 2) AS d FROM z JOIN c USING (user_id)),
+q AS (SELECT user_id, quantile_cont(d, 0.5) FILTER (label = 1) AS fake_own, quantile_cont(d, 0.5) FILTER (label = 0) AS real_own FROM d GROUP BY user_id),
+se AS (SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id ORDER BY session_id) <= count(*) OVER (PARTITION BY user_id) // 2 AS early FROM (SELECT DISTINCT user_id, session_id FROM z WHERE label = 0)),
+ze AS (SELECT z.*, early FROM z JOIN se USING (user_id, session_id) WHERE label = 0), ce AS (SELECT user_id, avg(a) AS ca, avg(b) AS cb FROM ze WHERE early GROUP BY user_id),
+la AS (SELECT user_id, quantile_cont(sqrt((a - ca) ** 2 + (b - cb) ** 2), 0.5) AS sessions_own FROM ze JOIN ce USING (user_id) WHERE NOT early GROUP BY user_id),
+fw AS (SELECT user_id AS other, a, b FROM (SELECT *, sha256(event_id::VARCHAR) AS h, row_number() OVER (PARTITION BY user_id ORDER BY sha256(event_id::VARCHAR)) AS k FROM z WHERE label = 0) WHERE k <= 4 ORDER BY h LIMIT 2000),
+fo AS (SELECT user_id, quantile_cont(sqrt((a - ca) ** 2 + (b - cb) ** 2), 0.5) AS others_own FROM c JOIN fw ON user_id <> other GROUP BY user_id),
+st AS (SELECT *, others_own - fake_own AS delta, CAST(coalesce(sessions_own <= fake_own AND fake_own < others_own, false) AS INTEGER) AS chain FROM q LEFT JOIN la USING (user_id) LEFT JOIN fo USING (user_id))"""
 _W = "(PARTITION BY event ORDER BY t_ms)"
 _CENTRE = ["start_x", "start_y", "end_x", "end_y", "resultant", "mean_direction", "v20", "v50", "v80", "a20", "a50", "a80", "late_speed", "max_dev", "dev20", "dev50", "dev80", "length", "early_accel", "displacement", "direction", "efficiency", "mean_speed"]
 _SPANS = ["span_first", "span_last", "span_min", "span_max", "span_mean", "span_std", "span_path", "span_rate", "span_rate20", "span_rate50", "span_rate80", "span_rate_abs", "span_speed50", "angle_first", "angle_last", "angle_total", "angle_path",
@@ -209,9 +221,10 @@ FROM e LEFT JOIN fi USING (event_id) LEFT JOIN pi USING (event_id) LEFT JOIN ty
 k AS (SELECT stddev_pop(m) + 1e-9 AS m, stddev_pop(sd) + 1e-9 AS sd, stddev_pop(st) + 1e-9 AS st, stddev_pop(rg) + 1e-9 AS rg FROM r),
 d AS (SELECT a.side AS s, b.side AS t, avg(sqrt(((a.m - b.m) / k.m) ** 2 + ((a.sd - b.sd) / k.sd) ** 2 + ((a.st - b.st) / k.st) ** 2 + ((a.rg - b.rg) / k.rg) ** 2)) AS d FROM r a, (SELECT * FROM r WHERE vec_id % 20 = 0) b, k GROUP BY ALL)
 SELECT round(2 * avg(d) FILTER (s <> t) - max(d) FILTER (s = 'a' AND t = 'a') - max(d) FILTER (s = 'b' AND t = 'b'), 5) AS energy FROM d""",
-    "e20_style_distances": f"""WITH {SCORES}, x AS (SELECT s.user_id, label, score, (epoch_us(ts) // 1000) % 86400000 / 1000.0::DOUBLE AS clock FROM scores s JOIN events USING (event_id)), m AS (SELECT avg(score) AS ms, stddev_pop(score) AS ss, avg(clock) AS mc, stddev_pop(clock) AS sc FROM x WHERE label = 0),
-z AS (SELECT user_id, label, (score - ms) / ss AS a, (clock - mc) / sc AS b FROM x, m), c AS (SELECT user_id, avg(a) AS ca, avg(b) AS cb FROM z WHERE label = 0 GROUP BY user_id), d AS (SELECT user_id, label, sqrt((a - ca) ** 2 + (b - cb) ** 2) AS d FROM z JOIN c USING (user_id)),
-q AS (SELECT user_id, quantile_cont(d, 0.5) FILTER (label = 1) AS f, quantile_cont(d, 0.5) FILTER (label = 0) AS r FROM d GROUP BY user_id) SELECT user_id, round(f, 5) AS fake_own, round(r, 5) AS real_own, round(f - r, 5) AS delta FROM q""",
+    "e20_style_distances": f"{_STYLE} SELECT user_id, {', '.join(f'round({c}, 5) AS {c}' for c in ['fake_own', 'real_own', 'sessions_own', 'others_own', 'delta'])}, chain FROM st",
+    "e20_style_summary": f"""{_STYLE} SELECT count(*) AS users, round(avg(CAST(delta > 0 AS INTEGER)), 5) AS share_positive, round(avg(chain), 5) AS share_chain, {', '.join(f'round(quantile_cont({c}, 0.5), 5) AS median_{c}' for c in ['fake_own', 'sessions_own', 'others_own', 'delta'])} FROM st WHERE delta IS NOT NULL""",
+    "e21_overlap_histogram": """WITH t AS (SELECT DISTINCT l_suppkey AS user_id, l_partkey % 50 AS ref, l_linestatus AS side FROM lineitem), g AS (SELECT user_id, ref, count(*) AS k FROM t GROUP BY ALL), o AS (SELECT user_id, count(*) FILTER (k = 2) AS shared, count(*) AS either FROM g GROUP BY user_id)
+SELECT CAST(shared AS INTEGER) AS shared, count(*) AS groups, round(avg(either), 5) AS mean_either FROM o GROUP BY shared""",
     "e21_reference_overlap": """WITH t AS (SELECT DISTINCT l_suppkey AS user_id, l_partkey % 50 AS ref, l_linestatus AS side FROM lineitem), g AS (SELECT user_id, ref, count(*) AS k FROM t GROUP BY ALL)
 SELECT user_id, CAST(count(*) FILTER (k = 2) AS INTEGER) AS shared, CAST(count(*) AS INTEGER) AS either FROM g GROUP BY user_id""",
     "e22_latency_summary": f"""WITH {RHYTHM}, q AS (SELECT action, quantile_cont(end_ms - start_ms, [0.5, 0.95, 1.0]) AS q, avg(end_ms - start_ms) AS mean, count(*) AS n FROM rhythm GROUP BY action)

@@ -118,3 +118,16 @@ def test_duration_bins_have_an_auc_where_both_classes_are(spark):
     cuts = spark.createDataFrame([([2.0, 9.0],)], "cuts array<double>")
     got = {r["bin"]: (r["auc"], r["n_real"], r["n_fake"]) for r in M.duration_metrics(spark.createDataFrame(rows, "duration double, score double, label int"), cuts, 0.5).collect()}
     assert got == {0: (0.75, 1, 2), 1: (None, 1, 0), 2: (None, 0, 0)}
+
+
+def test_style_distances_by_hand(spark):
+    from padlens.operators import more as O
+
+    # Two users on a line; train genuine rows have mean 0 and spread 1, so columns stay as they are.
+    real = [(1, 1, 1, -1.0), (2, 1, 2, 1.0), (3, 2, 1, -1.0), (4, 2, 1, 1.0)]
+    rows = [(i, u, s, 0, "train", x) for i, u, s, x in real] + [(5, 1, 9, 1, "test", 3.0), (6, 1, 9, 1, "test", 5.0)]
+    got = {r["user_id"]: r for r in O.style_distances(spark.createDataFrame(rows, "event_id long, user_id long, session_id long, label int, pool string, x double"), ["x"]).collect()}
+    assert [got[1][c] for c in ("fake_own", "real_own", "sessions_own", "others_own", "delta", "chain")] == pytest.approx([4.0, 1.0, 2.0, 1.0, -3.0, 0], abs=1e-6)
+    assert got[2]["fake_own"] is None and got[2]["sessions_own"] is None and got[2]["others_own"] == pytest.approx(1.0)
+    summary = O.style_summary(spark.createDataFrame(list(got.values()))).first()
+    assert (summary["users"], summary["share_positive"]) == (1, 0.0)
