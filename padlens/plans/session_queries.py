@@ -45,7 +45,7 @@ def conformal_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Replicates of the shared draw, of the draws with classes apart and of the EER, half splits, and draws within folds.
-SHARED, APART, LOCATED, HALVES, FOLDED = 2000, 200, 200, 200, 200
+SHARED, APART, LOCATED, HALVES, FOLDED = 2000, 2000, 2000, 200, 200
 
 
 def drawn_of(spark: SparkSession, sf: str, n: int = SHARED) -> DataFrame:
@@ -60,7 +60,7 @@ def rates_of(spark: SparkSession, sf: str) -> DataFrame:
 def r1_auc_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     test = A.scores(spark, sf).filter("pool = 'test'")
     drawn = R.draws(test.select("label", "user_id").distinct(), APART, "r1", ["label"])
-    return all_rounded(R.interval(R.weighted_auc(test, drawn, ["detector"]), ["detector"], "auc"))
+    return all_rounded(R.interval(R.weighted_auc(test, drawn, CELL), CELL, "auc"))
 
 
 def r3_paired_difference(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +172,7 @@ QUERIES = {
     "r1_auc_bootstrap": r1_auc_bootstrap,
     "r2_shared_bootstrap": lambda s, d: all_rounded(R.interval(rates_of(s, d), CELL, "far")),
     "r3_paired_difference": r3_paired_difference,
-    "r4_eer_bootstrap": lambda s, d: all_rounded(R.interval(R.weighted_eer(A.scores(s, d).filter("pool = 'test'"), drawn_of(s, d, LOCATED), ["detector"]), ["detector"], "eer")),
+    "r4_eer_bootstrap": lambda s, d: all_rounded(R.interval(R.weighted_eer(A.scores(s, d).filter("pool = 'test'"), drawn_of(s, d, LOCATED), CELL), CELL, "eer")),
     "r6_fold_bootstrap": r6_fold_bootstrap,
     "r10_split_marginal": r10_split_marginal,
     "j5_two_sources": j5_two_sources,
