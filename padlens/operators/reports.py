@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padlens.functions.shared import written
+from padlens.operators import replicates as V
 from padlens.operators import sessions as N
 
 
@@ -64,20 +68,39 @@ def duration_only(rows: DataFrame, alpha: float) -> DataFrame:
 
 
 def clustered_rate(rows: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Rate of a flag per replicate with whole users drawn. rows(user_id, flag), drawn(rep, user_id, mult)."""
-    c = rows.groupBy("user_id").agg(F.sum("flag").alias("s"), F.count("*").alias("n"))
-    return c.join(drawn, "user_id").groupBy("rep").agg((F.sum(F.col("s") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))).alias("rate"))
+    """Rate of a flag per replicate with whole users drawn. rows(user_id, flag), drawn(rep, user_id, mult) or `vector_draws`."""
+    c = rows.groupBy("user_id").agg(F.sum("flag").alias("s"), F.count("*").alias("n")).withColumn("_all", F.lit(0))
+    return V.replicate_sums(c, drawn, ["_all"], ["s", "n"]).select("rep", (F.col("s") / F.col("n")).alias("rate"))
 
 
 def median_delta(users: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Median over drawn users of a per-user value. users(user_id, delta)."""
-    return users.join(drawn, "user_id").groupBy("rep").agg(F.percentile("delta", F.lit(0.5), F.col("mult")).alias("median"))
+    """Median over drawn users of a per-user value. users(user_id, delta), drawn(rep, user_id, mult) or `vector_draws`.
+
+    Buckets of neighbouring values tell which of them holds a replicate's middle ranks; only there are values read one by one.
+    """
+    placed = V.bucketed(users.filter("delta is not null").select("user_id", F.col("delta").cast("double").alias("delta"), F.lit(1).alias("c"), F.lit(0).alias("side")), [], "delta")
+    totals = V.below(V.replicate_sums(placed, drawn, ["bucket"], ["c"]), ["rep"], ["c"])
+    middle = (F.col("all_c") - 1) / 2
+    ranks = totals.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(middle), F.ceil(middle)))))
+    wanted = ranks.filter("c > 0 and rank >= below_c and rank < below_c + c").select("bucket", "rep", (F.col("rank") - F.col("below_c")).cast("long").alias("rank"))
+    wanted = written(wanted, "wanted")
+    rows, n = V.weighted_rows(placed.join(wanted.select("bucket").distinct(), "bucket", "left_semi"), drawn, ["bucket", "side", "delta"], "c")
+
+    def one(table: pa.Table, wants: pa.Table) -> pa.Table:
+        values, weight, _ = V.by_value(table, "delta", "side", n)
+        upto = weight.cumsum(axis=0)
+        found = [float(values[np.searchsorted(upto[:, rep], rank, side="right")]) for rep, rank in zip(wants["rep"].to_pylist(), wants["rank"].to_pylist())]
+        return pa.table([wants["rep"], pa.array(found, pa.float64())], names=["rep", "v"])
+
+    found = V.at_buckets(rows, wanted, ["bucket"], one, "rep int, v double")
+    # With two ranks both weigh a half, as in Spark's percentile.
+    return found.groupBy("rep").agg(F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(0.5 * F.min("v") + 0.5 * F.max("v")).alias("median"))
 
 
 def binned_rates(rows: DataFrame, drawn: DataFrame, cut: float) -> DataFrame:
     """Accepted share per replicate, arm and bin from per-user counts. rows(arm, user_id, bin, score)."""
     c = rows.groupBy("arm", "bin", "user_id").agg(F.count(F.when(F.col("score") < cut, 1)).alias("a"), F.count("*").alias("n"))
-    return c.join(drawn, "user_id").groupBy("arm", "bin", "rep").agg((F.sum(F.col("a") * F.col("mult")) / F.sum(F.col("n") * F.col("mult"))).alias("rate"))
+    return V.replicate_sums(c, drawn, ["arm", "bin"], ["a", "n"]).select("arm", "bin", "rep", (F.col("a") / F.col("n")).alias("rate"))
 
 
 def side_by_side(cells: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:
