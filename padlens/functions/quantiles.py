@@ -27,6 +27,22 @@ def exact_quantiles(rows: DataFrame, by: list[str], value: str, levels: list[flo
     return seen.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, levels)), F.col("_c")).alias("q"))
 
 
+def stepped(edges: DataFrame, column: str, parts: int) -> DataFrame:
+    """edges with the distinct ascending values of `column` as `_runs`, arrays of about sqrt(parts) of them, and `_heads`, the first of each."""
+    step = max(1, round(parts**0.5))
+    found = edges.withColumn(column, F.array_distinct(F.coalesce(column, F.array().cast("array<double>"))))
+    starts = F.filter(F.sequence(F.lit(1), F.lit(parts), F.lit(step)), lambda i: i <= F.size(column))
+    found = found.withColumn("_runs", F.transform(starts, lambda i: F.slice(column, i, step))).drop(column)
+    return found.withColumn("_heads", F.transform("_runs", lambda r: r[0]))
+
+
+def place(value: Column) -> Column:
+    """How many of the values of `stepped` are at or below the value: full runs first, then the value's own run alone."""
+    runs = F.size(F.filter("_heads", lambda h: h <= value))
+    own = F.size(F.filter(F.get("_runs", runs - 1), lambda e: e <= value))
+    return F.when(runs == 0, 0).otherwise((runs - 1) * F.size(F.get("_runs", F.lit(0))) + own)
+
+
 def by_rank(counts: DataFrame, by: list[str], levels: list[float], parts: int = PARTS, turns: int = 2) -> DataFrame:
     """exact_quantiles of counts(*by, _v, _c) by rank selection.
 
@@ -44,8 +60,9 @@ def by_rank(counts: DataFrame, by: list[str], levels: list[float], parts: int =
     cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     for turn in range(turns):
         part = f"_b{turn}"
-        edges = written(counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, F.lit(20 * parts)).alias("_e")), "edges")
-        placed = counts.join(edges, group).withColumn(part, F.size(F.filter(F.array_distinct("_e"), lambda e: e <= F.col("_v")))).drop("_e")
+        edges = counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, F.lit(20 * parts)).alias("_e"))
+        edges = written(stepped(edges, "_e", parts), "edges")
+        placed = counts.join(edges, group).withColumn(part, place(F.col("_v"))).drop("_runs", "_heads")
         totals = placed.groupBy(*group, part).agg(F.sum("_c").alias("_t"))
         lower = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # over `parts` rows
         totals = totals.withColumn("_low", F.coalesce(F.sum("_t").over(lower), F.lit(0)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from padlens.functions.prefix import running_totals
+from padlens.functions.quantiles import place, stepped
 from padlens.functions.shared import written
 
 #: Users in a block of draws, slots that one row of work hashes, rows of a bucket of values, bytes of sums that a task holds.
@@ -179,8 +180,9 @@ def bucketed(counts: DataFrame, cell: list[str], value: str) -> DataFrame:
         return counts.withColumn("bucket", F.lit(0))
     levels = F.lit([i / parts for i in range(1, parts)])
     edges = counts.groupBy(*cell).agg(F.percentile_approx(value, levels, F.lit(20 * parts)).alias("_e")) if cell else counts.agg(F.percentile_approx(value, levels, F.lit(20 * parts)).alias("_e"))
+    edges = written(stepped(edges, "_e", parts), "edges")
     placed = counts.join(F.broadcast(edges), cell) if cell else counts.crossJoin(F.broadcast(edges))
-    return placed.withColumn("bucket", F.size(F.filter(F.array_distinct(F.coalesce("_e", F.array())), lambda e: e <= F.col(value)))).drop("_e")
+    return placed.withColumn("bucket", place(F.col(value))).drop("_runs", "_heads")
 
 
 def weighted_rows(counts: DataFrame, drawn: DataFrame, keep: list[str], count: str) -> tuple[DataFrame, int]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from padlens.functions.quantiles import by_rank, exact_quantiles
+from padlens.functions.quantiles import by_rank, exact_quantiles, place, stepped
 from padlens.operators import joins as J
 from padlens.operators import sessions as N
 
@@ -138,3 +138,17 @@ def test_least_distance_meets_in_blocks(spark, monkeypatch):
     got = {r["query_id"]: r["distance"] for r in J.least_distance(df, df, 3, 2).collect()}
     want = {i: min(math.dist(x, y) for j, y in rows if j != i) / 6**0.5 for i, x in rows}
     assert got == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
+def test_places_among_edges_by_two_short_steps(spark):
+    rng = random.Random(8)
+    edges = sorted(rng.randrange(300) / 4 for _ in range(1999))
+    values = [None, -1.0, 0.0, 75.0, 1e9, float("nan"), *[rng.randrange(-4, 320) / 4 for _ in range(300)]]
+    few = stepped(spark.createDataFrame([(edges,)], "e array<double>"), "e", 2000)
+    heads, runs = few.select("_heads", "_runs").first()
+    assert [e for r in runs for e in r] == sorted(set(edges)) and len(heads) <= 45 and max(map(len, runs)) <= 45  # a value meets 90 edges at most
+    got = spark.createDataFrame([(v,) for v in values], "v double").crossJoin(few).select("v", place(F.col("v")).alias("n")).collect()
+    for v, n in got:
+        assert n == (0 if v is None else sum(e <= v or v != v for e in set(edges)))
+    none = stepped(spark.createDataFrame([(None,), ([],)], "e array<double>"), "e", 2000)
+    assert [r["n"] for r in none.select(place(F.lit(1.0)).alias("n")).collect()] == [0, 0]
