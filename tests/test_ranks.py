@@ -94,6 +94,30 @@ def test_stretches_assign_like_whole_sessions(spark):
     assert J.assign(a, b.limit(0)).filter(F.col("status") != J.UNMATCHED).isEmpty() and J.assign(a.limit(0), b.limit(0)).isEmpty()
 
 
+def test_stretches_are_walked_and_not_grouped(spark):
+    """Many stretches, some over the border of a batch, cost no call each."""
+    rng = random.Random(6)
+    labels, found = [], []
+    for i in range(900):
+        user, session, at = i % 7, i % 3, (i // 3) * 1000
+        labels.append((user, session, i, rng.choice(["tap", "pinch", "swipe", None]), at, at + 5))
+        near, shared = (20_000 + i, at), (10_000 + i // 42, i // 42 * 14_000)  # a contact has one start
+        found += [(user, session, i, c, float(rng.randrange(3)), start) for c, start in rng.choice([[], [near], [shared], [near, shared], [shared]])]
+    found = sorted(set(found))
+    a = spark.createDataFrame(labels, "user_id int, session_id int, event_id long, action string, start_ms long, end_ms long")
+    b = spark.createDataFrame(found, "user_id int, session_id int, event_id long, contact_id long, score double, contact_ms long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = J.assign(a, b)
+        got = {r["event_id"]: (r["contact_id"], r["score"], r["status"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = greedy(labels, found)
+    assert got == want and {s for *_, s in want.values()} == {J.ACCEPTED, J.RESERVED, J.UNMATCHED}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def nested(queries, train):
     return {i: min((float(np.sqrt(np.mean((np.array(q) - np.array(x)) ** 2))) for j, x in train if j != i), default=None) for i, q in queries}
 
