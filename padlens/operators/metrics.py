@@ -23,11 +23,13 @@ def score_counts(scores: DataFrame, cell: list[str]) -> DataFrame:
 
 
 def curve(scores: DataFrame, cell: list[str]) -> DataFrame:
-    """Every attainable cut with FA and FRR. Cuts are the least score, the midpoints of neighbours, and +inf."""
+    """Every attainable cut with FA and FRR. Cuts are the least score, the midpoints of neighbours, and +inf.
+
+    The totals of the cells, which are few, go to the rows, so that no cell's cuts meet in one task."""
     counts = score_counts(scores, cell)
     cum = running_totals(counts, cell, "score", ["real", "fake"], last="before")
     whole = cum.groupBy(*cell).agg(F.sum("real").alias("n_real"), F.sum("fake").alias("n_fake"))
-    at = cum.join(whole, cell).select(
+    at = cum.join(F.broadcast(whole), cell).select(
         *cell,
         F.when(F.col("before").isNull(), F.col("score")).otherwise(F.col("before") + 0.5 * (F.col("score") - F.col("before"))).alias("cut"),
         (F.col("cum_fake") - F.col("fake")).alias("accepted"),
@@ -55,7 +57,7 @@ def select_cuts(val: DataFrame, cell: list[str], target: float = 0.05) -> DataFr
 
 def at_cut(scores: DataFrame, cuts: DataFrame, cell: list[str], cut: str) -> DataFrame:
     """FAR and FRR at a frozen cut. A cell without one of the classes has null there, never zero."""
-    joined = scores.join(cuts.select(*cell, F.col(cut).alias("cut")), cell)
+    joined = scores.join(F.broadcast(cuts.select(*cell, F.col(cut).alias("cut"))), cell)
     return joined.groupBy(*cell).agg(
         F.avg(_fake((F.col("score") < F.col("cut")).cast("double"))).alias("far"),
         F.avg(_real((F.col("score") >= F.col("cut")).cast("double"))).alias("frr"),

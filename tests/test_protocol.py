@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from padlens.operators import detectors as L
+from padlens.operators import metrics as M
 from padlens.operators import sessions as N
 
 SCORES = "event_id long, user_id long, action string, label int, pool string, detector string, score double"
@@ -249,3 +250,26 @@ def test_binned_rates_of_vectors(spark):
             met = [(s, w.get(u, 0)) for c, y, u, s in rows if (c, y) == (arm, k)]
             want[arm, k, rep] = sum(m for s, m in met if s < 20) / sum(m for _, m in met)
     assert got == pytest.approx(want)
+
+
+def test_no_task_gets_all_cuts_of_a_cell(spark):
+    """With two cells a shuffle of every cut by cell alone would leave two tasks; only partial minima are shuffled by it."""
+    rows = [(i, "ab"[i % 2], (i // 2) % 2, (i * 7919 % 4001) / 7.0) for i in range(4000)]
+    scores = spark.createDataFrame(rows, "event_id long, detector string, label int, score double")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        cuts = M.select_cuts(scores, ["detector"])
+        decided = L.decisions(scores, cuts, ["detector"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (cuts, decided, M.at_cut(scores, cuts, ["detector"], "eer"))]
+        got = {r["detector"]: (r["eer"], r["frr5"]) for r in cuts.collect()}
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    for plan in plans:
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+        assert all("_bucket" in line for line in joins) and "BroadcastHashJoin" in plan
+    for d in "ab":
+        real, fake = (np.array([r[3] for r in rows if r[1] == d and r[2] == k]) for k in (0, 1))
+        assert got[d] == pytest.approx(plain_cuts(real, fake))
