@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +39,19 @@ def matrix(column: pa.Array | pa.ChunkedArray, replicates: int) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<u1" if len(b) == replicates else "<u4").astype("<u4") for b in found])
 
 
+def messages(head: bytes, line: bytes) -> list[bytes]:
+    """head before each of the numbers that `line` holds, each behind a line end; a head that holds one itself would be torn."""
+    if b"\n" in head:
+        return [head + s for s in line.split(b"\n")[1:]]
+    return line.replace(b"\n", b"\n" + head).split(b"\n")[1:]
+
+
 def vector_draws(users: DataFrame, replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
     """`resample.draws` with one row a user: *by, user_id, times, replicates; times is a `binaries` row. users(user_id, *by).
 
     A task hashes the slots of one replicate, at most CHUNK of them, and sends the picks of each block of users as one row; a
-    block's rows of all replicates, about 2 * BLOCK * replicates bytes, become its users' vectors. The result is written.
+    block's rows of all replicates, about 2 * BLOCK * replicates bytes, become its users' vectors. The result is written. The slots'
+    digits are the same in all replicates, so a task writes them once.
     """
     by = by or []
     ranked = running_totals(users.select(*by, "user_id").distinct().withColumn("one", F.lit(1)), by, "user_id", ["one"])
@@ -53,11 +62,15 @@ def vector_draws(users: DataFrame, replicates: int, seed: str, by: list[str] | N
     work = reps.crossJoin(F.broadcast(n)).withColumn("head", F.concat_ws("|", F.lit(seed), "rep", *by, F.lit("")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, lines, digest = range(0), [], type(hashlib.sha256()).digest
         for batch in batches:
             kept = batch.select(["rep", *by])
             for i, r in enumerate(batch.select(["head", "n", "chunk"]).to_pylist()):
-                head, slots = r["head"].encode(), range(r["chunk"] * CHUNK, min(r["n"], (r["chunk"] + 1) * CHUNK))
-                digests = b"".join([hashlib.sha256(b"%b%d" % (head, s)).digest() for s in slots])
+                wanted = range(r["chunk"] * CHUNK, min(r["n"], (r["chunk"] + 1) * CHUNK))
+                if wanted != slots:
+                    slots, lines = wanted, [b"".join([b"\n%d" % s for s in wanted[a : a + 1024]]) for a in range(0, len(wanted), 1024)]
+                head = r["head"].encode()
+                digests = b"".join([b"".join(map(digest, map(hashlib.sha256, messages(head, line)))) for line in lines])
                 wide = np.zeros((len(slots), 8), "u1")
                 wide[:, 2:] = np.frombuffer(digests, "u1").reshape(-1, 32)[:, :6]
                 picks = np.sort(np.floor(wide.view(">u8")[:, 0].astype(float) / float(1 << 48) * r["n"]).astype(np.int64))
@@ -118,13 +131,16 @@ def replicate_sums(counts: DataFrame, drawn: DataFrame, cell: list[str], sums: l
     """*cell, rep, *sums: over a cell's users each sum times how often the replicate drew the user; replicates in which a cell has
     no user are left out. counts(*cell, *keys of drawn, *sums), several rows a user or one.
 
-    A task adds up the vectors of its rows by cell, at most HELD bytes of them, before it sends them.
+    A user's sums of all cells, one entry a cell, lie in one row and meet the vector once. A task adds up the vectors of its rows by
+    cell, at most HELD bytes of them, before it sends them.
     """
     vectors, keys, replicates = vectors_of(drawn)
-    joined = counts.select(*cell, *[k for k in keys if k not in cell], *[F.col(s).cast("double").alias(s) for s in sums]).join(vectors, keys).select(*cell, *sums, "times")
-    fields = [joined.schema[c] for c in cell]
+    added = counts.groupBy(*keys, *[c for c in cell if c not in keys]).agg(*[F.sum(F.col(s).cast("double")).alias(s) for s in sums])
+    lists = added.select(*keys, F.struct(*cell, *sums).alias("_e")).groupBy(*keys).agg(F.collect_list("_e").alias("_each"))
+    joined = lists.join(vectors, keys).select("_each", "times")
+    fields = [added.schema[c] for c in cell]
     names = ["_met", *sums]
-    types = [pa.field(c, batch_type(joined.schema[c].dataType)) for c in cell]
+    types = [pa.field(c, batch_type(f.dataType)) for c, f in zip(cell, fields)]
     most = max(1, HELD // (8 * len(names) * max(1, replicates)))
 
     def send(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
@@ -138,9 +154,18 @@ def replicate_sums(counts: DataFrame, drawn: DataFrame, cell: list[str], sums: l
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 times = matrix(batch.column("times"), replicates).astype(float)
-                each = np.stack([np.ones(batch.num_rows), *[batch.column(s).to_numpy(zero_copy_only=False) for s in sums]])
-                for key, rows in grouped(batch, cell):
-                    total = each[:, rows] @ times[rows]
+                entries, users = batch.column("_each").flatten(), pc.list_parent_indices(batch.column("_each")).to_numpy()
+                entries = pa.RecordBatch.from_struct_array(entries)
+                each = np.stack([np.ones(len(users)), *[entries.column(s).to_numpy(zero_copy_only=False) for s in sums]])
+                found = list(grouped(entries, cell))
+                if len(found) * len(times) <= 4 * len(users):  # most users have most cells
+                    dense = np.zeros((len(found), len(names), len(times)))
+                    for i, (_, rows) in enumerate(found):
+                        dense[i][:, users[rows]] = each[:, rows]
+                    totals = iter((dense.reshape(-1, len(times)) @ times).reshape(len(found), len(names), -1))
+                else:
+                    totals = (each[:, rows] @ times[users[rows]] for _, rows in found)
+                for (key, _), total in zip(found, totals):
                     if key in held:
                         held[key] += total
                     else:
@@ -194,13 +219,16 @@ def weighted_rows(counts: DataFrame, drawn: DataFrame, keep: list[str], count: s
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                times = matrix(batch.column("times"), replicates).astype(np.uint32) * batch.column("_count").to_numpy(zero_copy_only=False).astype(np.uint32)[:, None]
+                count = batch.column("_count").to_numpy(zero_copy_only=False)
                 groups = [rows for _, rows in grouped(batch, keep)]
+                if len(groups) == batch.num_rows and (count == 1).all():  # nothing to add up
+                    yield batch.select([*keep, "times"])
+                    continue
+                times = matrix(batch.column("times"), replicates)
+                if (count != 1).any():
+                    times = times.astype(np.uint32) * count.astype(np.uint32)[:, None]
                 first = batch.select(keep).take(pa.array([r[0] for r in groups]))
-                order = np.concatenate(groups)
-                starts = np.cumsum([0, *[len(r) for r in groups[:-1]]])
-                summed = times[order] if len(groups) == len(times) else np.add.reduceat(times[order], starts, axis=0)
-                yield pa.RecordBatch.from_arrays([*first.columns, binaries(summed)], names=[*keep, "times"])
+                yield pa.RecordBatch.from_arrays([*first.columns, binaries(added(times, groups))], names=[*keep, "times"])
 
     return joined.mapInArrow(add, T.StructType([*[joined.schema[c] for c in keep], T.StructField("times", T.BinaryType())])), replicates
 
@@ -208,15 +236,45 @@ def weighted_rows(counts: DataFrame, drawn: DataFrame, keep: list[str], count: s
 def by_value(table: pa.Table, value: str, side: str, replicates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ascending values of a bucket, and the weights of its rows of side 0 and of side 1, values by replicates."""
     values, at = np.unique(table[value].to_numpy(), return_inverse=True)
-    times, sides = matrix(table["times"], replicates).astype(np.int64), table[side].to_numpy()
     out = []
-    for k in (0, 1):
-        total = np.zeros((len(values), replicates), np.int64)
-        np.add.at(total, at[sides == k], times[sides == k])
-        out.append(total)
+    for own, total in by_side(at, table, side, replicates):
+        whole = np.zeros((len(values), replicates), np.int64)
+        whole[own] = total
+        out.append(whole)
     return values, *out
 
 
+def added(times: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """Sums of the rows of each group, of 32 bits."""
+    order = np.concatenate(groups)
+    starts = np.cumsum([0, *[len(r) for r in groups[:-1]]])
+    return np.add.reduceat(times[order], starts, axis=0, dtype=np.uint32) if len(groups) < len(times) else times[order].astype(np.uint32)
+
+
+def by_side(at: np.ndarray, table: pa.Table, side: str, replicates: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of side 0 and of side 1 the ascending places `at` that its rows have, and their rows' weights added up, places by replicates."""
+    times, sides = matrix(table["times"], replicates), table[side].to_numpy()
+    for k in (0, 1):
+        rows = np.flatnonzero(sides == k)
+        rows = rows[np.argsort(at[rows], kind="stable")]
+        own, starts = np.unique(at[rows], return_index=True)
+        yield own, np.add.reduceat(times[rows], starts, axis=0, dtype=np.int64) if len(rows) else np.zeros((0, replicates), np.int64)
+
+
+def bucket_wins(table: pa.Table, value: str, side: str, replicates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each replicate the weight of a bucket's rows of side 0, of side 1, and that of the pairs in which side 1 has the greater
+    value, ties half."""
+    _, at = np.unique(table[value].to_numpy(), return_inverse=True)
+    (low, real), (high, fake) = by_side(at, table, side, replicates)
+    upto = np.zeros((len(low) + 1, replicates), np.int64)
+    np.cumsum(real, axis=0, out=upto[1:])
+    twice = np.zeros(replicates, np.int64)
+    for a in range(0, len(high), 256):  # few rows at a time stay near
+        part = high[a : a + 256]
+        twice += np.einsum("ij,ij->j", fake[a : a + 256], upto[np.searchsorted(low, part)] + upto[np.searchsorted(low, part, "right")])
+    return upto[-1], fake.sum(axis=0), twice / 2
+
+
 def at_buckets(rows: DataFrame, wanted: DataFrame, key: list[str], fine: Callable[[pa.Table, pa.Table], pa.Table], shape: T.StructType) -> DataFrame:
     """fine(rows of a bucket, what is wanted of it) for the buckets of which something is wanted."""
     return rows.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(fine, shape)
