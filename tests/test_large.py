@@ -64,3 +64,16 @@ def test_split_rates_meet_vectors_not_all_splits(spark, monkeypatch):
             cut[half] = genuine[int(0.1 * len(genuine))]
         flags = [[v > cut[1 - fold[u]] for u, label, v in sessions if label == k and v is not None] for k in (1, 0)]
         assert got[split] == pytest.approx(tuple(sum(f) / len(f) for f in flags))
+
+
+def test_rhythm_features_order_events_once(spark):
+    from padlens.operators import sessions as N
+
+    events = spark.createDataFrame(
+        [(1, 1, "tap", 1000 * t, 1000 * t + 500, t) for t in (0, 2, 5, 11)] + [(2, 1, "tap", 0, 500, 20)], "user_id long, session_id long, action string, start_ms long, end_ms long, event_id long"
+    )
+    out = N.rhythm_features(events)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    one, two = out.orderBy("user_id").collect()
+    assert [one[c] for c in ("gap10", "gap50", "gap90")] == pytest.approx([1.7, 2.5, 4.9])
+    assert [two[c] for c in ("gap10", "gap50", "gap90", "entropy1", "gap_entropy", "occ_max")] == [0, 0, 0, 0, 0, 0]
