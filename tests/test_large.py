@@ -77,3 +77,15 @@ def test_rhythm_features_order_events_once(spark):
     one, two = out.orderBy("user_id").collect()
     assert [one[c] for c in ("gap10", "gap50", "gap90")] == pytest.approx([1.7, 2.5, 4.9])
     assert [two[c] for c in ("gap10", "gap50", "gap90", "entropy1", "gap_entropy", "occ_max")] == [0, 0, 0, 0, 0, 0]
+
+
+def test_streaming_scores_fit_on_the_written_rows(spark, monkeypatch):
+    from padlens.plans import stream_queries as S
+
+    def balanced(train):
+        raise InterruptedError(train.inputFiles())
+
+    monkeypatch.setattr(L, "balanced", balanced)
+    with pytest.raises(InterruptedError) as found:
+        S.t5_streaming_scores(spark, "/root/testdata/sf0.001")
+    assert found.value.args[0] and all("/stream-" in f for f in found.value.args[0])
