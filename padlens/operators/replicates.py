@@ -222,7 +222,8 @@ def weighted_rows(counts: DataFrame, drawn: DataFrame, keep: list[str], count: s
                 count = batch.column("_count").to_numpy(zero_copy_only=False)
                 groups = [rows for _, rows in grouped(batch, keep)]
                 if len(groups) == batch.num_rows and (count == 1).all():  # nothing to add up
-                    yield batch.select([*keep, "times"])
+                    same = batch.select([*keep, "times"])  # its columns may be marked as never null, those below are not
+                    yield pa.RecordBatch.from_arrays(same.columns, names=same.schema.names)
                     continue
                 times = matrix(batch.column("times"), replicates)
                 if (count != 1).any():
