@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from padlens.functions.prefix import running_totals
-from padlens.operators.features import correlation, finger_features
+from padlens.operators.features import correlation, distance, finger_features
 from padlens.operators.joins import nearest
 
 
@@ -35,16 +35,16 @@ def pinch_features(frames: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("event").orderBy("t_ms")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    rows = frames.withColumn("span", F.hypot(dx, dy)).withColumn("angle", F.when(F.col("span") > 1e-12, F.atan2(dy, dx)))
+    rows = frames.withColumn("span", distance(dx, dy)).withColumn("angle", F.when(F.col("span") > 1e-12, F.atan2(dy, dx)))
     back = lambda c: F.col(c) - F.lag(c).over(order)
     rows = unwrapped(rows, order).withColumns(
         {
             "dt": back("t_ms") / 1000.0,
             "dspan": back("span"),
             "turn": back("turned"),
-            "len0": F.hypot(back("x0"), back("y0")),
-            "len1": F.hypot(back("x1"), back("y1")),
-            "lenc": F.hypot((back("x0") + back("x1")) / 2, (back("y0") + back("y1")) / 2),
+            "len0": distance(back("x0"), back("y0")),
+            "len1": distance(back("x1"), back("y1")),
+            "lenc": distance(*[(F.col(f"{c}0") + F.col(f"{c}1") - F.lag(f"{c}0").over(order) - F.lag(f"{c}1").over(order)) / 2 for c in "xy"]),
         }
     )
     rows = rows.withColumns({"rate": F.col("dspan") / F.col("dt"), "spin": F.col("turn") / F.col("dt"), "speed0": F.col("len0") / F.col("dt"), "speed1": F.col("len1") / F.col("dt")})
